@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from silvaspan.llm import mixing, simhash_dedup
+from silvaspan.llm import language_id, lm_scoring, mixing, simhash_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_near_dedup": simhash_dedup.op1_simhash_near_dedup,
         "op2_source_mixing": mixing.op2_source_mixing,
+        "op5_lm_scoring": lm_scoring.op5_lm_scoring,
+        "op7_language_id": language_id.op7_language_id,
     }
 
 

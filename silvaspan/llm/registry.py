@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from silvaspan.llm import language_id, lm_scoring, mixing, simhash_dedup
+from silvaspan.llm import decontamination, fingerprints, language_id, lm_scoring, mixing, simhash_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_near_dedup": simhash_dedup.op1_simhash_near_dedup,
         "op2_source_mixing": mixing.op2_source_mixing,
+        "op4_benchmark_decontamination": decontamination.op4_benchmark_decontamination,
         "op5_lm_scoring": lm_scoring.op5_lm_scoring,
         "op7_language_id": language_id.op7_language_id,
+        "op9_document_fingerprints": fingerprints.op9_document_fingerprints,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_benchmark_decontamination": decontamination.oracle()}

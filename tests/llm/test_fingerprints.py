@@ -41,7 +41,7 @@ def test_report_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(P, "PER_RANGE", 7)
     draw = random.Random(2)
     rows = [(k * 3 + 1, " ".join(draw.choice(["über", "b", "cc", "dddd", "long" * 6]) for _ in range(draw.randrange(0, 60)))) for k in range(60)]
-    rows += [(100, "near copy " * 30), (200, "near copy " * 30), (300, "near copy " * 30 + "x"), (-5, "日本語テキスト a"), (500, None), (501, ""), (502, "w " * 20_000)]
+    rows += [(400, "near copy " * 30), (200, "near copy " * 30), (300, "near copy " * 30 + "x"), (-5, "日本語テキスト a"), (500, None), (501, ""), (502, "w " * 20_000)]
     df = spark.createDataFrame(rows, SCHEMA).repartition(5).withColumn("fp", F.lit(1)).withColumn("place", F.lit("clash"))
     got = {r["doc_id"]: r for r in P.fingerprint_report(df).collect()}
     order = sorted(((i, t or "") for i, t in rows), reverse=True)

@@ -4,7 +4,7 @@ A text is a vector of hashed byte trigrams of its whole lower-cased content (squ
 counts, unit length). One linear support vector machine per family tells it from all others; inside
 the winning family one machine per pair of languages votes, and the larger sum of margins settles ties.
 Machines are fitted by dual coordinate descent on at most ``sample`` labelled documents per language,
-those of the smallest hash of text and id: this bound is a parameter. The fitted table, a fixed number
+those of the smallest hashes of their ids: this bound is a parameter. The fitted table, a fixed number
 of floats per machine, goes to the tasks; every text is scored whole, in pieces of bounded size.
 
 Families come from ``FAMILIES``; a language that it lacks is a family of its own.
@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
+from silvaspan.scratch import Scratch
 from silvaspan.sources.tables import table
 
 #: ISO 639-1 codes by family.
@@ -141,11 +142,15 @@ def fold(id_col: str = "doc_id") -> Column:
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Fits on documents (doc_id, text, lang) whose fold is not 0, at most ``sample`` per language."""
-    rows = docs.select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).where((fold() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = docs.where((fold() != 0) & F.col("lang").isNotNull()).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    # Each language is thinned to about twice the sample by its hash before rows meet in a window.
-    thin = rows.join(sizes, "lang").where(F.pmod(F.col("h"), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("n") < 2 * sample)
-    first = thin.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("k") <= sample)
+    scratch = Scratch(docs.sparkSession, "sample")
+    rows = docs.where((fold() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    keyed = rows.select("lang", F.xxhash64("doc_id").alias("h"))
+    sizes = keyed.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # Each language is thinned to about twice the sample by its hash before rows meet in a window; texts are read for the chosen only.
+    thin = keyed.join(sizes, "lang").where(F.pmod(F.col("h"), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("n") < 2 * sample)
+    chosen = thin.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("k") <= sample)
+    chosen = scratch.save(chosen.select("lang", "h").distinct(), "chosen")
+    first = rows.withColumn("h", F.xxhash64("doc_id")).join(chosen, ["lang", "h"], "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

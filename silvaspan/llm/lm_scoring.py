@@ -48,6 +48,7 @@ BOUND = 1 << 22
 GRAM, WORD = 0, 1
 _PIECE = 1 << 20
 _MANY = 1 << 20
+_NO_KEY = np.uint64(2**64 - 1)
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -84,7 +85,7 @@ class _Tally:
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
         self.parts.append((keys, counts))
         self.size += len(keys)
-        if self.size > 4 * _MANY:
+        if self.size > 2 * _MANY:
             self.parts = [self.merged()]
             self.size = len(self.parts[0][0])
 
@@ -112,7 +113,7 @@ def tallies(docs: DataFrame, order: int = ORDER) -> DataFrame:
             if pending[train] and (last or waiting[train] > _MANY):
                 tally[GRAM, train].add(*np.unique(np.concatenate(pending[train]), return_counts=True))
                 pending[train], waiting[train] = [], 0
-            if seen[train] and (last or len(seen[train]) > _MANY):
+            if seen[train] and (last or len(seen[train]) > _MANY // 4):
                 hashes = word_hashes(seen[train])
                 at = np.argsort(hashes)
                 tally[WORD, train].add(hashes[at], np.fromiter(seen[train].values(), np.int64)[at])
@@ -190,18 +191,41 @@ def prices(grams: DataFrame, order: int = ORDER) -> DataFrame:
     return state.select("key", "total", F.when(F.col("done"), F.col("lp")).otherwise(F.col("lp") - F.log10(rest)).alias("price"))
 
 
-def head(entries: DataFrame, weight: str, value: str, bound: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """(threshold, sorted keys, values) of the entries of at least threshold occurrences, ``bound`` of them at most."""
+def head(entries: DataFrame, weight: str, value: str, bound: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """(threshold, sorted keys, values, weights) of the entries of at least threshold occurrences, ``bound`` of them at most."""
     sizes = entries.groupBy((F.length(F.bin(weight)) - 1).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
     at, n = 0, sum(r["n"] for r in sizes)
     for r in sorted(sizes, key=lambda r: r["p"]):
         if n <= bound:
             break
         at, n = r["p"] + 1, n - r["n"]
-    found = entries.where(F.col(weight) >= 2**at).select("key", F.col(value).cast("double").alias("v")).toArrow()
-    keys, values = found.column("key").to_numpy().view(np.uint64), found.column("v").to_numpy()
+    found = entries.where(F.col(weight) >= 2**at).select("key", F.col(value).cast("double").alias("v"), F.col(weight).cast("long").alias("w")).toArrow()
+    keys = found.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    return 2**at, keys[order], values[order]
+    return 2**at, keys[order], found.column("v").to_numpy()[order], found.column("w").to_numpy()[order]
+
+
+class Slots:
+    """Values by 64-bit key. A key's hash names one slot; where keys meet, the most frequent has it and the others are searched."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, weights: np.ndarray) -> None:
+        self.shift = np.uint64(64 - max(4, (2 * len(keys)).bit_length()))
+        self.keys, self.values = np.append(keys, _NO_KEY), np.append(values, 0.0)
+        self.slot = np.full(1 << (64 - int(self.shift)), len(keys), np.int32)
+        order = np.argsort(weights, kind="stable")
+        self.slot[self._at(keys[order])] = order
+        lost = self.slot[self._at(keys)] != np.arange(len(keys))
+        self.rest = keys[lost], values[lost]
+
+    def _at(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+
+    def sum(self, keys: np.ndarray) -> tuple[float, np.ndarray]:
+        """The sum of the values of all keys that are known, and the others, sorted."""
+        at = self.slot[self._at(keys)]
+        hit = self.keys[at] == keys
+        values, found = look_up(missed := keys[~hit], *self.rest)
+        return float(self.values[at[hit]].sum()) + float(values.sum()), missed[~found]
 
 
 def look_up(keys: np.ndarray, known: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -226,23 +250,24 @@ def score(docs: DataFrame, order: int = ORDER, bound: int = BOUND) -> DataFrame:
     v, n = v + (ends > 0), n + ends
     floor = n + 0.5 * (v + 1)
     priced = scratch.save(prices(counted.where(F.col("kind") == GRAM).select("key", "train", "total"), order), "prices")
-    g_least, g_keys, g_values = head(priced, "total", "price", bound)
-    w_least, w_keys, w_values = head(words, "train", "train", bound)
-    shared = spark.sparkContext.broadcast((g_keys, g_values, w_keys, np.log10((w_values + 0.5) / floor)))
+    g_least, *grams = head(priced, "total", "price", bound)
+    w_least, w_keys, w_values, _ = head(words, "train", "train", bound)
+    shared = spark.sparkContext.broadcast((Slots(*grams), w_keys, np.log10((w_values + 0.5) / floor)))
+    del grams, w_keys, w_values
     g_tail, w_tail = g_least > 1, w_least > 1
     unknown, end = math.log10(0.5 / floor), math.log10((ends + 0.5) / floor)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g_keys, g_values, w_keys, w_values = shared.value
+        slots, w_keys, w_values = shared.value
         for batch in batches:
             out, tails = [], []
             for text in batch.column(1):
                 words, lp, rest = words_of(text.as_py()), 0.0, []
                 for gram in windows(words, order):
-                    values, hit = look_up(gram, g_keys, g_values)
-                    lp += float(values.sum())
-                    if g_tail and not hit.all():
-                        rest += [(GRAM, int(k), int(c)) for k, c in zip(*map(np.ndarray.tolist, _unique(gram[~hit])))]
+                    known, unknown_grams = slots.sum(gram)
+                    lp += known
+                    if g_tail:
+                        rest += [(GRAM, int(k), int(c)) for k, c in zip(*map(np.ndarray.tolist, _unique(unknown_grams)))]
                 hashes = word_hashes(words)
                 values, hit = look_up(hashes, w_keys, w_values)
                 known, base = int(hit.sum()), float(values.sum()) + end

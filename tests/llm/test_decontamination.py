@@ -21,6 +21,8 @@ def plain(docs, items):
     for (i, a), (k, b) in itertools.product(docs, items):
         x, y = words(a), words(b)
         w = min(len(y), D.WINDOW)
+        if 5 * sum(v in set(x) for v in y) < 4 * w:
+            continue
         x = [None] * w + x + [None] * w
         best = max((sum(u == v for u, v in zip(x[p : p + w], y[q : q + w])) for p in range(len(x) - w + 1) for q in range(len(y) - w + 1)), default=0)
         if len(y) >= D.WINDOW and 5 * best >= 4 * w:

@@ -27,6 +27,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from silvaspan.llm.words import LOWER, NOT_ALNUM, UPPER, words
 from silvaspan.scratch import Scratch
 from silvaspan.sources.tables import table
 
@@ -34,19 +35,19 @@ MASKS = ("11010011", "11001011", "11111")
 WINDOW = 13
 SIMILARITY = 0.8
 BROADCAST_ROWS = 1 << 20
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def tokens(text: str = "text") -> Column:
     """Hashes of the text's words, in order."""
-    words = F.regexp_extract_all(F.translate(F.col(text), UPPER, LOWER), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
-    return F.transform(words, lambda w: F.xxhash64(w))
+    return F.transform(words(F.col(text), NOT_ALNUM), lambda w: F.xxhash64(w))
 
 
 def seeds(rows: DataFrame, array: str, pos: str) -> DataFrame:
     """One row for each place and mask: columns of rows, ``pos`` from 0 and the hash ``key`` (null where the mask runs over the end)."""
     least = min(map(len, MASKS))
-    placed = rows.where(F.size(array) >= least).withColumn(pos, F.explode(F.sequence(F.lit(0), F.size(array) - least)))
+    # No filter on the array's size: it would be pushed below and compute the array twice.
+    places = F.when(F.size(array) >= least, F.sequence(F.lit(0), F.size(array) - least))
+    placed = rows.withColumn(pos, F.explode(places))
     keys = []
     for k, mask in enumerate(MASKS):
         under = [F.get(array, F.col(pos) + j) for j, bit in enumerate(mask) if bit == "1"]
@@ -58,14 +59,20 @@ def seeds(rows: DataFrame, array: str, pos: str) -> DataFrame:
 def compared(hits: DataFrame, *keys: str) -> DataFrame:
     """keys, ``window`` and ``matched``: the most equal words in a window of the item that starts at most eight words before the hit.
 
-    Only single words of the document's array are read here, so no row carries it on.
+    The few words around a hit are cut out first, by a generator, through which Spark pushes nothing
+    back: the scan of all places stays a small loop, and no row carries its document on.
     """
-    back, n = WINDOW - min(map(len, MASKS)), WINDOW
-    same = {j: F.coalesce(F.get("doc", F.col("p") + j) == F.get("item", F.col("q") + j), F.lit(False)).cast("int") for j in range(-back, n)}
-    rows = hits.select(*keys, "q", F.col("w").alias("window"), F.size("item").alias("n"), *(e.alias(f"e{j + back}") for j, e in same.items()))
-    sums = [F.when((F.col("q") + s >= 0) & (F.col("q") + s + n <= F.col("n")), sum((F.col(f"e{s + j + back}") for j in range(1, n)), F.col(f"e{s + back}"))) for s in range(-back, 1)]
-    whole = sum((F.col(f"e{k}") for k in range(1, back + n)), F.col("e0"))
-    return rows.select(*keys, "window", F.when(F.col("window") < n, whole).otherwise(F.greatest(*sums)).alias("matched"))
+    back = WINDOW - min(map(len, MASKS))
+    lo = F.greatest(F.col("p") - back, F.lit(0))
+    cut = F.struct(F.slice("doc", lo + 1, F.col("p") + WINDOW - lo).alias("near"), (F.col("p") - lo).alias("off"))
+    rows = hits.select(*keys, "q", "item", F.col("w").alias("window"), F.explode(F.array(cut)).alias("x")).select(*keys, "q", "item", "window", "x.near", "x.off")
+    matched = F.expr(f"""
+        element_at(transform(
+            array(transform(sequence(-{back}, {WINDOW - 1}), j -> if(coalesce(get(near, off + j) = get(item, q + j), false), 1, 0))),
+            e -> if(window < {WINDOW}, aggregate(e, 0, (n, x) -> n + x),
+                array_max(transform(filter(sequence(-{back}, 0), s -> q + s >= 0 and q + s + {WINDOW} <= size(item)),
+                                    s -> aggregate(slice(e, s + {back + 1}, {WINDOW}), 0, (n, x) -> n + x))))), 1)""")
+    return rows.select(*keys, "window", matched.alias("matched"))
 
 
 def overlaps(docs: DataFrame, items: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:

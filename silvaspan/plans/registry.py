@@ -1,19 +1,462 @@
-"""All registered queries of the library's own operators."""
+"""All registered queries of the library's own operators, each with SQL over the same tables where SQL can express it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from silvaspan.functions import labels
+from silvaspan.operators import annotations, components, forest, newick, patristic, profiles, quality, reads, stats, summaries, tiers
+from silvaspan.plans import inputs
+from silvaspan.sources import versions
+from silvaspan.sources.tables import table
+
+_FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f: Callable[[SparkSession, str], DataFrame]):
+        _FOUND[f.__name__] = (f, sql)
+        return f
+
+    return keep
+
+
+#: The forest of the tables and its index, in SQL.
+EDGES = """edges AS (
+    SELECT 'R' || n_regionkey AS source, 'N' || n_nationkey AS target, CAST(1 AS DOUBLE) AS distance FROM nation
+    UNION ALL SELECT 'N' || c_nationkey, 'C' || c_custkey, CAST(1 AS DOUBLE) FROM customer
+    UNION ALL SELECT 'C' || o_custkey, 'O' || o_orderkey, CAST(CAST(floor(o_totalprice) AS BIGINT) % 100 AS DOUBLE) FROM orders)"""
+INDEX = f"""WITH RECURSIVE {EDGES},
+    t AS (SELECT 'R' || r_regionkey AS node_id, 'R' || r_regionkey AS component, CAST(NULL AS VARCHAR) AS parent, CAST(0 AS BIGINT) AS depth, 'R' || r_regionkey AS path FROM region
+          UNION ALL SELECT e.target, t.component, e.source, t.depth + 1, t.path || chr(1) || e.target FROM t JOIN edges e ON e.source = t.node_id),
+    sz AS (SELECT a AS node_id, count(*) AS size FROM (SELECT unnest(string_split(path, chr(1))) AS a FROM t) GROUP BY a),
+    idx AS (SELECT node_id, component, parent, depth, path, row_number() OVER (ORDER BY path) - 1 AS dfs_start, row_number() OVER (ORDER BY path) - 1 + size AS dfs_end FROM t JOIN sz USING (node_id)),
+    cuts AS (SELECT CAST(v AS INTEGER) AS level, CAST(v AS INTEGER) AS cut FROM (VALUES (0), (1), (2)) AS c(v)),
+    cl AS (SELECT level, cut, node_id, depth, CASE WHEN depth <= cut THEN node_id ELSE string_split(path, chr(1))[cut + 2] END AS representative FROM idx, cuts)"""
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return cluster_order_status(spark, sf_dir)
+
+
+@query(f"""{INDEX} SELECT 'lod_0_' || representative AS cluster_id, o_orderstatus AS status, count(*) AS n FROM cl JOIN orders ON node_id = 'O' || o_orderkey WHERE level = 0 GROUP BY ALL""")
+def cluster_order_status(spark: SparkSession, sf: str) -> DataFrame:
+    """Per coarse cluster, the orders of each status below it."""
+    status = table(spark, sf, "orders").select(F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("node_id"), F.col("o_orderstatus").alias("status"))
+    rows = inputs.clusters(spark, sf).where("level = 0").join(status, "node_id")
+    return summaries.category_distribution(rows, ["status"], "cluster_id").withColumnRenamed("category", "status")
+
+
+@query(f"{INDEX} SELECT node_id, component, parent, depth, dfs_start, dfs_end FROM idx")
+def forest_index(spark: SparkSession, sf: str) -> DataFrame:
+    return inputs.index(spark, sf)
+
+
+@query("""WITH RECURSIVE o AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS k FROM orders),
+    t AS (SELECT k, CAST(0 AS BIGINT) AS depth FROM o WHERE k = 0 UNION ALL SELECT o.k, t.depth + 1 FROM t JOIN o ON o.k > 0 AND (o.k - 1) // 2 = t.k)
+    SELECT depth, count(*) AS nodes FROM t GROUP BY depth""")
+def heap_depths(spark: SparkSession, sf: str) -> DataFrame:
+    """Depth histogram of the balanced tree over the ranked orders, by pointer jumping."""
+    from pyspark.sql import Window as W
+
+    ranked = table(spark, sf, "orders").select((F.row_number().over(W.orderBy("o_orderkey")) - 1).alias("k"))
+    from silvaspan.scratch import Scratch
+
+    parents = ranked.select(F.col("k").alias("node_id"), F.when(F.col("k") > 0, F.expr("(k - 1) div 2").cast("int")).alias("parent"))
+    return forest.depths_of(parents, Scratch(spark, "heap")).groupBy("depth").agg(F.count(F.lit(1)).alias("nodes"))
+
+
+@query(f"{INDEX} SELECT component, count(*) AS nodes FROM t GROUP BY component")
+def forest_components(spark: SparkSession, sf: str) -> DataFrame:
+    """Component sizes; a component is named by its root here."""
+    nodes, edges, roots = inputs.forest(spark, sf)
+    comps = forest.components_of(nodes, edges)
+    named = comps.join(roots, "node_id").select("component", F.col("node_id").alias("root"))
+    return comps.join(named, "component").groupBy(F.col("root").alias("component")).agg(F.count(F.lit(1)).alias("nodes"))
+
+
+@query("""SELECT error, n FROM (SELECT 'self loop' AS error, (SELECT count(*) FROM nation WHERE n_nationkey = 0) AS n
+    UNION ALL SELECT 'unknown endpoint', (SELECT 2 * count(*) FROM nation WHERE n_nationkey = 1)
+    UNION ALL SELECT 'duplicate node id', (SELECT count(*) FROM region WHERE r_regionkey = 0)) WHERE n > 0""")
+def forest_faults(spark: SparkSession, sf: str) -> DataFrame:
+    """Violations of the forest after one self-loop, one edge between unknown nodes and one repeated node."""
+    nodes, edges, roots = inputs.forest(spark, sf)
+    nation = table(spark, sf, "nation")
+    loop = nation.where("n_nationkey = 0").select(F.lit("loop").alias("edge_id"), F.lit("N0").alias("source"), F.lit("N0").alias("target"), F.lit(1.0).alias("distance"))
+    lost = nation.where("n_nationkey = 1").select(F.lit("lost").alias("edge_id"), F.lit("X1").alias("source"), F.lit("X2").alias("target"), F.lit(1.0).alias("distance"))
+    faults = forest.validate_forest(nodes.unionByName(nodes.where("node_id = 'R0'")), edges.unionByName(loop).unionByName(lost), roots)
+    return faults.where("error <> 'cycle'")
+
+
+@query(f"{INDEX}, h AS (SELECT depth, count(*) AS n FROM t GROUP BY depth) SELECT depth, CAST(sum(n) OVER (ORDER BY depth) + coalesce(lead(n) OVER (ORDER BY depth), 0) AS BIGINT) AS visible FROM h")
+def cut_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    return tiers.cut_sizes(inputs.index(spark, sf))
+
+
+@query(f"""{INDEX}, h AS (SELECT component, depth, count(*) AS n FROM t GROUP BY ALL), r AS (SELECT component, depth, sum(n) OVER w + coalesce(lead(n) OVER w, 0) AS r FROM h WINDOW w AS (PARTITION BY component ORDER BY depth)),
+    s0 AS (SELECT component, r AS r0 FROM r WHERE depth = 0), top AS (SELECT component, max(depth) AS d, max(r) AS m FROM r GROUP BY component),
+    p1 AS (SELECT component, arg_min(depth, (e, depth)) AS d1, min(e) AS e1, arg_min(r, (e, depth)) AS r1 FROM (SELECT r.*, greatest(r / (2.0 * r0), 2.0 * r0 / r) AS e FROM r JOIN s0 USING (component) WHERE r > r0) GROUP BY component),
+    p2 AS (SELECT component, arg_min(depth, (e, depth)) AS d2, arg_min(r, (e, depth)) AS r2 FROM (SELECT r.*, greatest(r / (2.0 * r1), 2.0 * r1 / r) AS e FROM r JOIN p1 USING (component) WHERE r > r1) GROUP BY component),
+    p3 AS (SELECT component, arg_min(depth, (e, depth)) AS d3 FROM (SELECT r.*, greatest(r / (2.0 * r2), 2.0 * r2 / r) AS e FROM r JOIN p2 USING (component) WHERE r > r2) GROUP BY component)
+    SELECT component, array_to_string(list_append(list_filter([0, d1, d2, d3], lambda x: x IS NOT NULL)[1:-2], d), ',') AS cuts FROM top LEFT JOIN p1 USING (component) LEFT JOIN p2 USING (component) LEFT JOIN p3 USING (component)""")
+def tier_cuts(spark: SparkSession, sf: str) -> DataFrame:
+    """Selected cuts of each component."""
+    cuts = tiers.select_cuts(tiers.cut_sizes(inputs.index(spark, sf), "component"), "component")
+    return cuts.select("component", F.array_join(F.col("cuts").cast("array<string>"), ",").alias("cuts"))
+
+
+@query(f"{INDEX} SELECT level, 'lod_' || level || '_' || representative AS cluster_id, count(*) AS members FROM cl GROUP BY ALL")
+def tier_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    return inputs.clusters(spark, sf).groupBy("level", "cluster_id").agg(F.count(F.lit(1)).alias("members"))
+
+
+@query(f"""{INDEX} SELECT a.level, a.representative AS source, b.representative AS target, distance FROM edges e JOIN cl a ON e.source = a.node_id JOIN cl b ON e.target = b.node_id AND a.level = b.level
+    WHERE a.representative <> b.representative""")
+def quotient_edges(spark: SparkSession, sf: str) -> DataFrame:
+    _, edges, _ = inputs.forest(spark, sf)
+    return tiers.quotient_edges(inputs.clusters(spark, sf), edges)
+
+
+@query(f"{INDEX}, g AS (SELECT level, cut, count(DISTINCT representative) AS clusters, count(*) AS members FROM cl GROUP BY ALL) SELECT level, cut, clusters, members, lag(clusters) OVER (ORDER BY level) AS before, clusters / lag(clusters) OVER (ORDER BY level) AS ratio, clusters - lag(clusters) OVER (ORDER BY level) AS jump FROM g")
+def tier_growth(spark: SparkSession, sf: str) -> DataFrame:
+    return tiers.tier_growth(inputs.clusters(spark, sf))
+
+
+@query(f"""{INDEX}, s AS (SELECT level, representative, count(*) AS m FROM cl GROUP BY ALL), q AS (SELECT a.level, count(*) AS edges FROM edges e JOIN cl a ON e.source = a.node_id JOIN cl b ON e.target = b.node_id AND a.level = b.level WHERE a.representative <> b.representative GROUP BY a.level)
+    SELECT level, count(*) AS nodes, any_value(edges) AS edges, count(*) FILTER (WHERE m > 1) AS proxies, round(1 - count(*) / sum(m), 6) AS node_reduction FROM s JOIN q USING (level) GROUP BY level""")
+def reduction_report(spark: SparkSession, sf: str) -> DataFrame:
+    _, edges, _ = inputs.forest(spark, sf)
+    clusters = inputs.clusters(spark, sf)
+    return tiers.reduction_report(clusters, tiers.quotient_edges(clusters, edges), 0)
+
+
+@query("SELECT level, \"check\", CAST(0 AS BIGINT) AS n FROM (SELECT CAST(unnest([0, 1, 2]) AS INTEGER) AS level), (SELECT unnest(['uncovered', 'overlapping', 'disconnected', 'missing', 'unsupported']) AS \"check\")")
+def fidelity_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """Every check of every tier, without a mismatch."""
+    _, edges, _ = inputs.forest(spark, sf)
+    index = inputs.index(spark, sf)
+    clusters = tiers.clusters_at(index, inputs.cut_levels(spark))
+    return quality.fidelity_ledger(index, edges, clusters, tiers.quotient_edges(clusters, edges))
+
+
+@query(f"{INDEX} SELECT node_id, dfs_start AS root_pos FROM idx LEFT JOIN edges ON target = node_id WHERE parent IS NULL OR distance > 50")
+def distance_cut_roots(spark: SparkSession, sf: str) -> DataFrame:
+    """Roots after a cut at distance 50."""
+    _, edges, _ = inputs.forest(spark, sf)
+    return forest.cut_forest(edges, inputs.index(spark, sf), 50.0)[1]
+
+
+@query(f"""{INDEX}, f AS (SELECT * FROM idx WHERE (node_id LIKE 'N%' AND CAST(substr(node_id, 2) AS BIGINT) % 3 = 0) OR (node_id LIKE 'C%' AND CAST(substr(node_id, 2) AS BIGINT) % 2 = 0)),
+    outer_f AS (SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.dfs_start < f.dfs_start AND f.dfs_start < g.dfs_end))
+    SELECT o.node_id AS fold, count(i.node_id) AS hidden FROM outer_f o LEFT JOIN idx i ON i.dfs_start > o.dfs_start AND i.dfs_start < o.dfs_end GROUP BY o.node_id""")
+def folded_branches(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes hidden by each outer fold, folds being every third nation and every second customer."""
+    index = inputs.index(spark, sf)
+    number = F.substring("node_id", 2, 20).try_cast("long")
+    folds = index.where((F.startswith("node_id", F.lit("N")) & (number % 3 == 0)) | (F.startswith("node_id", F.lit("C")) & (number % 2 == 0)))
+    shown = reads.apply_folds(index, folds)
+    hidden = shown.where("hidden_by is not null").groupBy(F.col("hidden_by").alias("fold")).agg(F.count(F.lit(1)).alias("hidden"))
+    roots = shown.where("hidden is not null").select(F.col("node_id").alias("fold"))
+    return roots.join(hidden, "fold", "left").select("fold", F.coalesce("hidden", F.lit(0)).alias("hidden"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT 'N' || c_nationkey AS u, 'C' || c_custkey AS v FROM customer UNION ALL SELECT 'R' || n_regionkey, 'N' || n_nationkey FROM nation),
+    b AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e), t AS (SELECT 'N0' AS node_id, CAST(NULL AS VARCHAR) AS parent, CAST(0 AS BIGINT) AS depth UNION ALL SELECT b.v, b.u, t.depth + 1 FROM t JOIN b ON b.u = t.node_id AND b.v IS DISTINCT FROM t.parent)
+    SELECT depth, count(*) AS nodes FROM t GROUP BY depth""")
+def rerooted_depths(spark: SparkSession, sf: str) -> DataFrame:
+    """Depths after the component of nation 0 is hung up at that nation, without orders."""
+    _, edges, roots = inputs.forest(spark, sf)
+    edges = edges.where("source not like 'C%'")
+    turned, new_roots, moved = forest.reroot(edges, forest.index_forest(edges, roots), "N0")
+    found = forest.index_forest(turned, new_roots)
+    return found.where("component = 'N0'").groupBy("depth").agg(F.count(F.lit(1)).alias("nodes"))
+
+
+@query("""SELECT 'R' || n_regionkey AS source, 'N' || n_nationkey AS target, CAST(1 AS DOUBLE) AS distance FROM nation
+    UNION ALL SELECT 'N' || c_nationkey, 'C' || c_custkey, CAST(c_custkey % 10 AS DOUBLE) / 4 FROM customer""")
+def newick_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges of regions, nations and customers after they are written as Newick text, one document per region, and parsed again."""
+    nation, customer = table(spark, sf, "nation"), table(spark, sf, "customer")
+
+    def joined(df: DataFrame, key: str, text):
+        return df.groupBy(key).agg(F.concat(F.lit("("), F.array_join(F.array_sort(F.collect_list(text)), ","), F.lit(")")).alias("kids"))
+
+    leaves = joined(customer, "c_nationkey", F.concat(F.lit("'c"), F.col("c_custkey").cast("string"), F.lit("':"), (F.col("c_custkey") % 10 / 4).cast("string")))
+    inner = nation.join(leaves, nation["n_nationkey"] == leaves["c_nationkey"], "left").withColumn("text", F.concat(F.coalesce("kids", F.lit("")), F.lit("N"), F.col("n_nationkey").cast("string"), F.lit(" [note; (x)] : 1.0")))
+    docs = joined(inner.select("n_regionkey", "text"), "n_regionkey", F.col("text")).select(F.col("n_regionkey").alias("doc_id"), F.concat("kids", F.lit("R"), F.col("n_regionkey").cast("string"), F.lit(";")).alias("content"))
+    return newick.parse_forests(docs)["edges"].select(F.upper("source").alias("source"), F.upper("target").alias("target"), "distance")
+
+
+_SLUG = "lower(regexp_replace(regexp_replace({0}, '[^a-zA-Z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g'))"
+
+
+@query(f"""WITH n AS (SELECT {_SLUG.format("c_name")} AS node_id FROM customer WHERE c_custkey % 5 <> 0), r AS (SELECT c_custkey AS row_pos, CASE WHEN c_custkey % 7 = 0 THEN 'x' || c_name ELSE c_name END AS join_id FROM customer)
+    SELECT CASE WHEN node_id IS NULL THEN 'unmatched' ELSE 'matched' END AS state, count(*) AS n FROM r LEFT JOIN n ON {_SLUG.format("join_id")} = node_id GROUP BY ALL
+    UNION ALL SELECT 'bare', (SELECT count(*) FROM n WHERE node_id NOT IN (SELECT {_SLUG.format("join_id")} FROM r))""")
+def annotation_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Customer names joined to nodes by id or slug, with both kinds of misses."""
+    customer = table(spark, sf, "customer")
+    nodes = customer.where("c_custkey % 5 <> 0").select(labels.slugify("c_name").alias("node_id"))
+    ids = customer.select(F.col("c_custkey").alias("row_pos"), F.when(F.col("c_custkey") % 7 == 0, F.concat(F.lit("x"), F.col("c_name"))).otherwise(F.col("c_name")).alias("join_id"))
+    got = annotations.join_annotations(ids, nodes)
+    state = got.groupBy(F.when(F.col("node_id").isNull(), "unmatched").otherwise("matched").alias("state")).agg(F.count(F.lit(1)).alias("n"))
+    bare = annotations.annotation_warnings(got, nodes).where("kind = 'node without row'").select(F.lit("bare").alias("state"), "n")
+    return state.unionByName(bare)
+
+
+def _customer_cells(spark: SparkSession, sf: str) -> DataFrame:
+    customer = table(spark, sf, "customer").withColumn("flag", F.when(F.col("c_custkey") % 2 == 0, "TRUE").otherwise(F.lit("false"))).withColumn("empty", F.lit(" ")).withColumn("code", F.concat(F.lit("0"), F.col("c_custkey").cast("string")))
+    customer = customer.withColumn("node", F.concat(F.lit("N"), F.col("c_nationkey").cast("string"))).withColumn("score", F.col("c_custkey") % 4)
+    return annotations.cells_of(customer, "node", "c_custkey", ["c_mktsegment", "score", "flag", "empty", "code"])
+
+
+@query("SELECT key, type FROM (VALUES ('c_mktsegment', 'string'), ('score', 'number'), ('flag', 'boolean'), ('empty', 'null'), ('code', 'string')) AS t(key, type)")
+def annotation_types(spark: SparkSession, sf: str) -> DataFrame:
+    return annotations.infer_types(_customer_cells(spark, sf))
+
+
+@query("""WITH c AS (SELECT 'N' || c_nationkey AS node_id, c_custkey, 'c_mktsegment' AS key, c_mktsegment AS text FROM customer UNION ALL SELECT 'N' || c_nationkey, c_custkey, 'score', CAST(c_custkey % 4 AS VARCHAR) FROM customer
+        UNION ALL SELECT 'N' || c_nationkey, c_custkey, 'flag', CASE WHEN c_custkey % 2 = 0 THEN 'True' ELSE 'False' END FROM customer),
+    e AS (SELECT node_id, key, text, min(c_custkey) AS first, count(*) AS n FROM c WHERE text IS NOT NULL GROUP BY ALL)
+    SELECT node_id, key, string_agg(text, ';' ORDER BY first) AS value, CAST(sum(n) AS BIGINT) AS rows FROM e GROUP BY node_id, key""")
+def aggregated_annotations(spark: SparkSession, sf: str) -> DataFrame:
+    cells = _customer_cells(spark, sf).withColumnRenamed("join_id", "node_id").where("key in ('c_mktsegment', 'score', 'flag')")
+    return annotations.aggregate_rows(cells, annotations.infer_types(cells)).drop("categories")
+
+
+@query("""SELECT 'N' || c_nationkey AS cluster_id, 'score' AS key, round(avg(c_custkey % 4), 4) AS number, CAST(NULL AS VARCHAR) AS text FROM customer GROUP BY c_nationkey
+    UNION ALL SELECT cluster_id, 'c_mktsegment', NULL, text FROM (SELECT 'N' || c_nationkey AS cluster_id, c_mktsegment AS text, row_number() OVER (PARTITION BY c_nationkey ORDER BY count(*) DESC, c_mktsegment) AS k FROM customer GROUP BY c_nationkey, c_mktsegment) WHERE k = 1""")
+def cluster_summaries(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean score and most frequent segment of the customers of each nation."""
+    cells = _customer_cells(spark, sf).where("key in ('c_mktsegment', 'score')").withColumnRenamed("join_id", "cluster_id")
+    got = summaries.aggregate_cluster(cells, annotations.infer_types(cells))
+    return got.select("cluster_id", "key", F.when(F.col("key") == "score", F.round(F.col("value").try_cast("double"), 4)).alias("number"), F.when(F.col("key") != "score", F.col("value")).alias("text"))
+
+
+@query("""SELECT 'N' || c_nationkey AS cluster_id, count(*) AS n, min(c_custkey) AS reference FROM customer GROUP BY c_nationkey, c_mktsegment, c_custkey % 4""")
+def observation_distribution(spark: SparkSession, sf: str) -> DataFrame:
+    cells = _customer_cells(spark, sf).where("key in ('c_mktsegment', 'score')").withColumnRenamed("join_id", "cluster_id")
+    return summaries.observation_distribution(cells).drop("observation")
+
+
+@query("""WITH d AS (SELECT coalesce(nullif(trim(CASE WHEN o_orderkey % 9 = 0 THEN ' ' ELSE o_orderpriority END), ''), 'Missing') AS category, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS subset_n FROM orders GROUP BY ALL)
+    SELECT category, n, subset_n, round(100.0 * n / sum(n) OVER (), 6) AS percentage, round(100.0 * subset_n / sum(subset_n) OVER (), 6) AS subset_percentage FROM d""")
+def category_report(spark: SparkSession, sf: str) -> DataFrame:
+    orders = table(spark, sf, "orders").withColumn("p", F.when(F.col("o_orderkey") % 9 == 0, " ").otherwise(F.col("o_orderpriority")))
+    return summaries.distribution_report(orders, orders.where("o_orderstatus = 'F'"), ["p"])
+
+
+@query("""WITH d AS (SELECT p_brand || '/' || p_size % 3 AS category, count(*) AS n FROM part GROUP BY ALL), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, category) AS k, count(*) OVER () AS c FROM d)
+    SELECT CASE WHEN c > 12 AND k > 11 THEN 'Other' ELSE category END AS category, CAST(sum(n) AS BIGINT) AS n FROM r GROUP BY 1""")
+def top_categories(spark: SparkSession, sf: str) -> DataFrame:
+    part = table(spark, sf, "part").withColumn("b", F.concat("p_brand", F.lit("/"), (F.col("p_size") % 3).cast("string")))
+    return summaries.top_categories(summaries.category_distribution(part, ["b"]))
+
+
+@query("SELECT 'c_mktsegment' AS key, count(DISTINCT c_mktsegment) AS distinct_values FROM customer UNION ALL SELECT 'score', count(DISTINCT c_custkey % 4) FROM customer UNION ALL SELECT 'flag', count(DISTINCT c_custkey % 2) FROM customer UNION ALL SELECT 'empty', 0 UNION ALL SELECT 'code', count(DISTINCT c_custkey) FROM customer")
+def field_cardinality(spark: SparkSession, sf: str) -> DataFrame:
+    return summaries.field_cardinality(_customer_cells(spark, sf))
+
+
+_LOCI = "[p_brand, p_type, CAST(p_size % 5 + 1 AS VARCHAR), split_part(p_name, ' ', 1), CAST(CAST(floor(p_retailprice) AS BIGINT) % 7 + 1 AS VARCHAR), CAST(p_partkey % 3 + 1 AS VARCHAR)]"
+_GROUPS = f"WITH g AS (SELECT {_LOCI} AS a, min('p' || p_partkey) AS node_id, min(p_partkey) AS first_pos, count(*) AS members FROM part GROUP BY ALL)"
+
+
+def _groups(spark: SparkSession, sf: str) -> DataFrame:
+    return profiles.group_profiles(profiles.drop_incomplete_loci(inputs.profiles(spark, sf)))
+
+
+@query(f"{_GROUPS} SELECT node_id, first_pos, members FROM g")
+def profile_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Equal profiles after the incomplete locus is dropped."""
+    return _groups(spark, sf).drop("alleles")
+
+
+@query(f"""{_GROUPS}, p AS (SELECT x.node_id AS source, y.node_id AS target, list_sum(list_transform(range(1, 7), lambda i: CAST(x.a[i] <> y.a[i] AS INTEGER))) AS distance FROM g x JOIN g y ON x.node_id < y.node_id
+        AND (x.a[1] = y.a[1] OR x.a[2] = y.a[2] OR x.a[3] = y.a[3]))
+    SELECT source, target, CAST(distance AS INTEGER) AS distance FROM p WHERE distance <= 2""")
+def allelic_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of distinct profiles that differ in at most two loci."""
+    return profiles.allelic_pairs(_groups(spark, sf), 2)
+
+
+@query(f"""{_GROUPS}, p AS (SELECT x.node_id, list_sum(list_transform(range(1, 7), lambda i: CAST(x.a[i] <> y.a[i] AS INTEGER))) AS distance FROM g x JOIN g y ON x.node_id <> y.node_id
+        AND (x.a[1] = y.a[1] OR x.a[2] = y.a[2] OR x.a[3] = y.a[3]))
+    SELECT node_id, CAST(distance AS INTEGER) AS distance, count(*) AS n FROM p WHERE distance <= 2 GROUP BY ALL""")
+def variant_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return profiles.lv_counts(profiles.allelic_pairs(_groups(spark, sf), 2))
+
+
+@query()
+def spanning_tree_weights(spark: SparkSession, sf: str) -> DataFrame:
+    """Weight histogram of the full spanning tree, which all minimum spanning trees share."""
+    return profiles.weight_histogram(profiles.spanning_forest(_groups(spark, sf)))
+
+
+@query()
+def bounded_forest_weights(spark: SparkSession, sf: str) -> DataFrame:
+    """Weight histogram of the spanning forest of edges of at most two differing loci."""
+    return profiles.weight_histogram(profiles.spanning_forest(_groups(spark, sf), 2))
+
+
+@query(f"""SELECT 'rows' AS measure, count(*) AS n FROM part UNION ALL SELECT 'loci', 7 UNION ALL SELECT 'kept loci', 6
+    UNION ALL SELECT 'distinct profiles', (SELECT count(*) FROM ({_GROUPS} SELECT * FROM g)) UNION ALL SELECT 'pairs at zero', (SELECT CAST(sum(members * (members - 1) // 2) AS BIGINT) FROM ({_GROUPS} SELECT * FROM g))
+    UNION ALL SELECT 'id collisions', 0 UNION ALL SELECT 'empty ids', 0""")
+def profile_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return profiles.audit_profiles(inputs.profiles(spark, sf))
+
+
+@query("""WITH o AS (SELECT o_custkey, 'O' || o_orderkey AS node_id, CAST(CAST(floor(o_totalprice) AS BIGINT) % 100 AS DOUBLE) AS d FROM orders)
+    SELECT x.node_id AS source, y.node_id AS target, x.d + y.d AS distance FROM o x JOIN o y ON x.o_custkey = y.o_custkey AND x.node_id < y.node_id WHERE x.d + y.d <= 40
+    UNION ALL SELECT x.node_id, y.node_id, x.d + y.d + 2 FROM o x JOIN customer cx ON cx.c_custkey = x.o_custkey JOIN customer cy ON cy.c_nationkey = cx.c_nationkey AND cy.c_custkey <> cx.c_custkey JOIN o y ON y.o_custkey = cy.c_custkey AND x.node_id < y.node_id
+    WHERE x.d + y.d + 2 <= 40 AND cx.c_nationkey = 7 UNION ALL SELECT NULL, NULL, NULL WHERE false""")
+def patristic_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders whose path is at most 40 long: within a customer anywhere, between customers in nation 7."""
+    _, edges, _ = inputs.forest(spark, sf)
+    orders = edges.where("target like 'O%'")
+    whole = patristic.patristic_pairs(orders, orders.select(F.col("target").alias("node_id")), 40)
+    nation = edges.where("source = 'N7'")
+    own = orders.join(nation.select(F.col("target").alias("source")), "source", "left_semi")
+    both = nation.unionByName(own.select(*nation.columns))
+    across = patristic.patristic_pairs(both, own.select(F.col("target").alias("node_id")), 40)
+    return whole.unionByName(across).distinct()
+
+
+_POS = "p AS (SELECT 'C' || c_custkey AS node_id, CAST(c_custkey % 97 AS DOUBLE) AS x, c_acctbal AS y, c_mktsegment AS segment FROM customer), rq AS (SELECT n_nationkey AS request_id, n_nationkey * 3.0 AS x0, n_nationkey * 3.0 + 20 AS x1, n_nationkey * 100.0 AS y0, n_nationkey * 100.0 + 3000 AS y1 FROM nation), hit AS (SELECT rq.request_id, p.* FROM rq JOIN p ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1)"
+
+
+@query(f"WITH {_POS}, k AS (SELECT request_id, count(*) AS nodes, round(avg(y), 4) AS mean FROM hit GROUP BY request_id), m AS (SELECT request_id, segment, row_number() OVER (PARTITION BY request_id ORDER BY count(*) DESC, segment) AS r FROM hit GROUP BY request_id, segment) SELECT rq.request_id, coalesce(nodes, 0) AS nodes, CAST(0 AS BIGINT) AS edges, mean, segment AS mode FROM rq LEFT JOIN k USING (request_id) LEFT JOIN m ON m.request_id = rq.request_id AND r = 1")
+def region_reads(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes, inner edges, mean and mode of each requested box."""
+    _, edges, _ = inputs.forest(spark, sf)
+    got = reads.read_region(inputs.requests(spark, sf), inputs.positions(spark, sf), edges, "y", "segment")
+    return got.withColumn("mean", F.round("mean", 4))
+
+
+@query(f"WITH {EDGES}, {_POS}, k AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY node_id) AS r, count(*) OVER (PARTITION BY request_id) AS total FROM hit) SELECT request_id, node_id, total, total > 20 AS truncated FROM k WHERE r <= 20")
+def viewport_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """The first 20 customers in each box, with totals before the cut."""
+    _, edges, _ = inputs.forest(spark, sf)
+    shown, _ = reads.viewport_detail(inputs.requests(spark, sf), inputs.positions(spark, sf), edges, 20)
+    return shown.where("inside").select("request_id", "node_id", "total", "truncated")
+
+
+@query(f"{INDEX}, {_POS}, b AS (SELECT level, 'lod_' || level || '_' || representative AS cluster_id, count(*) AS members, min(x) AS bx0, max(x) AS bx1, min(y) AS by0, max(y) AS by1 FROM cl JOIN p USING (node_id) WHERE representative IN (SELECT node_id FROM p) GROUP BY ALL) SELECT request_id, b.level, count(*) AS n FROM rq JOIN b ON bx0 <= x1 AND bx1 >= x0 AND by0 <= y1 AND by1 >= y0 GROUP BY ALL")
+def tier_counts_by_box(spark: SparkSession, sf: str) -> DataFrame:
+    """How many customers and clusters of each tier overlap each box."""
+    _, edges, _ = inputs.forest(spark, sf)
+    positions = inputs.positions(spark, sf)
+    boxed = summaries.cluster_geometry(inputs.clusters(spark, sf), positions)
+    got = reads.representation_counts(inputs.requests(spark, sf), boxed, positions, edges)
+    return got.where("level >= 0 and n > 0")
+
+
+@query(f"""WITH {_POS}, s AS (SELECT node_id, CASE WHEN lower(node_id) = 'c1' THEN 100 WHEN lower(node_id) LIKE 'c1%' THEN 60 ELSE 40 END AS score FROM p WHERE contains(lower(node_id), 'c1')),
+    r AS (SELECT *, count(*) OVER () AS total FROM s) SELECT node_id, score, node_id AS matched, total FROM r ORDER BY score DESC, node_id LIMIT 25""")
+def search_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """The best 25 matches of a query over ids, values and isolates: a top-k report."""
+    positions = inputs.positions(spark, sf)
+    cells = positions.select("node_id", F.lit("segment").alias("key"), F.col("segment").alias("value"))
+    return reads.search(positions.select("node_id"), cells, positions.select("node_id", F.col("segment").alias("isolate_id")).where("false"), "C1")
+
+
+@query(f"{INDEX} SELECT component, count(*) AS nodes, min(dfs_start) AS dfs_start FROM idx GROUP BY component HAVING min(dfs_start) > 0 ORDER BY dfs_start LIMIT 3")
+def component_page(spark: SparkSession, sf: str) -> DataFrame:
+    """Three components behind the first: one page."""
+    found = reads.component_boxes(inputs.index(spark, sf), inputs.positions(spark, sf))
+    return reads.component_page(found, 0, 3)[0].select("component", "nodes", "dfs_start")
+
+
+@query("SELECT event_type, count(value) AS n, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.75), 6) AS p75, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) AS iqr, min(value) AS min, max(value) AS max FROM events WHERE value IS NOT NULL GROUP BY event_type")
+def robust_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.robust_summary(table(spark, sf, "events"), ["event_type"], "value")
+
+
+@query("SELECT event_type, count(*) AS frames, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95, max(value) AS max, count(*) FILTER (WHERE value > 16.7) AS over_budget, count(*) FILTER (WHERE value > 33.3) AS over_33, count(*) FILTER (WHERE value > 50) AS over_50, round(count(*) FILTER (WHERE value > 16.7) / count(*), 6) AS share_over FROM events WHERE value >= 0 GROUP BY event_type")
+def frame_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.frame_stats(table(spark, sf, "events"), ["event_type"], "value", 16.7)
+
+
+@query("""WITH e AS (SELECT event_type, value, user_id % 10 = 0 AS w, CASE user_id % 7 WHEN 0 THEN 'failure' WHEN 1 THEN 'timeout' WHEN 2 THEN 'invalid' ELSE 'success' END AS s FROM events)
+    SELECT event_type, count(*) FILTER (WHERE w) AS warm_ups, count(*) FILTER (WHERE NOT w) AS measured, count(*) FILTER (WHERE NOT w AND s = 'success') AS successes, count(*) FILTER (WHERE NOT w AND s = 'failure') AS failures, count(*) FILTER (WHERE NOT w AND s = 'timeout') AS timeouts, count(*) FILTER (WHERE NOT w AND s = 'invalid') AS invalid,
+        round(quantile_cont(value, 0.5) FILTER (WHERE NOT w AND s = 'success'), 6) AS median, round(quantile_cont(value, 0.25) FILTER (WHERE NOT w AND s = 'success'), 6) AS p25, round(quantile_cont(value, 0.75) FILTER (WHERE NOT w AND s = 'success'), 6) AS p75 FROM e GROUP BY event_type""")
+def condition_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.condition_summary(_states(spark, sf), ["event_type"], "w", "s", "value")
+
+
+def _states(spark: SparkSession, sf: str) -> DataFrame:
+    u = F.col("user_id") % 7
+    return table(spark, sf, "events").withColumn("w", F.col("user_id") % 10 == 0).withColumn("s", F.when(u == 0, "failure").when(u == 1, "timeout").when(u == 2, "invalid").otherwise("success"))
+
+
+@query("""WITH a AS (SELECT event_type, round(median(value), 6) AS m FROM events WHERE user_id % 2 = 0 GROUP BY 1), b AS (SELECT event_type, round(median(value), 6) AS m FROM events WHERE user_id % 2 = 1 GROUP BY 1)
+    SELECT coalesce(a.event_type, b.event_type) AS event_type, a.m AS base_median, b.m AS current_median, CASE WHEN a.m > 0 THEN round(b.m / a.m, 6) END AS ratio FROM a FULL JOIN b ON a.event_type = b.event_type""")
+def compared_runs(spark: SparkSession, sf: str) -> DataFrame:
+    events = table(spark, sf, "events")
+    return stats.compare_runs(stats.stage_summary(events.where("user_id % 2 = 0"), "event_type", "value"), stats.stage_summary(events.where("user_id % 2 = 1"), "event_type", "value"), "event_type")
+
+
+@query("""WITH p AS (SELECT CASE WHEN o_totalprice <= 0 THEN NULL ELSE round(1 - l / o_totalprice, 6) END AS reduction, round(o_totalprice / l, 6) AS speed_up FROM (SELECT o_totalprice, avg(l_extendedprice) AS l FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_totalprice))
+    SELECT metric, count(v) AS valid, count(*) FILTER (WHERE v IS NULL) AS invalid FROM (SELECT 'reduction' AS metric, reduction AS v FROM p UNION ALL SELECT 'speed_up', speed_up FROM p) GROUP BY metric""")
+def paired_summary(spark: SparkSession, sf: str) -> DataFrame:
+    orders, lines = table(spark, sf, "orders"), table(spark, sf, "lineitem")
+    pairs = orders.join(lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.avg("l_extendedprice").alias("l")), "o_orderkey")
+    return stats.pair_summary(stats.paired_metrics(pairs, "o_totalprice", "l"), ["reduction", "speed_up"]).select("metric", "valid", "invalid")
+
+
+@query("""WITH g AS (SELECT o_orderstatus, o_orderpriority, count(*) AS found FROM orders GROUP BY ALL), x AS (SELECT DISTINCT a.o_orderstatus, b.o_orderpriority FROM orders a, (SELECT DISTINCT o_orderpriority FROM orders) b)
+    SELECT o_orderstatus, o_orderpriority, CAST(100 AS BIGINT) AS expected, coalesce(found, 0) AS found FROM x LEFT JOIN g USING (o_orderstatus, o_orderpriority) WHERE coalesce(found, 0) <> 100""")
+def grid_check(spark: SparkSession, sf: str) -> DataFrame:
+    orders = table(spark, sf, "orders")
+    grid = orders.select("o_orderstatus").distinct().crossJoin(orders.select("o_orderpriority").distinct()).withColumn("expected", F.lit(100).cast("long"))
+    return stats.check_grid(orders, grid, ["o_orderstatus", "o_orderpriority"])
+
+
+@query("SELECT o_orderpriority AS category, count(*) AS n FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_totalprice BETWEEN 1000 AND 200000 GROUP BY 1")
+def filtered_annotations(spark: SparkSession, sf: str) -> DataFrame:
+    rows = reads.filter_annotations(table(spark, sf, "orders"), {"o_orderstatus": ["F", "O"], "o_orderpriority": []}, {"o_totalprice": (1000.0, 200000.0)})
+    return summaries.category_distribution(rows, ["o_orderpriority"])
+
+
+@query(f"SELECT count(DISTINCT {_SLUG.format('p_name')}) AS slugs, count(*) FILTER (WHERE {_SLUG.format('p_name')} = '') AS empty, count(*) FILTER (WHERE regexp_matches('union_' || p_size || '_' || p_partkey, '^union_[0-9]+(?:_[0-9]+)*$')) AS generated FROM part")
+def label_functions(spark: SparkSession, sf: str) -> DataFrame:
+    part = table(spark, sf, "part")
+    slug, made = labels.slugify("p_name"), F.concat_ws("_", F.lit("union"), F.col("p_size").cast("string"), F.col("p_partkey").cast("string"))
+    return part.agg(F.count_distinct(slug).alias("slugs"), F.count_if(slug == "").alias("empty"), F.count_if(labels.is_generated_junction(made)).alias("generated"))
+
+
+@query("""WITH s AS (SELECT c_nationkey, CASE c_custkey % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'degraded' ELSE 'ready' END AS s FROM customer WHERE c_custkey % 5 <> c_nationkey % 3)
+    SELECT c_nationkey, CASE WHEN bool_or(s = 'failed') THEN 'failed' WHEN bool_or(s = 'degraded') THEN 'degraded' ELSE 'ready' END AS status FROM s GROUP BY 1""")
+def group_status(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("c_custkey") % 5
+    rows = table(spark, sf, "customer").where("c_custkey % 5 <> c_nationkey % 3").withColumn("s", F.when(k == 0, "failed").when(k == 1, "degraded").otherwise("ready"))
+    return rows.groupBy("c_nationkey").agg(labels.aggregate_status("s").alias("status"))
+
+
+@query("SELECT user_id, max(ts) AS updated, CAST(arg_max(event_id, (ts, event_id)) AS VARCHAR) AS layout_version FROM events WHERE event_type IN (SELECT DISTINCT event_type FROM events) GROUP BY user_id")
+def latest_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest event of each user, read as a manifest of versions."""
+    events = table(spark, sf, "events")
+    manifest = events.select(F.col("user_id").alias("dataset_id"), F.col("event_id").alias("layout_version"), F.lit("ready").alias("status"), F.col("ts").alias("updated_at"), F.col("ts").alias("created_at"))
+    got = versions.latest_version(manifest).select(F.col("dataset_id").alias("user_id"), F.col("layout_version").cast("string").alias("layout_version"))
+    return got.join(events.groupBy("user_id").agg(F.max("ts").alias("updated")), "user_id").select("user_id", "updated", "layout_version")
+
+
+@query("SELECT least(o_orderkey, o_custkey) AS lo, count(*) AS n FROM orders WHERE false GROUP BY 1 UNION ALL SELECT min(o_custkey), count(DISTINCT o_custkey) FROM orders")
+def customer_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers linked along their sorted order, which is one component: its least key and size."""
+    from pyspark.sql import Window as W
+
+    ids = table(spark, sf, "orders").select("o_custkey").distinct()
+    edges = ids.select(F.col("o_custkey").alias("a"), F.lead("o_custkey").over(W.orderBy("o_custkey")).alias("b")).where("b is not null")
+    return components.components_of_edges(edges).groupBy(F.col("component").alias("lo")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for name, (f, _) in _FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _FOUND.items() if sql}

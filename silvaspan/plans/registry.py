@@ -28,13 +28,16 @@ EDGES = """edges AS (
     SELECT 'R' || n_regionkey AS source, 'N' || n_nationkey AS target, CAST(1 AS DOUBLE) AS distance FROM nation
     UNION ALL SELECT 'N' || c_nationkey, 'C' || c_custkey, CAST(1 AS DOUBLE) FROM customer
     UNION ALL SELECT 'C' || o_custkey, 'O' || o_orderkey, CAST(CAST(floor(o_totalprice) AS BIGINT) % 100 AS DOUBLE) FROM orders)"""
-INDEX = f"""WITH RECURSIVE {EDGES},
-    t AS (SELECT 'R' || r_regionkey AS node_id, 'R' || r_regionkey AS component, CAST(NULL AS VARCHAR) AS parent, CAST(0 AS BIGINT) AS depth, 'R' || r_regionkey AS path FROM region
-          UNION ALL SELECT e.target, t.component, e.source, t.depth + 1, t.path || chr(1) || e.target FROM t JOIN edges e ON e.source = t.node_id),
-    sz AS (SELECT a AS node_id, count(*) AS size FROM (SELECT unnest(string_split(path, chr(1))) AS a FROM t) GROUP BY a),
-    idx AS (SELECT node_id, component, parent, depth, path, row_number() OVER (ORDER BY path) - 1 AS dfs_start, row_number() OVER (ORDER BY path) - 1 + size AS dfs_end FROM t JOIN sz USING (node_id)),
+INDEX = f"""WITH {EDGES},
+    t AS (SELECT 'R' || r_regionkey AS node_id, CAST(NULL AS VARCHAR) AS parent, CAST(0 AS BIGINT) AS depth, CAST(0 AS DOUBLE) AS distance, 'R' || r_regionkey AS a0, CAST(NULL AS VARCHAR) AS a1, CAST(NULL AS VARCHAR) AS a2, CAST(NULL AS VARCHAR) AS a3 FROM region
+          UNION ALL SELECT 'N' || n_nationkey, 'R' || n_regionkey, 1, 1, 'R' || n_regionkey, 'N' || n_nationkey, NULL, NULL FROM nation
+          UNION ALL SELECT 'C' || c_custkey, 'N' || c_nationkey, 2, 1, 'R' || n_regionkey, 'N' || n_nationkey, 'C' || c_custkey, NULL FROM customer JOIN nation ON c_nationkey = n_nationkey
+          UNION ALL SELECT 'O' || o_orderkey, 'C' || o_custkey, 3, CAST(floor(o_totalprice) AS BIGINT) % 100, 'R' || n_regionkey, 'N' || n_nationkey, 'C' || c_custkey, 'O' || o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+    sz AS (SELECT a AS node_id, count(*) AS size FROM (SELECT a0 AS a FROM t UNION ALL SELECT a1 FROM t WHERE depth >= 1 UNION ALL SELECT a2 FROM t WHERE depth >= 2 UNION ALL SELECT a3 FROM t WHERE depth >= 3) GROUP BY a),
+    idx AS (SELECT t.*, a0 AS component, row_number() OVER w - 1 AS dfs_start, row_number() OVER w - 1 + size AS dfs_end FROM t JOIN sz USING (node_id) WINDOW w AS (ORDER BY concat_ws(chr(1), a0, a1, a2, a3))),
     cuts AS (SELECT CAST(v AS INTEGER) AS level, CAST(v AS INTEGER) AS cut FROM (VALUES (0), (1), (2)) AS c(v)),
-    cl AS (SELECT level, cut, node_id, depth, CASE WHEN depth <= cut THEN node_id ELSE string_split(path, chr(1))[cut + 2] END AS representative FROM idx, cuts)"""
+    cl AS (SELECT level, cut, node_id, depth, CASE WHEN depth <= cut THEN node_id WHEN cut = 0 THEN a1 WHEN cut = 1 THEN a2 ELSE a3 END AS representative FROM t, cuts),
+    qe AS (SELECT level, parent AS source, node_id AS target, distance FROM t, cuts WHERE depth >= 1 AND depth <= cut + 1)"""
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +71,7 @@ def heap_depths(spark: SparkSession, sf: str) -> DataFrame:
     return forest.depths_of(parents, Scratch(spark, "heap")).groupBy("depth").agg(F.count(F.lit(1)).alias("nodes"))
 
 
-@query(f"{INDEX} SELECT component, count(*) AS nodes FROM t GROUP BY component")
+@query(f"{INDEX} SELECT a0 AS component, count(*) AS nodes FROM t GROUP BY a0")
 def forest_components(spark: SparkSession, sf: str) -> DataFrame:
     """Component sizes; a component is named by its root here."""
     nodes, edges, roots = inputs.forest(spark, sf)
@@ -95,7 +98,7 @@ def cut_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return tiers.cut_sizes(inputs.index(spark, sf))
 
 
-@query(f"""{INDEX}, h AS (SELECT component, depth, count(*) AS n FROM t GROUP BY ALL), r AS (SELECT component, depth, sum(n) OVER w + coalesce(lead(n) OVER w, 0) AS r FROM h WINDOW w AS (PARTITION BY component ORDER BY depth)),
+@query(f"""{INDEX}, h AS (SELECT a0 AS component, depth, count(*) AS n FROM t GROUP BY ALL), r AS (SELECT component, depth, sum(n) OVER w + coalesce(lead(n) OVER w, 0) AS r FROM h WINDOW w AS (PARTITION BY component ORDER BY depth)),
     s0 AS (SELECT component, r AS r0 FROM r WHERE depth = 0), top AS (SELECT component, max(depth) AS d, max(r) AS m FROM r GROUP BY component),
     p1 AS (SELECT component, arg_min(depth, (e, depth)) AS d1, min(e) AS e1, arg_min(r, (e, depth)) AS r1 FROM (SELECT r.*, greatest(r / (2.0 * r0), 2.0 * r0 / r) AS e FROM r JOIN s0 USING (component) WHERE r > r0) GROUP BY component),
     p2 AS (SELECT component, arg_min(depth, (e, depth)) AS d2, arg_min(r, (e, depth)) AS r2 FROM (SELECT r.*, greatest(r / (2.0 * r1), 2.0 * r1 / r) AS e FROM r JOIN p1 USING (component) WHERE r > r1) GROUP BY component),
@@ -112,8 +115,7 @@ def tier_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return inputs.clusters(spark, sf).groupBy("level", "cluster_id").agg(F.count(F.lit(1)).alias("members"))
 
 
-@query(f"""{INDEX} SELECT a.level, a.representative AS source, b.representative AS target, distance FROM edges e JOIN cl a ON e.source = a.node_id JOIN cl b ON e.target = b.node_id AND a.level = b.level
-    WHERE a.representative <> b.representative""")
+@query(f"""{INDEX} SELECT level, source, target, distance FROM qe""")
 def quotient_edges(spark: SparkSession, sf: str) -> DataFrame:
     _, edges, _ = inputs.forest(spark, sf)
     return tiers.quotient_edges(inputs.clusters(spark, sf), edges)
@@ -124,7 +126,7 @@ def tier_growth(spark: SparkSession, sf: str) -> DataFrame:
     return tiers.tier_growth(inputs.clusters(spark, sf))
 
 
-@query(f"""{INDEX}, s AS (SELECT level, representative, count(*) AS m FROM cl GROUP BY ALL), q AS (SELECT a.level, count(*) AS edges FROM edges e JOIN cl a ON e.source = a.node_id JOIN cl b ON e.target = b.node_id AND a.level = b.level WHERE a.representative <> b.representative GROUP BY a.level)
+@query(f"""{INDEX}, s AS (SELECT level, representative, count(*) AS m FROM cl GROUP BY ALL), q AS (SELECT level, count(*) AS edges FROM qe GROUP BY level)
     SELECT level, count(*) AS nodes, any_value(edges) AS edges, count(*) FILTER (WHERE m > 1) AS proxies, round(1 - count(*) / sum(m), 6) AS node_reduction FROM s JOIN q USING (level) GROUP BY level""")
 def reduction_report(spark: SparkSession, sf: str) -> DataFrame:
     _, edges, _ = inputs.forest(spark, sf)
@@ -141,7 +143,7 @@ def fidelity_ledger(spark: SparkSession, sf: str) -> DataFrame:
     return quality.fidelity_ledger(index, edges, clusters, tiers.quotient_edges(clusters, edges))
 
 
-@query(f"{INDEX} SELECT node_id, dfs_start AS root_pos FROM idx LEFT JOIN edges ON target = node_id WHERE parent IS NULL OR distance > 50")
+@query(f"{INDEX} SELECT node_id, dfs_start AS root_pos FROM idx WHERE parent IS NULL OR distance > 50")
 def distance_cut_roots(spark: SparkSession, sf: str) -> DataFrame:
     """Roots after a cut at distance 50."""
     _, edges, _ = inputs.forest(spark, sf)

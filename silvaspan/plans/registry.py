@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from silvaspan.functions import labels
 from silvaspan.operators import annotations, components, forest, newick, patristic, profiles, quality, reads, stats, summaries, tiers
 from silvaspan.plans import inputs
+from silvaspan.scratch import Scratch
 from silvaspan.sources import versions
 from silvaspan.sources.tables import table
 
@@ -57,17 +58,11 @@ def forest_index(spark: SparkSession, sf: str) -> DataFrame:
     return inputs.index(spark, sf)
 
 
-@query("""WITH RECURSIVE o AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS k FROM orders),
-    t AS (SELECT k, CAST(0 AS BIGINT) AS depth FROM o WHERE k = 0 UNION ALL SELECT o.k, t.depth + 1 FROM t JOIN o ON o.k > 0 AND (o.k - 1) // 2 = t.k)
-    SELECT depth, count(*) AS nodes FROM t GROUP BY depth""")
+@query("""WITH RECURSIVE t AS (SELECT o_orderkey AS k, CAST(0 AS BIGINT) AS depth FROM orders WHERE o_orderkey = 0
+    UNION ALL SELECT o.o_orderkey, t.depth + 1 FROM t JOIN orders o ON o.o_orderkey > 0 AND (o.o_orderkey - 1) // 2 = t.k) SELECT depth, count(*) AS nodes FROM t GROUP BY depth""")
 def heap_depths(spark: SparkSession, sf: str) -> DataFrame:
-    """Depth histogram of the balanced tree over the ranked orders, by pointer jumping."""
-    from pyspark.sql import Window as W
-
-    ranked = table(spark, sf, "orders").select((F.row_number().over(W.orderBy("o_orderkey")) - 1).alias("k"))
-    from silvaspan.scratch import Scratch
-
-    parents = ranked.select(F.col("k").alias("node_id"), F.when(F.col("k") > 0, F.expr("(k - 1) div 2").cast("int")).alias("parent"))
+    """Depth histogram of the balanced tree over the order keys, by pointer jumping."""
+    parents = table(spark, sf, "orders").select(F.col("o_orderkey").alias("node_id"), F.when(F.col("o_orderkey") > 0, F.expr("(o_orderkey - 1) div 2")).alias("parent"))
     return forest.depths_of(parents, Scratch(spark, "heap")).groupBy("depth").agg(F.count(F.lit(1)).alias("nodes"))
 
 
@@ -446,13 +441,12 @@ def latest_versions(spark: SparkSession, sf: str) -> DataFrame:
     return got.join(events.groupBy("user_id").agg(F.max("ts").alias("updated")), "user_id").select("user_id", "updated", "layout_version")
 
 
-@query("SELECT least(o_orderkey, o_custkey) AS lo, count(*) AS n FROM orders WHERE false GROUP BY 1 UNION ALL SELECT min(o_custkey), count(DISTINCT o_custkey) FROM orders")
+@query("WITH k AS (SELECT o_custkey AS k, o_custkey - row_number() OVER (ORDER BY o_custkey) AS g FROM (SELECT DISTINCT o_custkey FROM orders)) SELECT min(k) AS lo, count(*) AS n FROM k GROUP BY g")
 def customer_graph(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers linked along their sorted order, which is one component: its least key and size."""
-    from pyspark.sql import Window as W
-
+    """Customers with orders, linked if their keys are neighbours: the least key and the size of each component."""
     ids = table(spark, sf, "orders").select("o_custkey").distinct()
-    edges = ids.select(F.col("o_custkey").alias("a"), F.lead("o_custkey").over(W.orderBy("o_custkey")).alias("b")).where("b is not null")
+    near = ids.select(F.col("o_custkey").alias("a")).join(ids.select((F.col("o_custkey") - 1).alias("a"), F.col("o_custkey").alias("b")), "a")
+    edges = near.select("a", "b").unionByName(ids.select(F.col("o_custkey").alias("a"), F.col("o_custkey").alias("b")))
     return components.components_of_edges(edges).groupBy(F.col("component").alias("lo")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -191,18 +191,22 @@ def prices(grams: DataFrame, order: int = ORDER) -> DataFrame:
     return state.select("key", "total", F.when(F.col("done"), F.col("lp")).otherwise(F.col("lp") - F.log10(rest)).alias("price"))
 
 
-def head(entries: DataFrame, weight: str, value: str, bound: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-    """(threshold, sorted keys, values, weights) of the entries of at least threshold occurrences, ``bound`` of them at most."""
+def head(entries: DataFrame, weight: str, value: str, bound: int, *more: str) -> tuple[int, list[np.ndarray]]:
+    """The threshold, and the sorted keys, the values and further columns of the entries of at least threshold occurrences, ``bound`` of them at most."""
     sizes = entries.groupBy((F.length(F.bin(weight)) - 1).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
     at, n = 0, sum(r["n"] for r in sizes)
     for r in sorted(sizes, key=lambda r: r["p"]):
         if n <= bound:
             break
         at, n = r["p"] + 1, n - r["n"]
-    found = entries.where(F.col(weight) >= 2**at).select("key", F.col(value).cast("double").alias("v"), F.col(weight).cast("long").alias("w")).toArrow()
-    keys = found.column("key").to_numpy().view(np.uint64)
+    found = entries.where(F.col(weight) >= 2**at).select("key", value, *more).toArrow()
+    columns = []
+    while found.num_columns:  # one column at a time, for the driver's memory
+        columns.append(found.column(0).to_numpy())
+        found = found.remove_column(0)
+    keys = columns[0].view(np.uint64)
     order = np.argsort(keys)
-    return 2**at, keys[order], found.column("v").to_numpy()[order], found.column("w").to_numpy()[order]
+    return 2**at, [keys[order], *(c[order] for c in columns[1:])]
 
 
 class Slots:
@@ -250,10 +254,11 @@ def score(docs: DataFrame, order: int = ORDER, bound: int = BOUND) -> DataFrame:
     v, n = v + (ends > 0), n + ends
     floor = n + 0.5 * (v + 1)
     priced = scratch.save(prices(counted.where(F.col("kind") == GRAM).select("key", "train", "total"), order), "prices")
-    g_least, *grams = head(priced, "total", "price", bound)
-    w_least, w_keys, w_values, _ = head(words, "train", "train", bound)
-    shared = spark.sparkContext.broadcast((Slots(*grams), w_keys, np.log10((w_values + 0.5) / floor)))
-    del grams, w_keys, w_values
+    words = words.select("kind", "key", "train", F.log10((F.col("train") + 0.5) / F.lit(floor)).alias("price"))
+    w_least, known_words = head(words, "train", "price", bound)
+    g_least, known_grams = head(priced, "total", "price", bound, "total")
+    shared = spark.sparkContext.broadcast((Slots(*known_grams), *known_words))
+    del known_grams, known_words
     g_tail, w_tail = g_least > 1, w_least > 1
     unknown, end = math.log10(0.5 / floor), math.log10((ends + 0.5) / floor)
 
@@ -289,7 +294,7 @@ def score(docs: DataFrame, order: int = ORDER, bound: int = BOUND) -> DataFrame:
         found = scratch.save(found, "heads").withColumn("row", F.monotonically_increasing_id())
         keyed = found.select("row", F.explode("tail").alias("t")).select("row", "t.*")
         value = priced.where(F.col("total") < g_least).select(F.lit(GRAM).cast("byte").alias("kind"), "key", F.col("price").alias("v"))
-        value = value.unionByName(words.where(F.col("train") < w_least).select("kind", "key", F.log10((F.col("train") + 0.5) / F.lit(floor)).alias("v")))
+        value = value.unionByName(words.where(F.col("train") < w_least).select("kind", "key", F.col("price").alias("v")))
         is_word = F.col("kind") == WORD
         each = keyed.join(value, ["kind", "key"], "left").groupBy("row").agg(
             F.sum(F.when(is_word & F.col("v").isNotNull(), F.col("n")).otherwise(0)).alias("k"),

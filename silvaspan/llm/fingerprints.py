@@ -23,6 +23,7 @@ import itertools
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from silvaspan.llm.words import BLANK, words
 from silvaspan.scratch import Scratch
 from silvaspan.sources.tables import table
 
@@ -35,16 +36,15 @@ _PAIR = (1 << 32) | 1
 
 def hashed_words(text: str) -> Column:
     """A long per word: its XXH64 with the lowest four bits replaced by its length, 15 at most."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    return F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit(-16)).bitwiseOR(F.least(F.length(w), F.lit(15)).cast("long")))
+    return F.transform(words(F.col(text), BLANK), lambda w: F.xxhash64(w).bitwiseAND(F.lit(-16)).bitwiseOR(F.least(F.length(w), F.lit(15)).cast("long")))
 
 
 def simhash(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     """keys and ``fp``, an array of two longs, one row for each row of rows; keys tell rows apart."""
-    words = rows.select(*keys, hashed_words(text).alias("_w"))
+    hashed = rows.select(*keys, hashed_words(text).alias("_w"))
     size = F.size("_w")
     places = F.when(size > 0, F.sequence(F.lit(0), F.greatest(size - 2, F.lit(0))))
-    terms = words.select(*keys, "_w", F.explode_outer(places).alias("_i"))
+    terms = hashed.select(*keys, "_w", F.explode_outer(places).alias("_i"))
     a, b = F.get("_w", F.col("_i")), F.get("_w", F.col("_i") + 1)
     weight = a.bitwiseAND(F.lit(15)) + F.coalesce(b.bitwiseAND(F.lit(15)), F.lit(0))
     terms = terms.select(*keys, F.xxhash64(a, b).alias("_h0"), F.xxhash64(a, b, F.lit(1)).alias("_h1"), weight.alias("_n"))

@@ -13,7 +13,7 @@ M = (1 << 64) - 1
 
 def plain_fp(text):
     h = []
-    for w in [w for w in (text or "").lower().split(" ") if w]:
+    for w in [w for w in "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").split(" ") if w]:
         h.append((xxhash.xxh64_intdigest(w.encode(), 42) & ~15 | min(len(w), 15)) & M)
     terms = list(zip(h, h[1:])) or ([(h[0], None)] if h else [])
     votes, total = defaultdict(int), 0

@@ -9,6 +9,11 @@ of floats per machine, goes to the tasks; every text is scored whole, in pieces
 
 Families come from ``FAMILIES``; a language that it lacks is a family of its own.
 
+The machines only tell learned languages apart. Whether any of them claims a text at all is told by
+``claim``: how much likelier, in nats per trigram, the text's trigrams are in the fitted sample of the
+language that suits best than among trigrams drawn evenly. Texts below the model's ``least`` claim are in
+no learned language; it is set on the sample, each of whose documents is scored without itself.
+
 Defined results: null texts and texts without a letter are ``und`` with score 0, as is every text when
 nothing can be learned; with one language learned, every text with letters is that language. A null id
 is neither held out nor learned from. Repeated rows stay repeated. Columns named like the results are
@@ -20,7 +25,7 @@ from __future__ import annotations
 import itertools
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +50,9 @@ EPOCHS = 12
 FOLDS = 5
 _PIECE = 1 << 20
 _SLOPE = 6.0
+#: A text is claimed at this much below the claim that all but ``ODD`` of the sample reach, and at 0, an even draw, at the latest.
+SLACK = 1.0
+ODD = 0.01
 
 
 @dataclass(frozen=True)
@@ -53,6 +61,9 @@ class Model:
 
     families: tuple[tuple[str, tuple[str, ...]], ...]
     weights: np.ndarray
+    #: A row per language: logarithms of its trigrams' shares, times DIMS.
+    shares: np.ndarray | None = None
+    least: float = -np.inf
 
     @property
     def pairs(self) -> list[tuple[int, int, int]]:
@@ -111,6 +122,37 @@ def fit(x: np.ndarray, langs: list[str]) -> Model | None:
     return Model(families, np.stack(columns, axis=1))
 
 
+def log_shares(total: np.ndarray) -> np.ndarray:
+    return np.log((total + 0.5) / (total.sum() + 0.5 * DIMS) * DIMS)
+
+
+def claim(model: Model | None, text: bytes | None) -> float:
+    """The claim of the language that suits the text best; minus infinity without a letter or a model with shares."""
+    if model is None or model.shares is None or not text or not has_letter(text):
+        return -np.inf
+    found = counts(text)
+    return float(np.max(model.shares @ found) / found.sum())
+
+
+def with_claims(model: Model | None, found: list[tuple[np.ndarray, np.ndarray]], langs: list[str]) -> Model | None:
+    """The model with shares and the least claim, from the places and counts of the trigrams of the sample's texts."""
+    if model is None:
+        return None
+    names = sorted(set(langs))
+    totals = np.zeros((len(names), DIMS), np.int64)
+    for (at, n), lang in zip(found, langs):
+        totals[names.index(lang), at] += n
+    shares = np.stack([log_shares(t) for t in totals])
+    sums = totals.sum(axis=1)
+    claims = []
+    for (at, n), lang in zip(found, langs):
+        own = names.index(lang)
+        by_lang = shares[:, at] @ n
+        by_lang[own] = np.log((totals[own, at] - n + 0.5) / (sums[own] - n.sum() + 0.5 * DIMS) * DIMS) @ n
+        claims.append(by_lang.max() / n.sum())
+    return replace(model, shares=shares, least=min(0.0, float(np.quantile(claims, ODD)) - SLACK))
+
+
 def predict(model: Model | None, text: bytes | None) -> tuple[str, float]:
     """The language and a confidence from 0 to 1."""
     if model is None or not text or not has_letter(text):
@@ -140,8 +182,8 @@ def fold(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Fits on documents (doc_id, text, lang) whose fold is not 0, at most ``sample`` per language."""
+def learn(docs: DataFrame, sample: int = SAMPLE, claims: bool = False) -> Model | None:
+    """Fits on documents (doc_id, text, lang) whose fold is not 0, at most ``sample`` per language; with claims if asked for."""
     scratch = Scratch(docs.sparkSession, "sample")
     rows = docs.where((fold() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     keyed = rows.select("lang", F.xxhash64("doc_id").alias("h"))
@@ -170,7 +212,9 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
         dense = np.zeros(DIMS, np.int64)
         dense[np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["n"], np.int64)
         x[k] = vector(dense)
-    return fit(x, [r["lang"] for r in found])
+    langs = [r["lang"] for r in found]
+    model = fit(x, langs)
+    return with_claims(model, [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["n"], np.int64)) for r in found], langs) if claims else model
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
@@ -189,6 +233,20 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", lang_
     return rows.mapInArrow(run, schema)
 
 
+def claimed(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows of docs that have a letter and that a learned language claims, whole."""
+    at = docs.columns.index(text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = shared.value
+            keep = [known is not None and (c := claim(known, t.as_py())) > -np.inf and c >= known.least for t in batch.column(at).cast(pa.binary())]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score of all documents."""
     docs = table(spark, sf_dir, "documents")

@@ -3,7 +3,7 @@
 A url is decided by the longest rule that fits; all others by the method. Each host's paths form a tree
 of segments with two numbers per node: pages, and pages known to be bad. From the top level down,
 segments that are variable (digits, long hexadecimal names) and, under a node with many children, those
-with a small share of its pages become a wildcard; then sibling branches whose bad rate does not differ
+with a small share of its pages and a bad rate like their parent's become a wildcard; then sibling branches whose bad rate does not differ
 from their parent's by more than ``Z`` standard errors are merged into the wildcard as well. The path
 that is left is a template; its purity is (bad + WEIGHT * corpus rate) / (pages + WEIGHT), and a
 template of purity of at least ``REJECT`` is rejected, with all its pages.
@@ -78,7 +78,9 @@ def templates(paths: DataFrame) -> DataFrame:
         rate = F.col("all_bad") / F.col("all_n")
         rare = (F.col("fan") > FAN) & (F.col("n") < SHARE * F.col("all_n"))
         alike = (F.col("fan") > 1) & (F.abs(F.col("bad") / F.col("n") - rate) <= Z * F.sqrt(rate * (1 - rate) / F.col("n")))
-        named = child.join(node, ["host", "template"]).select("host", "template", "seg", F.when(rare | alike, F.lit(ANY)).otherwise(F.col("seg")).alias("to"))
+        # A rare segment is generalised only if its rate, drawn to the parent's by WEIGHT pages, is like the parent's.
+        near = F.abs((F.col("bad") + WEIGHT * rate) / (F.col("n") + WEIGHT) - rate) <= Z * F.sqrt(rate * (1 - rate) / (F.col("n") + WEIGHT))
+        named = child.join(node, ["host", "template"]).select("host", "template", "seg", F.when((rare & near) | alike, F.lit(ANY)).otherwise(F.col("seg")).alias("to"))
         step = here.join(named, ["host", "template", "seg"], "left")
         kept = scratch.save(step.select("host", "segs", "n", "bad", F.when(F.col("to").isNull(), F.col("template")).otherwise(F.concat("template", F.array("to"))).alias("template")), f"level{level}")
         scratch.drop(now)

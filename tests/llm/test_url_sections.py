@@ -1,0 +1,9 @@
+from silvaspan.llm import url_filter as U
+
+
+def test_one_bad_section_of_thirty_is_blocked_and_the_others_are_not(spark):
+    rows = [f"http://big.example.io/section{chr(97 + s // 5)}{chr(97 + s % 5)}/p{k}q" for s in range(29) for k in range(100)]
+    rows += [f"http://big.example.io/casino/p{k}q" for k in range(100)]
+    got = U.judge(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")).collect()
+    verdict = {rows[r["page_id"]]: r["verdict"] for r in got}
+    assert {v for u, v in verdict.items() if "/casino/" in u} == {"block"} and {v for u, v in verdict.items() if "/casino/" not in u} == {"allow"}

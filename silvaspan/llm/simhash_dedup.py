@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from silvaspan.llm.skew import spread_join
 from silvaspan.operators.components import components_of_edges
 from silvaspan.scratch import Scratch
 from silvaspan.sources.tables import table
@@ -83,7 +84,9 @@ def links(distinct: DataFrame, dense: int = DENSE) -> DataFrame:
     keys = [F.lit(t << 32).cast("long") + F.shiftleft(block[i], BLOCK_BITS) + block[j] for t, (i, j) in enumerate(tables)]
     blocks = distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
     shared = blocks.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    placed = scratch.save(blocks.join(shared, "key"), "blocks")
+    # A key that a large part of all fingerprints share is broadcast, so its rows stay where they are.
+    n_rows = len(tables) * distinct.count()
+    placed = scratch.save(spread_join(blocks, shared, "key", "n", n_rows), "blocks")
 
     few = placed.where(F.col("n") <= dense)
     x, y = few.select("key", F.col("fp").alias("a")), few.select("key", F.col("fp").alias("b"))
@@ -101,12 +104,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, fingerprint, component_id, fp) for every row of docs."""
     scratch = Scratch(docs.sparkSession, "simhash")
     fps = scratch.save(fingerprints(docs, id_col, text_col), "fps")
-    kinds = scratch.save(fps.groupBy("fp").agg(F.min("id").alias("first_id")), "kinds")
+    kinds = scratch.save(fps.groupBy("fp").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")), "kinds")
     members = components_of_edges(links(kinds.select("fp"), dense)).select(F.col("node").alias("fp"), "component")
-    rooted = kinds.join(members, "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
-    groups = rooted.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    classes = rooted.join(groups, "component").select("fp", "component_id")
-    named = fps.join(classes, "fp")
+    rooted = scratch.save(kinds.join(members, "fp", "left").select("fp", "first_id", "n", F.coalesce("component", "fp").alias("component")), "rooted")
+    groups = rooted.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("kinds"))
+    n_kinds, n_rows = rooted.agg(F.count(F.lit(1)), F.sum("n")).first()
+    classes = scratch.save(spread_join(rooted, groups, "component", "kinds", n_kinds).select("fp", "n", "component_id"), "classes")
+    # One fingerprint may stand for a third of all rows, and one component for a third of all fingerprints: neither meets in one task.
+    named = spread_join(fps, classes, "fp", "n", n_rows or 0)
     return named.select("id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp")
 
 

@@ -69,8 +69,8 @@ def format_pairs(conversations: DataFrame, pairs: DataFrame) -> DataFrame:
 def id_pairs(conversations: DataFrame) -> DataFrame:
     """Conversations 2k and 2k + 1 as chosen and rejected: the table tells no pairs."""
     ids = conversations.where("conv_id is not null").select("conv_id").distinct()
-    even = ids.where("conv_id % 2 = 0").select((F.col("conv_id") / 2).cast("long").alias("pair_id"), F.col("conv_id").alias("chosen_id"))
-    odd = ids.where("conv_id % 2 <> 0").select(((F.col("conv_id") - 1) / 2).cast("long").alias("pair_id"), F.col("conv_id").alias("rejected_id"))
+    even = ids.where("conv_id % 2 = 0").select(F.expr("conv_id div 2").alias("pair_id"), F.col("conv_id").alias("chosen_id"))
+    odd = ids.where("conv_id % 2 <> 0").select(F.expr("(conv_id - pmod(conv_id, 2)) div 2").alias("pair_id"), F.col("conv_id").alias("rejected_id"))
     return even.join(odd, "pair_id")
 
 

@@ -1,39 +1,47 @@
 """URL filters by a path-template tree per host.
 
-A url is decided by the longest rule that fits; all others by the method. Each host's paths form a tree
-of segments with two numbers per node: pages, and pages known to be bad. From the top level down,
-segments that are variable (digits, long hexadecimal names) and, under a node with many children, those
-with a small share of its pages and a bad rate like their parent's become a wildcard; then sibling branches whose bad rate does not differ
-from their parent's by more than ``Z`` standard errors are merged into the wildcard as well. The path
-that is left is a template; its purity is (bad + WEIGHT * corpus rate) / (pages + WEIGHT), and a
-template of purity of at least ``REJECT`` is rejected, with all its pages.
-
-Known bad are pages with a word of ``SEEDS`` in host or path, and those that a rule blocks; nothing else
-is taken for bad, so a page without any evidence near it is allowed.
-
-The tree is built over distinct (host, segments), counted before any shuffle, one level per turn:
-counts per node are sums, never lists, so a host with a third of all pages is a few rows.
-
-Defined results: a null url, or one without ``://``, has empty host and path and is allowed; null ids
-are kept; repeated rows count as pages each; extra columns are not read.
+A url is decided by the longest rule that fits; all others by the method. Some pages are labelled good or
+bad. Each host's paths form a tree of segments, with the labelled and the bad pages below each node.
+From the top down, segments that are variable (digits, long hexadecimal names) become a wildcard; so do,
+under a node with more than ``FAN`` children, those with a small share of its pages, and under any node
+those with labels, if their bad rate does not differ from the node's by more than ``Z`` standard errors:
+statistically similar branches are merged and go on as one. The path that is left is a template; its purity is
+(bad + WEIGHT * rate of all labelled pages) / (labelled + WEIGHT), and a template of purity of at least
+``REJECT`` is rejected with all its pages, labelled or not.
+
+Labels are a table (page_id, bad). By default they come from evidence outside the url's own words: what a
+rule blocks is bad and what a rule allows is good; else a page is bad if its html holds a word of
+``SEEDS`` as a word, and good if it has html without one. Pages whose crc32(page_id) mod 5 is 1 are held
+out: their labels never enter the tree, and ``held_out_report`` tells how the templates judge them.
+
+The tree is built over distinct paths, counted before any shuffle. Each turn decides one branching of
+every node: segments that all paths of a child share are passed in one step, so the number of turns is the
+number of true branchings on a path, not its depth, and there is no bound on the depth. Counts per node are
+sums, never lists, and a node that holds a large part of all paths is joined by a bounded broadcast.
+
+Defined results: a null url, or one without ``://``, has empty host and path and is allowed; null ids are
+kept, and are never labelled; repeated rows count as pages each; several labels of one id count as bad if any
+is; an empty table gives no rows; without any label nothing is rejected; extra columns are not read.
+Paths are told apart by 64-bit hashes of host and segments.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from silvaspan.llm.skew import spread_join
 from silvaspan.scratch import Scratch
 from silvaspan.sources.tables import table
 
 #: The rules of the contract, (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 SEEDS = ("adult", "bets", "casino", "pills", "porn", "spam", "viagra", "xxx")
-DEPTH = 6
 FAN = 12
 SHARE = 0.05
 Z = 2.0
 WEIGHT = 2.0
 REJECT = 0.5
+FOLDS = 5
 ANY = "*"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -61,47 +69,92 @@ def rule_of(rules=RULES) -> tuple[Column, Column]:
 
 
 def segments() -> Column:
-    """The path's segments, variable ones as wildcards; what is deeper than DEPTH is one wildcard."""
+    """The path's segments, variable ones as wildcards."""
     parts = F.filter(F.split("path", "/"), lambda s: s != "")
-    parts = F.transform(parts, lambda s: F.when(s.rlike(r"^[0-9]+(\.[A-Za-z0-9]+)?$|^[0-9A-Fa-f-]{8,}$") & s.rlike("[0-9]"), F.lit(ANY)).otherwise(s))
-    return F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH), F.array(F.lit(ANY)))).otherwise(parts)
+    return F.transform(parts, lambda s: F.when(s.rlike(r"^[0-9]+(\.[A-Za-z0-9]+)?$|^[0-9A-Fa-f-]{8,}$") & s.rlike("[0-9]"), F.lit(ANY)).otherwise(s))
+
+
+def held_out(page_id: str = "page_id") -> Column:
+    return F.coalesce(F.crc32(F.col(page_id).cast("string").cast("binary")) % FOLDS == 1, F.lit(False))
+
+
+def evidence(pages: DataFrame, rules=RULES, seeds=SEEDS) -> DataFrame:
+    """(page_id, bad) of the pages (page_id, url, html) that a rule or their html tells about."""
+    rows = pages.where("page_id is not null").select("page_id", host_of().alias("host"), path_of().alias("path"), "html")
+    told = rule_of(rules)[1]
+    says = F.col("html").rlike(r"(?i)(?<![a-z])(?:" + "|".join(seeds) + r")(?![a-z])")
+    bad = F.coalesce(told == "block", F.when(F.length("html") > 0, says))
+    return rows.select("page_id", bad.alias("bad")).where("bad is not null")
+
+
+def _shared(a: Column, b: Column) -> Column:
+    """How many first elements two arrays share."""
+    n = F.least(F.size(a), F.size(b))
+    differ = F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda x, y: x != y)
+    at = F.array_position(differ, True)
+    return F.when(at > 0, at - 1).otherwise(n).cast("int")
 
 
 def templates(paths: DataFrame) -> DataFrame:
-    """(host, segs, template) for every row of paths (host, segs, n, bad): the segments after generalising and merging."""
+    """(pid, host, template, n, m, bad) for every row of paths (pid, host, rest, n, m, bad).
+
+    rest: the path's segments; n, m, bad: its pages, labelled pages and bad pages.
+    """
     scratch = Scratch(paths.sparkSession, "templates")
-    now = scratch.save(paths.withColumn("template", F.array().cast("array<string>")), "paths")
-    for level in range(DEPTH + 1):
-        here = now.withColumn("seg", F.get("segs", F.lit(level)))
-        child = here.where("seg is not null").groupBy("host", "template", "seg").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-        node = child.groupBy("host", "template").agg(F.sum("n").alias("all_n"), F.sum("bad").alias("all_bad"), F.count(F.lit(1)).alias("fan"))
-        rate = F.col("all_bad") / F.col("all_n")
+    now = scratch.save(paths.select("pid", "host", "rest", F.array().cast("array<string>").alias("template"), "n", "m", "bad"), "paths")
+    done, turn = [], 0
+    while True:
+        done.append(now.where(F.size("rest") == 0).select("pid", "host", "template", "n", "m", "bad"))
+        here = now.where(F.size("rest") > 0).withColumn("key", F.xxhash64("host", "template", F.get("rest", F.lit(0))))
+        total = here.count()
+        if not total:
+            break
+        tail = F.expr("slice(rest, 2, size(rest))")
+        child = here.groupBy("key", "host", "template", F.get("rest", F.lit(0)).alias("seg")).agg(
+            F.sum("n").alias("n"), F.sum("m").alias("m"), F.sum("bad").alias("bad"), F.count(F.lit(1)).alias("rows"), F.min(tail).alias("low"), F.max(tail).alias("high")
+        )
+        child = scratch.save(child.select("*", _shared(F.col("low"), F.col("high")).alias("skip")).drop("low", "high"), f"children{turn}")
+        node = child.groupBy("host", "template").agg(F.sum("n").alias("all_n"), F.sum("m").alias("all_m"), F.sum("bad").alias("all_bad"), F.count(F.lit(1)).alias("fan"))
+        rate = F.coalesce(F.try_divide("all_bad", "all_m"), F.lit(0.0))
+        alike = (F.col("fan") > 1) & (F.col("m") > 0) & (F.abs(F.try_divide("bad", "m") - rate) <= Z * F.sqrt(rate * (1 - rate) / F.col("m")))
         rare = (F.col("fan") > FAN) & (F.col("n") < SHARE * F.col("all_n"))
-        alike = (F.col("fan") > 1) & (F.abs(F.col("bad") / F.col("n") - rate) <= Z * F.sqrt(rate * (1 - rate) / F.col("n")))
-        # A rare segment is generalised only if its rate, drawn to the parent's by WEIGHT pages, is like the parent's.
-        near = F.abs((F.col("bad") + WEIGHT * rate) / (F.col("n") + WEIGHT) - rate) <= Z * F.sqrt(rate * (1 - rate) / (F.col("n") + WEIGHT))
-        named = child.join(node, ["host", "template"]).select("host", "template", "seg", F.when((rare & near) | alike, F.lit(ANY)).otherwise(F.col("seg")).alias("to"))
-        step = here.join(named, ["host", "template", "seg"], "left")
-        kept = scratch.save(step.select("host", "segs", "n", "bad", F.when(F.col("to").isNull(), F.col("template")).otherwise(F.concat("template", F.array("to"))).alias("template")), f"level{level}")
-        scratch.drop(now)
-        now = kept
-    return now
-
-
-def judge(pages: DataFrame, rules=RULES, seeds=SEEDS) -> DataFrame:
-    """(page_id, host, path, rule, verdict, template, purity) for every row of pages (page_id, url)."""
+        # A rare segment's rate is drawn to the node's by WEIGHT pages first; without labels it is the node's.
+        near = F.abs((F.col("bad") + WEIGHT * rate) / (F.col("m") + WEIGHT) - rate) <= Z * F.sqrt(rate * (1 - rate) / (F.col("m") + WEIGHT))
+        merged = alike | (rare & near)
+        to = F.when(merged, F.lit(ANY)).otherwise(F.col("seg"))
+        # What all paths of an unmerged child share is passed at once; a wildcard may take in other children and goes on segment by segment.
+        skip = F.when(merged | (F.col("seg") == ANY), F.lit(0)).otherwise(F.col("skip"))
+        named = child.join(node, ["host", "template"]).select("key", "rows", to.alias("to"), skip.alias("skip"))
+        step = spread_join(here, named, "key", "rows", total)
+        step = step.select(
+            "pid", "host", F.expr("slice(rest, 2 + skip, size(rest))").alias("rest"),
+            F.concat("template", F.array("to"), F.expr("slice(rest, 2, skip)")).alias("template"), "n", "m", "bad",
+        )
+        now, turn = scratch.save(step, f"turn{turn}"), turn + 1
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def judge(pages: DataFrame, labels: DataFrame | None = None, rules=RULES) -> DataFrame:
+    """(page_id, host, path, rule, verdict, template, purity) for every row of pages (page_id, url; html too where no labels (page_id, bad) are given)."""
     scratch = Scratch(pages.sparkSession, "urls")
-    rule, verdict = rule_of(rules)
-    rows = pages.select("page_id", host_of().alias("host"), path_of().alias("path")).select("*", rule.alias("rule"), verdict.alias("told"), segments().alias("segs"))
-    known = F.concat("host", "path").rlike(r"(?i)(^|[^a-z])(" + "|".join(seeds) + r")([^a-z]|$)") | F.coalesce(F.col("told") == "block", F.lit(False))
-    rows = scratch.save(rows.withColumn("bad", known.cast("long")), "rows")
-    paths = rows.groupBy("host", "segs").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
-    tree = templates(paths)
-    prior = rows.agg(F.coalesce(F.avg("bad"), F.lit(0.0))).first()[0]
-    counts = tree.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    purity = (F.col("bad") + WEIGHT * prior) / (F.col("n") + WEIGHT)
-    judged = tree.select("host", "segs", "template").join(counts.select("host", "template", purity.alias("purity")), ["host", "template"])
-    found = rows.join(judged, ["host", "segs"])
+    labels = evidence(pages, rules) if labels is None else labels.where("page_id is not null")
+    labels = scratch.save(labels.groupBy("page_id").agg(F.max(F.col("bad").cast("int")).alias("bad")), "labels")
+    rule, told = rule_of(rules)
+    rows = pages.select("page_id", host_of().alias("host"), path_of().alias("path"))
+    rows = rows.select("*", rule.alias("rule"), told.alias("told"), segments().alias("rest"), F.when(~held_out(), F.col("page_id")).alias("asked"))
+    rows = rows.withColumn("pid", F.xxhash64("host", "rest"))
+    rows = scratch.save(rows.join(labels.withColumnRenamed("page_id", "asked"), "asked", "left").drop("asked"), "rows")
+    paths = rows.groupBy("pid", "host", "rest").agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("m"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    tree = scratch.save(templates(paths), "tree")
+    prior, total = tree.agg(F.coalesce(F.try_divide(F.sum("bad"), F.sum("m")), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    counts = tree.groupBy("host", "template").agg(F.sum("m").alias("m"), F.sum("bad").alias("bad"), F.count(F.lit(1)).alias("paths"))
+    counts = counts.select(F.xxhash64("host", "template").alias("key"), "paths", ((F.col("bad") + WEIGHT * prior) / (F.col("m") + WEIGHT)).alias("purity"))
+    keyed = tree.select("pid", "n", "template", F.xxhash64("host", "template").alias("key"))
+    judged = scratch.save(spread_join(keyed, counts, "key", "paths", tree.count()).select("pid", "n", "template", "purity"), "judged")
+    found = spread_join(rows.select("page_id", "host", "path", "rule", "told", "pid"), judged, "pid", "n", total)
     no_url = (F.col("host") == "") & (F.col("path") == "")
     by_method = F.when((F.col("purity") >= REJECT) & ~no_url, F.lit("block")).otherwise(F.lit("allow"))
     return found.select(
@@ -110,6 +163,12 @@ def judge(pages: DataFrame, rules=RULES, seeds=SEEDS) -> DataFrame:
     )
 
 
+def held_out_report(judged: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bad, verdict, pages): how pages without a rule, whose labels were held out of the tree, are judged."""
+    rows = judged.where(held_out() & F.col("rule").isNull()).join(labels.groupBy("page_id").agg(F.max(F.col("bad").cast("int")).alias("bad")), "page_id")
+    return rows.groupBy((F.col("bad") == 1).alias("bad"), "verdict").agg(F.count(F.lit(1)).alias("pages"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, host, path, rule, verdict, template, purity of all pages."""
     return judge(table(spark, sf_dir, "pages"))

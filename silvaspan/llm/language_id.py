@@ -3,16 +3,20 @@
 A text is a vector of hashed byte trigrams of its whole lower-cased content (square roots of the
 counts, unit length). One linear support vector machine per family tells it from all others; inside
 the winning family one machine per pair of languages votes, and the larger sum of margins settles ties.
-Machines are fitted by dual coordinate descent on at most ``sample`` labelled documents per language,
-those of the smallest hashes of their ids: this bound is a parameter. The fitted table, a fixed number
-of floats per machine, goes to the tasks; every text is scored whole, in pieces of bounded size.
+Machines are fitted by dual coordinate descent on at most ``sample`` labelled documents per language, of
+the ``languages`` most frequent ones (ties by code): both bounds are parameters. A language's sample are
+the ids of the smallest hashes, one text (that of the smallest hash) for an id that repeats, so what reaches the
+driver is ``sample * languages`` rows at most, however often a row or an id repeats. Rows are thinned by
+their hash where they are read, before anything is shuffled by language. The fitted table, a fixed
+number of floats per machine, goes to the tasks; every text is scored whole, in pieces of bounded size.
 
 Families come from ``FAMILIES``; a language that it lacks is a family of its own.
 
 The machines only tell learned languages apart. Whether any of them claims a text at all is told by
 ``claim``: how much likelier, in nats per trigram, the text's trigrams are in the fitted sample of the
 language that suits best than among trigrams drawn evenly. Texts below the model's ``least`` claim are in
-no learned language; it is set on the sample, each of whose documents is scored without itself.
+no learned language; it is set on the sample, each of whose documents is scored without itself. The score
+is the machines' confidence times that of the claim, so text that no learned language claims scores near 0.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, as is every text when
 nothing can be learned; with one language learned, every text with letters is that language. A null id
@@ -46,6 +50,9 @@ FAMILIES = {
 }
 DIMS = 1 << 13
 SAMPLE = 300
+LANGUAGES = 64
+#: Part of the hash by which rows are thinned and ranked.
+_DRAW = 1 << 30
 EPOCHS = 12
 FOLDS = 5
 _PIECE = 1 << 20
@@ -130,8 +137,12 @@ def claim(model: Model | None, text: bytes | None) -> float:
     """The claim of the language that suits the text best; minus infinity without a letter or a model with shares."""
     if model is None or model.shares is None or not text or not has_letter(text):
         return -np.inf
-    found = counts(text)
-    return float(np.max(model.shares @ found) / found.sum())
+    return claim_of(model, counts(text))
+
+
+def claim_of(model: Model, found: np.ndarray) -> float:
+    at = np.flatnonzero(found)
+    return float(np.max(model.shares[:, at] @ found[at]) / found.sum())
 
 
 def with_claims(model: Model | None, found: list[tuple[np.ndarray, np.ndarray]], langs: list[str]) -> Model | None:
@@ -153,17 +164,21 @@ def with_claims(model: Model | None, found: list[tuple[np.ndarray, np.ndarray]],
     return replace(model, shares=shares, least=min(0.0, float(np.quantile(claims, ODD)) - SLACK))
 
 
+def logistic(x: float) -> float:
+    return float(1 / (1 + np.exp(-np.clip(x, -60, 60))))
+
+
 def predict(model: Model | None, text: bytes | None) -> tuple[str, float]:
     """The language and a confidence from 0 to 1."""
     if model is None or not text or not has_letter(text):
         return "und", 0.0
-    margins = vector(counts(text)) @ model.weights
-    n, score = len(model.families), 1.0
+    margins = vector(found := counts(text)) @ model.weights
+    n, score = len(model.families), 1.0 if model.shares is None else logistic(_SLOPE * (claim_of(model, found) - model.least))
     by_family = margins[:n]
     best = int(np.argmax(by_family))
     if n > 1:
         second = np.max(np.delete(by_family, best))
-        score = float(1 / (1 + np.exp(-_SLOPE * (by_family[best] - second) / 2)))
+        score *= logistic(_SLOPE * (by_family[best] - second) / 2)
     langs = model.families[best][1]
     if len(langs) == 1:
         return langs[0], score
@@ -175,24 +190,37 @@ def predict(model: Model | None, text: bytes | None) -> tuple[str, float]:
                 votes[k] += (own > 0, own)
                 worst[k] = min(worst[k], own)
     top = max(range(len(langs)), key=lambda k: (votes[k][0], votes[k][1], -k))
-    return langs[top], score * float(1 / (1 + np.exp(-_SLOPE * worst[top])))
+    return langs[top], score * logistic(_SLOPE * worst[top])
 
 
 def fold(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE, claims: bool = False) -> Model | None:
-    """Fits on documents (doc_id, text, lang) whose fold is not 0, at most ``sample`` per language; with claims if asked for."""
+def chosen_texts(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -> DataFrame:
+    """(lang, h, text): the sample, at most ``sample`` rows for each of at most ``languages`` languages.
+
+    Ids are counted by language in one bounded sketch each. A row passes to the ranking if its hash is
+    in the part of all hashes that should hold twice the sample, so about that many distinct hashes per language
+    meet; equal ones are merged where they are read. Only the texts of the ranked leave their task.
+    """
     scratch = Scratch(docs.sparkSession, "sample")
-    rows = docs.where((fold() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    keyed = rows.select("lang", F.xxhash64("doc_id").alias("h"))
-    sizes = keyed.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    # Each language is thinned to about twice the sample by its hash before rows meet in a window; texts are read for the chosen only.
-    thin = keyed.join(sizes, "lang").where(F.pmod(F.col("h"), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("n") < 2 * sample)
-    chosen = thin.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("k") <= sample)
-    chosen = scratch.save(chosen.select("lang", "h").distinct(), "chosen")
-    first = rows.withColumn("h", F.xxhash64("doc_id")).join(chosen, ["lang", "h"], "left_semi")
+    rows = docs.where((fold() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.xxhash64("doc_id").alias("h"), "text")
+    draw = F.pmod("h", F.lit(_DRAW))
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("h").alias("n"))
+    # At most ``languages`` rows are broadcast.
+    sizes = scratch.save(sizes.orderBy(F.col("rows").desc(), "lang").limit(languages).select("lang", "n"), "sizes")
+    thin = rows.select("lang", "h").join(F.broadcast(sizes), "lang").where(draw * F.col("n") < F.lit(2.0 * sample * _DRAW))
+    thin = thin.select("lang", "h").distinct()
+    ranked = thin.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy(draw, "h"))).where(F.col("k") <= sample)
+    chosen = scratch.save(ranked.select("lang", "h"), "chosen")
+    # sample * languages rows at most are broadcast; a repeated id keeps one text, merged before the shuffle.
+    found = rows.join(F.broadcast(chosen), ["lang", "h"], "left_semi")
+    return found.groupBy("lang", "h").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
+def learn(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -> Model | None:
+    """Fits on documents (doc_id, text, lang) whose fold is not 0: at most ``sample`` per language, of at most ``languages``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,7 +233,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE, claims: bool = False) -> Model
             cols = list(zip(*out)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.binary(), pa.binary()))], ["lang", "at", "n"])
 
-    found = first.select("lang", "text").mapInArrow(run, "lang string, at binary, n binary").collect()
+    found = chosen_texts(docs, sample, languages).select("lang", "text").mapInArrow(run, "lang string, at binary, n binary").collect()
     found.sort(key=lambda r: (r["lang"], r["at"], r["n"]))
     x = np.zeros((len(found), DIMS), np.float32)
     for k, r in enumerate(found):
@@ -213,8 +241,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE, claims: bool = False) -> Model
         dense[np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["n"], np.int64)
         x[k] = vector(dense)
     langs = [r["lang"] for r in found]
-    model = fit(x, langs)
-    return with_claims(model, [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["n"], np.int64)) for r in found], langs) if claims else model
+    return with_claims(fit(x, langs), [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["n"], np.int64)) for r in found], langs)
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:

@@ -1,4 +1,8 @@
+import math
+import zlib
+
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F, types as T
 
 from silvaspan.llm import language_id as I
@@ -44,3 +48,80 @@ def test_nothing_to_learn(spark):
     assert I.learn(empty) is None and I.identify(empty, None).count() == 0
     one = spark.createDataFrame([(k, "ab cd", "en") for k in range(9)], SCHEMA)
     assert {r["lang_pred"] for r in I.identify(one, I.learn(one)).collect()} == {"en"}
+
+
+def plain_counts(text):
+    b, out = b" " + text.lower() + b" ", {}
+    for k in range(len(b) - 2):
+        at = (((b[k] << 16) + (b[k + 1] << 8) + b[k + 2]) * 2654435761 % (1 << 32)) >> 19
+        out[at] = out.get(at, 0) + 1
+    return out
+
+
+def plain_vector(found):
+    return {k: math.sqrt(n / sum(found.values())) for k, n in found.items()}
+
+
+def dot(a, b):
+    return sum(v * b.get(k, 0.0) for k, v in a.items())
+
+
+def plain_svm(x, y):
+    """Dual coordinate descent over dictionaries."""
+    w, alpha, order = {}, [0.0] * len(y), np.random.default_rng(7)
+    for _ in range(I.EPOCHS):
+        for i in order.permutation(len(y)):
+            new = min(max(alpha[i] + 1 - y[i] * dot(x[i], w), 0.0), 10.0)
+            for k, v in x[i].items():
+                w[k] = w.get(k, 0.0) + (new - alpha[i]) * y[i] * v
+            alpha[i] = new
+    return w
+
+
+def test_predictions_equal_a_plain_learner(spark):
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    rows += [(5, "a second text of an id", "en")] + [(7, rows[7][1], rows[7][2])] * 50
+    sample = 12
+    chosen = {}
+    for i, text, lang in rows:
+        if zlib.crc32(str(i).encode()) % 5 and text and lang:
+            h = xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), 42)
+            own = chosen.setdefault(lang, {})
+            key = (h % (1 << 30), h - (1 << 64) * (h >> 63))
+            tie = xxhash.xxh64_intdigest(text.encode(), 42)
+            own[key] = min(own.get(key, (1 << 64, "")), (tie - (1 << 64) * (tie >> 63), text))
+    train = [(lang, plain_counts(own[k][1].encode())) for lang, own in chosen.items() for k in sorted(own)[:sample]]
+    train.sort(key=lambda t: (t[0], np.array(sorted(t[1]), np.int32).tobytes(), np.array([t[1][k] for k in sorted(t[1])], np.int64).tobytes()))
+    x, langs = [plain_vector(c) for _, c in train], [t for t, _ in train]
+    families = {"germanic": ["de", "en"], "romance": ["es", "fr"]}
+    by_family = {f: plain_svm(x, [1 if t in own else -1 for t in langs]) for f, own in families.items()}
+    by_pair = {f: plain_svm([v for v, t in zip(x, langs) if t in own], [1 if t == own[0] else -1 for t in langs if t in own]) for f, own in families.items()}
+    model = I.learn(spark.createDataFrame(rows, SCHEMA), sample)
+    agree = 0
+    for _, text, _ in rows:
+        v = plain_vector(plain_counts(text.encode()))
+        margin = {f: dot(v, w) for f, w in by_family.items()}
+        best = max(sorted(margin), key=margin.get)
+        m = dot(v, by_pair[best])
+        want = families[best][0 if m > 0 else 1]
+        confidence = I.logistic(I._SLOPE * (margin[best] - min(margin.values())) / 2) * I.logistic(I._SLOPE * abs(m)) * I.logistic(I._SLOPE * (I.claim(model, text.encode()) - model.least))
+        got, score = I.predict(model, text.encode())
+        agree += got == want and abs(score - confidence) < 1e-3
+    assert agree == len(rows)
+
+
+def test_sample_is_bounded_however_rows_repeat(spark):
+    rows = [(1, f"text {k}", "en") for k in range(2000)] + [(k, "hund katze maus", "de") for k in range(2, 900)] + [(k + 5000, "x", f"l{k}") for k in range(40)]
+    got = I.chosen_texts(spark.createDataFrame(rows, SCHEMA), sample=50, languages=3).groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] for r in got if r["lang"] in ("en", "de")} == {"en": 1, "de": 50} and len(got) == 3
+
+
+def test_gibberish_scores_low_and_pieces_join(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = I.learn(docs.select("doc_id", "text", "lang"))
+    held = [I.predict(model, r["text"].encode())[1] for r in docs.limit(60).collect() if len(r["text"]) > 200]
+    assert np.median(held) > 0.6 and max(I.predict(model, t)[1] for t in (b"zq xj kv qqw zzx jjk vvq", b"a1 b2 c3 d4 9999 8888")) < 0.1
+    text = "Größe und Länge ".encode() * 40
+    whole = I.counts(text)
+    monkeypatch.setattr(I, "_PIECE", 7)
+    assert (I.counts(text) == whole).all() and whole.sum() == len(text)

@@ -9,10 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from silvaspan.operators.components import components_of_edges
+from silvaspan.operators.ordering import sum_before
 from silvaspan.scratch import Scratch
 
-#: Up to this depth the index is built level by level; deeper forests use list ranking.
-LEVELS = 48
+#: Up to this depth rows carry the path from their root; deeper forests use list ranking.
+LEVELS = 16
+#: Levels that one job adds from the roots down.
+STEPS = 4
 
 
 def components_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -24,7 +27,10 @@ def components_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def validate_forest(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(error, n): every kind of violation with its count; no rows for a sound forest."""
     ids = nodes.select("node_id").distinct()
-    comps = components_of(nodes, edges.join(ids, edges["source"] == ids["node_id"], "left_semi").join(ids, edges["target"] == ids["node_id"], "left_semi"))
+    # Edges that close no cycle by a fault of their own kind: both ends known, no loop, parallel ones once.
+    sound = edges.where("source <> target").join(ids, edges["source"] == ids["node_id"], "left_semi").join(ids, edges["target"] == ids["node_id"], "left_semi")
+    sound = sound.select(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).distinct()
+    comps = components_of(nodes, sound)
     ends = edges.select(F.explode(F.array("source", "target")).alias("node_id"))
     checks = [
         ("no node", nodes.agg(F.when(F.count(F.lit(1)) == 0, 1).otherwise(0).alias("n"))),
@@ -35,7 +41,7 @@ def validate_forest(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> Dat
         ("parallel edge", edges.groupBy(F.least("source", "target"), F.greatest("source", "target")).count().where("count > 1").agg(F.count(F.lit(1)).alias("n"))),
         ("negative distance", edges.where("distance < 0 or isnan(distance)").agg(F.count(F.lit(1)).alias("n"))),
         ("component without exactly one root", comps.join(roots.select("node_id", F.lit(1).alias("r")), "node_id", "left").groupBy("component").agg(F.sum(F.coalesce("r", F.lit(0))).alias("r")).where("r <> 1").agg(F.count(F.lit(1)).alias("n"))),
-        ("cycle", comps.agg((F.count(F.lit(1)) - F.countDistinct("component")).alias("t")).crossJoin(edges.agg(F.count(F.lit(1)).alias("e"))).select(F.when(F.col("e") > F.col("t"), F.col("e") - F.col("t")).otherwise(0).alias("n"))),
+        ("cycle", comps.agg((F.count(F.lit(1)) - F.countDistinct("component")).alias("t")).crossJoin(sound.agg(F.count(F.lit(1)).alias("e"))).select(F.when(F.col("e") > F.col("t"), F.col("e") - F.col("t")).otherwise(0).alias("n"))),
     ]
     out = None
     for error, counted in checks:
@@ -50,7 +56,8 @@ def parents_of(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def depths_of(parents: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node_id, depth, component) by pointer jumping over parents: as many rounds as the logarithm of the depth."""
+    """(node_id, depth, component) by pointer jumping over parents: as many rounds as the logarithm of the depth; an error on a cycle."""
+    n = parents.count()
     now = scratch.save(parents.select("node_id", F.coalesce("parent", "node_id").alias("up"), F.col("parent").isNotNull().cast("long").alias("depth")), "jump")
     while True:
         above = now.select(F.col("node_id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"))
@@ -60,48 +67,71 @@ def depths_of(parents: DataFrame, scratch: Scratch) -> DataFrame:
         now = new
         if not moved:
             return now.select("node_id", "depth", F.col("up").alias("component"))
+        if (now.agg(F.max("depth")).first()[0] or 0) > n:
+            raise ValueError("the edges hold a cycle")
+
+
+def levels_of(edges: DataFrame, roots: DataFrame, scratch: Scratch, most: int) -> tuple[DataFrame, int]:
+    """Rows (node_id, parent, edge_id, depth, component, path) from the roots down to depth ``most``, and the depth reached.
+
+    path: the nodes from the root to the row's own. One job adds ``STEPS`` levels.
+    """
+    arcs = edges.select("source", F.col("target").alias("node_id"), "edge_id")
+    now = roots.select("node_id", F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("edge_id"), F.lit(0).cast("long").alias("depth"), F.col("node_id").alias("component"), F.array("node_id").alias("path"))
+    out, reached, deepest = now, 0, -1
+    while reached < most:
+        batch = None
+        for _ in range(min(STEPS, most - reached)):
+            above = now.select(F.col("node_id").alias("source"), "depth", "component", "path")
+            now = arcs.join(above, "source").select("node_id", F.col("source").alias("parent"), "edge_id", (F.col("depth") + 1).alias("depth"), "component", F.concat("path", F.array("node_id")).alias("path"))
+            batch = now if batch is None else batch.unionByName(now)
+            reached += 1
+        batch = scratch.save(batch, f"level{reached}")
+        out = out.unionByName(batch)
+        deepest = batch.agg(F.max("depth")).first()[0] or 0
+        if deepest < reached:
+            break
+        now = batch.where(F.col("depth") == reached)
+    return out, max(0, deepest)
 
 
 def index_forest(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(node_id, component, parent, depth, dfs_start, dfs_end): half-open preorder intervals over the whole forest.
 
     Children come in (id, edge id) order, components in the order of root_pos. A node lies in the subtree
-    of x exactly if its start lies in x's interval.
+    of x exactly if its start lies in x's interval. An edge that no root reaches, or that reaches a node
+    again, is an error.
     """
     scratch = Scratch(edges.sparkSession, "index")
-    parents = scratch.save(parents_of(edges, roots), "parents")
-    rows = scratch.save(parents.join(depths_of(parents, scratch), "node_id"), "depths")
-    deepest = rows.agg(F.max("depth")).first()[0] or 0
-    spans = _spans_by_level(rows, deepest, scratch) if deepest <= LEVELS else _spans_by_ranking(rows, scratch)
+    edges = scratch.save(edges.select("source", "target", "edge_id"), "edges")
+    rows, deepest = levels_of(edges, roots, scratch, LEVELS + 1)
+    if deepest > LEVELS:
+        parents = scratch.save(edges.select(F.col("target").alias("node_id"), F.col("source").alias("parent"), "edge_id").unionByName(roots.select("node_id"), allowMissingColumns=True), "parents")
+        if parents.groupBy("node_id").count().where("count > 1").limit(1).count():
+            raise ValueError("a node has two parents")
+        spans = _spans_by_ranking(scratch.save(parents.join(depths_of(parents, scratch), "node_id"), "depths"), scratch)
+    else:
+        if rows.select("node_id").distinct().count() != edges.count() + roots.count():
+            raise ValueError("an edge is reached from no root, or reaches a node again")
+        spans = _spans_by_path(rows, scratch)
     sizes = spans.where("node_id = component").select("component", "size")
     order = sizes.join(roots.select(F.col("node_id").alias("component"), "root_pos"), "component")
-    base = F.sum("size").over(W.orderBy("root_pos", "component").rowsBetween(W.unboundedPreceding, -1))
-    order = order.select("component", F.coalesce(base, F.lit(0)).alias("base"))
+    order = sum_before(order, ["root_pos", "component"], "size", "base").select("component", "base")
     start = F.col("start") + F.col("base")
     return spans.join(order, "component").select("node_id", "component", "parent", "depth", start.cast("long").alias("dfs_start"), (start + F.col("size")).cast("long").alias("dfs_end"))
 
 
-def _spans_by_level(rows: DataFrame, deepest: int, scratch: Scratch) -> DataFrame:
-    """Subtree sizes from the leaves up, then starts from the roots down; each turn reads one level."""
-    sized, below = None, None
-    for d in range(deepest, -1, -1):
-        level = rows.where(F.col("depth") == d)
-        if below is None:
-            level = level.withColumn("size", F.lit(1).cast("long"))
-        else:
-            kids = below.groupBy("parent").agg(F.sum("size").alias("k")).withColumnRenamed("parent", "node_id")
-            level = level.join(kids, "node_id", "left").withColumn("size", F.lit(1) + F.coalesce("k", F.lit(0))).drop("k")
-        below = scratch.save(level, f"size{d}")
-        sized = below if sized is None else sized.unionByName(below)
-    before = F.sum("size").over(W.partitionBy("parent").orderBy("node_id", "edge_id").rowsBetween(W.unboundedPreceding, -1))
-    placed = scratch.save(sized.where("parent is not null").withColumn("offset", F.coalesce(before, F.lit(0)) + 1), "offsets")
-    level = sized.where("parent is null").withColumn("start", F.lit(0).cast("long"))
-    out = level
-    for d in range(1, deepest + 1):
-        level = placed.where(F.col("depth") == d).join(level.select(F.col("node_id").alias("parent"), F.col("start").alias("s")), "parent")
-        level = scratch.save(level.withColumn("start", F.col("s") + F.col("offset")).drop("s", "offset"), f"start{d}")
-        out = out.unionByName(level.select(*out.columns))
-    return out.select("node_id", "component", "parent", "depth", "size", "start")
+def _spans_by_path(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """A size is the number of paths through a node; a start is the sum, along the path, of one and the sizes of the earlier siblings."""
+    sizes = rows.select(F.explode("path").alias("node_id")).groupBy("node_id").agg(F.count(F.lit(1)).alias("size"))
+    earlier = F.sum("size").over(W.partitionBy("parent").orderBy("node_id", "edge_id").rowsBetween(W.unboundedPreceding, -1))
+    sized = scratch.save(rows.join(sizes, "node_id").withColumn("offset", F.when(F.col("parent").isNull(), 0).otherwise(F.coalesce(earlier, F.lit(0)) + 1)), "sizes")
+    inner = sized.where("size > 1").select(F.col("node_id").alias("on"), F.col("offset").alias("step"))
+    # A node's own offset is at hand; those of its ancestors, which are inner nodes, are gathered.
+    above = sized.select("node_id", F.explode(F.slice("path", F.lit(1), F.size("path") - 1)).alias("on")).join(inner, "on")
+    starts = above.groupBy("node_id").agg(F.sum("step").alias("above"))
+    found = sized.join(starts, "node_id", "left")
+    return scratch.save(found.select("node_id", "component", "parent", "depth", "size", (F.col("offset") + F.coalesce("above", F.lit(0))).alias("start")), "spans")
 
 
 def _spans_by_ranking(rows: DataFrame, scratch: Scratch) -> DataFrame:

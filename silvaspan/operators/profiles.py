@@ -1,17 +1,29 @@
 """Categorical profiles: loci, groups of equal profiles, Hamming joins, spanning trees and forests.
 
-profiles: (isolate_id, input_pos, alleles array<string>). ``0`` is the only missing allele.
+profiles: (isolate_id, input_pos, alleles array<string>). ``0`` is the only missing allele. Joins compare
+alleles by their 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+import itertools
+import math
+
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from silvaspan.functions.labels import slugify
 from silvaspan.operators.components import components_of_edges
 from silvaspan.scratch import Scratch
 
 MISSING = "0"
+#: Tables of a Hamming join: as many shared blocks are asked for as this allows.
+TABLES = 64
+#: Loci that are compared one by one in compiled code; wider profiles are compared as arrays.
+UNROLLED = 32
+#: Subsets of loci up to which a band of the spanning forest is found by groups of equal projections.
+SUBSETS = 64
+#: Profiles of one tile where all pairs are asked for.
+TILE = 1024
 
 
 def locus_report(profiles: DataFrame) -> DataFrame:
@@ -53,32 +65,62 @@ def export_profiles(profiles: DataFrame, distinct: bool = False) -> DataFrame:
     return rows.orderBy("input_pos").select(F.col("isolate_id").alias("id"), F.array_join("alleles", "\t").alias("line"))
 
 
-def hamming(a: str, b: str):
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x != y).cast("int")), F.lit(0), lambda n, x: n + x)
+def hashed(groups: DataFrame) -> DataFrame:
+    """(node_id, h): the alleles' hashes, in the order of the loci."""
+    return groups.select("node_id", F.transform("alleles", lambda a: F.xxhash64(a)).alias("h"))
+
+
+def n_loci(groups: DataFrame) -> int:
+    return groups.agg(F.max(F.size("alleles"))).first()[0] or 0
+
+
+def hamming(a: str, b: str, lo: int, hi: int) -> Column:
+    """Differing loci from lo to hi of two arrays of hashes."""
+    if hi - lo <= UNROLLED:
+        return sum(((F.get(a, F.lit(k)) != F.get(b, F.lit(k))).cast("int") for k in range(lo, hi)), F.lit(0))
+    return F.aggregate(F.zip_with(F.slice(a, lo + 1, hi - lo), F.slice(b, lo + 1, hi - lo), lambda x, y: (x != y).cast("int")), F.lit(0), lambda n, x: n + x)
 
 
 def allelic_pairs(groups: DataFrame, n: int, owners: DataFrame | None = None) -> DataFrame:
     """(source, target, distance): every pair within n differing loci, once, source < target.
 
-    Loci are cut into n + 1 blocks; a pair within n shares a block, so candidates come from an equi-join
-    on (component, block, value) and are verified. A pair is kept at its first shared block only, so no
-    distinct is needed. With as many differences allowed as there are loci, all pairs qualify by request.
+    Loci are cut into n + s blocks; a pair within n shares s of them, so candidates come from equi-joins
+    on s blocks, one table for each choice, and are verified. s is as large as ``TABLES`` and the loci allow: with few
+    loci a block is one locus, and every candidate is a result. A pair is kept in its first table only, the
+    one of its first s shared blocks, so no distinct is needed. With as many differences allowed as there are loci,
+    all pairs are asked for: they are compared tile by tile, each pair of tiles in its own group.
     """
-    rows = groups.select("node_id", "alleles")
+    rows = hashed(groups)
     rows = rows.join(owners.select("node_id", "component"), "node_id") if owners is not None else rows.withColumn("component", F.lit(""))
-    loci = rows.agg(F.max(F.size("alleles"))).first()[0] or 0
-    blocks = min(n + 1, loci)
+    loci = n_loci(groups)
     if n >= loci:
-        keyed = rows.withColumn("b", F.lit(0)).withColumn("v", F.array().cast("array<string>")).withColumn("all", F.array().cast("array<array<string>>"))
-    else:
-        cuts = [loci * k // blocks for k in range(blocks + 1)]
-        cut = F.array(*(F.slice("alleles", lo + 1, hi - lo) for lo, hi in zip(cuts, cuts[1:])))
-        keyed = rows.withColumn("all", cut).select("node_id", "alleles", "component", "all", F.posexplode("all").alias("b", "v"))
-    x = keyed.select("component", "b", "v", F.col("node_id").alias("source"), F.col("alleles").alias("xa"), F.col("all").alias("xb"))
-    y = keyed.select("component", "b", "v", F.col("node_id").alias("target"), F.col("alleles").alias("ya"), F.col("all").alias("yb"))
-    near = x.join(y, ["component", "b", "v"]).where("source < target").withColumn("distance", hamming("xa", "ya")).where(F.col("distance") <= n)
-    first = F.expr("b = 0 OR NOT exists(arrays_zip(slice(xb, 1, b), slice(yb, 1, b)), p -> p.`0` = p.`1`)")
-    return (near if n >= loci else near.where(first)).select("source", "target", "distance")
+        tiles = max(1, math.ceil(groups.count() / TILE))
+        tile = F.pmod(F.xxhash64("node_id"), F.lit(tiles))
+        own = rows.select("*", tile.alias("tile"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("other"))
+        own = own.select("component", "node_id", "h", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile")
+        x = own.select("component", "lo", "hi", F.col("node_id").alias("source"), F.col("h").alias("xh"), F.col("tile").alias("xt"))
+        y = own.select("component", "lo", "hi", F.col("node_id").alias("target"), F.col("h").alias("yh"), F.col("tile").alias("yt"))
+        both = x.join(y, ["component", "lo", "hi"]).where("source < target and (lo = hi or xt <> yt)")
+        return both.select("source", "target", hamming("xh", "yh", 0, loci).alias("distance"))
+    share = max(s for s in range(1, loci - n + 1) if s == 1 or math.comb(n + s, s) <= TABLES)
+    blocks = n + share
+    cuts = [loci * k // blocks for k in range(blocks + 1)]
+    single = blocks == loci
+    block = F.col("h") if single else F.array(*(F.xxhash64(F.slice("h", lo + 1, hi - lo)) for lo, hi in zip(cuts, cuts[1:])))
+    rows = Scratch(groups.sparkSession, "blocks").save(rows.select("component", "node_id", "h", block.alias("b")), "rows")
+    tables = []
+    for t, own in enumerate(itertools.combinations(range(blocks), share)):
+        value = F.xxhash64(F.lit(t), *(F.get("b", F.lit(k)) for k in own))
+        # In a pair's first table no block before the table's last one is shared but its own.
+        tables.append(F.struct(value.alias("v"), F.lit(sum(1 << k for k in own)).cast("long").alias("mine"), F.lit((1 << (own[-1] + 1)) - 1).cast("long").alias("seen")))
+    keyed = rows.withColumn("t", F.explode(F.array(*tables))).select("component", "node_id", "h", "b", "t.v", "t.mine", "t.seen")
+    carried = ["b"] if single else ["b", "h"]
+    x = keyed.select("component", "v", "mine", "seen", F.col("node_id").alias("source"), *(F.col(c).alias("x" + c) for c in carried))
+    y = keyed.select("component", "v", F.col("node_id").alias("target"), *(F.col(c).alias("y" + c) for c in carried))
+    equal = sum((F.when(F.get("xb", F.lit(k)) == F.get("yb", F.lit(k)), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k in range(blocks)), F.lit(0).cast("long"))
+    near = x.join(y, ["component", "v"]).where("source < target").withColumn("equal", equal).where(F.col("equal").bitwiseAND(F.col("seen")) == F.col("mine"))
+    far = F.lit(loci) - F.bit_count("equal") if single else hamming("xh", "yh", 0, loci)
+    return near.select("source", "target", far.cast("int").alias("distance")).where(F.col("distance") <= n)
 
 
 def lv_counts(pairs: DataFrame) -> DataFrame:
@@ -87,45 +129,96 @@ def lv_counts(pairs: DataFrame) -> DataFrame:
     return both.groupBy("node_id", "distance").agg(F.count(F.lit(1)).alias("n"))
 
 
+def projections(rows: DataFrame, loci: int, differ: int) -> DataFrame:
+    """rows (h, ...) once for each choice of loci - differ loci, with ``v``, the hash of the choice and its alleles."""
+    values = [F.xxhash64(F.lit(t), *(F.get("h", F.lit(k)) for k in own)) for t, own in enumerate(itertools.combinations(range(loci), loci - differ))]
+    return rows.withColumn("v", F.explode(F.array(*values)))
+
+
+def single_variants(groups: DataFrame, loci: int) -> DataFrame:
+    """(node_id, lv): how many distinct profiles differ in exactly one locus: those that share all loci but one."""
+    shared = projections(hashed(groups), loci, 1).select("node_id", "v")
+    sizes = shared.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return shared.join(sizes, "v").groupBy("node_id").agg(F.sum(F.col("n") - 1).alias("lv"))
+
+
+def _best_by_groups(nodes: DataFrame, loci: int, band: int) -> DataFrame:
+    """(c, r, ca, cb): for every group of profiles that share loci - band loci, each component's best edge out of it.
+
+    Two members of a group differ in ``band`` loci at most, and as all shorter edges are merged, members of two
+    components in exactly that many. The best edge of a component joins its best node, by variants and id, to the
+    best node of the others: two nodes per group and component are looked at, never pairs of all.
+    """
+    rank = F.struct((-F.col("lv")).alias("lv"), F.col("node_id").alias("id"))
+    per = projections(nodes, loci, band).groupBy("v", F.col("component").alias("c")).agg(F.min(rank).alias("own"))
+    top = per.groupBy("v").agg(F.min(F.struct("own", "c")).alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    second = per.join(top, "v").where("c <> first.c").groupBy("v").agg(F.min(F.struct("own", "c")).alias("second"))
+    met = per.join(top, "v").join(second, "v").withColumn("far", F.when(F.col("c") == F.col("first.c"), F.col("second")).otherwise(F.col("first")))
+    a, b = F.col("own.id"), F.col("far.own.id")
+    la, lb = -F.col("own.lv"), -F.col("far.own.lv")
+    r = F.struct(F.lit(band).alias("distance"), (-F.greatest(la, lb)).alias("l1"), (-F.least(la, lb)).alias("l2"), F.least(a, b).alias("source"), F.greatest(a, b).alias("target"))
+    near = a < b
+    return met.select("c", r.alias("r"), F.when(near, F.col("c")).otherwise(F.col("far.c")).alias("ca"), F.when(near, F.col("far.c")).otherwise(F.col("c")).alias("cb"))
+
+
+def _best_by_pairs(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(c, r, ca, cb): each component's best edge among pairs."""
+    a = nodes.select(F.col("node_id").alias("source"), F.col("component").alias("ca"), F.col("lv").alias("la"))
+    b = nodes.select(F.col("node_id").alias("target"), F.col("component").alias("cb"), F.col("lv").alias("lb"))
+    open_ = pairs.join(a, "source").join(b, "target").where("ca <> cb")
+    r = F.struct("distance", (-F.greatest("la", "lb")).alias("l1"), (-F.least("la", "lb")).alias("l2"), "source", "target")
+    return open_.select(F.explode(F.array("ca", "cb")).alias("c"), r.alias("r"), "ca", "cb")
+
+
 def spanning_forest(groups: DataFrame, limit: int | None = None) -> DataFrame:
     """(source, target, distance): a minimum spanning tree over distinct profiles, or the forest of edges of at most ``limit``.
 
     Bands of growing distance: within a band, rounds in which every component takes its least edge to
     another one (ties by the ends' variant counts, then ids, a strict order, so no cycles) and components
     are merged. An edge of one band is never displaced by a later band, so the weights are those of Kruskal.
+
+    With few loci a band is one distance, and its edges are found by groups of equal projections, without pairs. With
+    more, bands double and candidates come from a Hamming join, which leaves out pairs of one component.
     """
     spark = groups.sparkSession
     scratch = Scratch(spark, "spanning")
-    nodes = groups.select("node_id")
-    loci = groups.agg(F.max(F.size("alleles"))).first()[0] or 0
+    groups = scratch.save(groups.select("node_id", "alleles"), "profiles")
+    loci = n_loci(groups)
     top = loci if limit is None else min(limit, loci)
-    owner = scratch.save(nodes.select("node_id", F.col("node_id").alias("component")), "owner")
-    tree, band = None, 1
-    while top:
+    if not top:
+        return spark.createDataFrame([], "source string, target string, distance int")
+    near = single_variants(groups, loci) if loci <= SUBSETS else lv_counts(allelic_pairs(groups, 1)).where("distance = 1").select("node_id", F.col("n").alias("lv"))
+    nodes = hashed(groups).join(near, "node_id", "left").select("node_id", "h", F.coalesce("lv", F.lit(0)).alias("lv"), F.col("node_id").alias("component"))
+    nodes = scratch.save(nodes, "nodes")
+    n_nodes, n_edges = nodes.count(), 0
+    tree, done, band = [], 0, 1
+    while True:
         band = min(band, top)
-        pairs = scratch.save(allelic_pairs(groups, band).where("distance > 0"), f"pairs{band}")
-        near = lv_counts(pairs.where("distance = 1")).select("node_id", F.col("n").alias("lv"))
-        while True:
-            a = owner.select(F.col("node_id").alias("source"), F.col("component").alias("ca"))
-            b = owner.select(F.col("node_id").alias("target"), F.col("component").alias("cb"))
-            open_ = pairs.join(a, "source").join(b, "target").where("ca <> cb")
-            la, lb = near.select(F.col("node_id").alias("source"), F.col("lv").alias("l1")), near.select(F.col("node_id").alias("target"), F.col("lv").alias("l2"))
-            open_ = open_.join(la, "source", "left").join(lb, "target", "left")
-            l1, l2 = F.coalesce("l1", F.lit(0)), F.coalesce("l2", F.lit(0))
-            rank = F.struct("distance", -F.greatest(l1, l2), -F.least(l1, l2), "source", "target")
-            sides = open_.select(F.col("ca").alias("c"), rank.alias("r"), "ca", "cb").unionByName(open_.select(F.col("cb").alias("c"), rank.alias("r"), "ca", "cb"))
-            best = sides.groupBy("c").agg(F.min(F.struct("r", "ca", "cb")).alias("m"))
+        # Groups tell a distance only where all shorter edges are merged.
+        grouped = band == done + 1 and math.comb(loci, band) <= SUBSETS
+        pairs = None
+        while n_edges < n_nodes - 1:
+            if not grouped and pairs is None:
+                pairs = scratch.save(allelic_pairs(groups, band).where("distance > 0"), f"pairs{band}")
+            open_ = _best_by_groups(nodes, loci, band) if grouped else _best_by_pairs(nodes, pairs)
+            best = open_.groupBy("c").agg(F.min(F.struct("r", "ca", "cb")).alias("m"))
             chosen = scratch.save(best.select("m.r.source", "m.r.target", "m.r.distance", "m.ca", "m.cb").distinct(), "chosen")
-            if not chosen.limit(1).count():
+            found = chosen.count()
+            if not found:
                 break
-            tree = chosen.select("source", "target", "distance") if tree is None else tree.unionByName(chosen.select("source", "target", "distance"))
+            n_edges += found
+            tree.append(chosen.select("source", "target", F.col("distance").cast("int").alias("distance")))
             merged = components_of_edges(chosen, "ca", "cb").withColumnRenamed("component", "new")
-            owner = scratch.save(owner.join(merged, owner["component"] == merged["node"], "left").select("node_id", F.coalesce("new", "component").alias("component")), "owner")
-        parts = owner.select("component").distinct().count()
-        if parts <= 1 or band >= top:
+            nodes = scratch.save(nodes.join(merged, nodes["component"] == merged["node"], "left").select("node_id", "h", "lv", F.coalesce("new", "component").alias("component")), "nodes")
+        if n_edges >= n_nodes - 1 or band >= top:
             break
-        band *= 2
-    return tree if tree is not None else spark.createDataFrame([], "source string, target string, distance int")
+        done, band = band, band + 1 if math.comb(loci, band + 1) <= SUBSETS else band * 2
+    if not tree:
+        return spark.createDataFrame([], "source string, target string, distance int")
+    out = tree[0]
+    for more in tree[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def weight_histogram(tree: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from silvaspan.functions.labels import is_generated_junction
+from silvaspan.operators.ordering import carry_last, carry_max
+from silvaspan.scratch import Scratch
 
 
 def filter_annotations(df: DataFrame, accepted: dict[str, list[str]] | None = None, ranges: dict[str, tuple[float | None, float | None]] | None = None) -> DataFrame:
@@ -34,6 +36,67 @@ def boxes(requests: DataFrame, *more: str) -> DataFrame:
     return requests.select("request_id", *(F.col(c).alias("b" + c) for c in ("x0", "x1", "y0", "y1")), *more)
 
 
+def _grid(requests: DataFrame) -> dict[str, float]:
+    """Corner and cell sides of a grid: a quarter of a request's mean sides. A driver-side row of four numbers."""
+    row = requests.agg(F.min("x0").alias("cx"), F.min("y0").alias("cy"), F.avg(F.col("x1") - F.col("x0")).alias("w"), F.avg(F.col("y1") - F.col("y0")).alias("h")).first()
+    return {"x": row["cx"] or 0.0, "y": row["cy"] or 0.0, "w": (row["w"] or 0) / 4 or 1.0, "h": (row["h"] or 0) / 4 or 1.0}
+
+
+def _scaled(df: DataFrame, x0: str, x1: str, y0: str, y1: str, grid: dict[str, float]) -> DataFrame:
+    """df with ``own``: by how many doublings of the grid's cell a box stands in some 36 cells at most."""
+    wide = F.greatest((F.col(x1) - F.col(x0)) / grid["w"], (F.col(y1) - F.col(y0)) / grid["h"], F.lit(1.0))
+    return df.withColumn("own", F.greatest(F.lit(0), F.ceil(F.log2(wide)) - 2).cast("int"))
+
+
+def _scales(df: DataFrame) -> list[int]:
+    """The doublings in use, of which a double has room for some two thousand, and data for a few."""
+    return sorted(r["own"] for r in df.select("own").distinct().collect())
+
+
+def _placed(df: DataFrame, x0: str, x1: str, y0: str, y1: str, scales: list[int], grid: dict[str, float]) -> DataFrame:
+    """One row for each of the scales from its own on, and each cell (cx, cy) there that a box touches."""
+    rows = df.withColumn("scale", F.explode(F.filter(F.array(*map(F.lit, scales)), lambda s: s >= F.col("own"))))
+    for c, lo, hi, corner, side in (("cx", x0, x1, grid["x"], grid["w"]), ("cy", y0, y1, grid["y"], grid["h"])):
+        size = F.lit(side) * F.pow(F.lit(2.0), F.col("scale"))
+        first, last = F.floor((F.col(lo) - corner) / size), F.floor((F.col(hi) - corner) / size)
+        rows = rows.withColumn(c, F.explode(F.sequence(first, F.greatest(first, last))))
+    return rows
+
+
+def points_in_boxes(requests: DataFrame, points: DataFrame, *more: str) -> DataFrame:
+    """(request_id, more, columns of points): the points (x, y, ...) in every box.
+
+    Both sides meet on the cells of a grid, then the test is exact. A box takes cells of the scale of its own size, a
+    point stands in one cell of every scale in use.
+    """
+    grid = _grid(requests)
+    asked = _scaled(boxes(requests, *more), "bx0", "bx1", "by0", "by1", grid)
+    scales = _scales(asked)
+    if not scales:
+        return boxes(requests, *more).crossJoin(points.limit(0)).select("request_id", *more, *points.columns)
+    asked = _placed(asked, "bx0", "bx1", "by0", "by1", scales, grid).where("scale = own").drop("own")
+    placed = _placed(points.where("x is not null and y is not null").withColumn("own", F.lit(0)), "x", "x", "y", "y", scales, grid).drop("own")
+    return asked.join(placed, ["scale", "cx", "cy"]).where(in_box(F.col("x"), F.col("y"))).select("request_id", *more, *points.columns)
+
+
+def boxes_overlapping(requests: DataFrame, boxed: DataFrame, *more: str) -> DataFrame:
+    """(request_id, more, columns of boxed): the boxes (x0, x1, y0, y1, ...) that overlap every request, once each.
+
+    Both sides meet on the cells of a grid, at the scale of the larger of the two, so neither stands in many
+    cells; a pair counts in the cell that holds the lower corner of what both share.
+    """
+    grid = _grid(requests)
+    asked, own = _scaled(boxes(requests, *more), "bx0", "bx1", "by0", "by1", grid), _scaled(boxed.where("x0 is not null and y0 is not null"), "x0", "x1", "y0", "y1", grid)
+    scales = sorted({*_scales(asked), *_scales(own)})
+    if not scales:
+        return boxes(requests, *more).crossJoin(boxed.limit(0)).select("request_id", *more, *boxed.columns)
+    asked = _placed(asked, "bx0", "bx1", "by0", "by1", scales, grid).withColumnRenamed("own", "asked_own")
+    hit = asked.join(_placed(own, "x0", "x1", "y0", "y1", scales, grid), ["scale", "cx", "cy"]).where(overlaps_box() & (F.col("scale") == F.greatest("own", "asked_own")))
+    size = F.pow(F.lit(2.0), F.col("scale"))
+    first = (F.col("cx") == F.floor((F.greatest("bx0", "x0") - grid["x"]) / (F.lit(grid["w"]) * size))) & (F.col("cy") == F.floor((F.greatest("by0", "y0") - grid["y"]) / (F.lit(grid["h"]) * size)))
+    return hit.where(first).select("request_id", *more, *boxed.columns)
+
+
 def scope(df: DataFrame, index: DataFrame, component: str, key: str = "node_id") -> DataFrame:
     """Rows of one component, before any limit."""
     return df.join(index.where(F.col("component") == component).select(F.col("node_id").alias(key)), key, "left_semi")
@@ -83,7 +146,7 @@ def one_hop(edges: DataFrame, ids: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def viewport_detail(requests: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
     """Nodes in the box and all their neighbours (flag ``inside``), and all touching edges with both ends there."""
-    hit = boxes(requests).join(nodes, in_box(F.col("x"), F.col("y"))).select("request_id", *nodes.columns)
+    hit = points_in_boxes(requests, nodes)
     inside = ordered_slice(hit, ["request_id"], [F.col("node_id")], limit)
     ids = inside.select("request_id", "node_id")
     around = one_hop(edges, ids, nodes).select("request_id", *nodes.columns)
@@ -93,8 +156,8 @@ def viewport_detail(requests: DataFrame, nodes: DataFrame, edges: DataFrame, lim
 
 def viewport_coarse(requests: DataFrame, boxed: DataFrame, quotient: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
     """Representatives of the request's level that overlap its box, largest first, and the quotient edges among them."""
-    asked = boxes(requests, "level")
-    hit = asked.join(boxed, (asked["level"] == boxed["level"]) & overlaps_box()).select("request_id", boxed["level"], "cluster_id", "representative", "members")
+    asked = requests.withColumn("asked", F.col("level"))
+    hit = boxes_overlapping(asked, boxed, "asked").where(F.col("asked") == F.col("level")).select("request_id", "level", "cluster_id", "representative", "members")
     shown = ordered_slice(hit, ["request_id"], [F.col("members").desc(), F.col("cluster_id")], limit)
     ids = shown.select("request_id", "level", F.col("representative").alias("node_id"))
     a, b = ids.withColumnRenamed("node_id", "source"), ids.withColumnRenamed("node_id", "target")
@@ -122,7 +185,7 @@ def expansion_boundary(requests: DataFrame, clusters: DataFrame, edges: DataFram
 
 def read_region(requests: DataFrame, nodes: DataFrame, edges: DataFrame, numeric: str, category: str) -> DataFrame:
     """(request_id, nodes, edges, mean, mode): everything in each box, aggregated."""
-    hit = boxes(requests).join(nodes, in_box(F.col("x"), F.col("y")))
+    hit = Scratch(nodes.sparkSession, "region").save(points_in_boxes(requests, nodes), "hit")
     counts = hit.groupBy("request_id").agg(F.count(F.lit(1)).alias("nodes"), F.round(F.avg(numeric), 6).alias("mean"))
     modes = hit.where(F.col(category).isNotNull()).groupBy("request_id", category).agg(F.count(F.lit(1)).alias("n")).groupBy("request_id").agg(F.min_by(category, F.struct(-F.col("n"), F.col(category))).alias("mode"))
     inner = internal_edges(edges, hit.select("request_id", "node_id")).groupBy("request_id").agg(F.count(F.lit(1)).alias("edges"))
@@ -147,8 +210,11 @@ def component_page(components: DataFrame, after: int, limit: int) -> tuple[DataF
 def representation_counts(requests: DataFrame, boxed: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(request_id, level, n): what each tier would show in each box; level -1 is full detail with all neighbours."""
     placed = boxed.groupBy("level").agg((F.count("x0") == F.count(F.lit(1))).alias("whole")).where("whole").select("level")
-    coarse = boxes(requests).crossJoin(F.broadcast(placed)).join(boxed, "level").groupBy("request_id", "level").agg(F.count_if(overlaps_box()).alias("n"))
-    ids = boxes(requests).join(nodes, in_box(F.col("x"), F.col("y"))).select("request_id", "node_id")
+    # One row per tier: few. Tiers without any overlap count 0.
+    asked = requests.select("request_id").crossJoin(F.broadcast(placed))
+    found = boxes_overlapping(requests, boxed.join(F.broadcast(placed), "level")).groupBy("request_id", "level").agg(F.count(F.lit(1)).alias("n"))
+    coarse = asked.join(found, ["request_id", "level"], "left").select("request_id", "level", F.coalesce("n", F.lit(0)).alias("n"))
+    ids = points_in_boxes(requests, nodes).select("request_id", "node_id")
     around = touching_edges(edges, ids).select("request_id", F.explode(F.array("source", "target")).alias("node_id"))
     fine = ids.unionByName(around).distinct().groupBy("request_id").agg(F.count(F.lit(1)).alias("n")).withColumn("level", F.lit(-1))
     fine = requests.select("request_id").join(fine, "request_id", "left").select("request_id", F.lit(-1).alias("level"), F.coalesce("n", F.lit(0)).alias("n"))
@@ -156,12 +222,15 @@ def representation_counts(requests: DataFrame, boxed: DataFrame, nodes: DataFram
 
 
 def choose_tier(counts: DataFrame, requests: DataFrame) -> DataFrame:
-    """(request_id, level): the finest tier whose cost fits the request's target, else the coarsest.
+    """(request_id, level): the finest tier whose cost fits the request's target, else the coarsest; the preferred one where no tier is counted.
 
-    A tier ahead of the preferred one costs twice as much per step. A previous tier is kept while it
-    costs at most 1.15 times the target, unless a finer one fits within 0.85 of it.
+    A tier ahead of the preferred one costs twice as much per step. A previous tier of at most 1.15 times
+    the target yields to no coarser one, and to a finer one only if that costs at most 0.85 of the target: then to the finest such.
     """
-    rows = counts.where("level >= 0").join(requests.select("request_id", "preferred", "target", "previous"), "request_id")
+    if requests.where("target < 1").limit(1).count():
+        raise ValueError("a target is positive")
+    asked = requests.select("request_id", "preferred", "target", "previous")
+    rows = counts.where("level >= 0").join(asked, "request_id")
     cost = F.col("n") * F.pow(F.lit(2.0), F.greatest(F.lit(0), F.col("level") - F.col("preferred")))
     each = rows.select("request_id", "level", "previous", "target", cost.alias("cost"))
     got = each.groupBy("request_id").agg(
@@ -169,13 +238,15 @@ def choose_tier(counts: DataFrame, requests: DataFrame) -> DataFrame:
         F.max(F.when((F.col("level") == F.col("previous")) & (F.col("cost") <= 1.15 * F.col("target")), F.col("level"))).alias("kept"),
         F.max(F.when((F.col("level") > F.col("previous")) & (F.col("cost") <= 0.85 * F.col("target")), F.col("level"))).alias("finer"),
     )
-    return got.select("request_id", F.coalesce("finer", "kept", "fit", "coarsest").alias("level"))
+    chosen = F.coalesce("fit", "coarsest")
+    level = F.when(F.col("kept").isNull() | (chosen == F.col("kept")), chosen).when(chosen < F.col("kept"), F.col("kept")).otherwise(F.coalesce("finer", "kept"))
+    found = got.select("request_id", level.alias("level"))
+    return asked.join(found, "request_id", "left").select("request_id", F.coalesce("level", "preferred").cast("int").alias("level"))
 
 
 def outer_cover(folds: DataFrame) -> DataFrame:
-    """Folds (component, node_id, dfs_start, dfs_end) that lie in no other one."""
-    by = W.partitionBy("component").orderBy("dfs_start", F.col("dfs_end").desc()).rowsBetween(W.unboundedPreceding, -1)
-    return folds.withColumn("_end", F.max("dfs_end").over(by)).where("_end is null or dfs_start >= _end").drop("_end")
+    """Folds (component, node_id, dfs_start, dfs_end) that lie in no other one; the preorder runs through all components."""
+    return carry_max(folds, "dfs_start", "dfs_end", "_end").where("_end is null or dfs_start >= _end").drop("_end")
 
 
 def apply_folds(index: DataFrame, folds: DataFrame) -> DataFrame:
@@ -183,12 +254,11 @@ def apply_folds(index: DataFrame, folds: DataFrame) -> DataFrame:
 
     Folds and nodes are merged in preorder: the last outer fold that started at or before a node is the only one that can hold it.
     """
-    cover = outer_cover(folds).select("component", F.col("dfs_start").alias("f0"), F.col("dfs_end").alias("f1"), F.col("node_id").alias("fold"))
-    rows = index.join(cover, (index["component"] == cover["component"]) & (F.col("dfs_start") == F.col("f0")), "left").select(index["*"], "f0", "f1", "fold")
-    by = W.partitionBy("component").orderBy("dfs_start").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("last", F.last(F.when(F.col("fold").isNotNull(), F.struct("fold", "f1")), ignorenulls=True).over(by))
+    cover = outer_cover(folds).select(F.col("dfs_start"), F.col("dfs_end").alias("f1"), F.col("node_id").alias("fold")).dropDuplicates(["dfs_start"])
+    rows = index.select("node_id", "dfs_start").join(cover, "dfs_start", "left")
+    rows = carry_last(rows, "dfs_start", F.when(F.col("fold").isNotNull(), F.struct("fold", "f1")), "last")
     inside = F.col("last").isNotNull() & (F.col("dfs_start") < F.col("last.f1")) & (F.col("node_id") != F.col("last.fold"))
-    return rows.select("node_id", F.when(inside, F.col("last.fold")).alias("hidden_by"), F.when(F.col("fold").isNotNull(), F.col("f1") - F.col("f0") - 1).alias("hidden"))
+    return rows.select("node_id", F.when(inside, F.col("last.fold")).alias("hidden_by"), F.when(F.col("fold").isNotNull(), F.col("f1") - F.col("dfs_start") - 1).alias("hidden"))
 
 
 def reveal(folds: DataFrame, index: DataFrame, target: str) -> DataFrame:

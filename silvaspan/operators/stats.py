@@ -70,7 +70,8 @@ def invalidate_mixed(df: DataFrame, keys: list[str], identity: str, state: str)
 
 def duration_metric(before: Column, after: Column) -> Column:
     """after - before; null unless both are finite and the difference is not negative."""
-    ok = before.isNotNull() & after.isNotNull() & ~F.isnan(before) & ~F.isnan(after) & (after >= before)
+    finite = [c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in (before, after)]
+    ok = finite[0] & finite[1] & (after >= before)
     return F.when(ok, after - before)
 
 

@@ -6,6 +6,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from silvaspan.operators.ordering import carry_last
+
 GAMMA = 2.0
 SMALL_COMPONENT = 64
 
@@ -45,12 +47,12 @@ def select_cuts(sizes: DataFrame, *keys: str, gamma: float = GAMMA) -> DataFrame
 def clusters_at(index: DataFrame, cuts: DataFrame) -> DataFrame:
     """(level, cut, cluster_id, representative, node_id) for rows of cuts (level, cut): prefix nodes alone, each deeper branch one cluster.
 
-    A node below the cut belongs to its ancestor at depth cut + 1: in preorder the last such node before it.
+    A node below the cut belongs to its ancestor at depth cut + 1: in preorder the last such node before it. The
+    preorder is cut into spans, so a forest of one giant component is many tasks.
     """
-    rows = index.crossJoin(F.broadcast(cuts.select("level", "cut")))
-    by = W.partitionBy("level", "component").orderBy("dfs_start").rowsBetween(W.unboundedPreceding, 0)
-    anchor = F.last(F.when(F.col("depth") == F.col("cut") + 1, F.col("node_id")), ignorenulls=True).over(by)
-    rep = F.when(F.col("depth") <= F.col("cut"), F.col("node_id")).otherwise(anchor)
+    rows = index.select("node_id", "depth", "dfs_start").crossJoin(F.broadcast(cuts.select("level", "cut")))
+    rows = carry_last(rows, "dfs_start", F.when(F.col("depth") == F.col("cut") + 1, F.col("node_id")), "anchor", "level")
+    rep = F.when(F.col("depth") <= F.col("cut"), F.col("node_id")).otherwise(F.col("anchor"))
     rows = rows.select("level", "cut", "node_id", rep.alias("representative"))
     return rows.select("level", "cut", F.concat(F.lit("lod_"), F.col("level").cast("string"), F.lit("_"), F.col("representative")).alias("cluster_id"), "representative", "node_id")
 

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from silvaspan.operators import forest, newick, patristic, profiles, reads, tiers
+from silvaspan.operators import forest, newick, ordering, patristic, profiles, reads, tiers
 from silvaspan.operators.components import components_of_edges
 from silvaspan.scratch import Scratch
 
@@ -35,15 +35,46 @@ def frames(spark, parent):
     return spark.createDataFrame(edges, EDGE), spark.createDataFrame(roots, "node_id string, root_pos int")
 
 
-@pytest.mark.parametrize("levels", [48, 0])
+def grown(seed, n, roots, wide):
+    """A random forest: every node hangs below one of the last ``wide`` nodes before it."""
+    draw = random.Random(seed)
+    names = [f"{draw.choice('abcxyz')}{k:04d}" for k in range(n)]
+    return {v: None if k < roots else names[draw.randrange(max(0, k - wide), k)] for k, v in enumerate(names)}
+
+
+@pytest.mark.parametrize("levels", [16, 0])
 def test_index_equals_plain_traversal(spark, monkeypatch, levels):
     monkeypatch.setattr(forest, "LEVELS", levels)
-    draw = random.Random(38)
-    parent = {f"n{k:03d}": None if k == 0 or draw.random() < 0.15 else f"n{draw.randrange(k):03d}" for k in range(49)}
+    parent = grown(2024, 83, 5, 40)
     got = {r["node_id"]: (r["depth"], r["dfs_start"], r["dfs_end"]) for r in forest.index_forest(*frames(spark, parent)).collect()}
     assert got == plain_index(parent)
 
 
+def test_faulty_forests_are_errors(spark):
+    roots = spark.createDataFrame([("r", 0)], "node_id string, root_pos int")
+    for links in ([("r", "a"), ("b", "c"), ("c", "b")], [("r", "a"), ("r", "b"), ("b", "a")], [("r", "a"), ("a", "r")]):
+        edges = spark.createDataFrame([(f"e{k}", *x, 1.0) for k, x in enumerate(links)], EDGE)
+        with pytest.raises(ValueError):
+            forest.index_forest(edges, roots)
+    with pytest.raises(ValueError):
+        forest.depths_of(spark.createDataFrame([("a", "c"), ("b", "a"), ("c", "b")], "node_id string, parent string"), Scratch(spark, "t"))
+    nodes = spark.createDataFrame([("r",), ("a",), ("b",)], "node_id string")
+    edges = spark.createDataFrame([("1", "r", "a", 1.0), ("2", "a", "b", 1.0), ("3", "r", "b", 1.0), ("4", "b", "b", 1.0), ("5", "b", "zz", 1.0)], EDGE)
+    assert {r["error"]: r["n"] for r in forest.validate_forest(nodes, edges, roots).collect()} == {"cycle": 1, "self loop": 1, "unknown endpoint": 1}
+
+
+def test_sums_and_carries_run_through_spans(spark):
+    draw = random.Random(3)
+    rows = [(k, draw.choice([None, f"v{k}"]), draw.randrange(9)) for k in range(200)]
+    df = spark.createDataFrame(rows, "at long, v string, n long").repartition(5)
+    for inclusive in (True, False):
+        got = {r["at"]: r["last"] for r in ordering.carry_last(df, "at", F.col("v"), "last", span=7, inclusive=inclusive).collect()}
+        assert got == {k: next((v for j, v, _ in reversed(rows[: k + inclusive]) if v), None) for k, _, _ in rows}
+    assert {r["at"]: r["m"] for r in ordering.carry_max(df, "at", "n", "m", span=9).collect()} == {k: max((n for _, _, n in rows[:k]), default=None) for k, _, _ in rows}
+    for span in (1000, 16):
+        assert {r["at"]: r["s"] for r in ordering.sum_before(df, ["at"], "n", "s", span=span).collect()} == {k: sum(n for _, _, n in rows[:k]) for k, _, _ in rows}
+
+
 def test_deep_chain(spark):
     parent = {f"n{k:04d}": f"n{k - 1:04d}" if k else None for k in range(300)}
     got = {r["node_id"]: (r["depth"], r["dfs_start"], r["dfs_end"]) for r in forest.index_forest(*frames(spark, parent)).collect()}
@@ -151,34 +182,43 @@ def test_bounded_levels(spark):
     assert profiles.validate_spanning(groups, profiles.spanning_forest(groups)).count() == 0
 
 
-def test_hamming_pairs_and_tree_equal_brute_force(spark):
-    draw = random.Random(93)
-    rows = [(f"p{k:02d}", k, [str(draw.randrange(1, 4)) for _ in range(8)]) for k in range(24)]
-    rows.append(("p99", 99, rows[0][2][:7] + ["9"]))
+@pytest.mark.parametrize("loci", [5, 9, 40])
+def test_hamming_pairs_and_tree_equal_brute_force(spark, loci):
+    draw = random.Random(loci)
+    rows = [(f"q{k:03d}", k, [draw.choice("abcde") for _ in range(loci)]) for k in range(40)]
+    for k in range(0, 30, 2):  # Some that differ in few loci.
+        rows.append((f"r{k:03d}", 50 + k, [draw.choice("xyz") if draw.random() < 0.2 else a for a in rows[k][2]]))
     groups = profiles.group_profiles(spark.createDataFrame(rows, PROFILE))
     own = {r["node_id"]: r["alleles"] for r in groups.collect()}
     every = {(a, b): sum(x != y for x, y in zip(own[a], own[b])) for a, b in itertools.combinations(sorted(own), 2)}
-    for n in (1, 4, 8, 99):
+    for n in (1, 3, loci, 99):
         got = [(r["source"], r["target"], r["distance"]) for r in profiles.allelic_pairs(groups, n).collect()]
         assert len(got) == len(set(got)) and {(a, b): d for a, b, d in got} == {p: d for p, d in every.items() if d <= n}
-    root, weights = {v: v for v in own}, []
+    near = {v: sum(d == 1 for p, d in every.items() if v in p) for v in own}
+
+    def rank(pair):
+        x, y = near[pair[0]], near[pair[1]]
+        return every[pair], -max(x, y), -min(x, y), pair
+
+    root, tree = {v: v for v in own}, set()
 
     def find(v):
         while root[v] != v:
             v = root[v]
         return v
 
-    for (a, b), d in sorted(every.items(), key=lambda x: x[1]):
+    for a, b in sorted(every, key=rank):
         if find(a) != find(b):
             root[find(a)] = find(b)
-            weights.append(d)
-    assert sorted(r["distance"] for r in profiles.spanning_forest(groups).collect()) == weights
+            tree.add((a, b, every[a, b]))
+    assert {tuple(r) for r in profiles.spanning_forest(groups).collect()} == tree
+    assert {tuple(r) for r in profiles.spanning_forest(groups, 2).collect()} == {e for e in tree if e[2] <= 2}
 
 
 def test_paths_equal_brute_force(spark):
-    draw = random.Random(714)
-    parent = {k: draw.randrange(k) if k else None for k in range(25)}
-    length = {k: draw.choice([0.0, 0.5, 1.0, 2.5, 0.1]) for k in parent}
+    draw = random.Random(5150)
+    parent = {k: draw.randrange(max(0, k - 6), k) if k > 1 else None for k in range(34)}
+    length = {k: draw.choice([0.0, 0.3, 1.0, 1.7, 4.0]) for k in parent}
     edges = spark.createDataFrame([(f"e{k}", f"n{p}", f"n{k}", length[k]) for k, p in parent.items() if p is not None], EDGE)
 
     def up(k):
@@ -188,12 +228,14 @@ def test_paths_equal_brute_force(spark):
             d, k = d + round(length[k] * 10), parent[k]
         return out
 
-    named = [f"n{k}" for k in range(0, 25, 2)]
+    picked = [k for k in range(34) if k % 3]
+    named = [f"n{k}" for k in picked]
     every = {}
-    for a, b in itertools.combinations(range(0, 25, 2), 2):
+    for a, b in itertools.combinations(picked, 2):
         x, y = up(a), up(b)
-        every[tuple(sorted((f"n{a}", f"n{b}")))] = min(x[k] + y[k] for k in x if k in y) / 10
-    for radius in (0, 0.5, 2.5, 100):
+        if shared := [x[k] + y[k] for k in x if k in y]:
+            every[tuple(sorted((f"n{a}", f"n{b}")))] = min(shared) / 10
+    for radius in (0, 0.6, 3, 100):
         got = {(r["source"], r["target"]): r["distance"] for r in patristic.patristic_pairs(edges, spark.createDataFrame([(x,) for x in named], "node_id string"), radius).collect()}
         assert got == {p: d for p, d in every.items() if d <= radius}
 
@@ -203,6 +245,9 @@ def test_exact_decimals(spark):
     assert patristic.patristic_pairs(edges, spark.createDataFrame([("a",), ("b",)], "node_id string"), 0.3).count() == 1
     with pytest.raises(ValueError):
         patristic.patristic_pairs(edges.withColumn("distance", F.lit(None).cast("double")), edges.selectExpr("source AS node_id"), 1)
+    loop = spark.createDataFrame([("e", "a", "b", 0.0), ("f", "b", "c", 0.0), ("g", "c", "a", 0.0)], EDGE)
+    with pytest.raises(ValueError):
+        patristic.patristic_pairs(loop, loop.selectExpr("source AS node_id"), 1)
 
 
 def test_jump_depths(spark):

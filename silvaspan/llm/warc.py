@@ -9,12 +9,14 @@ place inside the frame.
 
 Archive names hold the task attempt, and the index, committed by Spark, names only archives of the
 attempts that succeeded: a lost executor's half-written files are never read. A payload group is one
-number (its largest id) after a partial aggregation, and pages are joined with it by id and digest, so
-a group that holds a third of all pages meets in no task.
+number (its largest id) after a partial aggregation, and pages are joined with it by their digest, those of
+a group that holds a large part of all pages where they are. Archives are read back by groups of ``READ``
+frames, dealt over tasks by a number that follows their sizes.
 
 Defined results: null html is an empty payload; null urls have no target line; line breaks in urls
 become %0D and %0A; a null id never becomes the referred response unless its whole group has null ids,
-then all of it are responses; rows that repeat the largest id of their payload are all responses; an
+then all of it are responses; rows that repeat the largest id of their payload are all responses, and rows of
+one id and payload share a record id, since they are one record written twice; an
 empty table writes no archive and reads back as no rows; extra columns are not read.
 """
 
@@ -32,12 +34,15 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from silvaspan.llm.skew import spread_join
 from silvaspan.scratch import Scratch
 from silvaspan.sources.tables import table
 
 FRAME = 1 << 18
 ARCHIVE = 1 << 26
 LEVEL = 3
+#: Frames that one row of the read-back stands for, and the compressed bytes that a task of it should read.
+READ, READ_BYTES = 64, 1 << 25
 #: Fixed values of the Zstandard seekable format and of the record's layout.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 DATE = "1970-01-01T00:00:00Z"
@@ -48,10 +53,14 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def record_id(page_id, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{digest}')}>"
+
+
 def render(page_id, url: str | None, payload: bytes, refers_to, revisit: bool) -> tuple[str, bytes]:
     """The record's id and its bytes."""
     digest = payload_digest(payload)
-    name = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{digest}')}>"
+    name = record_id(page_id, digest)
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = head if revisit else head + payload
     lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {name}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-X-Payload-Length: {len(payload)}"]
@@ -60,7 +69,7 @@ def render(page_id, url: str | None, payload: bytes, refers_to, revisit: bool) -
     if url is not None:
         lines.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     if revisit:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-X-Refers-To-Page-ID: {refers_to}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"WARC-X-Refers-To-Page-ID: {refers_to}"]
     lines += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return name, "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -100,11 +109,13 @@ def read_seek_table(file, size: int) -> list[tuple[int, int]]:
 def with_references(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """(page_id, url, html, refers_to, revisit) for every row of pages (page_id, url, html)."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("sha", F.sha1(F.encode("html", "UTF-8")))
-    keyed = rows.where(F.octet_length("html") >= least_bytes).select("page_id", "sha")
-    top = keyed.groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 and refers_to is not null")
-    again = keyed.join(top, "sha").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select(F.col("page_id").alias("_p"), F.col("sha").alias("_s"), "refers_to").distinct()
-    found = rows.join(again, rows["page_id"].eqNullSafe(again["_p"]) & (rows["sha"] == again["_s"]), "left")
-    return found.select("page_id", "url", "html", "refers_to", F.col("refers_to").isNotNull().alias("revisit"))
+    rows = rows.withColumn("size", F.octet_length("html"))
+    keyed = rows.where(F.col("size") >= least_bytes).select("page_id", "sha")
+    top = keyed.groupBy("sha").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1 and top is not null")
+    top = Scratch(pages.sparkSession, "payloads").save(top, "top")
+    found = spread_join(rows, top, "sha", "n", pages.count(), "left")
+    refers = F.when((F.col("size") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("top")), F.col("top"))
+    return found.select("page_id", "url", "html", refers.alias("refers_to"), refers.isNotNull().alias("revisit"))
 
 
 def write_archives(pages: DataFrame, root: str, frame: int = FRAME, archive: int = ARCHIVE) -> None:
@@ -161,16 +172,21 @@ def write_archives(pages: DataFrame, root: str, frame: int = FRAME, archive: int
 
 def read_archives(spark: SparkSession, root: str, id_type: str = "long") -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, url, record_id) of every record, from the archives that the index names."""
-    names = spark.read.schema(INDEX).parquet(f"{root}/index").select("archive").distinct()
+    index = spark.read.schema(INDEX).parquet(f"{root}/index")
+    frames = index.groupBy("archive", "frame").agg(F.max("frame_bytes").alias("bytes"))
+    parts = frames.groupBy("archive", F.expr(f"frame div {READ}").alias("part")).agg(F.sum("bytes").alias("bytes"))
+    total, n = parts.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count(F.lit(1))).first()
+    # A number that is given is not coalesced at run time: the parts of one archive go to many tasks.
+    names = parts.select("archive", "part").repartition(max(1, min(n, total // READ_BYTES + 8)), "archive", "part")
     schema = f"page_id {id_type}, payload_bytes long, payload_digest string, record_type string, refers_to {id_type}, url string, record_id string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pyarrow.fs.FileSystem.from_uri(root)
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            for name in batch.column(0).to_pylist():
+            for name, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 with fs.open_input_file(f"{base}/archives/{name}") as file:
-                    for start, size in read_seek_table(file, file.size()):
+                    for start, size in read_seek_table(file, file.size())[READ * part : READ * (part + 1)]:
                         file.seek(start)
                         data = unpack.decompress(file.read(size))
                         rows, at = [], 0

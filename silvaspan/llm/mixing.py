@@ -9,9 +9,13 @@ number of words, until each is zero or one; at most two documents of a block sta
 of all blocks form new blocks of the same source, until one block is left, and only its last two
 documents are landed: first keeping the word total, then by a draw.
 
-Blocks are set by a hash of the document, never by Spark's partitions, and draws come from a generator
-seeded by source, block and round: reruns and lost executors give the same rows. No text leaves its
-task; a block holds a bounded number of (id, size) rows, however large its source.
+Rows of equal id, size and source are counted first and numbered from 0; the block comes from a hash of the id,
+the size and that number, never from Spark's partitions, and draws come from a generator seeded by source,
+block and round: reruns and lost executors give the same rows. No text leaves its task; a block holds
+a bounded number of (id, size) rows, however large its source and however often a row or an id repeats.
+
+Targets need an order of all sources: the table of one row per source, not of documents, is sorted in one
+task. It may hold ``MOST_SOURCES`` rows; beyond that an error is raised.
 
 Defined results: null text has size 0; null sources are one source, the last; sources without words
 have target 0 and nothing is taken; null ids are allowed; repeated rows are separate documents (equal
@@ -33,6 +37,9 @@ CAP = 3.0
 BLOCK = 4096
 #: Blocks of open documents that meet in the next round; each brings two at most.
 MERGE = 1024
+MOST_SOURCES = 1 << 20
+#: Equal rows that one row stands for while they are numbered.
+RUN = 1 << 16
 SEED = 20
 _EPS = 1e-9
 
@@ -147,15 +154,26 @@ def take(units: DataFrame, block: int = BLOCK, merge: int = MERGE, seed: int = S
     return out.withColumn("copies", F.col("base") + F.col("chance").cast("int")).drop("base", "chance", "block", "blocks")
 
 
+def numbered(sizes: DataFrame) -> DataFrame:
+    """Rows (doc_id, source, size, rank): equal rows are counted and come back as many times, numbered from 0."""
+    units = sizes.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("_m"))
+    runs = units.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_m - 1) div {RUN}"))))
+    first, last = F.col("_run") * RUN, F.least(F.col("_run") * RUN + (RUN - 1), F.col("_m") - 1)
+    return runs.select("doc_id", "source", "size", F.explode(F.sequence(first, last)).alias("rank"))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, block: int = BLOCK, merge: int = MERGE) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) for every row of docs (doc_id, text, source)."""
     scratch = Scratch(docs.sparkSession, "sizes")
     sizes = scratch.save(docs.select("doc_id", "source", word_count().alias("size")), "sizes")
-    targets = source_targets(sizes, weights, cap)
-    # One row per source: few beside the documents, and Spark broadcasts it only below its own size threshold.
-    rated = sizes.join(targets, sizes["source"].eqNullSafe(targets["source"])).drop(targets["source"])
+    targets = scratch.save(source_targets(sizes, weights, cap), "targets")
+    if targets.count() > MOST_SOURCES:
+        raise ValueError(f"a mix has at most {MOST_SOURCES} sources")
+    # One row per source, MOST_SOURCES at most: Spark broadcasts it only below its own size threshold.
+    rows = numbered(sizes)
+    rated = rows.join(targets, rows["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rated = rated.withColumn("rate", rate).withColumn("key", F.xxhash64("doc_id", "size", F.lit(SEED)))
+    rated = rated.withColumn("rate", rate).withColumn("key", F.xxhash64("doc_id", "size", "rank", F.lit(SEED))).drop("rank")
     taken = take(rated, block, merge)
     return taken.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 

@@ -56,6 +56,19 @@ def test_reruns_and_other_partitions_agree(spark):
     assert a == sorted(map(str, M.mix(df.repartition(2, "source")).collect()))
 
 
+def test_equal_rows_spread_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(M, "RUN", 7)
+    data = [(1, "same text here", "a")] * 1000 + [(None, "x y", "a")] * 300 + [(k, "w " * (k % 50 + 1), "b") for k in range(2, 900)]
+    df = spark.createDataFrame(data, SCHEMA)
+    own = M.numbered(df.select("doc_id", "source", M.word_count().alias("size"))).collect()
+    assert sorted(r["rank"] for r in own if r["doc_id"] == 1) == list(range(1000)) and len(own) == len(data)
+    got = M.mix(df.repartition(5), block=64, merge=4).collect()
+    assert len(got) == len(data)
+    words = sum(r["taken"] for r in got if r["source"] == "a")
+    assert abs(words - next(r["target"] for r in got if r["source"] == "a")) <= 3
+    assert 1 < len({r["copies"] for r in got if r["doc_id"] == 1}) < 4
+
+
 def test_flight_keeps_counts_and_words():
     draw = random.Random(4)
     sizes = [draw.randrange(1, 500) for _ in range(400)]

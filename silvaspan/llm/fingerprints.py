@@ -7,14 +7,21 @@ bits to a long, in 64 sums per text, where the text's words already are: no word
 
 ``within`` finds all fingerprints inside a Hamming radius by permuted block tables: 128 bits are cut
 into radius + 2 blocks, radius differing bits leave two blocks whole, so one table per pair of blocks,
-keyed by them, holds every answer; candidates are verified.
-
-``edited_texts`` needs each document's successor in descending id order. Ids are dealt into ranges by
-percentiles, about ``PER_RANGE`` rows each, a window inside each range reads the next row, and the
-first rows of the ranges, one per range, are joined to the last ones: one shuffle, no global sort.
+keyed by them, holds every answer; candidates are verified. A key that more than ``DENSE`` fingerprints share
+is dealt over as many tasks as it takes, with the queries, the smaller side, repeated.
+
+``edited_texts`` needs each document's successor in descending id order. The order's keys, ids and
+hashes of texts, are dealt into ranges of about ``PER_RANGE`` rows by Spark's range partitioning and
+stored; the first keys of the ranges, one row each, are all that is broadcast, so their number grows with the table by
+a row in ``PER_RANGE``. Texts are dealt to the ranges by a binary search among them: one shuffle, no global sort. A
+window inside each range reads the next row, and each range's last row takes the first of the next. As
+hashes of texts are part of the key, rows of one id, or of none, are split over ranges too; only
+rows of equal id and text stay together, and where they are a large part of the table they travel as one row with
+a count.
 
 Defined results: null text counts as empty; no words give fingerprint zero; null ids come last in the
-order; rows of equal id are ordered by the hash of their text; extra columns are not read.
+order; rows of equal id are ordered by the hash of their text, and are each other's neighbours; extra columns
+are not read.
 """
 
 from __future__ import annotations
@@ -23,14 +30,15 @@ import itertools
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from silvaspan.llm.skew import HEAVY, spread_join
 from silvaspan.llm.words import BLANK, words
 from silvaspan.scratch import Scratch
 from silvaspan.sources.tables import table
 
 BITS = 128
 RADIUS = 3
-PER_RANGE = 2048
-MAX_RANGES = 4096
+PER_RANGE = 4096
+DENSE = 4096
 _PAIR = (1 << 32) | 1
 
 
@@ -91,42 +99,59 @@ def block_keys(fp: str, radius: int) -> Column:
     return F.array(*(F.xxhash64(F.lit(t), *blocks[i], *blocks[j]) for t, (i, j) in enumerate(itertools.combinations(range(n), 2))))
 
 
-def within(queries: DataFrame, rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+def within(queries: DataFrame, rows: DataFrame, radius: int = RADIUS, dense: int = DENSE) -> DataFrame:
     """(query, fp, distance): all distinct fingerprints (column fp) of rows within the radius of each distinct one of queries."""
+    scratch = Scratch(rows.sparkSession, "within")
+    held = scratch.save(rows.select("fp").distinct().withColumn("key", F.explode(block_keys("fp", radius))), "held")
     asked = queries.select(F.col("fp").alias("query")).distinct().withColumn("key", F.explode(block_keys("query", radius)))
-    held = rows.select("fp").distinct().withColumn("key", F.explode(block_keys("fp", radius)))
-    near = held.join(asked, "key").withColumn("distance", distance("query", "fp")).where(F.col("distance") <= radius)
-    return near.select("query", "fp", "distance").distinct()
+    large = held.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > dense)
+    large = scratch.save(large.select("key", F.ceil(F.col("n") / F.lit(float(dense))).cast("long").alias("parts")), "large")
+    near = held.join(large, "key", "left_anti").join(asked, "key").select("query", "fp")
+    part = F.pmod(F.xxhash64("fp"), F.col("parts"))
+    spread = asked.join(large, "key").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    near = near.unionByName(held.join(large, "key").withColumn("part", part).drop("parts").join(spread, ["key", "part"]).select("query", "fp"))
+    return near.withColumn("distance", distance("query", "fp")).where(F.col("distance") <= radius).distinct()
 
 
 def edited_texts(docs: DataFrame) -> DataFrame:
-    """(range, place, doc_id, text, edited, next_range, next_place) for every row of docs (doc_id, text).
+    """(range, place, copies, doc_id, text, edited, next_range, next_place) for the rows of docs (doc_id, text).
 
     edited: the last half of the text's code points replaced by the first ones of the successor's text.
-    (range, place) names a row; (next_range, next_place) its successor.
+    (range, place) names a row; (next_range, next_place) its successor. copies: how many rows of docs it stands for.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.bitwise_not(F.xxhash64("text")))
-    n = docs.select("doc_id").count()
-    ranges = max(1, min(MAX_RANGES, n // PER_RANGE))
-    bounds = docs.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)] or [1.0]).alias("b")).first()["b"] if n else None
-    at = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.size(F.filter(F.lit(sorted(set(bounds))), lambda b: b < F.col("doc_id"))) if bounds else F.lit(0))
-    rows = rows.withColumn("range", at.cast("int"))
-    # One row per range at most, MAX_RANGES + 1 in all: the successor of a range's last row is the first row of the next.
-    firsts = rows.groupBy("range").agg(F.max(F.struct("doc_id", "tie")).alias("top")).select("range", "top.*")
-    down = W.orderBy(F.col("range").desc())
-    order = firsts.select("range", F.coalesce(F.lead("range").over(down), F.max("range").over(W.partitionBy())).alias("after"))
-    starts = rows.join(F.broadcast(firsts.select("range", F.col("doc_id").alias("_d"), "tie")), ["range", "tie"]).where(F.col("doc_id").eqNullSafe(F.col("_d")))
-    starts = starts.groupBy("range").agg(F.first("text").alias("first_text"))
-    starts = order.join(starts.select(F.col("range").alias("after"), "first_text"), "after")
-    by = W.partitionBy("range").orderBy(F.col("doc_id").desc_nulls_last(), F.col("tie").desc())
-    seen = rows.select("range", "doc_id", "text", F.row_number().over(by).alias("place"), F.lead("text").over(by).alias("next"))
-    seen = seen.join(starts, "range", "left")
+    scratch = Scratch(docs.sparkSession, "order")
+    # Ascending in this key is descending in the id, nulls last; ids are whole numbers.
+    order = F.struct(F.col("doc_id").isNull().alias("lost"), F.bitwise_not("doc_id").alias("down"), F.xxhash64("text").alias("hash"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", order.alias("key"), F.lit(1).cast("long").alias("copies"))
+    counted = scratch.save(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "counted")
+    n, most = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    if most > 1 and most * HEAVY > n:
+        # Fewer than HEAVY keys. All but one of their rows are followed by an equal row.
+        heavy = F.broadcast(counted.where((F.col("n") * HEAVY > n) & (F.col("n") > 1)).select("key"))
+        merged = rows.join(heavy, "key", "left_semi").groupBy("key", "doc_id").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n"))
+        merged = merged.select("doc_id", "text", "key", F.explode(F.array(F.col("n") - 1, F.lit(1).cast("long"))).alias("copies"))
+        rows = rows.join(heavy, "key", "left_anti").select(*merged.columns).unionByName(merged)
+    dealt = counted.select("key").repartitionByRange(max(1, n // PER_RANGE), "key").select("key", F.spark_partition_id().alias("part"))
+    firsts = scratch.save(dealt.groupBy("part").agg(F.min("key").alias("key")), "firsts")
+    starts = F.broadcast(firsts.agg(F.sort_array(F.collect_list("key")).alias("starts")))
+    # The last start that is not above the key, by halving: after 40 steps lo is its place.
+    found = F.expr("""aggregate(sequence(1, 40), struct(0L AS lo, bigint(size(starts)) AS hi), (s, k) ->
+        IF(s.hi - s.lo <= 1, s, IF(get(starts, int((s.lo + s.hi) div 2)) <= key, struct((s.lo + s.hi) div 2 AS lo, s.hi AS hi), struct(s.lo AS lo, (s.lo + s.hi) div 2 AS hi))), s -> s.lo)""")
+    rows = rows.crossJoin(starts).withColumn("range", found.cast("int")).drop("starts")
+    # One row per range: its first text is what the last row of the range before is edited with.
+    tops = rows.groupBy("range").agg(F.min("key").alias("key"))
+    tops = scratch.save(rows.join(tops, ["range", "key"]).groupBy("range").agg(F.first("text").alias("first_text")), "tops")
+    by = W.orderBy("range")
+    after = tops.select("range", F.coalesce(F.lead("range").over(by), F.min("range").over(W.partitionBy())).alias("after"))
+    after = after.join(tops.select(F.col("range").alias("after"), "first_text"), "after")
+    inside = W.partitionBy("range").orderBy("key", F.col("copies").desc())
+    seen = rows.select("range", "doc_id", "text", "copies", F.row_number().over(inside).alias("place"), F.lead("text").over(inside).alias("next"))
+    seen = seen.join(after, "range", "left")
     last = F.col("next").isNull()
     half = F.floor(F.length("text") / 2).cast("int")
-    text_after = F.coalesce("next", "first_text")
-    edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.substring(text_after, F.lit(1), half))
+    edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.substring(F.coalesce("next", "first_text"), F.lit(1), half))
     return seen.select(
-        "range", "place", "doc_id", "text", edited.alias("edited"),
+        "range", "place", "copies", "doc_id", "text", edited.alias("edited"),
         F.when(last, F.col("after")).otherwise(F.col("range")).alias("next_range"), F.when(last, F.lit(1)).otherwise(F.col("place") + 1).alias("next_place"),
     )
 
@@ -139,20 +164,21 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fingerprint_report(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "fingerprints")
     both = edited_texts(docs).select(
-        "range", "place", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "next_range", "next_place",
+        "range", "place", "copies", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "next_range", "next_place",
         F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("t")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("t")))).alias("x"),
     )
-    keys = ["range", "place", "doc_id", "n_chars", "edited_sha256", "next_range", "next_place", "which"]
+    keys = ["range", "place", "copies", "doc_id", "n_chars", "edited_sha256", "next_range", "next_place", "which"]
     found = scratch.save(simhash(both.select(*keys[:-1], "x.which", "x.t"), keys, "t"), "fps")
     own = found.where("which = 0").drop("which")
     edited = found.where("which = 1").select("range", "place", F.col("fp").alias("edited_fp"))
     after = own.select(F.col("range").alias("next_range"), F.col("place").alias("next_place"), F.col("fp").alias("next_fp"))
-    rows = own.join(edited, ["range", "place"]).join(after, ["next_range", "next_place"])
-    sizes = own.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
-    near = within(own.where("doc_id % 100 = 0"), own).join(sizes, "fp").groupBy("query").agg((F.sum("n") - 1).alias("n_near"))
-    near = near.withColumnRenamed("query", "fp")
+    rows = scratch.save(own.join(edited, ["range", "place"]).join(after, ["next_range", "next_place"]), "rows")
+    sizes = scratch.save(own.groupBy("fp").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("units")), "sizes")
+    near = within(own.where("doc_id % 100 = 0"), own).join(sizes.select("fp", "n"), "fp").groupBy(F.col("query").alias("fp")).agg((F.sum("n") - 1).alias("n_near"))
+    near = scratch.save(near.join(sizes.select("fp", "units"), "fp"), "near")
+    rows = spread_join(rows, near, "fp", "units", rows.count(), "left")
     asked = F.col("doc_id") % 100 == 0
-    return rows.join(near, "fp", "left").select(
+    return rows.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(
         "doc_id", "n_chars", "edited_sha256", hex_of("fp").alias("fingerprint"), hex_of("edited_fp").alias("edited_fingerprint"),
         likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"), F.when(asked, F.col("n_near")).alias("n_near"),
     )

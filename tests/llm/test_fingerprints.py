@@ -69,6 +69,28 @@ def test_ties_nulls_and_empty(spark):
     assert P.fingerprint_report(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_repeated_rows_and_null_ids_spread_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(P, "PER_RANGE", 5)
+    rows = [(7, "hot row of words")] * 90 + [(None, f"null {k} id {k * k}") for k in range(40)] + [(3, f"one id {k} word") for k in range(40)] + [(k + 10, f"text {k} of its own") for k in range(50)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    texts = P.edited_texts(df)
+    assert max(r["count"] for r in texts.groupBy("range").count().collect()) < 60 and texts.agg(F.sum("copies")).first()[0] == len(rows)
+    got = P.fingerprint_report(df).collect()
+    assert len(got) == len(rows)
+
+    def signed(t):
+        return xxhash.xxh64_intdigest(t.encode(), 42) - (1 << 64) * (xxhash.xxh64_intdigest(t.encode(), 42) >> 63)
+
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), signed(r[1])))
+    want = []
+    for k, (i, t) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        want.append((str(i), plain_fp(t), hashlib.sha256(edited.encode()).hexdigest(), like(plain_fp(t), plain_fp(after))))
+    assert sorted((str(r["doc_id"]), r["fingerprint"], r["edited_sha256"], r["near_next"]) for r in got) == sorted(want)
+
+
 def test_block_tables_lose_nothing(spark):
     draw = random.Random(9)
     base = [draw.getrandbits(128) for _ in range(10)]
@@ -78,8 +100,8 @@ def test_block_tables_lose_nothing(spark):
         return x - (1 << 64) if x >> 63 else x
 
     df = spark.createDataFrame([([signed(f & M), signed(f >> 64)],) for f in fps], "fp array<long>")
-    for radius in (0, 3, 5):
-        got = {(tuple(r["query"]), tuple(r["fp"])) for r in P.within(df.limit(50), df, radius).collect()}
+    for radius, dense in ((0, 4096), (3, 4096), (3, 4), (5, 2)):
+        got = {(tuple(r["query"]), tuple(r["fp"])) for r in P.within(df.limit(50), df, radius, dense).collect()}
         pick = [tuple(r["fp"]) for r in df.limit(50).collect()]
         every = {(signed(f & M), signed(f >> 64)): f for f in fps}
         want = {(a, b) for a in pick for b, f in every.items() if bin(every[a] ^ f).count("1") <= radius}

@@ -18,7 +18,10 @@ Prices reach the documents on two ways that give the same sums. Windows (and wor
 threshold of occurrences go to all tasks as a sorted array; the threshold is the least power of two
 that leaves ``bound`` entries at most, so the size of what is broadcast is checked before. All others,
 the tail, go by a shuffle: each document emits its own tail keys with counts, joined with the prices.
-No tail key is frequent, so that join has no hot key. Where all entries fit, the tail is empty.
+No tail key is frequent, so that join has no hot key. Where all entries fit, the tail is empty. Rows are
+numbered before they are stored, and the stored number ties a document to its tail. The tables of contexts of
+up to two bytes have at most 2^16 rows and are broadcast; where a context of three bytes is joined, its
+windows are dealt over ``SALTS`` tasks.
 
 Defined results: null text counts as empty, one end symbol; a null id is neither held out nor learned
 from; repeated rows stay repeated; with no training document every byte is uniform and every word
@@ -44,7 +47,8 @@ ORDER = 5
 START, END = b"\xfe", b"\xff"
 ALPHABET = 255
 FOLDS = 5
-BOUND = 1 << 22
+BOUND = 1 << 20
+SALTS = 16
 GRAM, WORD = 0, 1
 _PIECE = 1 << 20
 _MANY = 1 << 20
@@ -76,7 +80,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 class _Tally:
-    """Counts of 64-bit keys, kept as sorted arrays."""
+    """Counts of 64-bit keys, kept as sorted arrays of a bounded size."""
 
     def __init__(self) -> None:
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
@@ -85,9 +89,17 @@ class _Tally:
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
         self.parts.append((keys, counts))
         self.size += len(keys)
-        if self.size > 2 * _MANY:
-            self.parts = [self.merged()]
-            self.size = len(self.parts[0][0])
+
+    def over(self) -> tuple[np.ndarray, np.ndarray] | None:
+        """What is to be given out, as merging has not made it small enough to go on; Spark adds up what is given out in parts."""
+        if self.size <= 2 * _MANY:
+            return None
+        found = self.merged()
+        self.parts, self.size = [found], len(found[0])
+        if self.size <= _MANY:
+            return None
+        self.parts, self.size = [], 0
+        return found
 
     def merged(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.parts:
@@ -109,7 +121,7 @@ def tallies(docs: DataFrame, order: int = ORDER) -> DataFrame:
         waiting = {False: 0, True: 0}
         seen: dict[bool, Counter] = {False: Counter(), True: Counter()}
 
-        def flush(train: bool, last: bool) -> None:
+        def flush(train: bool, last: bool) -> Iterator[pa.RecordBatch]:
             if pending[train] and (last or waiting[train] > _MANY):
                 tally[GRAM, train].add(*np.unique(np.concatenate(pending[train]), return_counts=True))
                 pending[train], waiting[train] = [], 0
@@ -118,13 +130,15 @@ def tallies(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 at = np.argsort(hashes)
                 tally[WORD, train].add(hashes[at], np.fromiter(seen[train].values(), np.int64)[at])
                 seen[train] = Counter()
+            for kind in (GRAM, WORD):
+                found = tally[kind, train].merged() if last else tally[kind, train].over()
+                if found is not None:
+                    yield from given(kind, train, *found)
 
-        def rest() -> Iterator[pa.RecordBatch]:
-            for (kind, train), t in tally.items():
-                keys, n = t.merged()
-                for k in range(0, len(keys), _MANY):
-                    part, own = keys[k : k + _MANY].view(np.int64), n[k : k + _MANY].astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int8)), pa.array(part), pa.array(own if train else own * 0), pa.array(own)], ["kind", "key", "train", "total"])
+        def given(kind: int, train: bool, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for k in range(0, len(keys), _MANY):
+                part, own = keys[k : k + _MANY].view(np.int64), n[k : k + _MANY].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int8)), pa.array(part), pa.array(own if train else own * 0), pa.array(own)], ["kind", "key", "train", "total"])
 
         for batch in batches:
             for text, held, lost in zip(*batch.columns):
@@ -132,12 +146,12 @@ def tallies(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 for gram in windows(words, order):
                     pending[train].append(gram)
                     waiting[train] += len(gram)
-                    flush(train, False)
-                seen[train].update(words)
-                flush(train, False)
+                    yield from flush(train, False)
+                for k in range(0, len(words), _MANY // 4):
+                    seen[train].update(words[k : k + _MANY // 4])
+                    yield from flush(train, False)
         for train in (False, True):
-            flush(train, True)
-        yield from rest()
+            yield from flush(train, True)
 
     found = rows.mapInArrow(run, "kind byte, key long, train long, total long")
     return found.groupBy("kind", "key").agg(F.sum("train").alias("train"), F.sum("total").alias("total"))
@@ -161,6 +175,16 @@ def prices(grams: DataFrame, order: int = ORDER) -> DataFrame:
         counted = F.sum("n") if level == order else F.count(F.lit(1))
         levels[level] = scratch.save(longest.select(suffix, "n").groupBy("key").agg(counted.alias("n")), f"level{level}")
         longest = levels[level]
+    salt, salts = F.pmod(F.col("key"), F.lit(SALTS)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+
+    def met(rows: DataFrame, found: DataFrame, key: str, size: int) -> DataFrame:
+        """rows with what is found for their last ``size`` bytes: at most 256^2 rows are broadcast; three bytes, which a great part of all windows can share, are salted."""
+        if size <= 2:
+            return rows.join(F.broadcast(found), key, "left")
+        if size == 3:
+            return rows.withColumn("salt", salt).join(found.withColumn("salt", salts), [key, "salt"], "left").drop("salt")
+        return rows.join(found, key, "left")
+
     state = grams.select("key", "total", F.lit(0.0).alias("lp"), F.lit(False).alias("done"), F.lit(None).cast("long").alias("q_above"), F.lit(None).cast("long").alias("n_above"))
     for level in range(order, -1, -1):
         nodes = levels[level].select(context(level).alias("c"), symbol.alias("s"), "n", "key")
@@ -174,7 +198,7 @@ def prices(grams: DataFrame, order: int = ORDER) -> DataFrame:
         stats = nodes.groupBy("c").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("q"), below)
         hits = levels[level].select(F.col("key").alias("node"), "n")
         at = state.withColumn("c", context(level)).withColumn("node", F.col("key").bitwiseAND(F.lit((1 << 8 * (level + 1)) - 1)))
-        at = at.join(stats, "c", "left").join(hits, "node", "left")
+        at = met(met(at, stats, "c", level), hits, "node", level + 1)
         known = F.col("all").isNotNull()
         left = F.col("q") - F.coalesce("q_above", F.lit(0))
         room = F.col("all") - F.coalesce("n_above", F.lit(0))
@@ -265,33 +289,45 @@ def score(docs: DataFrame, order: int = ORDER, bound: int = BOUND) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, w_keys, w_values = shared.value
         for batch in batches:
-            out, tails = [], []
+            out, ends_at, kinds, keys, counts = [], [0], [], [], []
+
+            def tail(kind: int, missed: np.ndarray) -> None:
+                own, n = _unique(missed)
+                kinds.append(np.full(len(own), kind, np.int8))
+                keys.append(own)
+                counts.append(n)
+                ends_at[-1] += len(own)
+
             for text in batch.column(1):
-                words, lp, rest = words_of(text.as_py()), 0.0, []
+                words, lp = words_of(text.as_py()), 0.0
+                ends_at.append(ends_at[-1])
                 for gram in windows(words, order):
                     known, unknown_grams = slots.sum(gram)
                     lp += known
                     if g_tail:
-                        rest += [(GRAM, int(k), int(c)) for k, c in zip(*map(np.ndarray.tolist, _unique(unknown_grams)))]
+                        tail(GRAM, unknown_grams)
                 hashes = word_hashes(words)
                 values, hit = look_up(hashes, w_keys, w_values)
                 known, base = int(hit.sum()), float(values.sum()) + end
                 if w_tail:
-                    rest += [(WORD, int(k), int(c)) for k, c in zip(*map(np.ndarray.tolist, _unique(hashes[~hit])))]
+                    tail(WORD, hashes[~hit])
                 else:
                     base += unknown * (len(words) - known)
                 out.append((len(words) + 1, known + (ends > 0), base, lp))
-                tails.append([{"kind": a, "key": b, "n": c} for a, b, c in rest])
+            if not out:
+                continue
             cols = [batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64(), pa.float64())))]
-            tail = pa.array(tails, pa.list_(pa.struct([("kind", pa.int8()), ("key", pa.int64()), ("n", pa.int64())])))
-            if len(out):
-                yield pa.RecordBatch.from_arrays([*cols, tail], ["doc_id", "n_tokens", "n_known", "base_score", "score", "tail"])
+            # The tails stay flat arrays, a few bytes an entry.
+            flat = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((kinds, np.int8), (keys, np.int64), (counts, np.int64)))
+            entries = pa.StructArray.from_arrays([pa.array(x) for x in flat], ["kind", "key", "n"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(ends_at, pa.int32()), entries)], ["doc_id", "n_tokens", "n_known", "base_score", "score", "tail"])
 
     rows = docs.select("doc_id", F.col("text").cast("binary"))
     schema = T.StructType([rows.schema["doc_id"], *T._parse_datatype_string("n_tokens long, n_known long, base_score double, score double, tail array<struct<kind: byte, key: long, n: long>>").fields])
     found = rows.mapInArrow(run, schema)
     if g_tail or w_tail:
-        found = scratch.save(found, "heads").withColumn("row", F.monotonically_increasing_id())
+        # Stored with the rows, so that both reads below see the same numbers.
+        found = scratch.save(found.withColumn("row", F.monotonically_increasing_id()), "heads")
         keyed = found.select("row", F.explode("tail").alias("t")).select("row", "t.*")
         value = priced.where(F.col("total") < g_least).select(F.lit(GRAM).cast("byte").alias("kind"), "key", F.col("price").alias("v"))
         value = value.unionByName(words.where(F.col("train") < w_least).select("kind", "key", F.col("price").alias("v")))

@@ -2,6 +2,7 @@ import math
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F, types as T
 
@@ -62,7 +63,7 @@ def plain(rows, order):
 
 
 ROWS = [(k, f"the cat {k} sat on THE mat {'again ' * (k % 4)}über {k * 7919 % 97}") for k in range(30)]
-ROWS += [(31, None), (32, ""), (None, "no id here"), (3, ROWS[3][1]), (40, "zz\tqq\x0bzz " * 300), (42, "日本 q")]
+ROWS += [(31, None), (32, ""), (None, "no id here"), (3, ROWS[3][1]), (40, "zz\tqq\x0bzz " * 300), (42, "日本 q"), (43, "a long text of words " * 60_000)]
 
 
 @pytest.mark.parametrize("bound", [1 << 22, 40])
@@ -74,6 +75,26 @@ def test_scores_equal_a_plain_trie(spark, bound):
         assert a[5:] == pytest.approx(b[5:])
 
 
+def test_pieces_and_flushed_tallies_change_nothing(spark, monkeypatch):
+    """Texts longer than a piece, and tallies that are given out in parts, on the driver's side of the tasks' code."""
+    words = L.words_of(b"the cat sat on the mat again and again " * 9)
+    whole = [int(x) for g in L.windows(words) for x in g]
+    assert len(whole) == len(b" ".join(words)) + 1
+    monkeypatch.setattr(L, "_PIECE", 10)
+    assert [int(x) for g in L.windows(words) for x in g] == whole
+    monkeypatch.setattr(L, "_MANY", 4)
+    tally, given = L._Tally(), defaultdict(int)
+    for k in range(50):
+        tally.add(*map(np.asarray, ([k % 7, 7 + k], [1, 2])))
+        for keys, n in [x for x in [tally.over()] if x]:
+            for a, b in zip(keys, n):
+                given[int(a)] += int(b)
+        assert tally.size <= 10
+    for a, b in zip(*tally.merged()):
+        given[int(a)] += int(b)
+    assert given == {**{j: sum(k % 7 == j for k in range(50)) for j in range(7)}, **{7 + k: 2 for k in range(50)}}
+
+
 def test_probabilities_of_all_followers_sum_to_one(spark):
     train = [b"\xfe" * 2 + b"abab" + b"\xff", b"\xfe" * 2 + b"abb" + b"\xff"]
     seen = defaultdict(int)

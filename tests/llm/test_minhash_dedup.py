@@ -66,8 +66,8 @@ def test_groups_equal_brute_force_in_small_and_large_blocks(spark):
     base = [f"v{k}" for k in range(300)]
     rows += [(5000 + k, edited(draw, base, draw.choice((0, 1, 2, 3, 8)))) for k in range(120)]
     want = sorted(zip([i or 0 for i, _ in rows], [x or 0 for x in plain_least(rows)]))
-    for dense in (2, 10_000):
-        got = M.near_duplicates(spark.createDataFrame(rows, DOCS), dense=dense).collect()
+    for dense, tile in ((2, 4096), (2, 40), (10_000, 4096)):
+        got = M.near_duplicates(spark.createDataFrame(rows, DOCS), dense=dense, tile=tile).collect()
         assert sorted((r["id"] or 0, r["component_id"] or 0) for r in got) == want
 
 

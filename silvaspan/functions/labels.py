@@ -53,6 +53,13 @@ def to_category_text(c: str | Column, kind: str | Column) -> Column:
     return F.when(kind == "boolean", F.initcap(F.lower(c))).when(kind == "number", F.when(whole, number.cast("long").cast("string")).otherwise(number.cast("string"))).otherwise(c)
 
 
+def coerce(c: str | Column, kind: str | Column) -> Column:
+    """The text of a value under a declared type: true or false, numbers as they are counted, null where it does not fit."""
+    c, kind = _c(c), _c(kind)
+    fits = F.when(kind == "boolean", is_boolean_literal(c)).when(kind == "number", is_number_literal(c)).otherwise(kind == "string")
+    return F.when(fits, F.when(kind == "boolean", F.lower(c)).otherwise(to_category_text(c, kind)))
+
+
 def percent_encode(c: str | Column) -> Column:
     return F.replace(F.url_encode(_c(c)), F.lit("+"), F.lit("%20"))
 
@@ -66,6 +73,14 @@ def category_key(field: str | Column, category: str | Column) -> Column:
     return F.concat(F.lit("__category_count__"), percent_encode(field), F.lit("__value__"), percent_encode(category))
 
 
+def decode_category_key(c: str | Column) -> tuple[Column, Column]:
+    """(field, category) of a flat key; null where it is none."""
+    c = _c(c)
+    shape = r"^__category_count__(.*?)__value__(.*)$"
+    is_key = c.rlike(shape)
+    return F.when(is_key, percent_decode(F.regexp_extract(c, shape, 1))), F.when(is_key, percent_decode(F.regexp_extract(c, shape, 2)))
+
+
 def reject_reserved(df: DataFrame) -> DataFrame:
     """df, or an error if a column bears a reserved name."""
     taken = [c for c in df.columns if c == "profile_count" or c.startswith("__category_count__")]
@@ -93,6 +108,12 @@ def pad_bounds(x0: Column, x1: Column, ratio: float) -> tuple[Column, Column]:
     return x0 - (x1 - x0) * ratio, x1 + (x1 - x0) * ratio
 
 
+def pad_world(x0: Column, x1: Column, ratio: float, least: float = 1.0) -> tuple[Column, Column]:
+    """Bounds of the whole world with a margin of a share of their length, or of ``least`` where they are a point."""
+    margin = F.greatest((x1 - x0) * ratio, F.lit(least))
+    return x0 - margin, x1 + margin
+
+
 def centered_bounds(x0: Column, x1: Column, fraction: float) -> tuple[Column, Column]:
     """The middle part of the bounds."""
     return (x0 + x1) / 2 - (x1 - x0) * fraction / 2, (x0 + x1) / 2 + (x1 - x0) * fraction / 2

@@ -1,7 +1,8 @@
-"""Connected components of an edge table by alternating large-star and small-star rounds."""
+"""Connected components of an edge table: alternating large-star and small-star rounds, or one bounded task for few edges."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from silvaspan.scratch import Scratch
@@ -12,7 +13,29 @@ def _print_of(df: DataFrame) -> tuple:
     return row["n"], row["x"]
 
 
-def components_of_edges(edges: DataFrame, left: str | Column = "a", right: str | Column = "b") -> DataFrame:
+#: Up to this many distinct edges one task finds the components; the rounds of a larger graph give the same rows.
+LOCAL = 1 << 16
+
+
+def _joined(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(node, component) of a bounded number of edges (u, v), by linking the larger root below the smaller."""
+    root: dict = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for u, v in zip(pdf["u"], pdf["v"]):
+        a, b = find(u), find(v)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+    return pd.DataFrame({"node": list(root), "component": [find(x) for x in list(root)]})
+
+
+def components_of_edges(edges: DataFrame, left: str | Column = "a", right: str | Column = "b", local: int | None = None) -> DataFrame:
     """(node, component) for every node that an edge touches; component is the smallest node reachable.
 
     Self-loops, repeated edges, either direction and nulls are allowed: an edge with a null end counts
@@ -25,14 +48,19 @@ def components_of_edges(edges: DataFrame, left: str | Column = "a", right: str |
     a, b = (F.col(c) if isinstance(c, str) else c for c in (left, right))
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), a.alias("_a"), b.alias("_b"))
     pairs = pairs.where("_a is not null and _b is not null")
-    now = scratch.save(pairs.where("u <> v").select("u", "v").distinct(), "edges")
-    loops = scratch.save(pairs.where("u = v").select("u").distinct(), "loops")
+    now = scratch.save(pairs.select("u", "v").distinct(), "edges")
+    loops, now = now.where("u = v").select("u"), now.where("u <> v")
     before = _print_of(now)
+    if before[0] <= (LOCAL if local is None else local):
+        kind = now.schema["u"].dataType.simpleString()
+        found = now.groupBy(F.lit(0).alias("all")).applyInPandas(_joined, f"node {kind}, component {kind}")
+        found = scratch.save(found, "local")
+        alone = loops.select(F.col("u").alias("node"), F.col("u").alias("component"))
+        return found.unionByName(alone.join(found.select("node"), "node", "left_anti"))
     while before[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = scratch.save(large, "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -41,7 +69,6 @@ def components_of_edges(edges: DataFrame, left: str | Column = "a", right: str |
         )
         new = scratch.save(small, "small")
         scratch.drop(now)
-        scratch.drop(large)
         now, after = new, _print_of(new)
         if after == before:
             break

@@ -26,10 +26,10 @@ def tokens_of(docs: DataFrame) -> DataFrame:
     return rows.withColumn("depth", F.coalesce(F.sum(step).over(in_tree), F.lit(0)))
 
 
-def parse_forests(docs: DataFrame) -> dict[str, DataFrame]:
+def parse_forests(docs: DataFrame, strict: bool = False) -> dict[str, DataFrame]:
     """nodes (doc_id, node_id, label, explicit), edges (doc_id, edge_id, source, target, distance), roots, warnings and errors (doc_id, message).
 
-    Documents with an error give no nodes. A node's parent is the next closing parenthesis of its own
+    Documents with an error give no nodes; with ``strict``, so do documents with anything behind their first tree. A node's parent is the next closing parenthesis of its own
     depth; an inner node is its closing parenthesis.
     """
     scratch = Scratch(docs.sparkSession, "newick")
@@ -79,6 +79,8 @@ def parse_forests(docs: DataFrame) -> dict[str, DataFrame]:
     errors = errors.unionByName(stray.select("doc_id", F.lit("Unexpected content after label").alias("message")))
     errors = errors.unionByName(named.where("fault like 'error%'").select("doc_id", F.lit("Invalid branch length").alias("message")))
     errors = errors.unionByName(docs.join(toks.where("kind <> ';'"), "doc_id", "left_anti").select("doc_id", F.lit("Empty input").alias("message")))
+    if strict:
+        errors = errors.unionByName(toks.where("tree > 0").select("doc_id", F.lit("Unexpected content after tree").alias("message")))
     errors = scratch.save(errors.distinct(), "errors")
     good = named.join(errors, "doc_id", "left_anti")
     up = good.select("doc_id", F.col("pos").alias("parent_pos"), F.col("node_id").alias("source"))

@@ -293,3 +293,47 @@ def audit_profiles(profiles: DataFrame) -> DataFrame:
         row = df.toDF("n").select(F.lit(name).alias("measure"), F.col("n").cast("long").alias("n"))
         out = row if out is None else out.unionByName(row)
     return out
+
+
+def group_sizes(profiles: DataFrame) -> DataFrame:
+    """(members, profiles): how many distinct profiles stand for how many rows each."""
+    sizes = drop_incomplete_loci(profiles).groupBy("alleles").agg(F.count(F.lit(1)).alias("members"))
+    return sizes.groupBy("members").agg(F.count(F.lit(1)).alias("profiles"))
+
+
+def annotation_id_audit(profiles: DataFrame, ids: DataFrame) -> DataFrame:
+    """(measure, n): annotation rows (join_id) with a blank id, ids that repeat, ids of no profile row, profile rows without annotation; by normalised ids."""
+    own = profiles.select(slugify("isolate_id").alias("norm")).distinct()
+    rows = ids.select(slugify("join_id").alias("norm"))
+    known = rows.where("norm <> ''")
+    measures = [
+        ("blank", rows.where("norm is null or norm = ''")), ("repeated", known.groupBy("norm").count().where("count > 1")),
+        ("unknown", known.distinct().join(own, "norm", "left_anti")), ("missing", own.join(known, "norm", "left_anti")),
+    ]
+    out = None
+    for name, df in measures:
+        row = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("measure"), "n")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def triangular_faults(lines: DataFrame, members: DataFrame, loci: int) -> DataFrame:
+    """(fault, n) of numbered lines (line_no, value) of a triangular matrix over members (id, profile): wrong size line or row length,
+    unknown or repeated ids, distances that are no whole number of at most ``loci``, zeros between other profiles and lengths between equal ones."""
+    rows = lines.where("line_no > 0").select((F.col("line_no") - 1).alias("row"), F.split(F.trim("value"), r"\s+").alias("cells"))
+    ids = rows.select(F.get("cells", F.lit(0)).alias("id"))
+    told = lines.where("line_no = 0").select(F.trim("value").try_cast("long").alias("told")).crossJoin(rows.agg(F.count(F.lit(1)).alias("found")))
+    cells = rows.select("row", F.explode(F.slice("cells", 2, 1 << 30)).alias("d"))
+    pairs = triangular_pairs(lines)
+    a, b = members.select(F.col("id").alias("source"), F.col("profile").alias("pa")), members.select(F.col("id").alias("target"), F.col("profile").alias("pb"))
+    equal = pairs.join(a, "source").join(b, "target")
+    checks = [
+        ("size line", told.where("told is null or told <> found")), ("row length", rows.where("size(cells) <> row + 1")), ("repeated id", ids.groupBy("id").count().where("count > 1")),
+        ("unknown id", ids.join(members.select("id"), "id", "left_anti")), ("bad distance", cells.where(F.col("d").try_cast("int").isNull() | ~F.col("d").rlike("^[0-9]+$") | (F.col("d").try_cast("int") > loci))),
+        ("zero and equality", equal.where("(distance = 0) <> (pa = pb)")),
+    ]
+    out = None
+    for fault, df in checks:
+        row = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(fault).alias("fault"), "n")
+        out = row if out is None else out.unionByName(row)
+    return out.where("n > 0")

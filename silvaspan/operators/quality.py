@@ -36,6 +36,24 @@ def reconstruct_detail(asked: DataFrame, clusters: DataFrame, edges: DataFrame)
     return nodes, inner
 
 
+def semantic_equivalence(a: DataFrame, b: DataFrame, key: str = "node_id") -> DataFrame:
+    """One row (shared, first_only, second_only) of two sets of ids."""
+    rows = a.select(key, F.lit(1).alias("a")).distinct().join(b.select(key, F.lit(1).alias("b")).distinct(), key, "full_outer")
+    return rows.agg(F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("shared"), F.count_if(F.col("b").isNull()).alias("first_only"), F.count_if(F.col("a").isNull()).alias("second_only"))
+
+
+def shared_edges(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(source, target): undirected edges of both lists."""
+    return a.select(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).intersect(b.select(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")))
+
+
+def placement_faults(clusters: DataFrame, positions: DataFrame) -> DataFrame:
+    """(level, n): clusters whose representative has no finite position."""
+    placed = positions.where("abs(x) < double('inf') and abs(y) < double('inf')").select(F.col("node_id").alias("representative"), F.lit(True).alias("placed"))
+    rows = clusters.select("level", "cluster_id", "representative").distinct().join(placed, "representative", "left")
+    return rows.groupBy("level").agg(F.count_if(F.col("placed").isNull()).alias("n"))
+
+
 def audit_exports(a: DataFrame, b: DataFrame) -> DataFrame:
     """(measure, n) of two edge lists (source, target, distance): shared edges, edges of one only, shared ones of another distance."""
     def pairs(df: DataFrame, d: str) -> DataFrame:

@@ -144,14 +144,24 @@ def one_hop(edges: DataFrame, ids: DataFrame, nodes: DataFrame) -> DataFrame:
     return ends.join(ids, ["request_id", "node_id"], "left_anti").join(nodes, "node_id")
 
 
+def represented_nodes(ids: DataFrame, edges: DataFrame) -> DataFrame:
+    """(request_id, node_id): ids and all their neighbours, once each."""
+    around = touching_edges(edges, ids).select("request_id", F.explode(F.array("source", "target")).alias("node_id"))
+    return ids.select("request_id", "node_id").unionByName(around).distinct()
+
+
 def viewport_detail(requests: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
-    """Nodes in the box and all their neighbours (flag ``inside``), and all touching edges with both ends there."""
+    """Nodes in the box and all their neighbours (flag ``inside``), and per request all edges that touch a node inside, with both ends shown."""
     hit = points_in_boxes(requests, nodes)
     inside = ordered_slice(hit, ["request_id"], [F.col("node_id")], limit)
     ids = inside.select("request_id", "node_id")
     around = one_hop(edges, ids, nodes).select("request_id", *nodes.columns)
     shown = inside.select("request_id", *nodes.columns, F.lit(True).alias("inside"), "total", "truncated").unionByName(around.withColumn("inside", F.lit(False)), allowMissingColumns=True)
-    return shown, internal_edges(touching_edges(edges, ids).drop("request_id").distinct(), shown.select("request_id", "node_id").distinct())
+    ends = shown.select("request_id", "node_id").distinct()
+    links = touching_edges(edges, ids)
+    for end in ("source", "target"):
+        links = links.join(ends.withColumnRenamed("node_id", end), ["request_id", end], "left_semi")
+    return shown, links
 
 
 def viewport_coarse(requests: DataFrame, boxed: DataFrame, quotient: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
@@ -183,6 +193,23 @@ def expansion_boundary(requests: DataFrame, clusters: DataFrame, edges: DataFram
     return out.join(reps, ["level", "outer"]).select("request_id", "inner", "outer", "outer_representative", "distance")
 
 
+def boundary_faults(requests: DataFrame, clusters: DataFrame, edges: DataFrame) -> DataFrame:
+    """(request_id, n): asked clusters of several members that do not have exactly one edge to the outside."""
+    size = clusters.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("m"))
+    found = expansion_boundary(requests, clusters, edges).groupBy("request_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = requests.join(size, "cluster_id").where("m > 1").join(found, "request_id", "left")
+    return rows.select("request_id", F.coalesce("n", F.lit(0)).alias("n")).where("n <> 1")
+
+
+def clusters_of_component(requests: DataFrame, clusters: DataFrame, index: DataFrame) -> DataFrame:
+    """requests (request_id, cluster_id, component), or an error if a cluster is not of the component it is asked in."""
+    homes = clusters.select("cluster_id", F.col("representative").alias("node_id")).distinct().join(index.select("node_id", F.col("component").alias("home")), "node_id").select("cluster_id", "home")
+    lost = requests.join(homes, "cluster_id", "left").where("home is null or home <> component")
+    if lost.limit(1).count():
+        raise ValueError("a cluster is not in the component it is asked in")
+    return requests
+
+
 def read_region(requests: DataFrame, nodes: DataFrame, edges: DataFrame, numeric: str, category: str) -> DataFrame:
     """(request_id, nodes, edges, mean, mode): everything in each box, aggregated."""
     hit = Scratch(nodes.sparkSession, "region").save(points_in_boxes(requests, nodes), "hit")
@@ -215,8 +242,7 @@ def representation_counts(requests: DataFrame, boxed: DataFrame, nodes: DataFram
     found = boxes_overlapping(requests, boxed.join(F.broadcast(placed), "level")).groupBy("request_id", "level").agg(F.count(F.lit(1)).alias("n"))
     coarse = asked.join(found, ["request_id", "level"], "left").select("request_id", "level", F.coalesce("n", F.lit(0)).alias("n"))
     ids = points_in_boxes(requests, nodes).select("request_id", "node_id")
-    around = touching_edges(edges, ids).select("request_id", F.explode(F.array("source", "target")).alias("node_id"))
-    fine = ids.unionByName(around).distinct().groupBy("request_id").agg(F.count(F.lit(1)).alias("n")).withColumn("level", F.lit(-1))
+    fine = represented_nodes(ids, edges).join(nodes.select("node_id"), "node_id", "left_semi").groupBy("request_id").agg(F.count(F.lit(1)).alias("n")).withColumn("level", F.lit(-1))
     fine = requests.select("request_id").join(fine, "request_id", "left").select("request_id", F.lit(-1).alias("level"), F.coalesce("n", F.lit(0)).alias("n"))
     return coarse.select("request_id", F.col("level").cast("int").alias("level"), "n").unionByName(fine)
 
@@ -272,6 +298,23 @@ def fold_roots(index: DataFrame) -> DataFrame:
     return index.where("parent is null").select("component", "node_id", "dfs_start", "dfs_end")
 
 
+def collapse(folds: DataFrame, index: DataFrame, node_id: str) -> DataFrame:
+    """folds and that of one node with nodes below it."""
+    more = index.where((F.col("node_id") == node_id) & (F.col("dfs_end") - F.col("dfs_start") > 1)).select(*folds.columns)
+    return folds.where(F.col("node_id") != node_id).unionByName(more)
+
+
+def collapse_roots(folds: DataFrame, index: DataFrame) -> DataFrame:
+    """folds and those of all roots with nodes below them."""
+    more = fold_roots(index).where("dfs_end - dfs_start > 1").select(*folds.columns)
+    return folds.join(more.select("node_id"), "node_id", "left_anti").select(*folds.columns).unionByName(more)
+
+
+def unfold(folds: DataFrame, node_id: str) -> DataFrame:
+    """folds without that of one node."""
+    return folds.where(F.col("node_id") != node_id)
+
+
 def delta_annotations(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """rows with ``cached``; what the caller knows comes without its values."""
     out = rows.join(known.select(key, F.lit(True).alias("cached")), key, "left").withColumn("cached", F.coalesce("cached", F.lit(False)))
@@ -311,6 +354,9 @@ def fold_case(c: str) -> Column:
     return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
 
 
-def select_target(df: DataFrame, middle: float) -> DataFrame:
-    """The cluster whose size is nearest to the geometric middle, ties by level and id."""
-    return df.orderBy(F.abs(F.log(F.col("members") / F.lit(middle))), "level", "cluster_id").limit(1)
+def select_target(df: DataFrame, middle: float | None = None, cluster_id: str | None = None) -> DataFrame:
+    """The cluster of this id; else the one whose size is nearest to the geometric middle, ties by level and id; else the one of the smallest id."""
+    if cluster_id is not None:
+        return df.where(F.col("cluster_id") == cluster_id).limit(1)
+    order = F.struct("cluster_id") if middle is None else F.struct(F.abs(F.log(F.col("members") / F.lit(middle))).alias("d"), "level", "cluster_id")
+    return df.agg(F.min_by(F.struct(*df.columns), order).alias("x")).where("x is not null").select("x.*")

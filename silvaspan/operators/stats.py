@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from silvaspan.operators.ordering import sum_before
+from silvaspan.scratch import Scratch
+
 
 def measured(df: DataFrame, warm_up: str, failed: str) -> DataFrame:
     """Rows that are no warm-up and no failure."""
@@ -129,9 +134,35 @@ def combine_runs(base: DataFrame, replacement: DataFrame, keys: list[str]) -> Da
     return replacement.unionByName(base.join(replacement.select(*keys).distinct(), keys, "left_anti"))
 
 
+def constant_faults(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, n): columns that should hold one value in all rows, and hold n."""
+    row = df.agg(*(F.count_distinct(c).alias(c) for c in columns))
+    return row.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("n")) for c in columns))).alias("x")).select("x.*").where("n <> 1")
+
+
+def phase_faults(df: DataFrame, key: str, phases: list[str], total: str) -> DataFrame:
+    """(key, negative, unbalanced): rows with a negative phase, and whose phases miss the total by more than 1e-6."""
+    spent = sum((F.col(p) for p in phases[1:]), F.col(phases[0]))
+    return df.groupBy(key).agg(F.count_if(F.least(*phases, F.lit(0.0)) < 0).alias("negative"), F.count_if(F.abs(F.col(total) - spent) > 1e-6).alias("unbalanced"))
+
+
+def timer_gaps(df: DataFrame, key: str, scheduled: str, fired: str, requested: str) -> DataFrame:
+    """(key, wait, request): for the last timer that fired, from its schedule to its firing, and from there to the request."""
+    last = df.where(F.col(fired).isNotNull()).groupBy(key).agg(F.max_by(F.struct(scheduled, fired, requested), fired).alias("t"))
+    return last.select(key, (F.col(f"t.{fired}") - F.col(f"t.{scheduled}")).alias("wait"), (F.col(f"t.{requested}") - F.col(f"t.{fired}")).alias("request"))
+
+
 def select_targets(clusters: DataFrame, shares: tuple[float, ...] = (0.10, 0.50, 0.99)) -> DataFrame:
-    """(share, cluster_id, members): clusters at these ranks of the member count."""
-    w = W.orderBy("members", "cluster_id")
-    ranked = clusters.select("cluster_id", "members", F.row_number().over(w).alias("k"), F.count(F.lit(1)).over(W.partitionBy()).alias("n"))
-    out = ranked.withColumn("share", F.explode(F.array(*map(F.lit, shares))))
-    return out.where(F.col("k") == F.greatest(F.lit(1), F.ceil(F.col("share") * F.col("n")).cast("int"))).select("share", "cluster_id", "members")
+    """(share, cluster_id, members): for each share the first cluster at or above this rank of the member count that has at least twice the members of the one before."""
+    ranked = Scratch(clusters.sparkSession, "targets").save(sum_before(clusters.select("cluster_id", "members", F.lit(1).alias("one")), ["members", "cluster_id"], "one", "k"), "ranked")
+    n, least, out = ranked.count(), 0, None
+    for share in sorted(shares):
+        at = max(1, math.ceil(share * n))
+        rows = ranked.where((F.col("k") >= at - 1) & (F.col("members") >= 2 * least))
+        row = rows.agg(F.min_by(F.struct("cluster_id", "members"), "k").alias("x")).first()["x"]
+        if row is None:
+            break
+        least = row["members"]
+        one = ranked.where(F.col("cluster_id") == row["cluster_id"]).select(F.lit(share).alias("share"), "cluster_id", "members")
+        out = one if out is None else out.unionByName(one)
+    return out if out is not None else ranked.limit(0).select(F.lit(0.0).alias("share"), "cluster_id", "members")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from silvaspan.operators.ordering import carry_last
 
@@ -75,6 +75,15 @@ def quotient_edges(clusters: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(a, "source").join(b, ["level", "target"]).where("s <> t").select("level", F.col("s").alias("source"), F.col("t").alias("target"), "distance")
 
 
+def quotient_faults(quotient: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(level, fault, n): parallel quotient edges, and clusters of several members with more than one edge."""
+    ends = quotient.select("level", F.explode(F.array("source", "target")).alias("representative"))
+    size = clusters.groupBy("level", "representative").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    wide = ends.join(size, ["level", "representative"]).groupBy("level", "representative").count().where("count > 1").groupBy("level").agg(F.count(F.lit(1)).alias("n"))
+    twice = quotient.groupBy("level", F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).count().where("count > 1").groupBy("level").agg(F.count(F.lit(1)).alias("n"))
+    return twice.select("level", F.lit("parallel").alias("fault"), "n").unionByName(wide.select("level", F.lit("several edges").alias("fault"), "n"))
+
+
 def consecutive_ratios(df: DataFrame, order: str, value: str) -> DataFrame:
     """df with the value before, its ratio and its jump."""
     before = F.lag(value).over(W.orderBy(order))
@@ -93,6 +102,32 @@ def tier_growth(clusters: DataFrame) -> DataFrame:
     return consecutive_ratios(sizes, "level", "clusters")
 
 
+def growth_totals(growth: DataFrame, n_nodes: int) -> DataFrame:
+    """One row of tier_growth: tiers, sum of clusters, its share of the nodes, membership rows, largest jump and ratio."""
+    return growth.agg(
+        F.count(F.lit(1)).alias("tiers"), F.sum("clusters").alias("clusters"), F.round(F.sum("clusters") / F.lit(n_nodes), 6).alias("per_node"), F.sum("members").alias("members"),
+        F.max("jump").alias("largest_jump"), F.round(F.max("ratio"), 6).alias("largest_ratio"),
+    )
+
+
+def compare_policies(sizes: DataFrame, *keys: str, gamma: float = GAMMA) -> DataFrame:
+    """(keys, policy, cuts): what-if cuts from cut_sizes: the first size of at least gamma times the last (threshold), the nearer of the two
+    sizes about that (nearest, ties to the smaller depth), and depths that double (doubling, eleven before the last at most). All end at the deepest cut."""
+    sizes = sizes.withColumn("_all", F.lit(1)) if not keys else sizes
+    rows = sizes.groupBy(*(keys or ("_all",))).agg(F.array_sort(F.collect_list(F.struct(F.col("depth").cast("int").alias("d"), F.col("visible").cast("double").alias("r")))).alias("a")).withColumn("top", F.element_at("a", -1))
+    upper = f"array_min(transform(filter(a, x -> x.d > s.d AND x.r >= {gamma}D * s.r), x -> x.d))"
+    nearer = f"""array_min(transform(filter(a, x -> x.d > s.d AND x.r > s.r AND x.d <= u), x -> struct(abs(x.r - {gamma}D * s.r) AS e, x.d AS d))).d"""
+    steps = "sequence(1, greatest(1, cast(ceil(2 * log2(top.r) / log2(" + f"{gamma}D" + ")) as int) + 4))"
+
+    def fold(pick: str) -> str:
+        return f"""aggregate({steps}, named_struct('cuts', array(0), 'd', 0, 'r', a[0].r, 'go', true), (s, k) -> IF(NOT s.go OR {gamma}D * s.r > top.r, named_struct('cuts', s.cuts, 'd', s.d, 'r', s.r, 'go', false),
+            element_at(transform(array({upper}), u -> element_at(transform(array({pick}), c -> IF(c IS NULL OR c >= top.d, named_struct('cuts', s.cuts, 'd', s.d, 'r', s.r, 'go', false), named_struct('cuts', concat(s.cuts, array(c)), 'd', c, 'r', a[c].r, 'go', true))), 1)), 1)), s -> s.cuts)"""
+
+    doubling = "concat(array(0), filter(transform(sequence(0, 9), k -> cast(power(2, k) as int)), x -> x < top.d))"
+    cuts = F.array(*(F.struct(F.lit(n).alias("policy"), F.expr(f"array_distinct(concat({e}, array(top.d)))").alias("cuts")) for n, e in (("threshold", fold("u")), ("nearest", fold(nearer)), ("doubling", doubling))))
+    return rows.select(*keys, F.explode(cuts).alias("x")).select(*keys, "x.policy", "x.cuts")
+
+
 def validate_tiers(clusters: DataFrame, index: DataFrame) -> DataFrame:
     """(check, n): nodes in no or several clusters of a tier, clusters that no coarser one holds whole, representatives at a wrong depth."""
     levels = clusters.select("level").distinct()
@@ -107,9 +142,9 @@ def validate_tiers(clusters: DataFrame, index: DataFrame) -> DataFrame:
     return out.unionByName(nested.select(F.lit("refinement").alias("check"), "n")).unionByName(wrong.select(F.lit("representative depth").alias("check"), "n"))
 
 
-def reduction_report(clusters: DataFrame, quotient: DataFrame, n_edges: Column | int) -> DataFrame:
-    """(level, nodes, edges, proxies, node_reduction): what each tier shows of the whole."""
+def reduction_report(clusters: DataFrame, quotient: DataFrame, n_edges: int) -> DataFrame:
+    """(level, nodes, edges, proxies, node_reduction, edge_reduction): what each tier shows of the whole, which has n_edges edges."""
     size = clusters.groupBy("level", "cluster_id").agg(F.count(F.lit(1)).alias("m"))
     nodes = size.groupBy("level").agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("m") > 1).alias("proxies"), F.sum("m").alias("all"))
     edges = quotient.groupBy("level").agg(F.count(F.lit(1)).alias("edges"))
-    return nodes.join(edges, "level", "left").select("level", "nodes", F.coalesce("edges", F.lit(0)).alias("edges"), "proxies", F.round(1 - F.col("nodes") / F.col("all"), 6).alias("node_reduction"))
+    return nodes.join(edges, "level", "left").select("level", "nodes", F.coalesce("edges", F.lit(0)).alias("edges"), "proxies", F.round(1 - F.col("nodes") / F.col("all"), 6).alias("node_reduction"), F.round(1 - F.try_divide(F.coalesce("edges", F.lit(0)), F.lit(n_edges)), 6).alias("edge_reduction"))

@@ -49,9 +49,16 @@ def profiles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def positions(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers on a plane."""
-    customer = table(spark, sf, "customer")
-    return customer.select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("node_id"), (F.col("c_custkey") % 97).cast("double").alias("x"), F.col("c_acctbal").alias("y"), F.col("c_mktsegment").alias("segment"))
+    """Every node of the forest on a plane, with a category for customers and orders."""
+    region, nation, customer, orders = (table(spark, sf, t) for t in ("region", "nation", "customer", "orders"))
+
+    def placed(df: DataFrame, letter: str, key: str, x, y, segment) -> DataFrame:
+        return df.select(F.concat(F.lit(letter), F.col(key).cast("string")).alias("node_id"), x.cast("double").alias("x"), y.cast("double").alias("y"), segment.cast("string").alias("segment"))
+
+    rows = placed(customer, "C", "c_custkey", F.col("c_custkey") % 97, F.col("c_acctbal"), F.col("c_mktsegment"))
+    rows = rows.unionByName(placed(orders, "O", "o_orderkey", F.col("o_orderkey") % 89, F.floor("o_totalprice") % 9000, F.col("o_orderpriority")))
+    rows = rows.unionByName(placed(nation, "N", "n_nationkey", F.col("n_nationkey") * 3.5, F.col("n_nationkey") * 300.0, F.lit(None)))
+    return rows.unionByName(placed(region, "R", "r_regionkey", F.col("r_regionkey") * 20.0, F.lit(5000.0), F.lit(None)))
 
 
 def requests(spark: SparkSession, sf: str) -> DataFrame:

@@ -77,15 +77,16 @@ def forest_components(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT error, n FROM (SELECT 'self loop' AS error, (SELECT count(*) FROM nation WHERE n_nationkey = 0) AS n
     UNION ALL SELECT 'unknown endpoint', (SELECT 2 * count(*) FROM nation WHERE n_nationkey = 1)
-    UNION ALL SELECT 'duplicate node id', (SELECT count(*) FROM region WHERE r_regionkey = 0)) WHERE n > 0""")
+    UNION ALL SELECT 'duplicate node id', (SELECT count(*) FROM region WHERE r_regionkey = 0)
+    UNION ALL SELECT 'cycle', (SELECT count(*) FROM customer WHERE c_custkey % 4 = 1)) WHERE n > 0""")
 def forest_faults(spark: SparkSession, sf: str) -> DataFrame:
-    """Violations of the forest after one self-loop, one edge between unknown nodes and one repeated node."""
+    """Violations of the forest after a self-loop, an edge between unknown nodes, a repeated node, and edges from regions to a quarter of their customers."""
     nodes, edges, roots = inputs.forest(spark, sf)
-    nation = table(spark, sf, "nation")
+    nation, customer = table(spark, sf, "nation"), table(spark, sf, "customer").where("c_custkey % 4 = 1")
     loop = nation.where("n_nationkey = 0").select(F.lit("loop").alias("edge_id"), F.lit("N0").alias("source"), F.lit("N0").alias("target"), F.lit(1.0).alias("distance"))
     lost = nation.where("n_nationkey = 1").select(F.lit("lost").alias("edge_id"), F.lit("X1").alias("source"), F.lit("X2").alias("target"), F.lit(1.0).alias("distance"))
-    faults = forest.validate_forest(nodes.unionByName(nodes.where("node_id = 'R0'")), edges.unionByName(loop).unionByName(lost), roots)
-    return faults.where("error <> 'cycle'")
+    again = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("a"), F.col("c_custkey").cast("string")).alias("edge_id"), F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("source"), F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("target"), F.lit(1.0).alias("distance"))
+    return forest.validate_forest(nodes.unionByName(nodes.where("node_id = 'R0'")), edges.unionByName(loop).unionByName(lost).unionByName(again), roots)
 
 
 @query(f"{INDEX}, h AS (SELECT depth, count(*) AS n FROM t GROUP BY depth) SELECT depth, CAST(sum(n) OVER (ORDER BY depth) + coalesce(lead(n) OVER (ORDER BY depth), 0) AS BIGINT) AS visible FROM h")
@@ -122,14 +123,21 @@ def tier_growth(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""{INDEX}, s AS (SELECT level, representative, count(*) AS m FROM cl GROUP BY ALL), q AS (SELECT level, count(*) AS edges FROM qe GROUP BY level)
-    SELECT level, count(*) AS nodes, any_value(edges) AS edges, count(*) FILTER (WHERE m > 1) AS proxies, round(1 - count(*) / sum(m), 6) AS node_reduction FROM s JOIN q USING (level) GROUP BY level""")
+    SELECT level, count(*) AS nodes, any_value(edges) AS edges, count(*) FILTER (WHERE m > 1) AS proxies, round(1 - count(*) / sum(m), 6) AS node_reduction,
+        round(1 - any_value(edges) / (SELECT count(*) FROM edges), 6) AS edge_reduction FROM s JOIN q USING (level) GROUP BY level""")
 def reduction_report(spark: SparkSession, sf: str) -> DataFrame:
     _, edges, _ = inputs.forest(spark, sf)
     clusters = inputs.clusters(spark, sf)
-    return tiers.reduction_report(clusters, tiers.quotient_edges(clusters, edges), 0)
+    return tiers.reduction_report(clusters, tiers.quotient_edges(clusters, edges), edges.count())
 
 
-@query("SELECT level, \"check\", CAST(0 AS BIGINT) AS n FROM (SELECT CAST(unnest([0, 1, 2]) AS INTEGER) AS level), (SELECT unnest(['uncovered', 'overlapping', 'disconnected', 'missing', 'unsupported']) AS \"check\")")
+@query(f"""{INDEX}, ends AS (SELECT c.level, e.source, e.target, c.representative AS a, d.representative AS b FROM edges e JOIN cl c ON c.node_id = e.source JOIN cl d ON d.node_id = e.target AND d.level = c.level),
+    per AS (SELECT level, node_id, count(*) AS k FROM cl GROUP BY ALL), m AS (SELECT level, representative, count(*) AS m FROM cl GROUP BY ALL), inn AS (SELECT level, a AS representative, count(*) AS i FROM ends WHERE a = b GROUP BY ALL),
+    want AS (SELECT DISTINCT level, a AS source, b AS target FROM ends WHERE a <> b), have AS (SELECT DISTINCT level, source, target FROM qe)
+    SELECT level, 'uncovered' AS "check", (SELECT count(*) FROM t) - count(*) AS n FROM per GROUP BY level UNION ALL SELECT level, 'overlapping', count(*) FILTER (WHERE k > 1) FROM per GROUP BY level
+    UNION ALL SELECT m.level, 'disconnected', count(*) FILTER (WHERE coalesce(i, 0) <> m - 1) FROM m LEFT JOIN inn ON m.level = inn.level AND m.representative = inn.representative GROUP BY m.level
+    UNION ALL SELECT level, 'missing', (SELECT count(*) FROM (SELECT * FROM want WHERE level = cuts.level EXCEPT SELECT * FROM have WHERE level = cuts.level)) FROM cuts
+    UNION ALL SELECT level, 'unsupported', (SELECT count(*) FROM (SELECT * FROM have WHERE level = cuts.level EXCEPT SELECT * FROM want WHERE level = cuts.level)) FROM cuts""")
 def fidelity_ledger(spark: SparkSession, sf: str) -> DataFrame:
     """Every check of every tier, without a mismatch."""
     _, edges, _ = inputs.forest(spark, sf)
@@ -159,31 +167,23 @@ def folded_branches(spark: SparkSession, sf: str) -> DataFrame:
     return roots.join(hidden, "fold", "left").select("fold", F.coalesce("hidden", F.lit(0)).alias("hidden"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT 'N' || c_nationkey AS u, 'C' || c_custkey AS v FROM customer UNION ALL SELECT 'R' || n_regionkey, 'N' || n_nationkey FROM nation),
+@query("""WITH RECURSIVE e AS (SELECT 'C' || o_custkey AS u, 'O' || o_orderkey AS v FROM orders UNION ALL SELECT 'N' || c_nationkey, 'C' || c_custkey FROM customer UNION ALL SELECT 'R' || n_regionkey, 'N' || n_nationkey FROM nation),
     b AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e), t AS (SELECT 'N0' AS node_id, CAST(NULL AS VARCHAR) AS parent, CAST(0 AS BIGINT) AS depth UNION ALL SELECT b.v, b.u, t.depth + 1 FROM t JOIN b ON b.u = t.node_id AND b.v IS DISTINCT FROM t.parent)
-    SELECT depth, count(*) AS nodes FROM t GROUP BY depth""")
+    SELECT node_id, parent, depth FROM t""")
 def rerooted_depths(spark: SparkSession, sf: str) -> DataFrame:
-    """Depths after the component of nation 0 is hung up at that nation, without orders."""
+    """Parents and depths after the component of nation 0 is hung up at that nation."""
     _, edges, roots = inputs.forest(spark, sf)
-    edges = edges.where("source not like 'C%'")
     turned, new_roots, moved = forest.reroot(edges, forest.index_forest(edges, roots), "N0")
-    found = forest.index_forest(turned, new_roots)
-    return found.where("component = 'N0'").groupBy("depth").agg(F.count(F.lit(1)).alias("nodes"))
+    return forest.index_forest(turned, new_roots).where("component = 'N0'").select("node_id", "parent", "depth")
 
 
-@query("""SELECT 'R' || n_regionkey AS source, 'N' || n_nationkey AS target, CAST(1 AS DOUBLE) AS distance FROM nation
-    UNION ALL SELECT 'N' || c_nationkey, 'C' || c_custkey, CAST(c_custkey % 10 AS DOUBLE) / 4 FROM customer""")
+@query("SELECT o_custkey AS doc_id, 'C' || o_custkey AS source, 'O' || o_orderkey AS target, CAST(o_orderkey % 10 AS DOUBLE) / 4 AS distance FROM orders")
 def newick_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    """Edges of regions, nations and customers after they are written as Newick text, one document per region, and parsed again."""
-    nation, customer = table(spark, sf, "nation"), table(spark, sf, "customer")
-
-    def joined(df: DataFrame, key: str, text):
-        return df.groupBy(key).agg(F.concat(F.lit("("), F.array_join(F.array_sort(F.collect_list(text)), ","), F.lit(")")).alias("kids"))
-
-    leaves = joined(customer, "c_nationkey", F.concat(F.lit("'c"), F.col("c_custkey").cast("string"), F.lit("':"), (F.col("c_custkey") % 10 / 4).cast("string")))
-    inner = nation.join(leaves, nation["n_nationkey"] == leaves["c_nationkey"], "left").withColumn("text", F.concat(F.coalesce("kids", F.lit("")), F.lit("N"), F.col("n_nationkey").cast("string"), F.lit(" [note; (x)] : 1.0")))
-    docs = joined(inner.select("n_regionkey", "text"), "n_regionkey", F.col("text")).select(F.col("n_regionkey").alias("doc_id"), F.concat("kids", F.lit("R"), F.col("n_regionkey").cast("string"), F.lit(";")).alias("content"))
-    return newick.parse_forests(docs)["edges"].select(F.upper("source").alias("source"), F.upper("target").alias("target"), "distance")
+    """Edges of customers to their orders after they are written as Newick text, one document per customer, and parsed again."""
+    leaf = F.concat(F.lit("'o"), F.col("o_orderkey").cast("string"), F.lit("':"), (F.col("o_orderkey") % 10 / 4).cast("string"))
+    docs = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("doc_id")).agg(F.array_join(F.array_sort(F.collect_list(leaf)), ",").alias("kids"))
+    docs = docs.select("doc_id", F.concat(F.lit("("), "kids", F.lit(")C"), F.col("doc_id").cast("string"), F.lit(" [note; (x)];")).alias("content"))
+    return newick.parse_forests(docs)["edges"].select("doc_id", F.upper("source").alias("source"), F.upper("target").alias("target"), "distance")
 
 
 _SLUG = "lower(regexp_replace(regexp_replace({0}, '[^a-zA-Z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g'))"
@@ -209,7 +209,8 @@ def _customer_cells(spark: SparkSession, sf: str) -> DataFrame:
     return annotations.cells_of(customer, "node", "c_custkey", ["c_mktsegment", "score", "flag", "empty", "code"])
 
 
-@query("SELECT key, type FROM (VALUES ('c_mktsegment', 'string'), ('score', 'number'), ('flag', 'boolean'), ('empty', 'null'), ('code', 'string')) AS t(key, type)")
+@query("""WITH c AS (SELECT unnest(['c_mktsegment', 'score', 'flag', 'empty', 'code']) AS key, unnest([c_mktsegment, CAST(c_custkey % 4 AS VARCHAR), CASE WHEN c_custkey % 2 = 0 THEN 'TRUE' ELSE 'false' END, NULL, '0' || c_custkey]) AS v FROM customer)
+    SELECT key, CASE WHEN count(v) = 0 THEN 'null' WHEN bool_and(lower(v) IN ('true', 'false')) THEN 'boolean' WHEN bool_and(regexp_full_match(v, '[+-]?[0-9.]+') AND NOT regexp_matches(v, '^0[0-9]')) THEN 'number' ELSE 'string' END AS type FROM c GROUP BY key""")
 def annotation_types(spark: SparkSession, sf: str) -> DataFrame:
     return annotations.infer_types(_customer_cells(spark, sf))
 
@@ -217,10 +218,11 @@ def annotation_types(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH c AS (SELECT 'N' || c_nationkey AS node_id, c_custkey, 'c_mktsegment' AS key, c_mktsegment AS text FROM customer UNION ALL SELECT 'N' || c_nationkey, c_custkey, 'score', CAST(c_custkey % 4 AS VARCHAR) FROM customer
         UNION ALL SELECT 'N' || c_nationkey, c_custkey, 'flag', CASE WHEN c_custkey % 2 = 0 THEN 'True' ELSE 'False' END FROM customer),
     e AS (SELECT node_id, key, text, min(c_custkey) AS first, count(*) AS n FROM c WHERE text IS NOT NULL GROUP BY ALL)
-    SELECT node_id, key, string_agg(text, ';' ORDER BY first) AS value, CAST(sum(n) AS BIGINT) AS rows FROM e GROUP BY node_id, key""")
+    SELECT node_id, key, string_agg(text, ';' ORDER BY first) AS value, CAST(sum(n) AS BIGINT) AS rows, string_agg(text || '=' || n, ',' ORDER BY text) AS categories FROM e GROUP BY node_id, key""")
 def aggregated_annotations(spark: SparkSession, sf: str) -> DataFrame:
     cells = _customer_cells(spark, sf).withColumnRenamed("join_id", "node_id").where("key in ('c_mktsegment', 'score', 'flag')")
-    return annotations.aggregate_rows(cells, annotations.infer_types(cells)).drop("categories")
+    counted = F.transform(F.array_sort(F.map_entries("categories")), lambda x: F.concat_ws("=", x["key"], x["value"].cast("string")))
+    return annotations.aggregate_rows(cells, annotations.infer_types(cells)).withColumn("categories", F.array_join(counted, ","))
 
 
 @query("""SELECT 'N' || c_nationkey AS cluster_id, 'score' AS key, round(avg(c_custkey % 4), 4) AS number, CAST(NULL AS VARCHAR) AS text FROM customer GROUP BY c_nationkey
@@ -232,10 +234,11 @@ def cluster_summaries(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("cluster_id", "key", F.when(F.col("key") == "score", F.round(F.col("value").try_cast("double"), 4)).alias("number"), F.when(F.col("key") != "score", F.col("value")).alias("text"))
 
 
-@query("""SELECT 'N' || c_nationkey AS cluster_id, count(*) AS n, min(c_custkey) AS reference FROM customer GROUP BY c_nationkey, c_mktsegment, c_custkey % 4""")
+@query("""SELECT 'N' || c_nationkey AS cluster_id, '[{"key":"c_mktsegment","value":"' || c_mktsegment || '"},{"key":"score","value":"' || c_custkey % 4 || '"}]' AS observation,
+    count(*) AS n, min(c_custkey) AS reference FROM customer GROUP BY c_nationkey, c_mktsegment, c_custkey % 4""")
 def observation_distribution(spark: SparkSession, sf: str) -> DataFrame:
     cells = _customer_cells(spark, sf).where("key in ('c_mktsegment', 'score')").withColumnRenamed("join_id", "cluster_id")
-    return summaries.observation_distribution(cells).drop("observation")
+    return summaries.observation_distribution(cells)
 
 
 @query("""WITH d AS (SELECT coalesce(nullif(trim(CASE WHEN o_orderkey % 9 = 0 THEN ' ' ELSE o_orderpriority END), ''), 'Missing') AS category, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS subset_n FROM orders GROUP BY ALL)
@@ -265,10 +268,10 @@ def _groups(spark: SparkSession, sf: str) -> DataFrame:
     return profiles.group_profiles(profiles.drop_incomplete_loci(inputs.profiles(spark, sf)))
 
 
-@query(f"{_GROUPS} SELECT node_id, first_pos, members FROM g")
+@query(f"{_GROUPS} SELECT node_id, first_pos, members, array_to_string(a, '|') AS alleles FROM g")
 def profile_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Equal profiles after the incomplete locus is dropped."""
-    return _groups(spark, sf).drop("alleles")
+    return _groups(spark, sf).withColumn("alleles", F.array_join("alleles", "|"))
 
 
 @query(f"""{_GROUPS}, p AS (SELECT x.node_id AS source, y.node_id AS target, list_sum(list_transform(range(1, 7), lambda i: CAST(x.a[i] <> y.a[i] AS INTEGER))) AS distance FROM g x JOIN g y ON x.node_id < y.node_id
@@ -286,13 +289,22 @@ def variant_counts(spark: SparkSession, sf: str) -> DataFrame:
     return profiles.lv_counts(profiles.allelic_pairs(_groups(spark, sf), 2))
 
 
-@query()
+#: Components of the profiles at each number of differing loci, by passing the least id through groups of equal projections: edges of weight t
+#: are the components at t - 1 less those at t.
+_PARTS = f"""WITH RECURSIVE {_GROUPS.removeprefix("WITH ")}, masks AS (SELECT m FROM range(1, 64) AS r(m)), keys AS (SELECT 6 - bit_count(m) AS t, node_id, m || '|' || array_to_string(list_transform(range(1, 7), lambda i: CASE WHEN (m >> (i - 1)) & 1 = 1 THEN a[i] ELSE '' END), '|') AS k FROM g, masks WHERE m < 63),
+    p AS (SELECT 0 AS i, t, node_id, node_id AS c FROM g, (SELECT DISTINCT t FROM keys)
+          UNION ALL SELECT i + 1, t, node_id, min(best) FROM (SELECT p.i, p.t, p.node_id, min(p.c) OVER (PARTITION BY p.i, p.t, keys.k) AS best FROM p JOIN keys ON keys.t = p.t AND keys.node_id = p.node_id) WHERE i < 24 GROUP BY i, t, node_id),
+    parts AS (SELECT t, count(DISTINCT c) AS parts FROM p WHERE i = 24 GROUP BY t UNION ALL SELECT 0, count(*) FROM g UNION ALL SELECT 6, 1)"""
+_WEIGHTS = "SELECT CAST(b.t AS INTEGER) AS distance, a.parts - b.parts AS n FROM parts a JOIN parts b ON b.t = a.t + 1 WHERE a.parts > b.parts"
+
+
+@query(f"{_PARTS} {_WEIGHTS}")
 def spanning_tree_weights(spark: SparkSession, sf: str) -> DataFrame:
     """Weight histogram of the full spanning tree, which all minimum spanning trees share."""
     return profiles.weight_histogram(profiles.spanning_forest(_groups(spark, sf)))
 
 
-@query()
+@query(f"{_PARTS} {_WEIGHTS} AND b.t <= 2")
 def bounded_forest_weights(spark: SparkSession, sf: str) -> DataFrame:
     """Weight histogram of the spanning forest of edges of at most two differing loci."""
     return profiles.weight_histogram(profiles.spanning_forest(_groups(spark, sf), 2))
@@ -305,26 +317,25 @@ def profile_audit(spark: SparkSession, sf: str) -> DataFrame:
     return profiles.audit_profiles(inputs.profiles(spark, sf))
 
 
-@query("""WITH o AS (SELECT o_custkey, 'O' || o_orderkey AS node_id, CAST(CAST(floor(o_totalprice) AS BIGINT) % 100 AS DOUBLE) AS d FROM orders)
-    SELECT x.node_id AS source, y.node_id AS target, x.d + y.d AS distance FROM o x JOIN o y ON x.o_custkey = y.o_custkey AND x.node_id < y.node_id WHERE x.d + y.d <= 40
-    UNION ALL SELECT x.node_id, y.node_id, x.d + y.d + 2 FROM o x JOIN customer cx ON cx.c_custkey = x.o_custkey JOIN customer cy ON cy.c_nationkey = cx.c_nationkey AND cy.c_custkey <> cx.c_custkey JOIN o y ON y.o_custkey = cy.c_custkey AND x.node_id < y.node_id
-    WHERE x.d + y.d + 2 <= 40 AND cx.c_nationkey = 7 UNION ALL SELECT NULL, NULL, NULL WHERE false""")
+@query("""WITH o AS (SELECT o_custkey, c_nationkey, n_regionkey, 'O' || o_orderkey AS node_id, CAST(CAST(floor(o_totalprice) AS BIGINT) % 100 AS DOUBLE) AS d FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE CAST(floor(o_totalprice) AS BIGINT) % 100 <= 8)
+    SELECT x.node_id AS source, y.node_id AS target, x.d + y.d + CASE WHEN x.o_custkey = y.o_custkey THEN 0 WHEN x.c_nationkey = y.c_nationkey THEN 2 ELSE 4 END AS distance FROM o x JOIN o y ON x.n_regionkey = y.n_regionkey AND x.node_id < y.node_id
+    WHERE x.d + y.d + CASE WHEN x.o_custkey = y.o_custkey THEN 0 WHEN x.c_nationkey = y.c_nationkey THEN 2 ELSE 4 END <= 8""")
 def patristic_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders whose path is at most 40 long: within a customer anywhere, between customers in nation 7."""
+    """All pairs of orders whose path, over customers, nations and regions, is at most 8 long."""
     _, edges, _ = inputs.forest(spark, sf)
-    orders = edges.where("target like 'O%'")
-    whole = patristic.patristic_pairs(orders, orders.select(F.col("target").alias("node_id")), 40)
-    nation = edges.where("source = 'N7'")
-    own = orders.join(nation.select(F.col("target").alias("source")), "source", "left_semi")
-    both = nation.unionByName(own.select(*nation.columns))
-    across = patristic.patristic_pairs(both, own.select(F.col("target").alias("node_id")), 40)
-    return whole.unionByName(across).distinct()
+    return patristic.patristic_pairs(edges, edges.where("target like 'O%'").select(F.col("target").alias("node_id")), 8)
 
 
-_POS = "p AS (SELECT 'C' || c_custkey AS node_id, CAST(c_custkey % 97 AS DOUBLE) AS x, c_acctbal AS y, c_mktsegment AS segment FROM customer), rq AS (SELECT n_nationkey AS request_id, n_nationkey * 3.0 AS x0, n_nationkey * 3.0 + 20 AS x1, n_nationkey * 100.0 AS y0, n_nationkey * 100.0 + 3000 AS y1 FROM nation), hit AS (SELECT rq.request_id, p.* FROM rq JOIN p ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1)"
+_POS = """p AS (SELECT 'C' || c_custkey AS node_id, CAST(c_custkey % 97 AS DOUBLE) AS x, c_acctbal AS y, c_mktsegment AS segment FROM customer
+    UNION ALL SELECT 'O' || o_orderkey, CAST(o_orderkey % 89 AS DOUBLE), CAST(CAST(floor(o_totalprice) AS BIGINT) % 9000 AS DOUBLE), o_orderpriority FROM orders
+    UNION ALL SELECT 'N' || n_nationkey, n_nationkey * CAST(3.5 AS DOUBLE), n_nationkey * CAST(300 AS DOUBLE), NULL FROM nation UNION ALL SELECT 'R' || r_regionkey, r_regionkey * CAST(20 AS DOUBLE), CAST(5000 AS DOUBLE), NULL FROM region),
+    rq AS (SELECT n_nationkey AS request_id, n_nationkey * CAST(3 AS DOUBLE) AS x0, n_nationkey * CAST(3 AS DOUBLE) + 20 AS x1, n_nationkey * CAST(100 AS DOUBLE) AS y0, n_nationkey * CAST(100 AS DOUBLE) + 3000 AS y1 FROM nation),
+    hit AS (SELECT rq.request_id, p.* FROM rq JOIN p ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1)"""
 
 
-@query(f"WITH {_POS}, k AS (SELECT request_id, count(*) AS nodes, round(avg(y), 4) AS mean FROM hit GROUP BY request_id), m AS (SELECT request_id, segment, row_number() OVER (PARTITION BY request_id ORDER BY count(*) DESC, segment) AS r FROM hit GROUP BY request_id, segment) SELECT rq.request_id, coalesce(nodes, 0) AS nodes, CAST(0 AS BIGINT) AS edges, mean, segment AS mode FROM rq LEFT JOIN k USING (request_id) LEFT JOIN m ON m.request_id = rq.request_id AND r = 1")
+@query(f"""WITH {EDGES}, {_POS}, k AS (SELECT request_id, count(*) AS nodes, round(avg(y), 4) AS mean FROM hit GROUP BY request_id), m AS (SELECT request_id, segment, row_number() OVER (PARTITION BY request_id ORDER BY count(*) DESC, segment) AS r FROM hit WHERE segment IS NOT NULL GROUP BY request_id, segment),
+    i AS (SELECT a.request_id, count(*) AS edges FROM edges e JOIN hit a ON a.node_id = e.source JOIN hit b ON b.node_id = e.target AND b.request_id = a.request_id GROUP BY a.request_id)
+    SELECT rq.request_id, coalesce(nodes, 0) AS nodes, coalesce(edges, 0) AS edges, mean, segment AS mode FROM rq LEFT JOIN k USING (request_id) LEFT JOIN m ON m.request_id = rq.request_id AND r = 1 LEFT JOIN i ON i.request_id = rq.request_id""")
 def region_reads(spark: SparkSession, sf: str) -> DataFrame:
     """Nodes, inner edges, mean and mode of each requested box."""
     _, edges, _ = inputs.forest(spark, sf)
@@ -332,31 +343,60 @@ def region_reads(spark: SparkSession, sf: str) -> DataFrame:
     return got.withColumn("mean", F.round("mean", 4))
 
 
-@query(f"WITH {EDGES}, {_POS}, k AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY node_id) AS r, count(*) OVER (PARTITION BY request_id) AS total FROM hit) SELECT request_id, node_id, total, total > 20 AS truncated FROM k WHERE r <= 20")
+_SHOWN = """k AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY node_id) AS r, count(*) OVER (PARTITION BY request_id) AS total FROM hit), ins AS (SELECT request_id, node_id, total FROM k WHERE r <= 20),
+    near AS (SELECT request_id, target AS node_id FROM ins JOIN edges ON source = node_id UNION SELECT request_id, source FROM ins JOIN edges ON target = node_id),
+    shown AS (SELECT request_id, node_id, TRUE AS inside, total, total > 20 AS truncated FROM ins UNION ALL SELECT request_id, node_id, FALSE, NULL, NULL FROM near WHERE (request_id, node_id) NOT IN (SELECT (request_id, node_id) FROM ins))"""
+
+
+@query(f"WITH {EDGES}, {_POS}, {_SHOWN} SELECT * FROM shown")
 def viewport_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    """The first 20 customers in each box, with totals before the cut."""
+    """The first 20 nodes in each box, with totals before the cut, and all their neighbours."""
     _, edges, _ = inputs.forest(spark, sf)
     shown, _ = reads.viewport_detail(inputs.requests(spark, sf), inputs.positions(spark, sf), edges, 20)
-    return shown.where("inside").select("request_id", "node_id", "total", "truncated")
+    return shown.select("request_id", "node_id", "inside", "total", "truncated")
+
+
+@query(f"WITH {EDGES}, {_POS}, {_SHOWN} SELECT s.request_id, source, target, distance FROM edges JOIN shown s ON s.node_id = source JOIN shown u ON u.node_id = target AND u.request_id = s.request_id WHERE s.inside OR u.inside")
+def viewport_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """The edges between the shown nodes of each box that touch a node inside."""
+    _, edges, _ = inputs.forest(spark, sf)
+    _, links = reads.viewport_detail(inputs.requests(spark, sf), inputs.positions(spark, sf), edges, 20)
+    return links.select("request_id", "source", "target", "distance")
 
 
-@query(f"{INDEX}, {_POS}, b AS (SELECT level, 'lod_' || level || '_' || representative AS cluster_id, count(*) AS members, min(x) AS bx0, max(x) AS bx1, min(y) AS by0, max(y) AS by1 FROM cl JOIN p USING (node_id) WHERE representative IN (SELECT node_id FROM p) GROUP BY ALL) SELECT request_id, b.level, count(*) AS n FROM rq JOIN b ON bx0 <= x1 AND bx1 >= x0 AND by0 <= y1 AND by1 >= y0 GROUP BY ALL")
+@query(f"""{INDEX}, {_POS}, b AS (SELECT level, representative, min(x) AS bx0, max(x) AS bx1, min(y) AS by0, max(y) AS by1 FROM cl JOIN p USING (node_id) GROUP BY ALL),
+    near AS (SELECT request_id, node_id FROM hit UNION SELECT request_id, target FROM hit JOIN edges ON source = node_id UNION SELECT request_id, source FROM hit JOIN edges ON target = node_id)
+    SELECT request_id, cuts.level, (SELECT count(*) FROM b WHERE b.level = cuts.level AND bx0 <= x1 AND bx1 >= x0 AND by0 <= y1 AND by1 >= y0) AS n FROM rq, cuts
+    UNION ALL SELECT rq.request_id, -1, count(node_id) FROM rq LEFT JOIN near USING (request_id) GROUP BY rq.request_id""")
 def tier_counts_by_box(spark: SparkSession, sf: str) -> DataFrame:
-    """How many customers and clusters of each tier overlap each box."""
+    """How many nodes with their neighbours, and clusters of each tier, each box would show."""
     _, edges, _ = inputs.forest(spark, sf)
     positions = inputs.positions(spark, sf)
     boxed = summaries.cluster_geometry(inputs.clusters(spark, sf), positions)
-    got = reads.representation_counts(inputs.requests(spark, sf), boxed, positions, edges)
-    return got.where("level >= 0 and n > 0")
+    return reads.representation_counts(inputs.requests(spark, sf), boxed, positions, edges)
 
 
-@query(f"""WITH {_POS}, s AS (SELECT node_id, CASE WHEN lower(node_id) = 'c1' THEN 100 WHEN lower(node_id) LIKE 'c1%' THEN 60 ELSE 40 END AS score FROM p WHERE contains(lower(node_id), 'c1')),
-    r AS (SELECT *, count(*) OVER () AS total FROM s) SELECT node_id, score, node_id AS matched, total FROM r ORDER BY score DESC, node_id LIMIT 25""")
+@query("""WITH s AS (SELECT 'N' || c_nationkey AS node_id, 'c' || c_custkey AS iso, c_mktsegment AS seg, 'C' || c_custkey AS cust FROM customer),
+    u AS (SELECT cust AS node_id, CASE WHEN lower(cust) = 'c1' THEN 100 WHEN starts_with(lower(cust), 'c1') THEN 60 ELSE 40 END AS score, 0 AS r, cust AS matched FROM s WHERE contains(lower(cust), 'c1')
+          UNION ALL SELECT node_id, 20, 2, iso FROM s WHERE contains(lower(iso), 'c1')),
+    best AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY score DESC, r, matched) AS k FROM u)
+    SELECT node_id, score, matched, count(*) OVER () AS total FROM best WHERE k = 1 ORDER BY score DESC, node_id LIMIT 25""")
 def search_ids(spark: SparkSession, sf: str) -> DataFrame:
-    """The best 25 matches of a query over ids, values and isolates: a top-k report."""
-    positions = inputs.positions(spark, sf)
-    cells = positions.select("node_id", F.lit("segment").alias("key"), F.col("segment").alias("value"))
-    return reads.search(positions.select("node_id"), cells, positions.select("node_id", F.col("segment").alias("isolate_id")).where("false"), "C1")
+    """The best 25 matches of a query over customers' ids and, below nations, their isolates: a top-k report."""
+    customer = table(spark, sf, "customer")
+    ids = customer.select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("node_id"))
+    nation = F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("node_id")
+    cells = customer.select(nation, F.lit("segment").alias("key"), F.col("c_mktsegment").alias("value"))
+    return reads.search(ids, cells, customer.select(nation, F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("isolate_id")), "C1")
+
+
+@query("""WITH s AS (SELECT 'C' || c_custkey AS node_id, c_mktsegment AS seg, c_name AS name FROM customer WHERE contains(lower(c_mktsegment), 'u') OR contains(lower(c_name), 'u'))
+    SELECT node_id, 20 AS score, node_id || ' ' || CASE WHEN contains(lower(seg), 'u') THEN seg ELSE name END AS matched, count(*) OVER () AS total FROM s ORDER BY node_id LIMIT 25""")
+def search_values(spark: SparkSession, sf: str) -> DataFrame:
+    """The first 25 customers with a value that holds a text: a top-k report; of several values that of the first key counts."""
+    customer = table(spark, sf, "customer").withColumn("node_id", F.concat(F.lit("C"), F.col("c_custkey").cast("string")))
+    cells = customer.select("node_id", F.explode(F.array(F.struct(F.lit("a").alias("key"), F.col("c_mktsegment").alias("value")), F.struct(F.lit("b").alias("key"), F.col("c_name").alias("value")))).alias("x")).select("node_id", "x.*")
+    return reads.search(customer.select("node_id"), cells, customer.select("node_id", F.lit(None).cast("string").alias("isolate_id")), " U ")
 
 
 @query(f"{INDEX} SELECT component, count(*) AS nodes, min(dfs_start) AS dfs_start FROM idx GROUP BY component HAVING min(dfs_start) > 0 ORDER BY dfs_start LIMIT 3")
@@ -396,11 +436,12 @@ def compared_runs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT CASE WHEN o_totalprice <= 0 THEN NULL ELSE round(1 - l / o_totalprice, 6) END AS reduction, round(o_totalprice / l, 6) AS speed_up FROM (SELECT o_totalprice, avg(l_extendedprice) AS l FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_totalprice))
-    SELECT metric, count(v) AS valid, count(*) FILTER (WHERE v IS NULL) AS invalid FROM (SELECT 'reduction' AS metric, reduction AS v FROM p UNION ALL SELECT 'speed_up', speed_up FROM p) GROUP BY metric""")
+    SELECT metric, count(v) AS valid, count(*) FILTER (WHERE v IS NULL) AS invalid, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.25), 6) AS p25, round(quantile_cont(v, 0.75), 6) AS p75
+    FROM (SELECT 'reduction' AS metric, reduction AS v FROM p UNION ALL SELECT 'speed_up', speed_up FROM p) GROUP BY metric""")
 def paired_summary(spark: SparkSession, sf: str) -> DataFrame:
     orders, lines = table(spark, sf, "orders"), table(spark, sf, "lineitem")
     pairs = orders.join(lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.avg("l_extendedprice").alias("l")), "o_orderkey")
-    return stats.pair_summary(stats.paired_metrics(pairs, "o_totalprice", "l"), ["reduction", "speed_up"]).select("metric", "valid", "invalid")
+    return stats.pair_summary(stats.paired_metrics(pairs, "o_totalprice", "l"), ["reduction", "speed_up"])
 
 
 @query("""WITH g AS (SELECT o_orderstatus, o_orderpriority, count(*) AS found FROM orders GROUP BY ALL), x AS (SELECT DISTINCT a.o_orderstatus, b.o_orderpriority FROM orders a, (SELECT DISTINCT o_orderpriority FROM orders) b)
@@ -450,9 +491,15 @@ def customer_graph(spark: SparkSession, sf: str) -> DataFrame:
     return components.components_of_edges(edges).groupBy(F.col("component").alias("lo")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _all() -> dict:
+    from silvaspan.plans import more  # noqa: F401  registers its queries here
+
+    return _FOUND
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, (f, _) in _FOUND.items()}
+    return {name: f for name, (f, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _FOUND.items() if sql}
+    return {name: sql for name, (_, sql) in _all().items() if sql}

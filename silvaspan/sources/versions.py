@@ -34,6 +34,16 @@ def publish(spark: SparkSession, root: str, dataset_id: str, version: str, statu
     row.write.mode("append").parquet(f"{root}/manifest")
 
 
+def is_published(spark: SparkSession, root: str, dataset_id: str, version: str) -> bool:
+    """Whether the manifest has the version as ready or degraded, and not cleared since."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/manifest")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return False
+    rows = spark.read.schema(MANIFEST).parquet(f"{root}/manifest").where((F.col("dataset_id") == dataset_id) & (F.col("layout_version") == version))
+    last = rows.agg(F.max_by("status", "updated_at")).first()[0]
+    return last in ("ready", "degraded")
+
+
 def latest_version(manifest: DataFrame) -> DataFrame:
     """(dataset_id, layout_version) of the newest ready or degraded version of each dataset."""
     rows = manifest.where("status in ('ready', 'degraded')")
@@ -67,6 +77,8 @@ def clear(spark: SparkSession, root: str, tables: list[str], dataset_id: str, ve
 def replace_annotations(spark: SparkSession, root: str, dataset_id: str, version: str, annotations: DataFrame) -> str:
     """Publishes annotations (node_id, key, value) under a new version that shares the geometry of the old one; the same contents give the same version."""
     nodes = read_geometry(spark, root, "nodes", dataset_id, version)
+    if annotations.groupBy("node_id", "key").count().where("count > 1").limit(1).count():
+        raise ValueError("a node has two values of one key")
     if not annotations.join(nodes, "node_id", "left_semi").limit(1).count():
         raise ValueError("no annotation matches a node")
     new = layout_version({"annotations": annotations}, f"{dataset_id}/{version}")
@@ -87,17 +99,22 @@ def read_annotations(spark: SparkSession, path: str, sep: str | None = None) ->
 
 
 def read_profiles(spark: SparkSession, path: str) -> DataFrame:
-    """(isolate_id, input_pos, alleles) of a TSV matrix with a header: ids unique, no cell empty, at least one locus and row."""
-    raw = spark.read.csv(path, header=True, sep="\t", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
-    names = [c.lstrip("﻿").strip() for c in raw.columns]
+    """(isolate_id, input_pos, alleles) of a TSV matrix with a header: ids unique, no cell empty, rows as wide as the header, at least one locus and row.
+
+    input_pos grows along each file; over several files it is no order of the whole.
+    """
+    head = spark.read.csv(path, header=True, sep="\t", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True).columns
+    schema = ", ".join(f"`{k}` string" for k in range(len(head)))
+    raw = spark.read.csv(path, header=True, sep="\t", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, schema=f"{schema}, _corrupt string", enforceSchema=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt")
+    names = [c.lstrip("﻿").strip() for c in head]
     if len(names) < 2 or len(set(names)) < len(names) or not all(names):
         raise ValueError("a matrix has an id column and uniquely named loci")
-    rows = raw.toDF(*names).withColumn("input_pos", F.monotonically_increasing_id())
-    out = rows.select(F.trim(names[0]).alias("isolate_id"), "input_pos", F.array(*(F.trim(f"`{c}`") for c in names[1:])).alias("alleles"))
-    bad = out.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.exists("alleles", lambda a: a.isNull() | (a == ""))).alias("empty"), (F.count("isolate_id") - F.count_distinct("isolate_id")).alias("twice")).first()
-    if not bad["n"] or bad["empty"] or bad["twice"]:
-        raise ValueError(f"rows {bad['n']}, rows with empty cells {bad['empty']}, repeated ids {bad['twice']}")
-    return out
+    rows = raw.toDF(*names, "_corrupt").withColumn("input_pos", F.monotonically_increasing_id())
+    out = rows.select(F.trim(F.col(f"`{names[0]}`")).alias("isolate_id"), "input_pos", F.array(*(F.trim(F.col(f"`{c}`")) for c in names[1:])).alias("alleles"), "_corrupt")
+    bad = out.agg(F.count("_corrupt").alias("ragged"), F.count(F.lit(1)).alias("n"), F.count_if(F.exists("alleles", lambda a: a.isNull() | (a == ""))).alias("empty"), (F.count("isolate_id") - F.count_distinct("isolate_id")).alias("twice")).first()
+    if not bad["n"] or bad["empty"] or bad["twice"] or bad["ragged"]:
+        raise ValueError(f"rows {bad['n']}, rows with empty cells {bad['empty']}, repeated ids {bad['twice']}, rows of another width {bad['ragged']}")
+    return out.drop("_corrupt")
 
 
 def read_observations(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -106,4 +123,4 @@ def read_observations(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def write_report(df: DataFrame, path: str, form: str = "csv") -> None:
     """Grouped statistics or an edge list as CSV with a header, or as JSON lines."""
-    (df.write.mode("overwrite").option("header", "true").csv if form == "csv" else df.write.mode("overwrite").json)(path)
+    (df.write.mode("overwrite").option("header", "true").option("escape", '"').csv if form == "csv" else df.write.mode("overwrite").json)(path)

@@ -83,7 +83,11 @@ def test_deep_chain(spark):
 
 def test_components_of_odd_edges(spark):
     df = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (5, 5), (7, None), (9, 8), (3, 3)], "a long, b long")
-    assert {r["node"]: r["component"] for r in components_of_edges(df).collect()} == {1: 1, 2: 1, 3: 1, 5: 5, 8: 8, 9: 8}
+    for local in (0, None):
+        assert {r["node"]: r["component"] for r in components_of_edges(df, local=local).collect()} == {1: 1, 2: 1, 3: 1, 5: 5, 8: 8, 9: 8}
+    draw = random.Random(8)
+    many = spark.createDataFrame([(f"v{draw.randrange(90)}", f"v{draw.randrange(90)}") for _ in range(60)], "a string, b string")
+    assert sorted(map(tuple, components_of_edges(many, local=0).collect())) == sorted(map(tuple, components_of_edges(many).collect()))
     assert components_of_edges(df.limit(0)).count() == 0
 
 

@@ -38,9 +38,10 @@ def infer_schema(cells: DataFrame, declared: DataFrame | None = None) -> DataFra
 
 
 def join_annotations(ids: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(row_pos, join_id, node_id): the node of the exact id, else of the slug, else null."""
-    raw = nodes.select(F.col("node_id").alias("join_id"), F.col("node_id").alias("by_raw"))
-    slug = nodes.select(F.col("node_id").alias("slug"), F.col("node_id").alias("by_slug"))
+    """(row_pos, join_id, node_id): the node of the exact id, else of the slug, else null. nodes are the ids that may be named; repeated ones count once."""
+    ids_of = nodes.select("node_id").distinct()
+    raw = ids_of.select(F.col("node_id").alias("join_id"), F.col("node_id").alias("by_raw"))
+    slug = ids_of.select(F.col("node_id").alias("slug"), F.col("node_id").alias("by_slug"))
     rows = ids.withColumn("slug", slugify("join_id"))
     return rows.join(raw, "join_id", "left").join(slug, "slug", "left").select("row_pos", "join_id", F.coalesce("by_raw", "by_slug").alias("node_id"))
 

@@ -151,9 +151,12 @@ def _best_by_groups(nodes: DataFrame, loci: int, band: int) -> DataFrame:
     """
     rank = F.struct((-F.col("lv")).alias("lv"), F.col("node_id").alias("id"))
     per = projections(nodes, loci, band).groupBy("v", F.col("component").alias("c")).agg(F.min(rank).alias("own"))
-    top = per.groupBy("v").agg(F.min(F.struct("own", "c")).alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    second = per.join(top, "v").where("c <> first.c").groupBy("v").agg(F.min(F.struct("own", "c")).alias("second"))
-    met = per.join(top, "v").join(second, "v").withColumn("far", F.when(F.col("c") == F.col("first.c"), F.col("second")).otherwise(F.col("first")))
+    per = Scratch(nodes.sparkSession, "groups").save(per, "per")
+    top = per.groupBy("v").agg(F.min(F.struct("own", "c")).alias("first"), F.max(F.struct("own", "c")).alias("last")).where("first.c <> last.c").drop("last")
+    met = per.join(top, "v")
+    met = Scratch(nodes.sparkSession, "groups").save(met, "met")
+    second = met.where("c <> first.c").groupBy("v").agg(F.min(F.struct("own", "c")).alias("second"))
+    met = met.join(second, "v").withColumn("far", F.when(F.col("c") == F.col("first.c"), F.col("second")).otherwise(F.col("first")))
     a, b = F.col("own.id"), F.col("far.own.id")
     la, lb = -F.col("own.lv"), -F.col("far.own.lv")
     r = F.struct(F.lit(band).alias("distance"), (-F.greatest(la, lb)).alias("l1"), (-F.least(la, lb)).alias("l2"), F.least(a, b).alias("source"), F.greatest(a, b).alias("target"))
@@ -274,7 +277,7 @@ def triangular_pairs(lines: DataFrame) -> DataFrame:
     rows = lines.where("line_no > 0").select((F.col("line_no") - 1).alias("row"), F.split(F.trim("value"), r"\s+").alias("cells"))
     ids = rows.select("row", F.get("cells", F.lit(0)).alias("id"))
     cells = rows.select("row", F.posexplode(F.slice("cells", 2, 1 << 30)).alias("col", "d"))
-    return cells.join(ids.withColumnRenamed("id", "target"), "row").join(ids.select(F.col("row").alias("col"), F.col("id").alias("source")), "col").select("source", "target", F.col("d").cast("int").alias("distance"))
+    return cells.join(ids.withColumnRenamed("id", "target"), "row").join(ids.select(F.col("row").alias("col"), F.col("id").alias("source")), "col").select("source", "target", F.col("d").try_cast("int").alias("distance"))
 
 
 def audit_profiles(profiles: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Intermediate tables in the folder that the driver and all executors share.
 
 Iterative operators cut their lineage by writing a table and reading it again. The folder is the one
-the cluster names in ``spark.checkpoint.dir``; only where that setting is absent (tests, a laptop) a
-temporary folder of the driver is used.
+the cluster names in ``spark.checkpoint.dir``; only where that setting is absent and Spark runs in one local
+process (tests, a laptop) a temporary folder is used. On a cluster its absence is an error.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="silvaspan-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from silvaspan.functions import labels
-from silvaspan.operators import annotations, profiles, quality, reads, stats, summaries, tiers
+from silvaspan.operators import annotations, bundles, forest, metadata, newick, patristic, profiles, quality, reads, stats, summaries, tiers
 from silvaspan.sources import versions
 
 CELLS = "cluster_id string, row_pos long, key string, value string"
@@ -35,11 +35,12 @@ def test_status(spark):
 
 
 def test_cluster_aggregate(spark):
-    rows = [("c", k, key, v) for k, (r, s, f, e) in enumerate([("north", "10", "true", None), ("north", "20", "true", None), ("south", "30", "false", None)]) for key, v in (("region", r), ("score", s), ("flag", f), ("gone", e))]
-    rows += [("t", 9, "region", "zulu"), ("t", 10, "region", "alpha")]
+    columns = {"colour": ["red", "blue", "blue", None], "weight": ["1.5", "2", "4", "2.5"], "wet": ["false", "false", "true", "false"], "lost": [None] * 4}
+    rows = [("left", k, key, v) for key, own in columns.items() for k, v in enumerate(own)]
+    rows += [("right", 8, "colour", "violet"), ("right", 9, "colour", "amber")]
     cells = spark.createDataFrame(rows, CELLS)
     got = {(r["cluster_id"], r["key"]): r["value"] for r in summaries.aggregate_cluster(cells, annotations.infer_types(cells)).collect()}
-    assert got == {("c", "region"): "north", ("c", "score"): "20.0", ("c", "flag"): "true", ("t", "region"): "alpha"}
+    assert got == {("left", "colour"): "blue", ("left", "weight"): "2.5", ("left", "wet"): "false", ("right", "colour"): "amber"}
 
 
 def test_top_categories_separate_and_forced(spark):
@@ -98,7 +99,14 @@ def test_readers(spark, tmp_path):
     with pytest.raises(ValueError):
         versions.read_profiles(spark, str(tmp_path / "bad.tsv"))
     assert versions.read_annotations(spark, str(tmp_path / "p.tsv")).columns == ["ID", "L1", "L2"]
+    (tmp_path / "ragged.tsv").write_text("ID\tL1\tL2\nx\t1\t2\ny\t1\t2\t3\n")
+    with pytest.raises(ValueError):
+        versions.read_profiles(spark, str(tmp_path / "ragged.tsv"))
     lines = spark.createDataFrame([(0, "3"), (1, "a"), (2, "b 1"), (3, "c 2 3")], "line_no int, value string")
+    members = spark.createDataFrame([("a", "p"), ("b", "q"), ("c", "r")], "id string, profile string")
+    assert profiles.triangular_faults(lines, members, 3).count() == 0
+    bad = spark.createDataFrame([(0, "4"), (1, "a"), (2, "b 0"), (3, "d 2 9 1"), (4, "d x 1 1")], "line_no int, value string")
+    assert {r["fault"]: r["n"] for r in profiles.triangular_faults(bad, members, 3).collect()} == {"row length": 1, "repeated id": 1, "unknown id": 2, "bad distance": 2, "zero and equality": 1}
     assert sorted(tuple(r) for r in profiles.triangular_pairs(lines).collect()) == [("a", "b", 1), ("a", "c", 2), ("b", "c", 3)]
 
 
@@ -120,6 +128,17 @@ def test_reads(spark):
         return reads.choose_tier(counts, spark.createDataFrame([(1, preferred, float(target), previous)], "request_id int, preferred int, target double, previous int")).first()["level"]
 
     assert (tier(2, 50), tier(0, 50), tier(2, 1), tier(2, 80, 2), tier(2, 1000)) == (1, 0, 0, 2, 2)
+
+    def pick(own, preferred, target, previous=None):
+        df = spark.createDataFrame([(1, k, n) for k, n in own.items()] or [(2, 0, 0)], "request_id int, level int, n long")
+        return reads.choose_tier(df, spark.createDataFrame([(1, preferred, float(target), previous)], "request_id int, preferred int, target double, previous int")).first()["level"]
+
+    # A previous tier over its bound is let go; within it, it yields to the finest comfortable one only; no tiers: the preferred one.
+    assert pick({1: 200, 2: 80, 3: 95}, 3, 100, 1) == 3 and pick({1: 110, 2: 80, 3: 95}, 3, 100, 1) == 2
+    assert pick({0: 50, 1: 90}, 1, 100, 0) == 0 and pick({0: 50, 1: 114}, 1, 100, 1) == 1 and pick({0: 50, 1: 116}, 1, 100, 1) == 0
+    assert pick({}, 2, 9) == 2 and pick({0: 0, 1: 0}, 1, 9) == 1
+    with pytest.raises(ValueError):
+        pick({0: 1}, 0, 0)
     with pytest.raises(ValueError):
         reads.require_at_most(nodes, 3)
     with pytest.raises(ValueError):
@@ -141,6 +160,8 @@ def test_statistics(spark):
     df = spark.createDataFrame([("a", 1, "v1", "success", 1.0, 3.0, False), ("a", 2, "v2", "success", 2.0, 1.0, False), ("b", 1, "v1", "failure", None, 1.0, True)], "k string, i int, id string, s string, t0 double, t1 double, w boolean")
     assert {r["s"] for r in stats.invalidate_mixed(df, ["k"], "id", "s").collect()} == {"invalid", "failure"}
     assert [r[0] for r in df.orderBy("k", "i").select(stats.duration_metric(F.col("t0"), F.col("t1"))).collect()] == [2.0, None, None]
+    ends = spark.createDataFrame([(1.0, float("inf")), (float("-inf"), 1.0), (float("nan"), 1.0), (2.0, 2.0)], "a double, b double")
+    assert [r[0] for r in ends.select(stats.duration_metric(F.col("a"), F.col("b"))).collect()] == [None, None, None, 0.0]
     assert stats.measured(df.withColumn("f", F.col("s") == "failure"), "w", "f").count() == 2
     with pytest.raises(ValueError):
         stats.compare_systems(df, df.where("k = 'a'"), ["k"], "t1")
@@ -149,3 +170,75 @@ def test_statistics(spark):
     assert sorted(tuple(r) for r in runs.collect()) == [("a", 0, 2), ("a", 4, 1), ("b", 2, 2)]
     audit = stats.audit_event_phases(spark.createDataFrame([("k", 1, 0.0, 1.0, 9.0), ("k", 2, 0.0, 0.5, 9.0), ("k", 3, 0.0, 10.0, 9.0)], "k string, o int, s double, t double, e double"), "k", "o", "s", "t", "e")
     assert tuple(audit.first()) == ("k", 3, 1, 1)
+
+
+def test_ingest_newick_and_publish(spark, tmp_path):
+    docs = spark.createDataFrame([("d", "((A:1,B:9)X:2,'C d':3)R;")], "doc_id string, content string")
+    cells = spark.createDataFrame([(0, "A", "score", "1"), (1, "c d", "score", "3"), (2, "nobody", "score", "4")], "row_pos long, join_id string, key string, value string")
+    direct = spark.createDataFrame([("b", "score", "7")], "id string, key string, value string")
+    found = bundles.ingest_newick(docs, cells, direct, spark.createDataFrame([("score", "number")], "key string, type string"), cutoff=5.0)
+    assert tuple(found.counts().first())[:3] == (5, 3, 2) and found.cutoff == 5.0
+    assert {r["node_id"]: r["value"] for r in found.values.collect()} == {"a": "1", "c_d": "3", "b": "7"}
+    told = {r["message"] for r in found.warnings.collect()}
+    assert "row without node: 1" in told and any("2 tree components" in m for m in told)
+    places = found.nodes.withColumn("x", F.length("node_id").cast("double")).withColumn("y", F.lit(0.0))
+    tables = bundles.prepare(found, places, small=0)
+    row = bundles.preparation_summary(found, tables).first()
+    assert (row["nodes"], row["edges"], row["roots"], row["strategy"], row["cutoff"]) == (5, 3, 2, "newick", 5.0) and row["tiers"] >= 1
+    root = f"file://{tmp_path}/store"
+    one = bundles.publish_prepared(spark, root, "d", found, tables)
+    assert bundles.publish_prepared(spark, root, "d", found, tables) == one
+    states = [r["status"] for r in spark.read.schema(versions.MANIFEST).parquet(f"{root}/manifest").orderBy("updated_at").collect()]
+    assert states == ["refining", "ready"]
+    two = bundles.publish_root_revision(spark, root, "d", one, "a")
+    index = {r["node_id"]: r["parent"] for r in versions.read_version(spark, root, "tree_index", "d", two).collect()}
+    assert index == {"a": None, "x": "a", "r": "x", "c_d": "r", "b": None} and two != one
+    back = bundles.publish_root_revision(spark, root, "d", two, None, spark.createDataFrame([("r",), ("b",)], "node_id string"))
+    assert {r["node_id"]: r["parent"] for r in versions.read_version(spark, root, "tree_index", "d", back).collect()}["r"] is None
+    with pytest.raises(ValueError):
+        bundles.publish_root_revision(spark, root, "d", one, "nobody")
+    with pytest.raises(ValueError):
+        bundles.ingest_newick(spark.createDataFrame([("d", "(A,B;")], "doc_id string, content string"))
+    with pytest.raises(ValueError):
+        bundles.ingest_newick(docs, direct=spark.createDataFrame([("b", "score", "x")], "id string, key string, value string"), declared=spark.createDataFrame([("other", "number")], "key string, type string"))
+
+
+def test_direct_records_name_an_isolate_once(spark):
+    members = spark.createDataFrame([("I 1", "i_1")], "isolate_id string, isolate_norm string")
+    rows = spark.createDataFrame([("I 1", "k", "v"), ("i_1", "k", "w")], "id string, key string, value string")
+    with pytest.raises(ValueError):
+        metadata.direct_annotations(rows, members)
+    assert metadata.direct_annotations(rows.limit(1), members).first()["node_id"] == "i_1"
+
+
+def test_strict_documents_hold_one_tree(spark):
+    docs = spark.createDataFrame([("one", "(A,B)R;"), ("two", "(A,B)R;(C,D)S;"), ("trailing", "(A,B)R;EXTRA")], "doc_id string, content string")
+    assert {r["doc_id"] for r in newick.parse_forests(docs, strict=True)["errors"].collect()} == {"two", "trailing"}
+    assert newick.parse_forests(docs)["errors"].count() == 0
+
+
+def test_policies(spark):
+    sizes = spark.createDataFrame([(d, r) for d, r in enumerate([1, 3, 4, 9, 10, 40])], "depth long, visible long")
+    got = {r["policy"]: r["cuts"] for r in tiers.compare_policies(sizes).collect()}
+    # Twice 1 is passed by 3, twice 3 by 9, twice 9 by the last; nearest prefers 4 to 9 about 6, then 9 about 8, then 10 and 40 about 18.
+    assert got == {"threshold": [0, 1, 3, 5], "nearest": [0, 1, 2, 3, 4, 5], "doubling": [0, 1, 2, 4, 5]}
+
+
+def test_overlay_thresholds(spark):
+    for value, whole in ((-1, False), (float("inf"), False), (1.5, True), (True, False)):
+        with pytest.raises(ValueError):
+            patristic.check_threshold(value, whole)
+    patristic.check_threshold(2.0, True)
+
+
+def test_profile_overlay_and_fold_edits(spark):
+    rows = [("A", 0, list("1111")), ("B", 1, list("1112")), ("C", 2, list("1122")), ("D", 3, list("9999"))]
+    found = bundles.ingest_profiles(spark.createDataFrame(rows, "isolate_id string, input_pos long, alleles array<string>"), 3, 2)
+    index = forest.index_forest(found.edges, found.roots)
+    groups = profiles.group_profiles(spark.createDataFrame(rows, "isolate_id string, input_pos long, alleles array<string>"))
+    assert [tuple(r) for r in patristic.overlay_profiles(groups, index, found.edges, 2).collect()] == [("distance:a:c", "a", "c", 2)]
+    with pytest.raises(ValueError):
+        patristic.overlay_profiles(groups, index, found.edges, 2, most=0)
+    folds = reads.collapse_roots(index.limit(0).select("component", "node_id", "dfs_start", "dfs_end"), index)
+    assert [r["node_id"] for r in folds.collect()] == ["b"] and reads.unfold(folds, "b").count() == 0
+    assert reads.collapse(folds, index, "d").count() == 1

@@ -42,10 +42,10 @@ def grown(seed, n, roots, wide):
     return {v: None if k < roots else names[draw.randrange(max(0, k - wide), k)] for k, v in enumerate(names)}
 
 
-@pytest.mark.parametrize("levels", [16, 0])
-def test_index_equals_plain_traversal(spark, monkeypatch, levels):
+@pytest.mark.parametrize("levels, deep", [(16, 40), (16, 3), (0, 3)])
+def test_index_equals_plain_traversal(spark, monkeypatch, levels, deep):
     monkeypatch.setattr(forest, "LEVELS", levels)
-    parent = grown(2024, 83, 5, 40)
+    parent = grown(2024, 83, 5, deep)
     got = {r["node_id"]: (r["depth"], r["dfs_start"], r["dfs_end"]) for r in forest.index_forest(*frames(spark, parent)).collect()}
     assert got == plain_index(parent)
 

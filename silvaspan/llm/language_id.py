@@ -244,11 +244,17 @@ def learn(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) ->
     return with_claims(fit(x, langs), [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["n"], np.int64)) for r in found], langs)
 
 
+def _plain(docs: DataFrame) -> DataFrame:
+    """docs with columns named by place: Spark does not take names with dots into such functions."""
+    return docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+
+
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """All rows and columns of docs, with the predicted language and its score."""
-    rows = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in (lang_pred, score)))
+    kept = [c for c in docs.columns if c not in (lang_pred, score)]
+    rows = _plain(docs.select(*(F.col(f"`{c}`") for c in kept)))
     schema = T.StructType([*rows.schema.fields, T.StructField(lang_pred, T.StringType()), T.StructField(score, T.DoubleType())])
-    at = rows.columns.index(text_col)
+    at = kept.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +263,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", lang_
             new = [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*kept, lang_pred, score)
 
 
 def claimed(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
@@ -271,7 +277,8 @@ def claimed(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
             keep = [known is not None and (c := claim(known, t.as_py())) > -np.inf and c >= known.least for t in batch.column(at).cast(pa.binary())]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = _plain(docs)
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ def raw_rows(spark):
     leak = "Some words before. " + items[0][1] + " and words behind"
     raw += [(9001, None, "en", "src1", 0), (9002, "12 34 %%", "en", None, 8), (9003, leak, "en", None, len(leak)), (9004, raw[3][1], "en", "src0", 1), (raw[5][0], *raw[5][1:])]
     # Ids that repeat with other texts, and rows without ids: each is judged for itself.
-    raw += [(raw[20][0], "The " + raw[30][1] + " and nothing else", "en", "src1", 5), (None, raw[40][1] + " with an end of its own", "en", "src2", 5), (None, raw[41][1][::-1] + " the and that", "en", "src2", 5), (None, leak + " once more", "en", "src2", 5)]
+    raw += [(raw[20][0], "The " + raw[30][1] + " and nothing else", "en", "src1", 5), (None, raw[40][1] + " with an end of its own", "en", "src2", 5), (None, raw[41][1][::-1] + " the and that", "en", "src2", 5), (None, "Other words come first here. " + items[1][1] + " with an end of its own", "en", "src2", 5)]
     raw += [(9010, (raw[50][1] + " ") * 400, raw[50][2], "src3", 9)]
     return [(*r, [1]) for r in raw], items
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from silvaspan.llm import decontamination, fingerprints, language_id, license_scan, lm_scoring, mixing, preference_format, simhash_dedup, url_filter, warc
+from silvaspan.llm import decontamination, fingerprints, language_id, license_scan, line_dedup, lm_scoring, mixing, preference_format, simhash_dedup, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,9 +21,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scan": license_scan.op8_license_scan,
         "op9_document_fingerprints": fingerprints.op9_document_fingerprints,
         "op10_warc": warc.op10_warc,
+        "op13_line_dedup": line_dedup.op13_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can say the whole result; the other operators are tested against brute force."""
-    return {"op4_benchmark_decontamination": decontamination.oracle(), "op6_preference_format": preference_format.ORACLE}
+    return {"op4_benchmark_decontamination": decontamination.oracle(), "op6_preference_format": preference_format.ORACLE, "op13_line_dedup": line_dedup.ORACLE}

@@ -52,8 +52,6 @@ def test_rule(spark):
 
 def test_many_shards(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "SHARD", 7)
-    monkeypatch.setattr(line_dedup, "CACHE", 3000)
-    monkeypatch.setattr(line_dedup, "PIECE", 500)
     data = [(k, "\n".join(f"line {j} of those that stand in many documents" for j in range(k % 60, k % 60 + 40)), "", 0) for k in range(200)]
     assert got(line_dedup.dedup_lines(spark.createDataFrame(data, SCHEMA).repartition(4))) == plain(data)
 
@@ -71,6 +69,21 @@ def test_perfect_hash():
             assert not shard.probe(lo + np.uint64(1), hi)[0].any()
 
 
+def test_cache(tmp_path, monkeypatch):
+    """A worker keeps the last shards in bounded bytes and reads the others again."""
+    rng = np.random.default_rng(4)
+    keys = [(rng.integers(0, 2**64, 100, np.uint64), rng.integers(0, 2**64, 100, np.uint64)) for _ in range(5)]
+    for k, (hi, lo) in enumerate(keys):
+        (tmp_path / f"shard-{k:08d}").write_bytes(line_dedup._pack(hi, lo, np.full(100, 9), np.arange(100)))
+    monkeypatch.setattr(line_dedup, "CACHE", 10_000)
+    shards = line_dedup.Shards(f"file://{tmp_path}")
+    for _ in range(2):
+        for k, (hi, lo) in enumerate(keys):
+            assert (shards.get(k).probe(hi, lo)[2] == np.arange(100)).all()
+            assert shards.bytes <= 10_000 and k in shards.kept
+    assert len(shards.kept) < 5 and shards.get(7) is None
+
+
 def test_edges(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
     with pytest.raises(ValueError, match="whole numbers"):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from silvaspan.llm import decontamination, fingerprints, language_id, lexical_search, license_scan, line_dedup, lm_scoring, mixing, preference_format, simhash_dedup, url_filter, warc
+from silvaspan.llm import conversation_repair, decontamination, fingerprints, language_id, lexical_search, license_scan, line_dedup, lm_scoring, mixing, preference_format, simhash_dedup, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scan": license_scan.op8_license_scan,
         "op9_document_fingerprints": fingerprints.op9_document_fingerprints,
         "op10_warc": warc.op10_warc,
+        "op11_conversation_repair": conversation_repair.op11_conversation_repair,
         "op12_lexical_search": lexical_search.op12_lexical_search,
         "op13_line_dedup": line_dedup.op13_line_dedup,
     }
@@ -28,4 +29,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can say the whole result; the other operators are tested against brute force."""
-    return {"op4_benchmark_decontamination": decontamination.oracle(), "op6_preference_format": preference_format.ORACLE, "op12_lexical_search": lexical_search.ORACLE, "op13_line_dedup": line_dedup.ORACLE}
+    return {"op11_conversation_repair": conversation_repair.ORACLE, "op4_benchmark_decontamination": decontamination.oracle(), "op6_preference_format": preference_format.ORACLE, "op12_lexical_search": lexical_search.ORACLE, "op13_line_dedup": line_dedup.ORACLE}

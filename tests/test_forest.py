@@ -241,19 +241,34 @@ def test_paths_equal_brute_force(spark):
         x, y = up(a), up(b)
         if shared := [x[k] + y[k] for k in x if k in y]:
             every[tuple(sorted((f"n{a}", f"n{b}")))] = min(shared) / 10
-    for radius in (0, 0.6, 3, 100):
-        got = {(r["source"], r["target"]): r["distance"] for r in patristic.patristic_pairs(edges, spark.createDataFrame([(x,) for x in named], "node_id string"), radius).collect()}
+    for radius, local in ((0, None), (0.6, 5), (3, 0), (100, None)):
+        got = {(r["source"], r["target"]): r["distance"] for r in patristic.patristic_pairs(edges, spark.createDataFrame([(x,) for x in named], "node_id string"), radius, local).collect()}
         assert got == {p: d for p, d in every.items() if d <= radius}
 
 
+def test_paths_on_a_long_chain_and_a_wide_star(spark):
+    """The ends of a chain of 6,000 nodes meet at a few separators; no list is as long as the climb."""
+    chain = spark.range(5999).selectExpr("cast(id as string) AS edge_id", "concat('n', id) AS source", "concat('n', id + 1) AS target", "1D AS distance")
+    ends = spark.createDataFrame([("n0",), ("n5999",), ("isolated",)], "node_id string")
+    assert [tuple(r) for r in patristic.patristic_pairs(chain, ends, 5999).collect()] == [("n0", "n5999", 5999.0)]
+    assert patristic.separators_within(chain, 5999).groupBy("node_id").count().agg(F.max("count")).first()[0] <= 64
+    star = spark.range(1, 500).selectExpr("cast(id as string) AS edge_id", "'hub' AS source", "concat('s', id) AS target", "if(id < 3, 1D, 3D) AS distance")
+    named = star.selectExpr("target AS node_id")
+    # All pairs of the far leaves are just beyond the radius: none of them is a candidate.
+    assert [tuple(r) for r in patristic.patristic_pairs(star, named, 2.5, 20).collect()] == [("s1", "s2", 2.0)]
+
+
 def test_exact_decimals(spark):
     edges = spark.createDataFrame([("e", "m", "a", 0.1), ("f", "m", "b", 0.2)], EDGE)
     assert patristic.patristic_pairs(edges, spark.createDataFrame([("a",), ("b",)], "node_id string"), 0.3).count() == 1
     with pytest.raises(ValueError):
         patristic.patristic_pairs(edges.withColumn("distance", F.lit(None).cast("double")), edges.selectExpr("source AS node_id"), 1)
     loop = spark.createDataFrame([("e", "a", "b", 0.0), ("f", "b", "c", 0.0), ("g", "c", "a", 0.0)], EDGE)
-    with pytest.raises(ValueError):
-        patristic.patristic_pairs(loop, loop.selectExpr("source AS node_id"), 1)
+    back = spark.createDataFrame([("e", "a", "b", 0.0), ("f", "b", "a", 0.0)], EDGE)
+    for local in (None, 0):
+        for df in (loop, back):
+            with pytest.raises(ValueError):
+                patristic.patristic_pairs(df, df.selectExpr("source AS node_id"), 1, local)
 
 
 def test_jump_depths(spark):

@@ -16,8 +16,9 @@ and only blocks that still hold a candidate are decompressed. Documents go in wi
 item's k-th score in the shard, rises early. The shards' best are merged by a ranking that Spark cuts to k before the shuffle.
 Candidates that could only equal the threshold are kept, since the smaller id wins ties.
 
-Scale: a shard is bounded by documents and by ``TOKENS``; nothing is broadcast by hand and nothing meets in one task but the few best
-of an item. A batch has some ``BATCH`` items, so its size doesn't grow with their number; each batch reads each shard's lists once.
+Scale: a shard is bounded by documents and by ``TOKENS``, and a task reads the lists of one shard and batch after the other. The pairs
+(batch, term) are broadcast only up to ``BROADCAST_ROWS``. A batch has some ``BATCH`` items, whatever their number; each batch reads
+each shard's lists once.
 
 Defined results: null texts and texts without a term are in no count and never found; items without a term have no rows; every row
 of the items is an item of its own, so repeated ones have repeated results; rows of documents with one id are ranked one by one;
@@ -41,7 +42,9 @@ from silvaspan.sources.tables import table
 
 K = 10
 #: Documents and terms of a shard at most (a longer document is alone), postings of a block, items of a batch, documents of the first window.
-DOCS, TOKENS, BLOCK, BATCH, WINDOW = 1 << 13, 1 << 22, 128, 64, 256
+DOCS, TOKENS, BLOCK, BATCH, WINDOW = 1 << 13, 1 << 21, 128, 64, 256
+#: Shards that share one copy of a batch's items on their way, and rows of (batch, term) up to which these are broadcast.
+SHARE, BROADCAST_ROWS = 64, 1 << 20
 _NO_ID = np.iinfo(np.int64).max
 _FLAT = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 INDEX = "shard long, term binary, df int, total long, ends array<int>, stops array<int>, front array<int>, data binary"
@@ -241,9 +244,9 @@ def best_documents(lists: list[tuple[int, Postings]], ids: np.ndarray, k: int, w
 
 def search(index: DataFrame, items: DataFrame, k: int = K, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(item_id, rank, doc_id, score): the k highest-scoring documents of every item."""
-    spark = index.sparkSession
-    scratch = Scratch(spark, "search")
-    n_docs, n_terms = index.where("term is null").agg(F.coalesce(F.sum("df"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(1))).first()
+    scratch = Scratch(index.sparkSession, "search")
+    heads = index.where("term is null")
+    n_docs, n_terms, n_shards = heads.agg(F.coalesce(F.sum("df"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(1)), F.count(F.lit(1))).first()
     asked = items.select(F.col(id_col).alias("item_id"), F.array_distinct(words(F.col(text_col), NOT_ALNUM)).alias("terms")).where(F.size("terms") > 0)
     asked = scratch.save(asked.withColumn("key", F.monotonically_increasing_id()), "items")
     n_batches = max(1, -(-asked.count() // BATCH))
@@ -253,27 +256,39 @@ def search(index: DataFrame, items: DataFrame, k: int = K, id_col: str = "item_i
     df = index.join(used, "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
     weights = scratch.save(df.select("term", weight(F.col("df"), F.lit(n_docs)).alias("w")).where("w > 0"), "weights")
     queries = pairs.join(weights, "term").groupBy("batch", "key").agg(F.collect_list(F.struct("term", "w")).alias("terms"))
-    queries = queries.groupBy("batch").agg(F.collect_list(F.struct("key", "terms")).alias("queries"))
-
-    # The lists that items need, and to every batch each shard's documents.
-    wanted = pairs.select("batch", "term").distinct().join(weights.select("term"), "term", "left_semi")
-    wanted = scratch.save(wanted.unionByName(wanted.select("batch").distinct(), allowMissingColumns=True), "wanted")
-    columns, window = ["term", "ends", "stops", "front", "data"], WINDOW
-    lists = index.join(wanted, index["term"].eqNullSafe(wanted["term"])).select("shard", "batch", F.struct(*(index[c] for c in columns)).alias("list"))
-    met = lists.groupBy("shard", "batch").agg(F.collect_list("list").alias("lists")).join(queries, "batch").select("lists", "queries")
+    queries = scratch.save(queries.groupBy("batch").agg(F.collect_list(F.struct("key", "terms")).alias("queries")), "queries")
+
+    # The lists that a batch needs, and to every shard and batch a head: the shard's documents and the batch's items.
+    wanted = scratch.save(pairs.select("batch", "term").distinct().join(weights.select("term"), "term", "left_semi"), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    lists = index.join(wanted, "term").select("shard", "batch", "term", "ends", "stops", "front", "data")
+    copies = max(1, n_shards // SHARE)  # of the items, so that no batch is one key for all shards
+    spread = queries.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    heads = heads.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(n_batches - 1)))).withColumn("copy", F.pmod(F.xxhash64("shard"), F.lit(copies)).cast("int"))
+    heads = heads.withColumn("batch", F.col("batch").cast("long")).join(spread, ["batch", "copy"]).select("shard", "batch", "term", "ends", "data", "queries")
+    met = lists.unionByName(heads, allowMissingColumns=True).repartition("shard", "batch").sortWithinPartitions("shard", "batch", F.col("term").asc_nulls_first())
+    met, window = met.select("queries", "term", "ends", "stops", "front", "data"), WINDOW
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, ids, damped, by_term = [], None, None, {}
+
+        def answered() -> Iterator[pa.RecordBatch]:
+            for q in queries:
+                own = [(t["w"], by_term[t["term"]]) for t in q["terms"] if t["term"] in by_term]
+                if own:
+                    found, scores = best_documents(own, ids, k, window)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), q["key"])), pa.array(found, mask=found == _NO_ID), pa.array(scores)], ["key", "doc_id", "score"])
+
         for batch in batches:
-            for row in range(batch.num_rows):
-                lists, queries = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
-                about = next(x for x in lists if x["term"] is None)
-                ids, damped = np.frombuffer(about["data"], np.int64), damping(np.array(about["ends"]), n_docs, n_terms)
-                by_term = {x["term"]: Postings(x, damped, n_docs, n_terms) for x in lists if x["term"] is not None}
-                for q in queries:
-                    own = [(t["w"], by_term[t["term"]]) for t in q["terms"] if t["term"] in by_term]
-                    if own:
-                        found, scores = best_documents(own, ids, k, window)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), q["key"])), pa.array(found, mask=found == _NO_ID), pa.array(scores)], ["key", "doc_id", "score"])
+            for at in range(0, batch.num_rows, 512):
+                for x in batch.slice(at, 512).to_pylist():
+                    if x["term"] is None:  # a head: what came before is whole
+                        yield from answered()
+                        queries, by_term = x["queries"], {}
+                        ids, damped = np.frombuffer(x["data"], np.int64), damping(np.array(x["ends"]), n_docs, n_terms)
+                    else:
+                        by_term[x["term"]] = Postings(x, damped, n_docs, n_terms)
+        yield from answered()
 
     found = met.mapInArrow(run, "key long, doc_id long, score long")
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last()))).where(F.col("rank") <= k)

@@ -6,16 +6,15 @@ and roots (node_id, root_pos), one per component.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from silvaspan.operators.components import components_of_edges
 from silvaspan.operators.ordering import sum_before
+from silvaspan.operators.skew import counted_join, spread_join, with_next, with_place
 from silvaspan.scratch import Scratch
 
 #: Up to this depth rows carry the path from their root; deeper forests use list ranking.
 LEVELS = 16
-#: Levels that one job adds from the roots down.
-STEPS = 4
 
 
 def components_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -60,102 +59,92 @@ def depths_of(parents: DataFrame, scratch: Scratch) -> DataFrame:
     n = parents.count()
     now = scratch.save(parents.select("node_id", F.coalesce("parent", "node_id").alias("up"), F.col("parent").isNotNull().cast("long").alias("depth")), "jump")
     while True:
+        # Ever more rows point to the same few nodes, which are then broadcast.
         above = now.select(F.col("node_id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"))
-        new = scratch.save(now.join(above, "up").select("node_id", F.col("up2").alias("up"), (F.col("depth") + F.col("more")).alias("depth")), "jump")
-        moved = new.join(above.select(F.col("up").alias("u"), F.col("up2").alias("u2")), F.col("up") == F.col("u")).where("u <> u2").limit(1).count()
+        new = counted_join(now, above, "up", scratch, n).select("node_id", F.col("up2").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved"))
+        new = scratch.save(new, "jump")
+        moved, deepest = new.agg(F.count_if("moved"), F.max("depth")).first()
         scratch.drop(now)
-        now = new
+        now = new.drop("moved")
         if not moved:
             return now.select("node_id", "depth", F.col("up").alias("component"))
-        if (now.agg(F.max("depth")).first()[0] or 0) > n:
+        if deepest > n:
             raise ValueError("the edges hold a cycle")
 
 
-def levels_of(edges: DataFrame, roots: DataFrame, scratch: Scratch, most: int) -> tuple[DataFrame, int]:
-    """Rows (node_id, parent, edge_id, depth, component, path) from the roots down to depth ``most``, and the depth reached.
+def paths_of(parents: DataFrame, scratch: Scratch, most: int, n: int) -> DataFrame | None:
+    """(node_id, parent, root_pos, path): the nodes from the root to each of the n nodes, by doubling; None if one is deeper than ``most``.
 
-    path: the nodes from the root to the row's own. One job adds ``STEPS`` levels.
+    parents has root_pos for roots. A row whose parent has no row is an error.
     """
-    arcs = edges.select("source", F.col("target").alias("node_id"), "edge_id")
-    now = roots.select("node_id", F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("edge_id"), F.lit(0).cast("long").alias("depth"), F.col("node_id").alias("component"), F.array("node_id").alias("path"))
-    out, reached, deepest = now, 0, -1
-    while reached < most:
-        batch = None
-        for _ in range(min(STEPS, most - reached)):
-            above = now.select(F.col("node_id").alias("source"), "depth", "component", "path")
-            now = arcs.join(above, "source").select("node_id", F.col("source").alias("parent"), "edge_id", (F.col("depth") + 1).alias("depth"), "component", F.concat("path", F.array("node_id")).alias("path"))
-            batch = now if batch is None else batch.unionByName(now)
-            reached += 1
-        batch = scratch.save(batch, f"level{reached}")
-        out = out.unionByName(batch)
-        deepest = batch.agg(F.max("depth")).first()[0] or 0
-        if deepest < reached:
-            break
-        now = batch.where(F.col("depth") == reached)
-    return out, max(0, deepest)
+    now = parents.select("node_id", "parent", F.col("parent").alias("up"), "root_pos", F.array("node_id").alias("path"))
+    left, reach = now.where("up is not null").count(), 1
+    while left:
+        if reach > most:
+            return None
+        going = now.where("up is not null")
+        above = now.select(F.col("node_id").alias("up"), F.col("up").alias("up2"), F.col("root_pos").alias("top"), F.col("path").alias("head"))
+        longer = counted_join(going, above, "up", scratch, left).select("node_id", "parent", F.col("up2").alias("up"), F.col("top").alias("root_pos"), F.concat("head", "path").alias("path"))
+        now = scratch.save(now.where("up is null").unionByName(longer), "paths")
+        rows, left = now.agg(F.count(F.lit(1)), F.count("up")).first()
+        if rows < n:
+            raise ValueError("an edge is reached from no root, or reaches a node again")
+        reach *= 2
+    return now.select("node_id", "parent", "root_pos", "path")
 
 
 def index_forest(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(node_id, component, parent, depth, dfs_start, dfs_end): half-open preorder intervals over the whole forest.
 
-    Children come in (id, edge id) order, components in the order of root_pos. A node lies in the subtree
+    Children come in the order of their ids, components in the order of root_pos. A node lies in the subtree
     of x exactly if its start lies in x's interval. An edge that no root reaches, or that reaches a node
     again, is an error.
+
+    The preorder is the order of the paths from the roots: rows are dealt by ranges of it and numbered, so neither a root nor
+    a node of many children is one task, and nothing is joined on the root. Forests deeper than ``LEVELS`` have no paths; their Euler
+    tour is ranked.
     """
     scratch = Scratch(edges.sparkSession, "index")
-    edges = scratch.save(edges.select("source", "target", "edge_id"), "edges")
-    rows, deepest = levels_of(edges, roots, scratch, LEVELS + 1)
-    if deepest > LEVELS:
-        parents = scratch.save(edges.select(F.col("target").alias("node_id"), F.col("source").alias("parent"), "edge_id").unionByName(roots.select("node_id"), allowMissingColumns=True), "parents")
-        if parents.groupBy("node_id").count().where("count > 1").limit(1).count():
-            raise ValueError("a node has two parents")
-        spans = _spans_by_ranking(scratch.save(parents.join(depths_of(parents, scratch), "node_id"), "depths"), scratch)
-    else:
-        if rows.select("node_id").distinct().count() != edges.count() + roots.count():
-            raise ValueError("an edge is reached from no root, or reaches a node again")
-        spans = _spans_by_path(rows, scratch)
-    sizes = spans.where("node_id = component").select("component", "size")
-    order = sizes.join(roots.select(F.col("node_id").alias("component"), "root_pos"), "component")
-    order = sum_before(order, ["root_pos", "component"], "size", "base").select("component", "base")
-    start = F.col("start") + F.col("base")
-    return spans.join(order, "component").select("node_id", "component", "parent", "depth", start.cast("long").alias("dfs_start"), (start + F.col("size")).cast("long").alias("dfs_end"))
-
-
-def _spans_by_path(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """A size is the number of paths through a node; a start is the sum, along the path, of one and the sizes of the earlier siblings."""
-    sizes = rows.select(F.explode("path").alias("node_id")).groupBy("node_id").agg(F.count(F.lit(1)).alias("size"))
-    earlier = F.sum("size").over(W.partitionBy("parent").orderBy("node_id", "edge_id").rowsBetween(W.unboundedPreceding, -1))
-    sized = scratch.save(rows.join(sizes, "node_id").withColumn("offset", F.when(F.col("parent").isNull(), 0).otherwise(F.coalesce(earlier, F.lit(0)) + 1)), "sizes")
-    inner = sized.where("size > 1").select(F.col("node_id").alias("on"), F.col("offset").alias("step"))
-    # A node's own offset is at hand; those of its ancestors, which are inner nodes, are gathered.
-    above = sized.select("node_id", F.explode(F.slice("path", F.lit(1), F.size("path") - 1)).alias("on")).join(inner, "on")
-    starts = above.groupBy("node_id").agg(F.sum("step").alias("above"))
-    found = sized.join(starts, "node_id", "left")
-    return scratch.save(found.select("node_id", "component", "parent", "depth", "size", (F.col("offset") + F.coalesce("above", F.lit(0))).alias("start")), "spans")
-
-
-def _spans_by_ranking(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    hung = edges.select(F.col("target").alias("node_id"), F.col("source").alias("parent"), F.lit(None).cast("long").alias("root_pos"))
+    parents = scratch.save(hung.unionByName(roots.select("node_id", F.lit(None).cast("string").alias("parent"), F.col("root_pos").cast("long").alias("root_pos"))), "parents")
+    n, kinds = parents.agg(F.count(F.lit(1)), F.count_distinct("node_id")).first()
+    if n > kinds:
+        raise ValueError("a node has two parents, or a root has one")
+    paths = paths_of(parents, scratch, LEVELS, n)
+    if paths is None:
+        return _index_by_ranking(parents, scratch, n)
+    sizes = paths.select(F.explode("path").alias("node_id")).groupBy("node_id").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    placed = with_place(paths, ["root_pos", "path"], "dfs_start", scratch)
+    stop = F.col("dfs_start") + F.coalesce("size", F.lit(1))
+    return placed.join(sizes, "node_id", "left").select("node_id", F.get("path", F.lit(0)).alias("component"), "parent", (F.size("path") - 1).cast("long").alias("depth"), F.col("dfs_start").cast("long").alias("dfs_start"), stop.cast("long").alias("dfs_end"))
+
+
+def _index_by_ranking(parents: DataFrame, scratch: Scratch, n: int) -> DataFrame:
     """The Euler tour of down and up arcs, ranked by pointer doubling: as many rounds as the logarithm of its length."""
-    kids = rows.where("parent is not null").select("parent", "node_id", "edge_id")
-    by = W.partitionBy("parent").orderBy("node_id", "edge_id")
-    kids = kids.select("parent", "node_id", F.lead("node_id").over(by).alias("sibling"), F.row_number().over(by).alias("k"))
-    first = kids.where("k = 1").select(F.col("parent").alias("node_id"), F.col("node_id").alias("child"))
+    rows = scratch.save(parents.select("node_id", "parent").join(depths_of(parents, scratch), "node_id"), "depths")
+    kids = with_next(rows.where("parent is not null").select("parent", "node_id"), "parent", "node_id", "sibling", scratch)
+    first = kids.where("first").select(F.col("parent").alias("node_id"), F.col("node_id").alias("child"))
     at = rows.select("node_id", "parent").join(kids.select("node_id", "sibling"), "node_id", "left").join(first, "node_id", "left")
     down, up = (lambda c: F.concat(F.lit("d"), c)), (lambda c: F.concat(F.lit("u"), c))
     arcs = at.select(down(F.col("node_id")).alias("arc"), F.coalesce(down(F.col("child")), up(F.col("node_id"))).alias("next"), F.lit(1).cast("long").alias("n"))
     ups = at.select(up(F.col("node_id")).alias("arc"), F.coalesce(down(F.col("sibling")), up(F.col("parent"))).alias("next"), F.lit(0).cast("long").alias("n"))
     now = scratch.save(arcs.unionByName(ups), "arcs")
     while now.where("next is not null").limit(1).count():
+        # The arcs that have reached the end of their tour stay; no two others have the same next.
         jump = now.select(F.col("arc").alias("next"), F.col("next").alias("then"), F.col("n").alias("more"))
-        new = scratch.save(now.join(jump, "next", "left").select("arc", F.col("then").alias("next"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")), "arcs")
+        moved = now.where("next is not null").join(jump, "next").select("arc", F.col("then").alias("next"), (F.col("n") + F.col("more")).alias("n"))
+        new = scratch.save(now.where("next is null").unionByName(moved), "arcs")
         scratch.drop(now)
         now = new
     # n: down arcs from here to the end of the tour.
     d = now.where("arc like 'd%'").select(F.expr("substring(arc, 2)").alias("node_id"), F.col("n").alias("from_down"))
     u = now.where("arc like 'u%'").select(F.expr("substring(arc, 2)").alias("node_id"), F.col("n").alias("from_up"))
-    ranked = rows.join(d, "node_id").join(u, "node_id")
-    total = ranked.where("parent is null").select("component", F.col("from_down").alias("total"))
-    return ranked.join(total, "component").select("node_id", "component", "parent", "depth", (F.col("from_down") - F.col("from_up")).alias("size"), (F.col("total") - F.col("from_down")).alias("start"))
+    ranked = scratch.save(rows.join(d, "node_id").join(u, "node_id"), "ranked")
+    order = ranked.where("parent is null").select("component", F.col("from_down").alias("total")).join(parents.where("parent is null").select(F.col("node_id").alias("component"), "root_pos"), "component")
+    order = scratch.save(sum_before(order, ["root_pos", "component"], "total", "base"), "order")
+    found = spread_join(ranked, order, "component", "total", n)
+    start = F.col("base") + F.col("total") - F.col("from_down")
+    return found.select("node_id", "component", "parent", "depth", start.cast("long").alias("dfs_start"), (start + F.col("from_down") - F.col("from_up")).cast("long").alias("dfs_end"))
 
 
 def cut_forest(edges: DataFrame, index: DataFrame, cutoff: float) -> tuple[DataFrame, DataFrame]:

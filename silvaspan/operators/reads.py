@@ -10,7 +10,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from silvaspan.functions.labels import is_generated_junction
 from silvaspan.operators.ordering import carry_last, carry_max
 from silvaspan.scratch import Scratch
 
@@ -103,10 +102,14 @@ def scope(df: DataFrame, index: DataFrame, component: str, key: str = "node_id")
 
 
 def ordered_slice(df: DataFrame, keys: list[str], order: list[Column], limit: int) -> DataFrame:
-    """df cut to the first rows of each key, with ``total`` before the cut and ``truncated``."""
-    w = W.partitionBy(*keys)
-    rows = df.withColumn("total", F.count(F.lit(1)).over(w)).withColumn("_k", F.row_number().over(w.orderBy(*order)))
-    return rows.where(F.col("_k") <= limit).withColumn("truncated", F.col("total") > limit).drop("_k")
+    """df cut to the first rows of each key, with ``total`` before the cut and ``truncated``.
+
+    Totals are summed up apart, so the ranking is nothing but a limit: each task hands on ``limit`` rows of a key at most.
+    """
+    rows = Scratch(df.sparkSession, "slice").save(df, "rows")
+    totals = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
+    first = rows.withColumn("_k", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_k") <= limit).drop("_k")
+    return first.join(totals, keys).select(*df.columns, "total", (F.col("total") > limit).alias("truncated"))
 
 
 def focus_first(node_id: str) -> list[Column]:
@@ -151,11 +154,16 @@ def represented_nodes(ids: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def viewport_detail(requests: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
-    """Nodes in the box and all their neighbours (flag ``inside``), and per request all edges that touch a node inside, with both ends shown."""
-    hit = points_in_boxes(requests, nodes)
-    inside = ordered_slice(hit, ["request_id"], [F.col("node_id")], limit)
+    """Nodes in the box and all their neighbours (flag ``inside``: shown for themselves), and per request all edges that touch a node inside, with both ends shown.
+
+    ``total`` counts the nodes in the box before the limit and the shown neighbours outside it.
+    """
+    scratch = Scratch(nodes.sparkSession, "viewport")
+    inside = scratch.save(ordered_slice(points_in_boxes(requests, nodes), ["request_id"], [F.col("node_id")], limit), "inside")
     ids = inside.select("request_id", "node_id")
-    around = one_hop(edges, ids, nodes).select("request_id", *nodes.columns)
+    around = scratch.save(one_hop(edges, ids, nodes).select("request_id", *nodes.columns), "around")
+    outside = around.join(boxes(requests), "request_id").where(~in_box(F.col("x"), F.col("y"))).groupBy("request_id").agg(F.count(F.lit(1)).alias("_more"))
+    inside = inside.join(outside, "request_id", "left").withColumn("total", F.col("total") + F.coalesce("_more", F.lit(0))).drop("_more")
     shown = inside.select("request_id", *nodes.columns, F.lit(True).alias("inside"), "total", "truncated").unionByName(around.withColumn("inside", F.lit(False)), allowMissingColumns=True)
     ends = shown.select("request_id", "node_id").distinct()
     links = touching_edges(edges, ids)
@@ -234,17 +242,28 @@ def component_page(components: DataFrame, after: int, limit: int) -> tuple[DataF
     return rows.limit(limit), last[limit - 1][0] if len(last) > limit else None
 
 
-def representation_counts(requests: DataFrame, boxed: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(request_id, level, n): what each tier would show in each box; level -1 is full detail with all neighbours."""
-    placed = boxed.groupBy("level").agg((F.count("x0") == F.count(F.lit(1))).alias("whole")).where("whole").select("level")
-    # One row per tier: few. Tiers without any overlap count 0.
-    asked = requests.select("request_id").crossJoin(F.broadcast(placed))
-    found = boxes_overlapping(requests, boxed.join(F.broadcast(placed), "level")).groupBy("request_id", "level").agg(F.count(F.lit(1)).alias("n"))
-    coarse = asked.join(found, ["request_id", "level"], "left").select("request_id", "level", F.coalesce("n", F.lit(0)).alias("n"))
-    ids = points_in_boxes(requests, nodes).select("request_id", "node_id")
-    fine = represented_nodes(ids, edges).join(nodes.select("node_id"), "node_id", "left_semi").groupBy("request_id").agg(F.count(F.lit(1)).alias("n")).withColumn("level", F.lit(-1))
-    fine = requests.select("request_id").join(fine, "request_id", "left").select("request_id", F.lit(-1).alias("level"), F.coalesce("n", F.lit(0)).alias("n"))
-    return coarse.select("request_id", F.col("level").cast("int").alias("level"), "n").unionByName(fine)
+def representation_counts(requests: DataFrame, boxed: DataFrame, nodes: DataFrame, edges: DataFrame, ceiling: int | None = None) -> DataFrame:
+    """(request_id, level, n): what each tier up to the ceiling would show in each box.
+
+    A tier shows its clusters that overlap the box; tiers with a cluster without a place are left out. The finest tier of all shows full
+    detail, so it counts the nodes in the box and all their placed neighbours, wherever these lie: a hub in
+    the box makes it dear. Above the ceiling nothing is counted, the finest tier neither.
+    """
+    tiers = boxed.groupBy("level").agg((F.count("x0") == F.count(F.lit(1))).alias("whole"))
+    # One row per tier: few.
+    tiers = tiers.agg(F.collect_list(F.struct("level", "whole")).alias("t")).first()["t"]
+    finest = max((t["level"] for t in tiers), default=None)
+    counted = sorted(t["level"] for t in tiers if t["whole"] and (ceiling is None or t["level"] <= ceiling))
+    coarse, out = [t for t in counted if t != finest], requests.select("request_id").where("false").select("request_id", F.lit(0).alias("level"), F.lit(0).cast("long").alias("n"))
+    if coarse:
+        asked = requests.select("request_id", F.explode(F.array(*map(F.lit, coarse))).alias("level"))
+        found = boxes_overlapping(requests, boxed.where(F.col("level").isin(coarse))).groupBy("request_id", "level").agg(F.count(F.lit(1)).alias("n"))
+        out = out.unionByName(asked.join(found, ["request_id", "level"], "left").select("request_id", F.col("level").cast("int").alias("level"), F.coalesce("n", F.lit(0)).alias("n")))
+    if finest in counted:
+        ids = Scratch(nodes.sparkSession, "detail").save(points_in_boxes(requests, nodes).select("request_id", "node_id"), "ids")
+        fine = represented_nodes(ids, edges).join(nodes.select("node_id"), "node_id", "left_semi").groupBy("request_id").agg(F.count(F.lit(1)).alias("n"))
+        out = out.unionByName(requests.select("request_id").join(fine, "request_id", "left").select("request_id", F.lit(finest).cast("int").alias("level"), F.coalesce("n", F.lit(0)).alias("n")))
+    return out
 
 
 def choose_tier(counts: DataFrame, requests: DataFrame) -> DataFrame:
@@ -256,7 +275,7 @@ def choose_tier(counts: DataFrame, requests: DataFrame) -> DataFrame:
     if requests.where("target < 1").limit(1).count():
         raise ValueError("a target is positive")
     asked = requests.select("request_id", "preferred", "target", "previous")
-    rows = counts.where("level >= 0").join(asked, "request_id")
+    rows = counts.join(asked, "request_id")
     cost = F.col("n") * F.pow(F.lit(2.0), F.greatest(F.lit(0), F.col("level") - F.col("preferred")))
     each = rows.select("request_id", "level", "previous", "target", cost.alias("cost"))
     got = each.groupBy("request_id").agg(
@@ -334,26 +353,6 @@ def compose_expansion(base: DataFrame, patches: DataFrame, replaced: DataFrame,
     return rows.orderBy(F.when(F.col("node_id") == priority, 0).otherwise(1), "_p", "node_id").limit(budget).drop("_p")
 
 
-def search(ids: DataFrame, cells: DataFrame, isolates: DataFrame, query: str, limit: int = 25) -> DataFrame:
-    """(node_id, score, matched, total): the best match per node over ids, annotations and isolates; the first of these wins ties."""
-    q = query.strip().lower()
-    low = F.lower("node_id")
-    score = F.when(low == q, 100).when(F.startswith(low, F.lit(q)), 60).otherwise(40)
-    a = ids.where(F.lit(bool(q)) & F.contains(low, F.lit(q)) & ~is_generated_junction("node_id")).select("node_id", score.alias("score"), F.lit(0).alias("rank"), F.col("node_id").alias("matched"))
-    hits = cells.where(F.lit(bool(q)) & F.contains(F.lower("value"), F.lit(q)))
-    b = hits.groupBy("node_id").agg(F.min_by("value", "key").alias("v")).select("node_id", F.lit(20).alias("score"), F.lit(1).alias("rank"), F.concat_ws(" ", "node_id", "v").alias("matched"))
-    c = isolates.where(F.lit(bool(q)) & F.contains(fold_case("isolate_id"), F.lit(q.replace("ß", "ss")))).select("node_id", F.lit(20).alias("score"), F.lit(2).alias("rank"), F.col("isolate_id").alias("matched"))
-    every = a.unionByName(b).unionByName(c)
-    best = every.withColumn("_k", F.row_number().over(W.partitionBy("node_id").orderBy(F.col("score").desc(), "rank", "matched"))).where("_k = 1").drop("_k", "rank")
-    total = best.agg(F.count(F.lit(1)).alias("total"))
-    return best.orderBy(F.col("score").desc(), "node_id").limit(min(limit, 500)).crossJoin(F.broadcast(total))
-
-
-def fold_case(c: str) -> Column:
-    """Text folded for search."""
-    return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
-
-
 def select_target(df: DataFrame, middle: float | None = None, cluster_id: str | None = None) -> DataFrame:
     """The cluster of this id; else the one whose size is nearest to the geometric middle, ties by level and id; else the one of the smallest id."""
     if cluster_id is not None:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from silvaspan.operators.ordering import sum_before
@@ -146,23 +144,27 @@ def phase_faults(df: DataFrame, key: str, phases: list[str], total: str) -> Data
     return df.groupBy(key).agg(F.count_if(F.least(*phases, F.lit(0.0)) < 0).alias("negative"), F.count_if(F.abs(F.col(total) - spent) > 1e-6).alias("unbalanced"))
 
 
-def timer_gaps(df: DataFrame, key: str, scheduled: str, fired: str, requested: str) -> DataFrame:
-    """(key, wait, request): for the last timer that fired, from its schedule to its firing, and from there to the request."""
-    last = df.where(F.col(fired).isNotNull()).groupBy(key).agg(F.max_by(F.struct(scheduled, fired, requested), fired).alias("t"))
+def timer_gaps(df: DataFrame, key: str, scheduled: str, fired: str, requested: str, tie: str) -> DataFrame:
+    """(key, wait, request): for the last timer that fired, of simultaneous ones that of the largest ``tie``, from its schedule to its firing, and from there to the request."""
+    last = df.where(F.col(fired).isNotNull()).groupBy(key).agg(F.max_by(F.struct(scheduled, fired, requested), F.struct(fired, tie)).alias("t"))
     return last.select(key, (F.col(f"t.{fired}") - F.col(f"t.{scheduled}")).alias("wait"), (F.col(f"t.{requested}") - F.col(f"t.{fired}")).alias("request"))
 
 
 def select_targets(clusters: DataFrame, shares: tuple[float, ...] = (0.10, 0.50, 0.99)) -> DataFrame:
-    """(share, cluster_id, members): for each share the first cluster at or above this rank of the member count that has at least twice the members of the one before."""
-    ranked = Scratch(clusters.sparkSession, "targets").save(sum_before(clusters.select("cluster_id", "members", F.lit(1).alias("one")), ["members", "cluster_id"], "one", "k"), "ranked")
-    n, least, out = ranked.count(), 0, None
+    """(share, cluster_id, members) of clusters (level, cluster_id, members) of several members, one per share, each of at least twice the members of the one before.
+
+    The wanted number of members is that of the cluster at the share's rank, by members, level and id, counted from 0 to the last and rounded half to even. Of the numbers
+    in use the one nearest to it is taken, the smaller of two, and of its clusters the first by level and id. An error if no cluster is left for a share.
+    """
+    kept = clusters.where("members > 1").groupBy("members").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("level", "cluster_id")).alias("first"))
+    sizes = Scratch(clusters.sparkSession, "targets").save(sum_before(kept, ["members"], "n", "before"), "sizes")
+    n, least, out = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], 2, None
     for share in sorted(shares):
-        at = max(1, math.ceil(share * n))
-        rows = ranked.where((F.col("k") >= at - 1) & (F.col("members") >= 2 * least))
-        row = rows.agg(F.min_by(F.struct("cluster_id", "members"), "k").alias("x")).first()["x"]
+        at = round(share * (n - 1))
+        wanted = sizes.where((F.col("before") <= at) & (F.col("before") + F.col("n") > at)).select("members").first()
+        row = wanted and sizes.where(F.col("members") >= least).agg(F.min_by("members", F.struct(F.abs(F.col("members") - F.lit(wanted[0])), "members"))).first()[0]
         if row is None:
-            break
-        least = row["members"]
-        one = ranked.where(F.col("cluster_id") == row["cluster_id"]).select(F.lit(share).alias("share"), "cluster_id", "members")
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else ranked.limit(0).select(F.lit(0.0).alias("share"), "cluster_id", "members")
+            raise ValueError("too few kinds of clusters for all shares")
+        one = sizes.where(F.col("members") == row).select(F.lit(share).alias("share"), "first.cluster_id", "members")
+        out, least = one if out is None else out.unionByName(one), 2 * row
+    return out

@@ -339,6 +339,31 @@ def coarse_viewports(spark: SparkSession, sf: str) -> DataFrame:
     return shown.select("request_id", "representative", "members", "total")
 
 
+@query(f"""{INDEX}, {_POS}, b AS (SELECT level, representative, count(*) AS members, min(x) AS bx0, max(x) AS bx1, min(y) AS by0, max(y) AS by1 FROM cl JOIN p USING (node_id) WHERE level = 0 GROUP BY ALL),
+    k AS (SELECT request_id, representative, row_number() OVER (PARTITION BY request_id ORDER BY members DESC, 'lod_0_' || representative) AS r FROM rq JOIN b ON bx0 <= x1 AND bx1 >= x0 AND by0 <= y1 AND by1 >= y0), s AS (SELECT * FROM k WHERE r <= 30)
+    SELECT u.request_id, qe.source, qe.target, distance FROM qe JOIN s u ON u.representative = qe.source JOIN s v ON v.representative = qe.target AND v.request_id = u.request_id WHERE level = 0""")
+def coarse_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """The quotient edges between the clusters of the coarsest tier that each box shows."""
+    _, edges, _ = inputs.forest(spark, sf)
+    clusters = Scratch(spark, "coarse").save(inputs.clusters(spark, sf), "clusters")
+    boxed = summaries.cluster_geometry(clusters, inputs.positions(spark, sf))
+    _, links = reads.viewport_coarse(inputs.requests(spark, sf).withColumn("level", F.lit(0)), boxed, tiers.quotient_edges(clusters, edges), 30)
+    return links.select("request_id", "source", "target", "distance")
+
+
+@query(f"""{INDEX}, {_POS}, c AS (SELECT 'lod_1_' || representative AS request_id, node_id, max(node_id) OVER w AS focus, count(*) OVER w AS total FROM cl WHERE level = 1 WINDOW w AS (PARTITION BY representative)),
+    k AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY CASE WHEN node_id = focus THEN 0 ELSE 1 END, node_id) AS r FROM c WHERE total > 1), s AS (SELECT * FROM k WHERE r <= 3)
+    SELECT u.request_id, 'inner' AS kind, source, target, distance FROM edges JOIN s u ON u.node_id = source JOIN s v ON v.node_id = target AND v.request_id = u.request_id
+    UNION ALL SELECT s.request_id, 'boundary', s.node_id, parent, distance FROM s JOIN t USING (node_id) WHERE s.request_id = 'lod_1_' || s.node_id""")
+def expanded_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """The edges between the members that expanded_members shows, and those to the outside whose inner end is shown."""
+    _, clusters, asked = _asked_clusters(spark, sf)
+    _, edges, _ = inputs.forest(spark, sf)
+    _, inner, out = reads.viewport_expand(asked, clusters, inputs.positions(spark, sf), edges, 3)
+    inner = inner.select("request_id", F.lit("inner").alias("kind"), "source", "target", "distance")
+    return inner.unionByName(out.select("request_id", F.lit("boundary").alias("kind"), F.col("inner").alias("source"), F.col("outer_representative").alias("target"), "distance"))
+
+
 @query("""WITH c AS (SELECT c_nationkey AS request_id, c_custkey % 4 AS level, count(*) * (1 + c_custkey % 4) AS n FROM customer GROUP BY 1, 2, c_custkey % 4), rq AS (SELECT n_nationkey AS request_id, n_nationkey % 3 AS preferred, (SELECT count(*) FROM customer) / 50.0 AS target, CASE WHEN n_nationkey % 4 < 3 THEN n_nationkey % 4 END AS previous FROM nation),
     e AS (SELECT c.request_id, level, preferred, target, previous, n * power(2, greatest(0, level - preferred)) AS cost FROM c JOIN rq USING (request_id)),
     g AS (SELECT request_id, coalesce(max(level) FILTER (WHERE cost <= target), min(level)) AS chosen, max(level) FILTER (WHERE level = previous AND cost <= 1.15 * target) AS kept, max(level) FILTER (WHERE level > previous AND cost <= 0.85 * target) AS finer FROM e GROUP BY request_id)
@@ -588,22 +613,22 @@ def event_order(spark: SparkSession, sf: str) -> DataFrame:
     return order.join(stats.phase_faults(rows, "user_id", ["p", "q"], "value"), "user_id")
 
 
-@query("""WITH l AS (SELECT user_id, arg_max((event_id, value), epoch_us(ts)) AS x FROM events GROUP BY user_id HAVING count(DISTINCT ts) = count(*)) SELECT user_id, 1.5 AS wait, 0.25 AS request FROM l""")
+@query("""SELECT user_id, arg_max(1 + event_id % 8 / 8.0, (ts, event_id)) AS wait, arg_max(event_id % 4 / 4.0, (ts, event_id)) AS request FROM events GROUP BY user_id""")
 def timer_gaps(spark: SparkSession, sf: str) -> DataFrame:
-    """For the last event of each user without simultaneous ones, as a timer: the gaps from schedule to firing and to the request."""
-    events = table(spark, sf, "events")
-    clean = events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("ts").alias("k")).where("n = k").select("user_id")
-    fired = _seconds("ts")
-    rows = events.join(clean, "user_id", "left_semi").select("user_id", fired.alias("fired"), (fired - 1.5).alias("scheduled"), (fired + 0.25).alias("requested"))
-    return stats.timer_gaps(rows, "user_id", "scheduled", "fired", "requested").select("user_id", F.round("wait", 3).alias("wait"), F.round("request", 3).alias("request"))
+    """For the last event of each user as a timer, of simultaneous ones that of the largest id: the gaps from schedule to firing and to the request."""
+    fired, k = _seconds("ts"), F.col("event_id")
+    rows = table(spark, sf, "events").select("user_id", "event_id", fired.alias("fired"), (fired - 1 - k % 8 / 8.0).alias("scheduled"), (fired + k % 4 / 4.0).alias("requested"))
+    return stats.timer_gaps(rows, "user_id", "scheduled", "fired", "requested", "event_id").select("user_id", F.round("wait", 3).alias("wait"), F.round("request", 3).alias("request"))
 
 
-@query("""WITH c AS (SELECT 'C' || o_custkey AS cluster_id, count(*) AS members FROM orders GROUP BY o_custkey), k AS (SELECT *, row_number() OVER (ORDER BY members, cluster_id) AS k, count(*) OVER () AS n FROM c),
-    a AS (SELECT * FROM k WHERE k = greatest(1, ceil(0.1 * n))), b AS (SELECT k.* FROM k, a WHERE k.k >= ceil(0.5 * k.n) AND k.members >= 2 * a.members ORDER BY k.k LIMIT 1), c2 AS (SELECT k.* FROM k, b WHERE k.k >= ceil(0.99 * k.n) AND k.members >= 2 * b.members ORDER BY k.k LIMIT 1)
-    SELECT CAST(0.1 AS DOUBLE) AS share, cluster_id, members FROM a UNION ALL SELECT CAST(0.5 AS DOUBLE), cluster_id, members FROM b UNION ALL SELECT CAST(0.99 AS DOUBLE), cluster_id, members FROM c2""")
+@query(f"""{INDEX}, m AS (SELECT level, 'lod_' || level || '_' || representative AS cluster_id, count(*) AS members FROM cl GROUP BY ALL HAVING count(*) > 1), k AS (SELECT *, row_number() OVER (ORDER BY members, level, cluster_id) - 1 AS k, count(*) OVER () AS n FROM m),
+    a AS (SELECT arg_min(members, (abs(members - d), members)) AS c FROM m, (SELECT members AS d FROM k WHERE k = round_even(0.1 * (n - 1), 0)) WHERE members >= 2),
+    b AS (SELECT arg_min(members, (abs(members - d), members)) AS c FROM m, a, (SELECT members AS d FROM k WHERE k = round_even(0.5 * (n - 1), 0)) WHERE members >= 2 * a.c),
+    z AS (SELECT arg_min(members, (abs(members - d), members)) AS c FROM m, b, (SELECT members AS d FROM k WHERE k = round_even(0.99 * (n - 1), 0)) WHERE members >= 2 * b.c)
+    SELECT share, arg_min(cluster_id, (level, cluster_id)) AS cluster_id, members FROM m JOIN (SELECT CAST(0.1 AS DOUBLE) AS share, c FROM a UNION ALL SELECT CAST(0.5 AS DOUBLE), c FROM b UNION ALL SELECT CAST(0.99 AS DOUBLE), c FROM z) ON c = members GROUP BY share, members""")
 def selected_targets(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers by orders at the ranks of 10, 50 and 99 percent, each of at least twice the orders of the one before."""
-    return stats.select_targets(table(spark, sf, "orders").groupBy(_id("C", "o_custkey").alias("cluster_id")).agg(F.count(F.lit(1)).alias("members")))
+    """Clusters of all tiers whose members are nearest to those at the ranks of 10, 50 and 99 percent, each of at least twice the members of the one before."""
+    return stats.select_targets(inputs.clusters(spark, sf).groupBy("level", "cluster_id").agg(F.count(F.lit(1)).alias("members")))
 
 
 @query("""SELECT event_type, user_id % 3 AS series, count(value) AS n, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.75), 6) AS p75, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) AS iqr, min(value) AS min, max(value) AS max FROM events WHERE value IS NOT NULL GROUP BY 1, 2""")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from silvaspan.functions import labels
-from silvaspan.operators import annotations, components, forest, newick, patristic, profiles, quality, reads, stats, summaries, tiers
+from silvaspan.operators import annotations, components, forest, newick, patristic, profiles, quality, reads, search, stats, summaries, tiers
 from silvaspan.plans import inputs
 from silvaspan.scratch import Scratch
 from silvaspan.sources import versions
@@ -345,12 +345,13 @@ def region_reads(spark: SparkSession, sf: str) -> DataFrame:
 
 _SHOWN = """k AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY node_id) AS r, count(*) OVER (PARTITION BY request_id) AS total FROM hit), ins AS (SELECT request_id, node_id, total FROM k WHERE r <= 20),
     near AS (SELECT request_id, target AS node_id FROM ins JOIN edges ON source = node_id UNION SELECT request_id, source FROM ins JOIN edges ON target = node_id),
-    shown AS (SELECT request_id, node_id, TRUE AS inside, total, total > 20 AS truncated FROM ins UNION ALL SELECT request_id, node_id, FALSE, NULL, NULL FROM near WHERE (request_id, node_id) NOT IN (SELECT (request_id, node_id) FROM ins))"""
+    beyond AS (SELECT n.request_id, count(*) AS more FROM near n JOIN rq ON rq.request_id = n.request_id JOIN p ON p.node_id = n.node_id WHERE NOT (x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1) GROUP BY n.request_id),
+    shown AS (SELECT ins.request_id, node_id, TRUE AS inside, total + coalesce(more, 0) AS total, total > 20 AS truncated FROM ins LEFT JOIN beyond ON beyond.request_id = ins.request_id UNION ALL SELECT request_id, node_id, FALSE, NULL, NULL FROM near WHERE (request_id, node_id) NOT IN (SELECT (request_id, node_id) FROM ins))"""
 
 
 @query(f"WITH {EDGES}, {_POS}, {_SHOWN} SELECT * FROM shown")
 def viewport_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    """The first 20 nodes in each box, with totals before the cut, and all their neighbours."""
+    """The first 20 nodes in each box, with totals before the cut and beyond the box, and all their neighbours."""
     _, edges, _ = inputs.forest(spark, sf)
     shown, _ = reads.viewport_detail(inputs.requests(spark, sf), inputs.positions(spark, sf), edges, 20)
     return shown.select("request_id", "node_id", "inside", "total", "truncated")
@@ -364,39 +365,76 @@ def viewport_edges(spark: SparkSession, sf: str) -> DataFrame:
     return links.select("request_id", "source", "target", "distance")
 
 
-@query(f"""{INDEX}, {_POS}, b AS (SELECT level, representative, min(x) AS bx0, max(x) AS bx1, min(y) AS by0, max(y) AS by1 FROM cl JOIN p USING (node_id) GROUP BY ALL),
-    near AS (SELECT request_id, node_id FROM hit UNION SELECT request_id, target FROM hit JOIN edges ON source = node_id UNION SELECT request_id, source FROM hit JOIN edges ON target = node_id)
-    SELECT request_id, cuts.level, (SELECT count(*) FROM b WHERE b.level = cuts.level AND bx0 <= x1 AND bx1 >= x0 AND by0 <= y1 AND by1 >= y0) AS n FROM rq, cuts
-    UNION ALL SELECT rq.request_id, -1, count(node_id) FROM rq LEFT JOIN near USING (request_id) GROUP BY rq.request_id""")
-def tier_counts_by_box(spark: SparkSession, sf: str) -> DataFrame:
-    """How many nodes with their neighbours, and clusters of each tier, each box would show."""
+#: What each tier shows in each box: clusters that overlap it, and for the finest tier the nodes in it with all their neighbours.
+_TIER_COUNTS = f"""{INDEX}, {_POS}, b AS (SELECT level, representative, min(x) AS bx0, max(x) AS bx1, min(y) AS by0, max(y) AS by1 FROM cl JOIN p USING (node_id) GROUP BY ALL),
+    near AS (SELECT request_id, node_id FROM hit UNION SELECT request_id, target FROM hit JOIN edges ON source = node_id UNION SELECT request_id, source FROM hit JOIN edges ON target = node_id),
+    tc AS (SELECT request_id, cuts.level, (SELECT count(*) FROM b WHERE b.level = cuts.level AND bx0 <= x1 AND bx1 >= x0 AND by0 <= y1 AND by1 >= y0) AS n FROM rq, cuts WHERE cuts.level < 2
+        UNION ALL SELECT rq.request_id, 2, count(node_id) FROM rq LEFT JOIN near USING (request_id) GROUP BY rq.request_id)"""
+
+
+def _tier_counts(spark: SparkSession, sf: str, ceiling: int | None = None) -> DataFrame:
     _, edges, _ = inputs.forest(spark, sf)
     positions = inputs.positions(spark, sf)
-    boxed = summaries.cluster_geometry(inputs.clusters(spark, sf), positions)
-    return reads.representation_counts(inputs.requests(spark, sf), boxed, positions, edges)
+    boxed = Scratch(spark, "boxed").save(summaries.cluster_geometry(inputs.clusters(spark, sf), positions), "boxed")
+    return reads.representation_counts(inputs.requests(spark, sf), boxed, positions, edges, ceiling)
 
 
-@query("""WITH s AS (SELECT 'N' || c_nationkey AS node_id, 'c' || c_custkey AS iso, c_mktsegment AS seg, 'C' || c_custkey AS cust FROM customer),
-    u AS (SELECT cust AS node_id, CASE WHEN lower(cust) = 'c1' THEN 100 WHEN starts_with(lower(cust), 'c1') THEN 60 ELSE 40 END AS score, 0 AS r, cust AS matched FROM s WHERE contains(lower(cust), 'c1')
-          UNION ALL SELECT node_id, 20, 2, iso FROM s WHERE contains(lower(iso), 'c1')),
-    best AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY score DESC, r, matched) AS k FROM u)
-    SELECT node_id, score, matched, count(*) OVER () AS total FROM best WHERE k = 1 ORDER BY score DESC, node_id LIMIT 25""")
+@query(f"{_TIER_COUNTS} SELECT request_id, CAST(level AS INTEGER) AS level, n FROM tc")
+def tier_counts_by_box(spark: SparkSession, sf: str) -> DataFrame:
+    """What each tier would show in each box: clusters, and in the finest tier nodes with their neighbours."""
+    return _tier_counts(spark, sf)
+
+
+@query(f"{_TIER_COUNTS} SELECT request_id, CAST(level AS INTEGER) AS level, n FROM tc WHERE level <= 1")
+def tier_counts_below_ceiling(spark: SparkSession, sf: str) -> DataFrame:
+    """The same up to tier 1: the finest tier is not counted."""
+    return _tier_counts(spark, sf, 1)
+
+
+@query(f"""{_TIER_COUNTS}, ask AS (SELECT n_nationkey AS request_id, n_nationkey % 3 AS preferred, 30.0 * (1 + n_nationkey % 5) * (SELECT count(*) FROM orders) / 1500 AS target, CASE WHEN n_nationkey % 4 < 3 THEN n_nationkey % 4 END AS previous FROM nation),
+    e AS (SELECT tc.request_id, level, preferred, target, previous, n * power(2, greatest(0, level - preferred)) AS cost FROM tc JOIN ask USING (request_id)),
+    g AS (SELECT request_id, coalesce(max(level) FILTER (WHERE cost <= target), min(level)) AS chosen, max(level) FILTER (WHERE level = previous AND cost <= 1.15 * target) AS kept, max(level) FILTER (WHERE level > previous AND cost <= 0.85 * target) AS finer FROM e GROUP BY request_id)
+    SELECT ask.request_id, CAST(coalesce(CASE WHEN kept IS NULL OR chosen = kept THEN chosen WHEN chosen < kept THEN kept ELSE coalesce(finer, kept) END, preferred) AS INTEGER) AS level FROM ask LEFT JOIN g USING (request_id)""")
+def chosen_tiers_by_box(spark: SparkSession, sf: str) -> DataFrame:
+    """The tier of each box by what the tiers would show there, a target and a previous tier."""
+    k, n = F.col("n_nationkey"), table(spark, sf, "orders").count()
+    asked = table(spark, sf, "nation").select(k.alias("request_id"), (k % 3).alias("preferred"), (F.lit(30.0) * (1 + k % 5) * n / 1500).alias("target"), F.when(k % 4 < 3, k % 4).alias("previous"))
+    return reads.choose_tier(_tier_counts(spark, sf), asked)
+
+
+#: Texts that can be found: (kind, node, place of the field, shown text, folded text), as fixed by the requests below.
+_TEXTS = """texts AS (SELECT 0 AS kind, 'C' || c_custkey AS node_id, 0 AS pos, 'C' || c_custkey AS text FROM customer UNION ALL SELECT 1, 'C' || c_custkey, 0, c_name FROM customer UNION ALL SELECT 1, 'C' || c_custkey, 1, c_mktsegment FROM customer WHERE c_custkey % 3 <> 0
+        UNION ALL SELECT 2, CASE WHEN c_nationkey % 2 = 0 THEN 'union_1_' || c_nationkey ELSE 'N' || c_nationkey END, 0, 'ISO-c' || c_custkey || CASE WHEN c_custkey % 5 = 0 THEN 'ß' ELSE '' END FROM customer),
+    ask AS (SELECT unnest([1, 2, 3, 4, 5, 6, 7, 8]) AS request_id, unnest(['C1', ' u ', 'build', 'iso-C12', 'SS', 'union_1', '  ', 'c11']) AS query, unnest([NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'R0']) AS component),
+    hits AS (SELECT request_id, texts.*, CASE kind WHEN 1 THEN 20 ELSE CASE WHEN f = q THEN 100 WHEN starts_with(f, q) THEN 60 ELSE 40 END END AS score, component FROM (SELECT *, CASE WHEN kind = 2 THEN replace(lower(text), 'ß', 'ss') ELSE lower(text) END AS f FROM texts) AS texts, (SELECT *, lower(trim(query)) AS q FROM ask) AS ask WHERE q <> '' AND contains(f, q)),
+    ranked AS (SELECT request_id, node_id, score, CASE kind WHEN 1 THEN node_id || ' ' || text ELSE text END AS matched, row_number() OVER (PARTITION BY request_id, node_id ORDER BY score DESC, kind, pos, text) AS k FROM hits WHERE component IS NULL OR node_id IN (SELECT node_id FROM t WHERE a0 = component)),
+    top AS (SELECT request_id, node_id, score, matched, count(*) OVER (PARTITION BY request_id) AS total, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, node_id) AS r FROM ranked WHERE k = 1)"""
+
+
+def _search(spark: SparkSession, sf: str) -> DataFrame:
+    customer, key = table(spark, sf, "customer"), F.col("c_custkey")
+    node = F.concat(F.lit("C"), key.cast("string"))
+    cell = lambda pos, name, value: F.struct(F.lit(pos).alias("pos"), F.lit(name).alias("key"), value.alias("value"))
+    fields = F.array(cell(0, "z", F.col("c_name")), cell(1, "a", F.when(key % 3 != 0, F.col("c_mktsegment"))), cell(2, "profile_count", F.lit("1")))
+    cells = customer.select(node.alias("node_id"), F.inline(fields))
+    nation = F.col("c_nationkey").cast("string")
+    isolates = customer.select(F.when(F.col("c_nationkey") % 2 == 0, F.concat(F.lit("union_1_"), nation)).otherwise(F.concat(F.lit("N"), nation)).alias("node_id"), F.concat(F.lit("ISO-c"), key.cast("string"), F.when(key % 5 == 0, "ß").otherwise("")).alias("isolate_id"))
+    ids = customer.select(node.alias("node_id")).unionByName(isolates.where("node_id like 'union%'").select("node_id").distinct())
+    tables = search.write_search(search.search_tables(ids, cells, isolates), Scratch(spark, "index").root)
+    asked = [(1, "C1", None), (2, " u ", None), (3, "build", None), (4, "iso-C12", None), (5, "SS", None), (6, "union_1", None), (7, "  ", None), (8, "c11", "R0")]
+    return search.search(tables, spark.createDataFrame(asked, "request_id int, query string, component string"), 25, inputs.index(spark, sf), inputs.positions(spark, sf))
+
+
+@query(f"{INDEX}, {_POS}, {_TEXTS} SELECT request_id, top.node_id, score, matched, total, x, y FROM top LEFT JOIN p USING (node_id) WHERE r <= 25 AND request_id NOT IN (2, 3)")
 def search_ids(spark: SparkSession, sf: str) -> DataFrame:
-    """The best 25 matches of a query over customers' ids and, below nations, their isolates: a top-k report."""
-    customer = table(spark, sf, "customer")
-    ids = customer.select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("node_id"))
-    nation = F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("node_id")
-    cells = customer.select(nation, F.lit("segment").alias("key"), F.col("c_mktsegment").alias("value"))
-    return reads.search(ids, cells, customer.select(nation, F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("isolate_id")), "C1")
+    """The best 25 nodes for queries over ids, isolates and values, with their places: a top-k report; one query asks in one tree only."""
+    return _search(spark, sf).where("request_id not in (2, 3)").select("request_id", "node_id", "score", "matched", "total", "x", "y")
 
 
-@query("""WITH s AS (SELECT 'C' || c_custkey AS node_id, c_mktsegment AS seg, c_name AS name FROM customer WHERE contains(lower(c_mktsegment), 'u') OR contains(lower(c_name), 'u'))
-    SELECT node_id, 20 AS score, node_id || ' ' || CASE WHEN contains(lower(seg), 'u') THEN seg ELSE name END AS matched, count(*) OVER () AS total FROM s ORDER BY node_id LIMIT 25""")
+@query(f"{INDEX}, {_POS}, {_TEXTS} SELECT request_id, node_id, score, matched, total FROM top WHERE r <= 25 AND request_id IN (2, 3)")
 def search_values(spark: SparkSession, sf: str) -> DataFrame:
-    """The first 25 customers with a value that holds a text: a top-k report; of several values that of the first key counts."""
-    customer = table(spark, sf, "customer").withColumn("node_id", F.concat(F.lit("C"), F.col("c_custkey").cast("string")))
-    cells = customer.select("node_id", F.explode(F.array(F.struct(F.lit("a").alias("key"), F.col("c_mktsegment").alias("value")), F.struct(F.lit("b").alias("key"), F.col("c_name").alias("value")))).alias("x")).select("node_id", "x.*")
-    return reads.search(customer.select("node_id"), cells, customer.select("node_id", F.lit(None).cast("string").alias("isolate_id")), " U ")
+    """The first 25 nodes for queries that values hold, of several values of a node the first: a top-k report."""
+    return _search(spark, sf).where("request_id in (2, 3)").select("request_id", "node_id", "score", "matched", "total")
 
 
 @query(f"{INDEX} SELECT component, count(*) AS nodes, min(dfs_start) AS dfs_start FROM idx GROUP BY component HAVING min(dfs_start) > 0 ORDER BY dfs_start LIMIT 3")

@@ -274,3 +274,17 @@ def test_exact_decimals(spark):
 def test_jump_depths(spark):
     df = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b")], "node_id string, parent string")
     assert sorted((r["node_id"], r["depth"], r["component"]) for r in forest.depths_of(df, Scratch(spark, "t")).collect()) == [("a", 0, "a"), ("b", 1, "a"), ("c", 2, "a")]
+
+
+def test_hubs_are_cut_into_spans(spark):
+    """Next siblings and first children where one parent stands in many ranges."""
+    from silvaspan.operators.skew import counted_join, with_next, with_place
+
+    rows = [("hub", f"{k:03d}") for k in range(90)] + [(f"p{k}", "x") for k in range(5)]
+    df = spark.createDataFrame(rows, "parent string, node_id string")
+    got = {(r["parent"], r["node_id"]): (r["next"], r["first"]) for r in with_next(df, "parent", "node_id", "next", Scratch(spark, "t")).collect()}
+    assert got == {(p, v): (f"{int(v) + 1:03d}" if p == "hub" and v != "089" else None, v in ("000", "x")) for p, v in rows}
+    placed = with_place(df.repartition(7), ["parent", "node_id"], "k", Scratch(spark, "t")).collect()
+    assert sorted((r["k"], r["parent"], r["node_id"]) for r in placed) == [(k, *x) for k, x in enumerate(sorted(rows))]
+    names = spark.createDataFrame([("hub", 1), ("p1", 2)], "parent string, n int")
+    assert counted_join(df, names, "parent", Scratch(spark, "t"), 10**9).count() == counted_join(df, names, "parent", Scratch(spark, "t"), 95).count() == 91

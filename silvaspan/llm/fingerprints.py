@@ -10,11 +10,10 @@ into radius + 2 blocks, radius differing bits leave two blocks whole, so one tab
 keyed by them, holds every answer; candidates are verified. A key that more than ``DENSE`` fingerprints share
 is dealt over as many tasks as it takes, with the queries, the smaller side, repeated.
 
-``edited_texts`` needs each document's successor in descending id order. The order's keys, ids and
-hashes of texts, are dealt into ranges of about ``PER_RANGE`` rows by Spark's range partitioning and
-stored; the first keys of the ranges, one row each, are all that is broadcast, so their number grows with the table by
-a row in ``PER_RANGE``. Texts are dealt to the ranges by a binary search among them: one shuffle, no global sort. A
-window inside each range reads the next row, and each range's last row takes the first of the next. As
+``edited_texts`` needs each document's successor in descending id order. The order's distinct keys, ids and
+hashes of texts, are cut into ranges of about ``PER_RANGE`` rows (``RANGES`` at most, then of more rows) by Spark's range
+partitioning and stored with their range's number; texts find it by an equi-join on the key, so a row's cost doesn't depend on the number
+of ranges. A window inside each range reads the next row, and each range's last row takes the first of the next. As
 hashes of texts are part of the key, rows of one id, or of none, are split over ranges too; only
 rows of equal id and text stay together, and where they are a large part of the table they travel as one row with
 a count.
@@ -38,6 +37,8 @@ from silvaspan.sources.tables import table
 BITS = 128
 RADIUS = 3
 PER_RANGE = 4096
+#: Ranges at most: a row for each is ordered in one task.
+RANGES = 1 << 16
 DENSE = 4096
 _PAIR = (1 << 32) | 1
 
@@ -131,13 +132,9 @@ def edited_texts(docs: DataFrame) -> DataFrame:
         merged = rows.join(heavy, "key", "left_semi").groupBy("key", "doc_id").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n"))
         merged = merged.select("doc_id", "text", "key", F.explode(F.array(F.col("n") - 1, F.lit(1).cast("long"))).alias("copies"))
         rows = rows.join(heavy, "key", "left_anti").select(*merged.columns).unionByName(merged)
-    dealt = counted.select("key").repartitionByRange(max(1, n // PER_RANGE), "key").select("key", F.spark_partition_id().alias("part"))
-    firsts = scratch.save(dealt.groupBy("part").agg(F.min("key").alias("key")), "firsts")
-    starts = F.broadcast(firsts.agg(F.sort_array(F.collect_list("key")).alias("starts")))
-    # The last start that is not above the key, by halving: after 40 steps lo is its place.
-    found = F.expr("""aggregate(sequence(1, 40), struct(0L AS lo, bigint(size(starts)) AS hi), (s, k) ->
-        IF(s.hi - s.lo <= 1, s, IF(get(starts, int((s.lo + s.hi) div 2)) <= key, struct((s.lo + s.hi) div 2 AS lo, s.hi AS hi), struct(s.lo AS lo, (s.lo + s.hi) div 2 AS hi))), s -> s.lo)""")
-    rows = rows.crossJoin(starts).withColumn("range", found.cast("int")).drop("starts")
+    # The ranges are cut over the keys alone, which are distinct here; rows find theirs by an equi-join, at the same cost however many ranges there are.
+    dealt = counted.select("key").repartitionByRange(min(max(1, n // PER_RANGE), RANGES), "key").select("key", F.spark_partition_id().alias("range"))
+    rows = rows.join(scratch.save(dealt, "dealt"), "key")
     # One row per range: its first text is what the last row of the range before is edited with.
     tops = rows.groupBy("range").agg(F.min("key").alias("key"))
     tops = scratch.save(rows.join(tops, ["range", "key"]).groupBy("range").agg(F.first("text").alias("first_text")), "tops")

@@ -10,13 +10,13 @@ statistically similar branches are merged and go on as one. The path that is lef
 ``REJECT`` is rejected with all its pages, labelled or not.
 
 Labels are a table (page_id, bad). By default they come from evidence outside the url's own words: what a
-rule blocks is bad and what a rule allows is good; else a page is bad if its html holds a word of
+rule blocks is bad and what a rule allows is good, and so are copies of its html elsewhere; else a page is bad if its html holds a word of
 ``SEEDS`` as a word, and good if it has html without one. Pages whose crc32(page_id) mod 5 is 1 are held
 out: their labels never enter the tree, and ``held_out_report`` tells how the templates judge them.
 
 The tree is built over distinct paths, counted before any shuffle. Each turn decides one branching of
-every node: segments that all paths of a child share are passed in one step, so the number of turns is the
-number of true branchings on a path, not its depth, and there is no bound on the depth. Counts per node are
+every node and passes what follows up to the next one, variable segments too: the number of turns is the
+number of nodes on a path below which paths part, not its depth, and there is no bound on the depth. Counts per node are
 sums, never lists, and a node that holds a large part of all paths is joined by a bounded broadcast.
 
 Defined results: a null url, or one without ``://``, has empty host and path and is allowed; null ids are
@@ -79,12 +79,22 @@ def held_out(page_id: str = "page_id") -> Column:
 
 
 def evidence(pages: DataFrame, rules=RULES, seeds=SEEDS) -> DataFrame:
-    """(page_id, bad) of the pages (page_id, url, html) that a rule or their html tells about."""
+    """(page_id, bad) of the pages (page_id, url, html) that a rule, equal html elsewhere or their html's words tell about.
+
+    What rules say about most pages of one html, blocked ones if equal in number, holds for its copies at other urls too.
+    """
+    scratch = Scratch(pages.sparkSession, "evidence")
+    told, html = rule_of(rules)[1], F.col("html")
     rows = pages.where("page_id is not null").select("page_id", host_of().alias("host"), path_of().alias("path"), "html")
-    told = rule_of(rules)[1]
-    says = F.col("html").rlike(r"(?i)(?<![a-z])(?:" + "|".join(seeds) + r")(?![a-z])")
-    bad = F.coalesce(told == "block", F.when(F.length("html") > 0, says))
-    return rows.select("page_id", bad.alias("bad")).where("bad is not null")
+    says = html.rlike(r"(?i)(?<![a-z])(?:" + "|".join(seeds) + r")(?![a-z])")
+    sha = F.when(F.length("html") > 0, F.sha1(F.encode("html", "UTF-8")))
+    rows = scratch.save(rows.select("page_id", told.alias("told"), sha.alias("sha"), F.when(F.length("html") > 0, says).alias("says")), "rows")
+    ruled = F.when(F.col("told") == "block", 1).when(F.col("told") == "allow", -1)
+    copies = rows.where("sha is not null").groupBy("sha").agg(F.sum(ruled).alias("sum"), F.count(ruled).alias("ruled"), F.count(F.lit(1)).alias("n")).where("ruled > 0 and ruled < n")
+    copies = scratch.save(copies.select("sha", (F.col("sum") >= 0).alias("as_copy"), "n"), "copies")
+    found = spread_join(rows, copies, "sha", "n", rows.count(), "left")
+    bad = F.coalesce(F.col("told") == "block", F.col("as_copy"), F.col("says"))
+    return found.select("page_id", bad.alias("bad")).where("bad is not null")
 
 
 def _shared(a: Column, b: Column) -> Column:
@@ -95,6 +105,22 @@ def _shared(a: Column, b: Column) -> Column:
     return F.when(at > 0, at - 1).otherwise(n).cast("int")
 
 
+def _down_the_chain(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """rows (pid, host, rest, template, n, m, bad, at) moved on from each node ``at`` as far as it has no branching.
+
+    Below a node stands a chain as long as every path is a beginning of the node's last path, in the order of segments, or leaves it later: a path that is alone,
+    and a family of paths that go on and on, end in one step.
+    """
+    total = rows.count()
+    last = rows.groupBy("at").agg(F.max("rest").alias("last"), F.count(F.lit(1)).alias("rows"))
+    met = scratch.save(spread_join(rows, scratch.save(last, "last"), "at", "rows", total).withColumn("common", _shared(F.col("rest"), F.col("last"))), "met")
+    # Only a path that leaves the chain, not one that ends on it, stops the others.
+    leaves = F.when(F.col("common") < F.size("rest"), F.col("common")).otherwise(F.size("last"))
+    free = met.groupBy("at").agg(F.min(leaves).alias("skip"), F.count(F.lit(1)).alias("rows"))
+    out = spread_join(met.drop("rows"), scratch.save(free, "free"), "at", "rows", total)
+    return out.select("pid", "host", F.expr("slice(rest, 1 + skip, size(rest))").alias("rest"), F.concat("template", F.expr("slice(rest, 1, skip)")).alias("template"), "n", "m", "bad")
+
+
 def templates(paths: DataFrame) -> DataFrame:
     """(pid, host, template, n, m, bad) for every row of paths (pid, host, rest, n, m, bad).
 
@@ -109,28 +135,19 @@ def templates(paths: DataFrame) -> DataFrame:
         total = here.count()
         if not total:
             break
-        tail = F.expr("slice(rest, 2, size(rest))")
-        child = here.groupBy("key", "host", "template", F.get("rest", F.lit(0)).alias("seg")).agg(
-            F.sum("n").alias("n"), F.sum("m").alias("m"), F.sum("bad").alias("bad"), F.count(F.lit(1)).alias("rows"), F.min(tail).alias("low"), F.max(tail).alias("high")
-        )
-        child = scratch.save(child.select("*", _shared(F.col("low"), F.col("high")).alias("skip")).drop("low", "high"), f"children{turn}")
+        child = here.groupBy("key", "host", "template", F.get("rest", F.lit(0)).alias("seg")).agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.sum("bad").alias("bad"), F.count(F.lit(1)).alias("rows"))
+        child = scratch.save(child, f"children{turn}")
         node = child.groupBy("host", "template").agg(F.sum("n").alias("all_n"), F.sum("m").alias("all_m"), F.sum("bad").alias("all_bad"), F.count(F.lit(1)).alias("fan"))
         rate = F.coalesce(F.try_divide("all_bad", "all_m"), F.lit(0.0))
         alike = (F.col("fan") > 1) & (F.col("m") > 0) & (F.abs(F.try_divide("bad", "m") - rate) <= Z * F.sqrt(rate * (1 - rate) / F.col("m")))
         rare = (F.col("fan") > FAN) & (F.col("n") < SHARE * F.col("all_n"))
         # A rare segment's rate is drawn to the node's by WEIGHT pages first; without labels it is the node's.
         near = F.abs((F.col("bad") + WEIGHT * rate) / (F.col("m") + WEIGHT) - rate) <= Z * F.sqrt(rate * (1 - rate) / (F.col("m") + WEIGHT))
-        merged = alike | (rare & near)
-        to = F.when(merged, F.lit(ANY)).otherwise(F.col("seg"))
-        # What all paths of an unmerged child share is passed at once; a wildcard may take in other children and goes on segment by segment.
-        skip = F.when(merged | (F.col("seg") == ANY), F.lit(0)).otherwise(F.col("skip"))
-        named = child.join(node, ["host", "template"]).select("key", "rows", to.alias("to"), skip.alias("skip"))
-        step = spread_join(here, named, "key", "rows", total)
-        step = step.select(
-            "pid", "host", F.expr("slice(rest, 2 + skip, size(rest))").alias("rest"),
-            F.concat("template", F.array("to"), F.expr("slice(rest, 2, skip)")).alias("template"), "n", "m", "bad",
-        )
-        now, turn = scratch.save(step, f"turn{turn}"), turn + 1
+        to = F.when(alike | (rare & near), F.lit(ANY)).otherwise(F.col("seg"))
+        named = child.join(node, ["host", "template"]).select("key", "rows", to.alias("to"))
+        step = spread_join(here, scratch.save(named, f"named{turn}"), "key", "rows", total)
+        step = step.select("pid", "host", F.expr("slice(rest, 2, size(rest))").alias("rest"), F.concat("template", F.array("to")).alias("template"), "n", "m", "bad", F.xxhash64("host", F.concat("template", F.array("to"))).alias("at"))
+        now, turn = scratch.save(_down_the_chain(scratch.save(step, f"step{turn}"), scratch), f"turn{turn}"), turn + 1
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import sys
 import zlib
 
 from pyspark.sql import functions as F
@@ -155,3 +156,30 @@ def test_whole_table_equals_plain_loops(spark):
     labels = {r["page_id"]: int(r["bad"]) for r in U.evidence(pages).collect()}
     rows = [(r["page_id"], r["url"]) for r in pages.collect()]
     assert {r["page_id"]: (r["verdict"], r["template"]) for r in U.op3_url_filter(spark, sf).collect()} == plain_judge(rows, labels)
+
+
+def test_long_paths_take_few_turns(spark, monkeypatch):
+    """A url of 2,000 variable segments, and a family of urls that go on and on, end within ten turns."""
+    turns = []
+    step = U._down_the_chain
+    monkeypatch.setattr(U, "_down_the_chain", lambda *a: turns.append(1) or step(*a))
+    paths = {("a.io", tuple("*" for _ in range(2000))): [1, 0, 0], ("a.io", ("y", "z")): [2, 1, 1], ("a.io", ()): [1, 0, 0]}
+    paths |= {("b.io", ("x",) * k): [1, k % 2, 0] for k in range(1, 400, 3)} | {("b.io", ("x",) * 50 + ("q", "*", "r")): [1, 1, 1], ("b.io", ("x",) * 50 + ("q", "*")): [1, 1, 0]}
+    rows = [(k, host, list(segs), *c) for k, ((host, segs), c) in enumerate(paths.items())]
+    got = {r["pid"]: tuple(r["template"]) for r in U.templates(spark.createDataFrame(rows, "pid long, host string, rest array<string>, n int, m int, bad int")).collect()}
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(10_000)
+    try:
+        tree = plain_templates(paths)
+    finally:
+        sys.setrecursionlimit(limit)
+    assert {(host, tuple(segs)): got[k] for k, host, segs, *_ in rows} == tree
+    assert len(turns) <= 10
+
+
+def test_copies_of_ruled_pages_are_labelled(spark):
+    """What a rule says about a page holds for equal html elsewhere, whatever its words; blocked and allowed in equal number are bad."""
+    rows = [(1, "http://a.net/x", "<p>calm"), (2, "http://b.io/1", "<p>calm"), (3, "http://c.org/fr/1", "<p>casino"), (4, "http://b.io/2", "<p>casino"), (5, "http://b.io/3", "<p>casino games"), (6, "http://b.io/4", "<p>other")]
+    rows += [(7, "http://d.net/", "<p>both"), (8, "http://d.org/fr/", "<p>both"), (9, "http://d.io/", "<p>both"), (10, "http://e.io", ""), (11, "http://e.io", None)]
+    got = {r["page_id"]: r["bad"] for r in U.evidence(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: True, 2: True, 3: False, 4: False, 5: True, 6: False, 7: True, 8: False, 9: True}

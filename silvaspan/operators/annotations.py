@@ -90,14 +90,17 @@ def declared_overrides(cells: DataFrame, types: DataFrame) -> DataFrame:
 
 
 def validate_annotations(cells: DataFrame, nodes: DataFrame, types: DataFrame, members: DataFrame | None = None) -> DataFrame:
-    """(violation, subject): unknown nodes, undeclared keys, values of another type, isolates in two nodes."""
+    """(violation, subject): unknown nodes, undeclared keys, values of another type, isolates in two nodes, members of unknown nodes, and nodes with an empty membership: a row of members without an isolate."""
     out = cells.join(nodes, "node_id", "left_anti").select(F.lit("unknown node").alias("violation"), F.col("node_id").alias("subject"))
     out = out.unionByName(cells.join(types, "key", "left_anti").select(F.lit("undeclared key").alias("violation"), F.col("key").alias("subject")))
     bad = F.when(F.col("type") == "number", ~is_number_literal("value")).when(F.col("type") == "boolean", ~is_boolean_literal("value")).otherwise(F.lit(False))
     out = out.unionByName(cells.where("value is not null").join(types, "key").where(bad).select(F.lit("type mismatch").alias("violation"), F.concat_ws("/", "node_id", "key").alias("subject")))
     if members is not None:
-        twice = members.groupBy("isolate_id").agg(F.countDistinct("node_id").alias("n")).where("n > 1")
+        twice = members.where("isolate_id is not null").groupBy("isolate_id").agg(F.countDistinct("node_id").alias("n")).where("n > 1")
         out = out.unionByName(twice.select(F.lit("isolate in two nodes").alias("violation"), F.col("isolate_id").alias("subject")))
+        subject = F.col("node_id").alias("subject")
+        out = out.unionByName(members.where("isolate_id is null").select(F.lit("empty membership").alias("violation"), subject))
+        out = out.unionByName(members.join(nodes, "node_id", "left_anti").select(F.lit("membership of unknown node").alias("violation"), subject))
     return out.distinct()
 
 

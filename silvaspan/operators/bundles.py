@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -13,6 +14,11 @@ from silvaspan.scratch import Scratch
 from silvaspan.sources import versions
 
 
+SETTINGS = "strategy string, default_strategy string, cutoff double, options string, small long"
+#: Levels that one job of ``oriented`` adds.
+STEPS = 4
+
+
 @dataclass(frozen=True)
 class Forest:
     """An ingested forest: tables, warnings (message), and how its roots were chosen."""
@@ -68,7 +74,7 @@ def cut(found: Forest, cutoff: float | None) -> Forest:
         return found
     edges, roots = forest.cut_forest(found.edges, forest.index_forest(found.edges, found.roots), cutoff)
     roots = Scratch(edges.sparkSession, "cut").save(roots, "roots")
-    told = roots.agg(F.count(F.lit(1)).cast("string").alias("n")).select(F.concat(F.lit(f"Distance cutoff {cutoff:g}: kept edges at or below the cutoff; "), "n", F.lit(" tree components.")).alias("message"))
+    told = roots.agg(F.count(F.lit(1)).cast("string").alias("n")).select(F.concat(F.lit(f"edges longer than {cutoff:g} are left out, roots: "), "n").alias("message"))
     return replace(found, edges=edges, roots=roots, warnings=found.warnings.unionByName(told), cutoff=cutoff)
 
 
@@ -94,7 +100,7 @@ def oriented(tree: DataFrame, roots: DataFrame) -> DataFrame:
     out = None
     while True:
         batch = None
-        for _ in range(forest.STEPS):
+        for _ in range(STEPS):
             above = now.select(F.col("target").alias("at"), F.col("source").alias("back"))
             now = arcs.join(above, arcs["source"] == above["at"]).where("back is null or target <> back").select("source", "target", "distance")
             batch = now if batch is None else batch.unionByName(now.select(*batch.columns))
@@ -132,11 +138,16 @@ def ingest_profiles(rows: DataFrame, limit: int | None = None, level: int = 3, c
     return cut(Forest(nodes, edges, roots, values, types, dropped.unionByName(warnings), "variants", members, options={"limit": limit, "level": level}), cutoff)
 
 
-def prepare(found: Forest, positions: DataFrame, small: int = tiers.SMALL_COMPONENT) -> dict[str, DataFrame]:
-    """The tables of one version: index, cuts, clusters, quotient edges, geometry, components, and what was ingested."""
+def prepare(found: Forest, positions: DataFrame, small: int = tiers.SMALL_COMPONENT, index: DataFrame | None = None, defaults: DataFrame | None = None, default_strategy: str | None = None) -> dict[str, DataFrame]:
+    """The tables of one version: index, cuts, clusters, quotient edges, geometry, components, what was ingested, and how.
+
+    index: one that is known already. defaults, default_strategy: the roots that the dataset was first prepared with, and how those were chosen; by default these.
+    """
     scratch = Scratch(positions.sparkSession, "prepare")
     edges = scratch.save(found.edges, "edges")
-    index = scratch.save(forest.index_forest(edges, found.roots), "index")
+    index = scratch.save(forest.index_forest(edges, found.roots) if index is None else index, "index")
+    settings = positions.sparkSession.createDataFrame([(found.strategy, default_strategy or found.strategy, found.cutoff, json.dumps(found.options, sort_keys=True), small)], SETTINGS)
+    members = {"members": found.members} if found.members is not None else {}
     shown = tiers.presentation_depths(index, small)
     cuts = scratch.save(tiers.levels_of(tiers.select_cuts(tiers.cut_sizes(shown))), "cuts")
     clusters = scratch.save(tiers.clusters_at(shown, cuts), "clusters")
@@ -144,6 +155,7 @@ def prepare(found: Forest, positions: DataFrame, small: int = tiers.SMALL_COMPON
         "nodes": found.nodes.join(positions.select("node_id", "x", "y"), "node_id", "left"), "edges": edges, "roots": found.roots.select("node_id", F.col("root_pos").cast("long").alias("root_pos")), "tree_index": index,
         "cuts": cuts, "clusters": clusters, "quotient": tiers.quotient_edges(clusters, edges), "geometry": summaries.cluster_geometry(clusters, positions),
         "components": reads.component_boxes(index, positions), "annotations": found.values, "types": found.types, "warnings": found.warnings,
+        "defaults": (found.roots if defaults is None else defaults).select("node_id"), "settings": settings, **members,
     }
 
 
@@ -182,20 +194,103 @@ def rerooted(edges: DataFrame, index: DataFrame, wanted: DataFrame) -> tuple[Dat
     return turned, roots, moved
 
 
-def publish_root_revision(spark: SparkSession, root: str, dataset_id: str, version: str, node_id: str | None, defaults: DataFrame | None = None) -> str:
-    """A version whose component of node_id hangs at that node, or, without node_id, all of whose components hang at their default roots.
+@dataclass(frozen=True)
+class Revision:
+    """A version after its roots changed, the root before and after of every component, and the roots of the first preparation."""
+
+    version: str
+    components: DataFrame
+    defaults: DataFrame
+
+
+def stored(spark: SparkSession, root: str, dataset_id: str, version: str) -> dict[str, DataFrame]:
+    """The tables of a version: annotations are its own, all others those of the version whose geometry it shares."""
+    kinds = {"annotations": "node_id string, key string, value string", "types": "key string, type string", "warnings": "message string"}
+    own = {n: versions.read_version(spark, root, n, dataset_id, version, kind) for n, kind in kinds.items()}
+    shared = {n: versions.read_geometry(spark, root, n, dataset_id, version) for n in ("nodes", "edges", "roots", "tree_index", "defaults", "settings")}
+    return own | shared
+
+
+def _members(spark: SparkSession, root: str, dataset_id: str, version: str) -> DataFrame | None:
+    """The isolates of a version's nodes, or None if it has none."""
+    if not versions.has_table(spark, root, "members"):
+        return None
+    found = versions.read_geometry(spark, root, "members", dataset_id, version)
+    return found if found.limit(1).count() else None
+
+
+def publish_root_revision(spark: SparkSession, root: str, dataset_id: str, version: str, node_id: str | None) -> Revision:
+    """A version whose component of node_id hangs at that node, or, without node_id, all of whose components hang at the roots of their first preparation.
 
-    Positions are kept and have to be complete; a root that is one already keeps the version.
+    Positions are kept and have to be complete, and so are cutoff, options, isolates and the size of small components. The strategy is that of the first preparation
+    whenever all roots are its roots, else ``user``. A request that changes no root keeps the version. One component is turned by its
+    intervals, the index of all others stays; several at once are indexed anew.
     """
-    read = {n: versions.read_version(spark, root, n, dataset_id, version) for n in ("nodes", "edges", "tree_index", "annotations", "types", "warnings")}
+    read = stored(spark, root, dataset_id, version)
     if read["nodes"].where("x is null or y is null").limit(1).count():
         raise ValueError("the prepared geometry is incomplete")
-    wanted = defaults.select("node_id") if node_id is None else spark.createDataFrame([(node_id,)], "node_id string")
-    current = read["tree_index"].where("parent is null").select("node_id")
-    if not wanted.join(current, "node_id", "left_anti").limit(1).count():
-        return version
+    index, settings, defaults = read["tree_index"], read["settings"].first(), read["defaults"]
+    current = index.where("parent is null").select(F.col("node_id").alias("component"))
+    homes = defaults.join(index.select("node_id", "component"), "node_id")
+    wanted = homes.select("node_id", "component") if node_id is None else index.where(F.col("node_id") == node_id).select("node_id", "component")
     scratch = Scratch(spark, "revision")
-    edges, roots, _ = rerooted(read["edges"], read["tree_index"], wanted)
+    wanted = scratch.save(wanted, "wanted")
+    if node_id is not None and not wanted.count():
+        raise ValueError("a root is a node of the forest")
+    components = scratch.save(current.join(wanted, "component", "left").select(F.col("component").alias("old_component"), F.coalesce("node_id", "component").alias("new_component")), "components")
+    changed = components.where("old_component <> new_component").count()
+    if not changed:
+        return Revision(version, components, defaults)
+    edges, roots, _ = rerooted(read["edges"], index, wanted.select("node_id"))
     edges, roots = scratch.save(edges, "edges"), scratch.save(roots, "roots")
-    found = Forest(read["nodes"].select("node_id"), edges, roots, read["annotations"], read["types"], read["warnings"], "default" if node_id is None else "user")
-    return publish_prepared(spark, root, dataset_id, found, prepare(found, read["nodes"]))
+    # The place of a root is kept, so components keep their order; numbers are those of the stored roots.
+    places = read["roots"].select(F.col("node_id").alias("old_component"), "root_pos").join(components, "old_component")
+    roots = scratch.save(places.select(F.col("new_component").alias("node_id"), "root_pos"), "places")
+    default = not roots.select("node_id").exceptAll(defaults).limit(1).count()
+    strategy = settings["default_strategy"] if default else "user"
+    found = Forest(read["nodes"].select("node_id"), edges, roots, read["annotations"], read["types"], read["warnings"], strategy, _members(spark, root, dataset_id, version), settings["cutoff"], json.loads(settings["options"]))
+    turned = forest.rerooted_index(index, node_id) if changed == 1 and node_id is not None else None
+    tables = prepare(found, read["nodes"], settings["small"], turned, defaults, settings["default_strategy"])
+    return Revision(publish_prepared(spark, root, dataset_id, found, tables), components, defaults)
+
+
+@dataclass(frozen=True)
+class Replacement:
+    """A version with other annotations: how many nodes have a row, what had none, and the fields' types."""
+
+    version: str
+    matched: int
+    warnings: DataFrame
+    types: DataFrame
+
+
+def replace_annotations(spark: SparkSession, root: str, dataset_id: str, version: str, cells: DataFrame) -> Replacement:
+    """The version's annotations replaced by a table's cells (row_pos, join_id, key, value), under a version that shares its geometry.
+
+    Rows name nodes, or, where nodes have isolates, isolates: then an isolate has one row at most, and a node's values are those of its isolates
+    together. A table that matches nothing is an error. Types are inferred anew. The same contents give the same version.
+    """
+    scratch = Scratch(spark, "replacement")
+    nodes, members = versions.read_geometry(spark, root, "nodes", dataset_id, version).select("node_id"), _members(spark, root, dataset_id, version)
+    ids = nodes if members is None else members.select(F.col("isolate_norm").alias("node_id"))
+    joined = scratch.save(A.join_annotations(cells.select("row_pos", "join_id").distinct(), ids), "joined")
+    if not joined.where("node_id is not null").limit(1).count():
+        raise ValueError("the table matches no node and no isolate")
+    rows = cells.join(joined.where("node_id is not null").select("row_pos", "node_id"), "row_pos")
+    isolates = {}
+    if members is not None:
+        if joined.where("node_id is not null").groupBy("node_id").count().where("count > 1").limit(1).count():
+            raise ValueError("an isolate has several rows")
+        named = rows.select(F.col("node_id").alias("join_id"), "key", "value")
+        isolates = {"isolates": A.attach_isolates(members, named)}
+        rows = rows.withColumnRenamed("node_id", "isolate_norm").join(members.select("isolate_norm", "node_id"), "isolate_norm")
+    rows = scratch.save(rows.select("row_pos", "node_id", "key", "value"), "rows")
+    values = scratch.save(A.aggregate_rows(rows, A.infer_types(cells)).select("node_id", "key", "value"), "values")
+    types = scratch.save(A.infer_schema(values), "types")
+    warnings = scratch.save(A.annotation_warnings(joined, ids).where("n > 0").select(F.concat_ws(": ", "kind", F.col("n").cast("string")).alias("message")), "warnings")
+    tables = {"annotations": values, "types": types, "warnings": warnings, **isolates}
+    new = versions.layout_version({n: tables[n] for n in ("annotations", "types", *isolates)}, f"{dataset_id}/{version}")
+    if not versions.is_published(spark, root, dataset_id, new):
+        versions.write_version(tables, root, dataset_id, new)
+        versions.publish(spark, root, dataset_id, new, geometry_version=versions.geometry_of(spark, root, dataset_id, version))
+    return Replacement(new, rows.select("node_id").distinct().count(), warnings, types)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from silvaspan.operators.components import components_of_edges
-from silvaspan.operators.ordering import sum_before
+from silvaspan.operators.ordering import carry_last, sum_before
 from silvaspan.operators.skew import counted_join, spread_join, with_next, with_place
 from silvaspan.scratch import Scratch
 
@@ -174,3 +174,40 @@ def reroot(edges: DataFrame, index: DataFrame, node_id: str) -> tuple[DataFrame,
     roots = old.join(F.broadcast(at), F.col("component") == F.col("c"), "left").select(F.when(F.col("c").isNotNull(), F.lit(node_id)).otherwise(F.col("node_id")).alias("node_id"), "root_pos")
     moved = at.select(F.col("c").alias("old_component"), F.lit(node_id).alias("new_component"))
     return turned, roots, moved
+
+
+def rerooted_index(index: DataFrame, node_id: str) -> DataFrame:
+    """The index of the whole forest after the component of node_id is hung up at it, equal to a new index of the turned edges.
+
+    Only that component's rows change. The nodes from node_id to the old root change places; every subtree that hangs from them keeps
+    its inner order, so all its intervals move by one offset, which its first row hands on in the old preorder.
+    """
+    scratch = Scratch(index.sparkSession, "rehung")
+    at = index.where(F.col("node_id") == node_id).select("component", "dfs_start", "depth").first()
+    if at is None:
+        raise ValueError("a root is a node of the forest")
+    mine, others = index.where(F.col("component") == at["component"]), index.where(F.col("component") != at["component"])
+    size = F.col("dfs_end") - F.col("dfs_start")
+    on_path = (F.col("dfs_start") <= at["dfs_start"]) & (F.col("dfs_end") > at["dfs_start"])
+    # step: 0 for the new root, counted up to the old one.
+    path = scratch.save(mine.where(on_path).select("node_id", "dfs_start", (F.lit(at["depth"]) - F.col("depth")).alias("step"), size.alias("size")), "path")
+    base, total = mine.where("parent is null").select("dfs_start", size.alias("size")).first()
+    # Below a path node now stand its other children and the path node above it, with all that hangs there.
+    kids = mine.where(~on_path).join(path.select(F.col("node_id").alias("parent"), "step"), "parent").select("step", "node_id", size.alias("size"))
+    turned = path.select((F.col("step") + 1).alias("step"), "size").join(path.select("step", "node_id"), "step").select((F.col("step") - 1).alias("step"), "node_id", (F.lit(total) - F.col("size")).alias("size"), F.lit(True).alias("on"))
+    order = scratch.save(sum_before(kids.withColumn("on", F.lit(False)).unionByName(turned), ["step", "node_id"], "size", "before"), "order")
+    first = order.groupBy("step").agg(F.min("before").alias("first"))
+    # offset: of a child's start from its parent's.
+    offsets = scratch.save(order.join(first, "step").select("step", "node_id", "on", (F.col("before") - F.col("first") + 1).alias("offset")), "offsets")
+    steps = offsets.where("on").select((F.col("step") + 1).alias("step"), "node_id", "offset").unionByName(path.where("step = 0").select("step", "node_id", F.lit(0).cast("long").alias("offset")))
+    starts = scratch.save(sum_before(steps, ["step"], "offset", "sum").select("step", "node_id", (F.col("sum") + F.col("offset") + base).alias("start")), "starts")
+    above = starts.select((F.col("step") + 1).alias("step"), F.col("node_id").alias("new_parent"))
+    shifts = offsets.where("not on").join(starts.select("step", F.col("start").alias("top")), "step").select("node_id", (F.col("top") + F.col("offset")).alias("start"), (F.col("step") + 1).alias("new_depth"))
+    hung = mine.where(~on_path).join(shifts, "node_id", "left")
+    moved = carry_last(hung, "dfs_start", F.when(F.col("start").isNotNull(), F.struct((F.col("start") - F.col("dfs_start")).alias("by"), (F.col("new_depth") - F.col("depth")).alias("down"))), "move")
+    name = F.lit(node_id).alias("component")
+    rest = moved.select("node_id", name, "parent", (F.col("depth") + F.col("move.down")).cast("long").alias("depth"), (F.col("dfs_start") + F.col("move.by")).alias("dfs_start"), (F.col("dfs_end") + F.col("move.by")).alias("dfs_end"))
+    below = path.select((F.col("step") + 1).alias("step"), F.col("size").alias("taken"))
+    spine = starts.join(above, "step", "left").join(below, "step", "left")
+    spine = spine.select("node_id", name, F.col("new_parent").alias("parent"), F.col("step").cast("long").alias("depth"), F.col("start").cast("long").alias("dfs_start"), (F.col("start") + F.lit(total) - F.coalesce("taken", F.lit(0))).cast("long").alias("dfs_end"))
+    return others.select(*spine.columns).unionByName(rest).unionByName(spine)

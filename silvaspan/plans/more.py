@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from silvaspan.functions import labels
@@ -169,13 +171,14 @@ def inferred_schema(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""SELECT 'unknown node' AS violation, count(DISTINCT c_custkey) AS n FROM customer WHERE c_custkey % 10 = 0 UNION ALL SELECT 'undeclared key', 1
-    UNION ALL SELECT 'type mismatch', count(*) FROM customer UNION ALL SELECT 'isolate in two nodes', count(*) FROM (SELECT c_mktsegment FROM customer GROUP BY 1 HAVING count(*) > 1)""")
+    UNION ALL SELECT 'type mismatch', count(*) FROM customer UNION ALL SELECT 'isolate in two nodes', count(*) FROM (SELECT c_mktsegment FROM customer WHERE c_custkey % 7 <> 3 GROUP BY 1 HAVING count(*) > 1)
+    UNION ALL SELECT 'empty membership', count(*) FROM customer WHERE c_custkey % 7 = 3 UNION ALL SELECT 'membership of unknown node', count(*) FROM customer WHERE c_custkey % 10 = 0""")
 def annotation_violations(spark: SparkSession, sf: str) -> DataFrame:
-    """Kinds of violations among the customers' values: a tenth of unknown nodes, an undeclared key, segments that are no numbers, isolates in several nodes."""
+    """Kinds of violations among the customers' values: a tenth of unknown nodes, an undeclared key, segments that are no numbers, isolates in several nodes, empty memberships and those of unknown nodes."""
     customer = table(spark, sf, "customer").withColumn("node_id", _id("C", "c_custkey"))
     cells = customer.select("node_id", F.explode(F.array(F.struct(F.lit("segment").alias("key"), F.col("c_mktsegment").alias("value")), F.struct(F.lit("other").alias("key"), F.lit("1").alias("value")))).alias("x")).select("node_id", "x.*")
     types = spark.createDataFrame([("segment", "number")], "key string, type string")
-    members = customer.select("node_id", F.col("c_mktsegment").alias("isolate_id"))
+    members = customer.select("node_id", F.when(F.col("c_custkey") % 7 != 3, F.col("c_mktsegment")).alias("isolate_id"))
     got = annotations.validate_annotations(cells, customer.where("c_custkey % 10 <> 0").select("node_id"), types, members)
     return got.groupBy("violation").agg(F.count(F.lit(1)).alias("n"))
 
@@ -672,29 +675,50 @@ def _nation_forest(spark: SparkSession, sf: str) -> bundles.Forest:
 
 
 @query(f"""{INDEX}, c AS (SELECT count(*) AS roots FROM t WHERE parent IS NULL OR distance > 90) SELECT (SELECT count(*) FROM t) AS nodes, (SELECT count(*) FROM edges WHERE distance <= 90) AS edges, roots, CAST(90 AS DOUBLE) AS cutoff, 'given' AS strategy,
-    (SELECT count(*) FROM t) - (SELECT count(*) FROM customer) || ' nodes without row; ' || roots || ' tree components.' AS told FROM c""")
+    (SELECT count(*) FROM t) - (SELECT count(*) FROM customer) || ' nodes without row; roots: ' || roots AS told FROM c""")
 def ingested_forest(spark: SparkSession, sf: str) -> DataFrame:
     """Counts and warnings of the forest with annotations after a cut at distance 90."""
     found = bundles.cut(_nation_forest(spark, sf), 90.0)
     rows = {r["message"] for r in found.warnings.collect()}
     bare = next(m for m in rows if m.startswith("node without row")).split(": ")[1]
-    cut = next(m for m in rows if "cutoff" in m).split("; ")[1]
+    cut = next(m for m in rows if m.startswith("edges longer")).split(", ")[1]
     counts = found.counts().select("nodes", "edges", "roots")
     return counts.withColumn("cutoff", F.lit(found.cutoff)).withColumn("strategy", F.lit(found.strategy)).withColumn("told", F.lit(f"{bare} nodes without row; {cut}"))
 
 
-@query(f"""{INDEX}, moved AS (SELECT CASE WHEN a0 = (SELECT a0 FROM t WHERE node_id = 'N0') THEN 'N0' ELSE a0 END AS component, count(*) AS nodes FROM t GROUP BY 1) SELECT component, nodes, (SELECT count(*) FROM customer) AS annotations FROM moved""")
+@query(f"""{INDEX}, n0 AS (SELECT a0 FROM t WHERE node_id = 'N0') SELECT a0 AS old_component, CASE WHEN a0 = (SELECT a0 FROM n0) THEN 'N0' ELSE a0 END AS new_component, count(*) AS nodes, (SELECT count(*) FROM customer) AS annotations, 'user' AS strategy, 'given' AS default_strategy, CAST(50 AS DOUBLE) AS cutoff, TRUE AS restored FROM t GROUP BY a0""")
 def root_revision(spark: SparkSession, sf: str) -> DataFrame:
-    """Component sizes and annotations of a published version that was hung up at nation 0, put back to its defaults and hung up again."""
+    """Components before and after, their sizes, annotations and settings of a published version that was hung up at nation 0, put back to its defaults and hung up again."""
     root = Scratch(spark, "revision").root
     found = _nation_forest(spark, sf)
+    found = replace(found, cutoff=50.0, options={"level": 2})
     one = bundles.publish_prepared(spark, root, "d", found, bundles.prepare(found, inputs.positions(spark, sf)))
     two = bundles.publish_root_revision(spark, root, "d", one, "N0")
-    if bundles.publish_root_revision(spark, root, "d", two, "N0") != two:
-        raise ValueError("a revision without a change is a new version")
-    index = versions.read_version(spark, root, "tree_index", "d", two)
-    notes = versions.read_version(spark, root, "annotations", "d", two).count()
-    return index.groupBy("component").agg(F.count(F.lit(1)).alias("nodes")).withColumn("annotations", F.lit(notes).cast("long"))
+    back = bundles.publish_root_revision(spark, root, "d", two.version, None)
+    again = bundles.publish_root_revision(spark, root, "d", back.version, "N0")
+    restored = back.version == one and again.version == two.version and bundles.publish_root_revision(spark, root, "d", two.version, "N0").version == two.version
+    index = versions.read_version(spark, root, "tree_index", "d", again.version).groupBy(F.col("component").alias("new_component")).agg(F.count(F.lit(1)).alias("nodes"))
+    notes = versions.read_version(spark, root, "annotations", "d", again.version).agg(F.count(F.lit(1)).alias("annotations"))
+    settings = versions.read_version(spark, root, "settings", "d", again.version).select("strategy", "default_strategy", "cutoff")
+    return again.components.join(index, "new_component").crossJoin(notes).crossJoin(settings).withColumn("restored", F.lit(restored))
+
+
+@query("""WITH c AS (SELECT *, CASE WHEN c_custkey % 4 = 0 THEN 'zz' || c_custkey ELSE 'C' || c_custkey END AS j FROM customer) SELECT 'matched' AS measure, count(*) FILTER (WHERE c_custkey % 4 <> 0) AS n FROM c UNION ALL SELECT 'row without node', count(*) FILTER (WHERE c_custkey % 4 = 0) FROM c
+    UNION ALL SELECT 'node without row', (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM orders) + count(*) FILTER (WHERE c_custkey % 4 = 0) FROM c UNION ALL SELECT 'values', 2 * count(*) FILTER (WHERE c_custkey % 4 <> 0) FROM c
+    UNION ALL SELECT 'type of size: number', 1 UNION ALL SELECT 'type of segment: string', 1 UNION ALL SELECT 'nodes of the geometry', (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM orders) + count(*) FROM c""")
+def replacement_report(spark: SparkSession, sf: str) -> DataFrame:
+    """What a table of new annotations does to a published version: matched nodes, misses of both kinds, values, inferred types; the geometry is shared."""
+    root = Scratch(spark, "replacing").root
+    found = _nation_forest(spark, sf)
+    one = bundles.publish_prepared(spark, root, "d", found, bundles.prepare(found, inputs.positions(spark, sf)))
+    key = F.col("c_custkey")
+    cells = table(spark, sf, "customer").select(key.alias("row_pos"), F.when(key % 4 == 0, _id("zz", "c_custkey")).otherwise(_id("C", "c_custkey")).alias("join_id"), F.inline(F.array(F.struct(F.lit("segment").alias("key"), F.concat("c_mktsegment", F.lit("!")).alias("value")), F.struct(F.lit("size").alias("key"), (key % 9).cast("string").alias("value")))))
+    got = bundles.replace_annotations(spark, root, "d", one, cells)
+    told = got.warnings.select(F.split("message", ": ")[0].alias("measure"), F.split("message", ": ")[1].cast("long").alias("n"))
+    types = got.types.select(F.concat(F.lit("type of "), "key", F.lit(": "), "type").alias("measure"), F.lit(1).cast("long").alias("n"))
+    values = versions.read_version(spark, root, "annotations", "d", got.version).agg(F.count(F.lit(1)).alias("n")).select(F.lit("values").alias("measure"), "n")
+    nodes = versions.read_geometry(spark, root, "nodes", "d", got.version).agg(F.count(F.lit(1)).alias("n")).select(F.lit("nodes of the geometry").alias("measure"), "n")
+    return told.unionByName(types).unionByName(values).unionByName(nodes).unionByName(spark.createDataFrame([("matched", got.matched)], "measure string, n long"))
 
 
 @query("SELECT 'C' || c_custkey AS node_id, 'segment' AS key, upper(c_mktsegment) || '!' AS value FROM customer")

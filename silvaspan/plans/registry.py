@@ -168,13 +168,14 @@ def folded_branches(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH RECURSIVE e AS (SELECT 'C' || o_custkey AS u, 'O' || o_orderkey AS v FROM orders UNION ALL SELECT 'N' || c_nationkey, 'C' || c_custkey FROM customer UNION ALL SELECT 'R' || n_regionkey, 'N' || n_nationkey FROM nation),
-    b AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e), t AS (SELECT 'N0' AS node_id, CAST(NULL AS VARCHAR) AS parent, CAST(0 AS BIGINT) AS depth UNION ALL SELECT b.v, b.u, t.depth + 1 FROM t JOIN b ON b.u = t.node_id AND b.v IS DISTINCT FROM t.parent)
-    SELECT node_id, parent, depth FROM t""")
+    b AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e), r AS (SELECT 'R' || r_regionkey AS root, r_regionkey AS pos FROM region WHERE r_regionkey <> (SELECT n_regionkey FROM nation WHERE n_nationkey = 0) UNION ALL SELECT 'N0', n_regionkey FROM nation WHERE n_nationkey = 0),
+    t AS (SELECT root AS component, pos, root AS node_id, CAST(NULL AS VARCHAR) AS parent, CAST(0 AS BIGINT) AS depth, [root] AS path FROM r UNION ALL SELECT component, pos, b.v, b.u, t.depth + 1, list_append(path, b.v) FROM t JOIN b ON b.u = t.node_id AND b.v IS DISTINCT FROM t.parent),
+    s AS (SELECT a AS node_id, count(*) AS size FROM (SELECT unnest(path) AS a FROM t) GROUP BY a), o AS (SELECT *, row_number() OVER (ORDER BY pos, path) - 1 AS dfs_start FROM t)
+    SELECT node_id, component, parent, depth, dfs_start, dfs_start + size AS dfs_end FROM o JOIN s USING (node_id)""")
 def rerooted_depths(spark: SparkSession, sf: str) -> DataFrame:
-    """Parents and depths after the component of nation 0 is hung up at that nation."""
-    _, edges, roots = inputs.forest(spark, sf)
-    turned, new_roots, moved = forest.reroot(edges, forest.index_forest(edges, roots), "N0")
-    return forest.index_forest(turned, new_roots).where("component = 'N0'").select("node_id", "parent", "depth")
+    """The index of the whole forest after the component of nation 0 is hung up at that nation: its intervals are turned, the others stay."""
+    index = Scratch(spark, "rerooted").save(inputs.index(spark, sf), "index")
+    return forest.rerooted_index(index, "N0").select("node_id", "component", "parent", "depth", "dfs_start", "dfs_end")
 
 
 @query("SELECT o_custkey AS doc_id, 'C' || o_custkey AS source, 'O' || o_orderkey AS target, CAST(o_orderkey % 10 AS DOUBLE) / 4 AS distance FROM orders")

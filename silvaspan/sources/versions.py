@@ -50,15 +50,27 @@ def latest_version(manifest: DataFrame) -> DataFrame:
     return rows.groupBy("dataset_id").agg(F.max_by("layout_version", F.struct("updated_at", "created_at", "layout_version")).alias("layout_version"))
 
 
-def read_version(spark: SparkSession, root: str, name: str, dataset_id: str, version: str) -> DataFrame:
-    """One table of a published version: Spark prunes all other partitions."""
-    return spark.read.parquet(f"{root}/{name}").where((F.col("dataset_id") == dataset_id) & (F.col("layout_version") == version)).drop("dataset_id", "layout_version")
+def read_version(spark: SparkSession, root: str, name: str, dataset_id: str, version: str, schema: str | None = None) -> DataFrame:
+    """One table of a published version: Spark prunes all other partitions. A table without any row needs its schema."""
+    reader = spark.read if schema is None else spark.read.schema(f"{schema}, dataset_id string, layout_version string")
+    return reader.parquet(f"{root}/{name}").where((F.col("dataset_id") == dataset_id) & (F.col("layout_version") == version)).drop("dataset_id", "layout_version")
+
+
+def geometry_of(spark: SparkSession, root: str, dataset_id: str, version: str) -> str:
+    """The version whose geometry a version shares, by its last manifest row."""
+    rows = spark.read.schema(MANIFEST).parquet(f"{root}/manifest").where((F.col("dataset_id") == dataset_id) & (F.col("layout_version") == version))
+    return rows.agg(F.max_by("geometry_version", "updated_at")).first()[0]
 
 
 def read_geometry(spark: SparkSession, root: str, name: str, dataset_id: str, version: str) -> DataFrame:
     """A geometry table of a version, from the version that its manifest row names."""
-    row = spark.read.schema(MANIFEST).parquet(f"{root}/manifest").where((F.col("dataset_id") == dataset_id) & (F.col("layout_version") == version)).first()
-    return read_version(spark, root, name, dataset_id, row["geometry_version"])
+    return read_version(spark, root, name, dataset_id, geometry_of(spark, root, dataset_id, version))
+
+
+def has_table(spark: SparkSession, root: str, name: str) -> bool:
+    """Whether any version under root has written the table."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
 
 def clear(spark: SparkSession, root: str, tables: list[str], dataset_id: str, version: str | None = None) -> None:

@@ -288,3 +288,18 @@ def test_hubs_are_cut_into_spans(spark):
     assert sorted((r["k"], r["parent"], r["node_id"]) for r in placed) == [(k, *x) for k, x in enumerate(sorted(rows))]
     names = spark.createDataFrame([("hub", 1), ("p1", 2)], "parent string, n int")
     assert counted_join(df, names, "parent", Scratch(spark, "t"), 10**9).count() == counted_join(df, names, "parent", Scratch(spark, "t"), 95).count() == 91
+
+
+def test_rerooted_index_equals_a_new_index(spark):
+    for seed, wide in ((7, 40), (11, 2)):
+        parent = grown(seed, 61, 3, wide)
+        edges, roots = frames(spark, parent)
+        index = Scratch(spark, "t").save(forest.index_forest(edges, roots), "index")
+        deepest = index.orderBy(F.col("depth").desc()).first()["node_id"]
+        for node in (deepest, next(v for v, p in parent.items() if p is None)):
+            turned, new_roots, _ = forest.reroot(edges, index, node)
+            columns = ["node_id", "component", "parent", "depth", "dfs_start", "dfs_end"]
+            want = sorted(map(tuple, forest.index_forest(turned, new_roots).select(*columns).collect()))
+            assert sorted(map(tuple, forest.rerooted_index(index, node).select(*columns).collect())) == want
+    with pytest.raises(ValueError):
+        forest.rerooted_index(index, "nobody")

@@ -58,6 +58,9 @@ def test_merge_and_validation(spark):
     nodes = spark.createDataFrame([("a",)], "node_id string")
     got = sorted((r["violation"], r["subject"]) for r in annotations.validate_annotations(table.unionByName(direct), nodes, types).collect())
     assert got == [("type mismatch", "a/x"), ("type mismatch", "b/x"), ("undeclared key", "y"), ("unknown node", "b")]
+    members = spark.createDataFrame([("a", "i"), ("a", None), ("c", "i"), ("c", "k")], "node_id string, isolate_id string")
+    got = sorted((r["violation"], r["subject"]) for r in annotations.validate_annotations(direct.limit(0), nodes, types, members).collect())
+    assert got == [("empty membership", "a"), ("isolate in two nodes", "i"), ("membership of unknown node", "c")]
     assert {r["key"]: r["type"] for r in annotations.infer_schema(table, types).collect()} == {"x": "number"}
 
 
@@ -180,7 +183,7 @@ def test_ingest_newick_and_publish(spark, tmp_path):
     assert tuple(found.counts().first())[:3] == (5, 3, 2) and found.cutoff == 5.0
     assert {r["node_id"]: r["value"] for r in found.values.collect()} == {"a": "1", "c_d": "3", "b": "7"}
     told = {r["message"] for r in found.warnings.collect()}
-    assert "row without node: 1" in told and any("2 tree components" in m for m in told)
+    assert "row without node: 1" in told and any(m.endswith("roots: 2") for m in told)
     places = found.nodes.withColumn("x", F.length("node_id").cast("double")).withColumn("y", F.lit(0.0))
     tables = bundles.prepare(found, places, small=0)
     row = bundles.preparation_summary(found, tables).first()
@@ -191,10 +194,24 @@ def test_ingest_newick_and_publish(spark, tmp_path):
     states = [r["status"] for r in spark.read.schema(versions.MANIFEST).parquet(f"{root}/manifest").orderBy("updated_at").collect()]
     assert states == ["refining", "ready"]
     two = bundles.publish_root_revision(spark, root, "d", one, "a")
-    index = {r["node_id"]: r["parent"] for r in versions.read_version(spark, root, "tree_index", "d", two).collect()}
-    assert index == {"a": None, "x": "a", "r": "x", "c_d": "r", "b": None} and two != one
-    back = bundles.publish_root_revision(spark, root, "d", two, None, spark.createDataFrame([("r",), ("b",)], "node_id string"))
-    assert {r["node_id"]: r["parent"] for r in versions.read_version(spark, root, "tree_index", "d", back).collect()}["r"] is None
+    assert {tuple(r) for r in two.components.collect()} == {("r", "a"), ("b", "b")} and {r[0] for r in two.defaults.collect()} == {"r", "b"}
+    index = {r["node_id"]: r["parent"] for r in versions.read_version(spark, root, "tree_index", "d", two.version).collect()}
+    assert index == {"a": None, "x": "a", "r": "x", "c_d": "r", "b": None} and two.version != one
+    settings = versions.read_version(spark, root, "settings", "d", two.version).first()
+    assert (settings["strategy"], settings["default_strategy"], settings["cutoff"], settings["small"]) == ("user", "newick", 5.0, 0)
+    assert bundles.publish_root_revision(spark, root, "d", two.version, "a").version == two.version
+    # Annotations of a table: the geometry is shared, also by a revision that follows.
+    three = bundles.replace_annotations(spark, root, "d", two.version, spark.createDataFrame([(0, "A", "kind", "x"), (1, "a", "kind", "y"), (2, "r", "kind", "z"), (3, "none", "kind", "z")], "row_pos long, join_id string, key string, value string"))
+    assert three.matched == 2 and {r[0] for r in three.warnings.collect()} == {"row without node: 1", "node without row: 3"} and [tuple(r) for r in three.types.collect()] == [("kind", "string")]
+    with pytest.raises(ValueError, match="matches no node"):
+        bundles.replace_annotations(spark, root, "d", two.version, spark.createDataFrame([(0, "none", "kind", "x")], "row_pos long, join_id string, key string, value string"))
+    back = bundles.publish_root_revision(spark, root, "d", three.version, None)
+    assert {r["node_id"]: r["parent"] for r in versions.read_version(spark, root, "tree_index", "d", back.version).collect()}["r"] is None
+    assert {(r["node_id"], r["value"]) for r in versions.read_version(spark, root, "annotations", "d", back.version).collect()} == {("a", "x;y"), ("r", "z")}
+    assert versions.read_version(spark, root, "settings", "d", back.version).first()["strategy"] == "newick"
+    assert {tuple(r) for r in back.components.collect()} == {("a", "r"), ("b", "b")}
+    # Back at the roots of the beginning, with the annotations of the beginning, it is the first version again.
+    assert bundles.publish_root_revision(spark, root, "d", two.version, None).version == one
     with pytest.raises(ValueError):
         bundles.publish_root_revision(spark, root, "d", one, "nobody")
     with pytest.raises(ValueError):

@@ -53,6 +53,13 @@ def annotation_warnings(joined: DataFrame, nodes: DataFrame) -> DataFrame:
     return lost.unionByName(bare.select(F.lit("node without row").alias("kind"), "n"))
 
 
+def annotation_misses(joined: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(kind, row_pos, subject): every row without a node, by its number and id, and every node without a row."""
+    lost = joined.where("node_id is null").select(F.lit("row without node").alias("kind"), F.col("row_pos").cast("long").alias("row_pos"), F.col("join_id").alias("subject"))
+    bare = nodes.select("node_id").distinct().join(joined.select("node_id"), "node_id", "left_anti")
+    return lost.unionByName(bare.select(F.lit("node without row").alias("kind"), F.lit(None).cast("long").alias("row_pos"), F.col("node_id").alias("subject")))
+
+
 def attach_isolates(members: DataFrame, cells: DataFrame) -> DataFrame:
     """(node_id, isolate_id, data): the map of every isolate, empty without a row; isolates with several rows are listed by ``isolate_faults``."""
     data = cells.where("value is not null").groupBy(F.col("join_id").alias("isolate_norm")).agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("key", "value")))).alias("data"))

@@ -9,7 +9,9 @@ from __future__ import annotations
 import itertools
 import math
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from silvaspan.functions.labels import slugify
 from silvaspan.operators.components import components_of_edges
@@ -33,11 +35,13 @@ def locus_report(profiles: DataFrame) -> DataFrame:
 
 
 def drop_incomplete_loci(profiles: DataFrame) -> DataFrame:
-    """profiles without the loci that any row lacks; an error if none is left. Locus positions are one small row."""
-    kept = locus_report(profiles).where("retained").agg(F.sort_array(F.collect_list("pos")).alias("p")).first()["p"]
-    if not kept:
+    """profiles without the loci that any row lacks; an error if none is left. The positions of the others are one small row, so the plan is as small for thousands of loci."""
+    kept = Scratch(profiles.sparkSession, "loci").save(locus_report(profiles).where("retained").agg(F.sort_array(F.collect_list("pos")).alias("_kept")), "kept")
+    if not kept.where("size(_kept) > 0").limit(1).count():
         raise ValueError("no locus is complete")
-    return profiles.withColumn("alleles", F.array(*(F.get("alleles", F.lit(p)) for p in kept)))
+    columns = profiles.columns
+    picked = F.transform("_kept", lambda p: F.get("alleles", p)).alias("alleles")
+    return profiles.crossJoin(F.broadcast(kept)).select(*(picked if c == "alleles" else F.col(c) for c in columns))
 
 
 def group_profiles(profiles: DataFrame) -> DataFrame:
@@ -74,11 +78,19 @@ def n_loci(groups: DataFrame) -> int:
     return groups.agg(F.max(F.size("alleles"))).first()[0] or 0
 
 
+@F.arrow_udf(T.IntegerType())
+def _differing(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Differing places of arrays of longs of one length, whole batches at a time."""
+    n = len(a)
+    x, y = (v.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 1)) for v in (a, b))
+    return pa.array((x != y).sum(axis=1).astype(np.int32))
+
+
 def hamming(a: str, b: str, lo: int, hi: int) -> Column:
-    """Differing loci from lo to hi of two arrays of hashes."""
+    """Differing loci from lo to hi of two arrays of hashes: compiled for few loci, by batches for many."""
     if hi - lo <= UNROLLED:
         return sum(((F.get(a, F.lit(k)) != F.get(b, F.lit(k))).cast("int") for k in range(lo, hi)), F.lit(0))
-    return F.aggregate(F.zip_with(F.slice(a, lo + 1, hi - lo), F.slice(b, lo + 1, hi - lo), lambda x, y: (x != y).cast("int")), F.lit(0), lambda n, x: n + x)
+    return _differing(F.slice(a, lo + 1, hi - lo), F.slice(b, lo + 1, hi - lo))
 
 
 def allelic_pairs(groups: DataFrame, n: int, owners: DataFrame | None = None) -> DataFrame:

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F
 
+from silvaspan.scratch import Scratch
+
 
-def fidelity_ledger(index: DataFrame, edges: DataFrame, clusters: DataFrame, quotient: DataFrame) -> DataFrame:
+def fidelity_ledger(index: DataFrame, edges: DataFrame, clusters: DataFrame, quotient: DataFrame, positions: DataFrame | None = None, read: DataFrame | None = None) -> DataFrame:
     """(level, check, n): mismatches of each tier; all zero for a faithful one.
 
     Every node in one cluster; every cluster connected (inner edges = members - 1); every edge between
-    clusters shown; every shown edge supported by an edge.
+    clusters shown; every shown edge supported by an edge. With positions: no node is ``unplaced``, without a finite place. With read (level,
+    cluster_id, members), what a reader got: no cluster is ``truncated``, missing there, and none has another ``member count``.
     """
     levels = clusters.select("level").distinct()
     every = index.select("node_id").crossJoin(F.broadcast(levels))
@@ -26,7 +31,15 @@ def fidelity_ledger(index: DataFrame, edges: DataFrame, clusters: DataFrame, quo
     ends = expected.join(shown, ["level", "source", "target"], "full_outer").groupBy("level").agg(F.count_if(F.col("s").isNull()).alias("missing"), F.count_if(F.col("e").isNull()).alias("unsupported"))
     names = ["uncovered", "overlapping", "disconnected", "missing", "unsupported"]
     rows = levels.join(covered, "level", "left").join(split, "level", "left").join(ends, "level", "left")
-    return rows.select("level", F.explode(F.array(*(F.struct(F.lit(c).alias("check"), F.coalesce(c, F.lit(0)).alias("n")) for c in names))).alias("x")).select("level", "x.*")
+    if positions is not None:
+        placed = positions.where("abs(x) < double('inf') and abs(y) < double('inf')").select("node_id")
+        rows = rows.crossJoin(F.broadcast(index.select("node_id").join(placed, "node_id", "left_anti").agg(F.count(F.lit(1)).alias("unplaced"))))
+        names.append("unplaced")
+    if read is not None:
+        got = size.join(read.select("level", "cluster_id", F.col("members").alias("told")).distinct(), ["level", "cluster_id"], "left").groupBy("level")
+        rows = rows.join(got.agg(F.count_if(F.col("told").isNull()).alias("truncated"), F.count_if(F.col("told") != F.col("m")).alias("member count")), "level", "left")
+        names += ["truncated", "member count"]
+    return rows.select("level", F.explode(F.array(*(F.struct(F.lit(c).alias("check"), F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias("n")) for c in names))).alias("x")).select("level", "x.*")
 
 
 def reconstruct_detail(asked: DataFrame, clusters: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -64,22 +77,39 @@ def audit_exports(a: DataFrame, b: DataFrame) -> DataFrame:
     return got.select(F.explode(F.array(*(F.struct(F.lit(c).alias("measure"), F.col(f"`{c}`").alias("n")) for c in got.columns))).alias("x")).select("x.*")
 
 
-def layout_quality(positions: DataFrame, edges: DataFrame, cell: float = 50.0, radius: float = 3.0, width: float = 1000.0, height: float = 700.0) -> DataFrame:
+def audit_membership(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(measure, n) of two memberships (node_id, isolate_id): isolates of both, of one only, and those of both that belong to other nodes; the same for node ids."""
+    kinds = lambda df, name: df.groupBy("isolate_id").agg(F.array_sort(F.collect_set("node_id")).alias(name))
+    rows = kinds(a, "na").join(kinds(b, "nb"), "isolate_id", "full_outer")
+    got = rows.agg(F.count_if(F.col("na").isNotNull() & F.col("nb").isNotNull()).alias("isolates shared"), F.count_if(F.col("nb").isNull()).alias("isolates first only"), F.count_if(F.col("na").isNull()).alias("isolates second only"), F.count_if(F.col("na") != F.col("nb")).alias("isolates elsewhere"))
+    ids = semantic_equivalence(a, b).select(F.col("shared").alias("nodes shared"), F.col("first_only").alias("nodes first only"), F.col("second_only").alias("nodes second only"))
+    both = got.crossJoin(ids)
+    return both.select(F.explode(F.array(*(F.struct(F.lit(c).alias("measure"), F.col(f"`{c}`").alias("n")) for c in both.columns))).alias("x")).select("x.*")
+
+
+def layout_quality(positions: DataFrame, edges: DataFrame, cell: float | None = None, radius: float = 3.0, width: float = 1000.0, height: float = 700.0) -> DataFrame:
     """(crossings, overlaps) after fitting the positions to width x height: edges that cross without a common end, and discs that overlap.
 
-    Both are joins on grid cells: a segment stands in every cell that its box touches, a disc in its own
-    and the neighbouring ones, and a pair is counted once.
+    Both are joins on grid cells: a segment stands in the cells that it crosses, column by column, a disc in its own
+    and the neighbouring ones, and a pair is counted once. The side of a cell follows from the number of edges, so that on a layout
+    of a given shape neither the cells of a segment nor the segments of a cell grow faster than the edges.
     """
     box = positions.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
     scale = F.least(F.lit(width) / F.greatest(F.col("x1") - F.col("x0"), F.lit(1e-12)), F.lit(height) / F.greatest(F.col("y1") - F.col("y0"), F.lit(1e-12)))
     fit = positions.crossJoin(F.broadcast(box)).select("node_id", ((F.col("x") - F.col("x0")) * scale).alias("x"), ((F.col("y") - F.col("y0")) * scale).alias("y"))
     a, b = fit.select(F.col("node_id").alias("source"), F.col("x").alias("ax"), F.col("y").alias("ay")), fit.select(F.col("node_id").alias("target"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    seg = edges.select("edge_id", "source", "target").join(a, "source").join(b, "target")
-
-    def span(p: str, q: str):
-        return F.sequence(F.floor(F.least(p, q) / cell), F.floor(F.greatest(p, q) / cell))
-
-    seg = seg.withColumn("cx", F.explode(span("ax", "bx"))).withColumn("cy", F.explode(span("ay", "by")))
+    seg = Scratch(edges.sparkSession, "layout").save(edges.select("edge_id", "source", "target").join(a, "source").join(b, "target"), "segments")
+    if cell is None:
+        cell = max(1e-6, math.sqrt(width * height / max(1, seg.count())))
+    # Rounding may put a crossing beside a border: both neighbours of a border hold what touches it.
+    edge = 1e-9 * max(width, height)
+    low, high = F.least("ax", "bx"), F.greatest("ax", "bx")
+    seg = seg.withColumn("cx", F.explode(F.sequence(F.floor((low - edge) / cell), F.floor((high + edge) / cell))))
+    slope = F.when(high > low, (F.col("by") - F.col("ay")) / (F.col("bx") - F.col("ax")))
+    at = lambda x: F.least(F.greatest(F.col("ay") + (x - F.col("ax")) * slope, F.least("ay", "by")), F.greatest("ay", "by"))
+    left, right = at(F.greatest(low, F.col("cx") * cell - edge)), at(F.least(high, (F.col("cx") + 1) * cell + edge))
+    bottom, top = F.coalesce(F.least(left, right), F.least("ay", "by")), F.coalesce(F.greatest(left, right), F.greatest("ay", "by"))
+    seg = seg.withColumn("cy", F.explode(F.sequence(F.floor((bottom - edge) / cell), F.floor((top + edge) / cell))))
     s, t = (seg.select("cx", "cy", *(F.col(c).alias(n + c) for c in ("edge_id", "source", "target", "ax", "ay", "bx", "by"))) for n in ("s_", "t_"))
     both = s.join(t, ["cx", "cy"]).where("s_edge_id < t_edge_id and s_source <> t_source and s_source <> t_target and s_target <> t_source and s_target <> t_target")
 

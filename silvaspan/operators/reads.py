@@ -218,13 +218,26 @@ def clusters_of_component(requests: DataFrame, clusters: DataFrame, index: DataF
     return requests
 
 
-def read_region(requests: DataFrame, nodes: DataFrame, edges: DataFrame, numeric: str, category: str) -> DataFrame:
-    """(request_id, nodes, edges, mean, mode): everything in each box, aggregated."""
-    hit = Scratch(nodes.sparkSession, "region").save(points_in_boxes(requests, nodes), "hit")
-    counts = hit.groupBy("request_id").agg(F.count(F.lit(1)).alias("nodes"), F.round(F.avg(numeric), 6).alias("mean"))
-    modes = hit.where(F.col(category).isNotNull()).groupBy("request_id", category).agg(F.count(F.lit(1)).alias("n")).groupBy("request_id").agg(F.min_by(category, F.struct(-F.col("n"), F.col(category))).alias("mode"))
+def read_region(requests: DataFrame, nodes: DataFrame, edges: DataFrame, numeric: str, category: str, limit: int | None = None, owners: DataFrame | None = None) -> DataFrame:
+    """(request_id, nodes, total, truncated, edges, mean, mode, counts): what is shown of each box, aggregated.
+
+    With a limit the first nodes by id are shown, and edges, mean, mode and counts are theirs; total counts the box. With owners (node_id, component) a request's
+    component, where it names one, comes before the limit. counts: a map of each category to its nodes.
+    """
+    scratch = Scratch(nodes.sparkSession, "region")
+    more = ["component"] if owners is not None else []
+    hit = points_in_boxes(requests, nodes, *more)
+    if owners is not None:
+        hit = hit.join(owners.select("node_id", F.col("component").alias("_home")), "node_id").where("component is null or component = _home").drop("_home")
+    hit = scratch.save(hit if limit is None else ordered_slice(hit, ["request_id"], [F.col("node_id")], limit), "hit")
+    total = F.count(F.lit(1)) if limit is None else F.max("total")
+    shown = hit.groupBy("request_id").agg(F.count(F.lit(1)).alias("nodes"), total.alias("total"), F.round(F.avg(numeric), 6).alias("mean"))
+    kinds = hit.where(F.col(category).isNotNull()).groupBy("request_id", category).agg(F.count(F.lit(1)).alias("n"))
+    modes = kinds.groupBy("request_id").agg(F.min_by(category, F.struct(-F.col("n"), F.col(category))).alias("mode"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(category, "n")))).alias("counts"))
     inner = internal_edges(edges, hit.select("request_id", "node_id")).groupBy("request_id").agg(F.count(F.lit(1)).alias("edges"))
-    return requests.select("request_id").join(counts, "request_id", "left").join(inner, "request_id", "left").join(modes, "request_id", "left").select("request_id", F.coalesce("nodes", F.lit(0)).alias("nodes"), F.coalesce("edges", F.lit(0)).alias("edges"), "mean", "mode")
+    rows = requests.select("request_id").join(shown, "request_id", "left").join(inner, "request_id", "left").join(modes, "request_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return rows.select("request_id", zero("nodes"), zero("total"), (F.coalesce("total", F.lit(0)) > F.coalesce("nodes", F.lit(0))).alias("truncated"), zero("edges"), "mean", "mode", "counts")
 
 
 def component_boxes(index: DataFrame, positions: DataFrame) -> DataFrame:
@@ -340,17 +353,64 @@ def delta_annotations(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return out.select(*(F.when(~F.col("cached"), F.col(c)).alias(c) if c != key else F.col(c) for c in rows.columns), "cached")
 
 
-def visible_connections(connections: DataFrame, visible: DataFrame) -> DataFrame:
-    """connections with both ends visible."""
+def merge_delta(delta: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """The caller's side of ``delta_annotations``: rows that came without values take them from what the caller knows, all others as they came."""
+    held = known.select(F.col(key).alias("_key"), F.struct(*(c for c in delta.columns if c not in (key, "cached"))).alias("_held"))
+    rows = delta.join(held, F.col(key) == F.col("_key"), "left")
+    return rows.select(*(F.col(c) if c == key else F.when(F.col("cached"), F.col(f"_held.{c}")).otherwise(F.col(c)).alias(c) for c in delta.columns if c != "cached"))
+
+
+def visible_connections(connections: DataFrame, visible: DataFrame, owners: DataFrame | None = None) -> DataFrame:
+    """connections with both ends visible, and with owners (node_id, component) of one component.
+
+    Nodes that stand for a cluster or a folded branch (columns ``grouped`` and ``folded`` of visible, where it has them) are no ends.
+    """
+    for flag in ("grouped", "folded"):
+        if flag in visible.columns:
+            visible = visible.where(~F.coalesce(flag, F.lit(False)))
     ids = visible.select("node_id").distinct()
-    return connections.join(ids.withColumnRenamed("node_id", "source"), "source", "left_semi").join(ids.withColumnRenamed("node_id", "target"), "target", "left_semi")
+    rows = connections.join(ids.withColumnRenamed("node_id", "source"), "source", "left_semi").join(ids.withColumnRenamed("node_id", "target"), "target", "left_semi")
+    if owners is None:
+        return rows
+    a, b = owners.select(F.col("node_id").alias("source"), F.col("component").alias("_a")), owners.select(F.col("node_id").alias("target"), F.col("component").alias("_b"))
+    return rows.join(a, "source").join(b, "target").where("_a = _b").select(*connections.columns)
 
 
-def compose_expansion(base: DataFrame, patches: DataFrame, replaced: DataFrame, budget: int, priority: str) -> DataFrame:
-    """(node_id, …): patch nodes beat base nodes, replaced ones go, and the budget keeps the priority node first."""
-    rows = base.join(replaced, "node_id", "left_anti").withColumn("_p", F.lit(1)).unionByName(patches.withColumn("_p", F.lit(0)))
-    rows = rows.withColumn("_k", F.row_number().over(W.partitionBy("node_id").orderBy("_p"))).where("_k = 1").drop("_k")
-    return rows.orderBy(F.when(F.col("node_id") == priority, 0).otherwise(1), "_p", "node_id").limit(budget).drop("_p")
+def connection_counts(connections: DataFrame, shown: DataFrame) -> DataFrame:
+    """One row (total, visible): how many connections there are, and how many are shown."""
+    return connections.agg(F.count(F.lit(1)).alias("total")).crossJoin(shown.agg(F.count(F.lit(1)).alias("visible")))
+
+
+def compose_expansion(base: tuple[DataFrame, DataFrame], patches: tuple[DataFrame, DataFrame], budget: int, priority: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a view after clusters were expanded in it.
+
+    Nodes (node_id, cluster_id, proxy, pos, ...) and edges (edge_id, source, target, ...); those of patches also have ``patch``, their order,
+    and their edges ``boundary``. A patch's node takes the place of another one of its id, a proxy only where none is; later patches win. A proxy of a
+    cluster of which some patch shows members goes. Base edges between the ends of a boundary edge give way to it. Of more nodes than
+    the budget the priority node stays, then base nodes and new ones in their order; ``partial`` says so. Edges keep both ends.
+    """
+    scratch = Scratch(base[0].sparkSession, "compose")
+    old, new = base[0].withColumn("patch", F.lit(-1)), patches[0]
+    columns = [c for c in old.columns]
+    order = F.struct(F.col("patch") >= 0, "patch", "pos")
+    held = old.unionByName(new.join(old.select("node_id"), "node_id", "left_anti").unionByName(new.where(~F.col("proxy")).join(old.select("node_id"), "node_id", "left_semi")).select(*columns))
+    # The last that isn't a proxy, else the first; the place is that of the first of all.
+    rank = F.struct((~F.col("proxy") & (F.col("patch") >= 0)).alias("fresh"), F.when(F.col("proxy"), -F.col("patch")).otherwise(F.col("patch")).alias("p"))
+    one = held.groupBy("node_id").agg(F.max_by(F.struct(*columns), rank).alias("x"), F.min(order).alias("_order")).select("x.*", "_order")
+    detailed = new.where(~F.col("proxy") & F.col("cluster_id").isNotNull()).select("cluster_id").distinct().withColumn("_gone", F.lit(True))
+    left = one.join(detailed, "cluster_id", "left").where(~F.col("proxy") | F.col("_gone").isNull())
+    left = scratch.save(left, "left")
+    nodes = left.orderBy(F.when(F.col("node_id") == priority, 0).otherwise(1), "_order", "node_id").limit(budget).withColumn("partial", F.lit(left.count() > budget))
+    nodes = scratch.save(nodes.drop("_order", "_gone", "patch").select("node_id", "cluster_id", "proxy", *(c for c in columns if c not in ("node_id", "cluster_id", "proxy", "patch")), "partial"), "nodes")
+    ends = lambda df: df.select(F.least("source", "target").alias("_s"), F.greatest("source", "target").alias("_t"))
+    met = patches[1].where("boundary")
+    kept = base[1].withColumn("_s", F.least("source", "target")).withColumn("_t", F.greatest("source", "target")).join(ends(met).distinct(), ["_s", "_t"], "left_anti").drop("_s", "_t")
+    names = kept.columns
+    every = kept.withColumn("patch", F.lit(-1)).unionByName(patches[1].select(*names, "patch"))
+    edges = every.groupBy("edge_id").agg(F.max_by(F.struct(*names), "patch").alias("x")).select("x.*")
+    for end in ("source", "target"):
+        edges = edges.join(nodes.select(F.col("node_id").alias(end)), end, "left_semi")
+    return nodes, edges.select(*names)
 
 
 def select_target(df: DataFrame, middle: float | None = None, cluster_id: str | None = None) -> DataFrame:

@@ -28,8 +28,14 @@ def unpivot_metrics(df: DataFrame, keys: list[str], metrics: list[str] | None =
     return df.select(*keys, F.explode(pairs).alias("x")).select(*keys, "x.*").where("value is not null")
 
 
-def summarize_observations(df: DataFrame, keys: list[str], metrics: list[str] | None = None) -> DataFrame:
-    return robust_summary(unpivot_metrics(df, keys, metrics), [*keys, "metric"], "value")
+def summarize_observations(df: DataFrame, keys: list[str], metrics: list[str] | None = None, state: str | None = None, warm_up: str | None = None) -> DataFrame:
+    """(keys, metric, n, quantiles, min, max) of all metrics; with a state column over successes alone, beside count, successes and failures of the measured rows of each key."""
+    rows = df.where(~F.coalesce(F.col(warm_up), F.lit(False))) if warm_up else df
+    if state is None:
+        return robust_summary(unpivot_metrics(rows, keys, metrics), [*keys, "metric"], "value")
+    good = F.coalesce(F.col(state) == "success", F.lit(False))
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), F.count_if(good).alias("successes"), F.count_if(~good).alias("failures"))
+    return counts.join(robust_summary(unpivot_metrics(rows.where(good), keys, metrics), [*keys, "metric"], "value"), keys)
 
 
 def frame_stats(df: DataFrame, by: list[str], frame: str, budget: float) -> DataFrame:
@@ -92,10 +98,17 @@ def pair_summary(pairs: DataFrame, metrics: list[str]) -> DataFrame:
     return got.select("metric", "valid", "invalid", *(F.round(F.get("q", F.lit(k)), 6).alias(n) for k, n in ((1, "median"), (0, "p25"), (2, "p75"))))
 
 
-def phase_summary(df: DataFrame, by: list[str], phases: list[str], total: str) -> DataFrame:
-    """(by, n, unbalanced, phase medians, rest_median): rows whose phases miss the total by more than 1e-6, and what the phases leave."""
+def phase_summary(df: DataFrame, by: list[str], phases: list[str], total: str, state: str | None = None) -> DataFrame:
+    """(by, n, successes, unbalanced, and median, p25 and p75 of every phase and of the rest) over successes: what the phases leave of the total, and rows whose phases miss it by more than 1e-6.
+
+    Without a state column every row is a success.
+    """
     spent = sum((F.col(p) for p in phases[1:]), F.col(phases[0]))
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.abs(F.col(total) - spent) > 1e-6).alias("unbalanced"), *(F.round(F.median(p), 6).alias(f"{p}_median") for p in phases), F.round(F.median(F.col(total) - spent), 6).alias("rest_median"))
+    good = F.coalesce(F.col(state) == "success", F.lit(False)) if state else F.lit(True)
+    values = [*((p, F.col(p)) for p in phases), ("rest", F.col(total) - spent)]
+    quartiles = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    got = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(good).alias("successes"), F.count_if(good & (F.abs(F.col(total) - spent) > 1e-6)).alias("unbalanced"), *(F.percentile(F.when(good, v), quartiles).alias(f"_{p}") for p, v in values))
+    return got.select(*by, "n", "successes", "unbalanced", *(F.round(F.get(f"_{p}", F.lit(k)), 6).alias(f"{p}_{name}") for p, _ in values for k, name in ((1, "median"), (0, "p25"), (2, "p75"))))
 
 
 def check_grid(df: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from silvaspan.functions.labels import blank_to_null
+from silvaspan.scratch import Scratch
 
 MISSING = "Missing"
 OTHER = "Other"
@@ -38,30 +39,42 @@ def category_distribution(observations: DataFrame, fields: list[str], *keys: str
 
 
 def with_percentage(dist: DataFrame, *keys: str) -> DataFrame:
-    """dist with the share of each row in its total, in percent; null for an empty total."""
-    total = F.sum("n").over(W.partitionBy(*keys))
-    return dist.withColumn("percentage", F.round(F.try_divide(F.lit(100.0) * F.col("n"), total), 6))
+    """dist with the share of each row in its total, in percent; null for an empty total. Totals are summed up apart."""
+    share = F.round(F.try_divide(F.lit(100.0) * F.col("n"), F.col("_total")), 6)
+    if not keys:
+        return dist.crossJoin(F.broadcast(dist.agg(F.sum("n").alias("_total")))).withColumn("percentage", share).drop("_total")
+    return dist.join(dist.groupBy(*keys).agg(F.sum("n").alias("_total")), list(keys)).withColumn("percentage", share).drop("_total")
 
 
-def distribution_report(whole: DataFrame, subset: DataFrame, fields: list[str]) -> DataFrame:
-    """(category, n, subset_n, percentage, subset_percentage): the subset keeps all categories of the whole."""
+def distribution_report(whole: DataFrame, subset: DataFrame, fields: list[str], node: str | None = None) -> DataFrame:
+    """(category, n, subset_n, percentage, subset_percentage): the subset keeps all categories of the whole.
+
+    With the column that names nodes, also observations, nodes, subset_observations and subset_nodes, the same in every row. Shares of an
+    empty subset are null, and an empty whole has no rows.
+    """
     a = with_percentage(category_distribution(whole, fields))
     b = category_distribution(subset, fields).select("category", F.col("n").alias("subset_n"))
     rows = a.join(b, "category", "left").withColumn("subset_n", F.coalesce("subset_n", F.lit(0)))
-    total = F.sum("subset_n").over(W.partitionBy())
-    return rows.withColumn("subset_percentage", F.round(F.try_divide(F.lit(100.0) * F.col("subset_n"), total), 6))
+    total = b.agg(F.sum("subset_n").alias("_total"))
+    rows = rows.crossJoin(F.broadcast(total)).withColumn("subset_percentage", F.round(F.try_divide(F.lit(100.0) * F.col("subset_n"), F.col("_total")), 6)).drop("_total")
+    for df, name in ((whole, ""), (subset, "subset_")) if node else ():
+        rows = rows.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias(f"{name}observations"), F.count_distinct(node).alias(f"{name}nodes"))))
+    return rows
 
 
 def top_categories(dist: DataFrame, k: int = 12, separate: list[str] | None = None, other: list[str] | None = None) -> DataFrame:
-    """(category, n) with at most k categories: separate ones first in key order (k - 1 at most), then the most frequent; the rest is Other."""
+    """(category, n) with at most k categories: separate ones first in key order (k - 1 at most), then the most frequent; the rest is Other.
+
+    The named ones are a top-k of the sums; all others are one sum, so categories are never ranked in one task.
+    """
     kept = sorted(separate or [])[: k - 1]
-    rows = sum_counts(dist, "category").withColumn("asked", F.col("category").isin(kept) if kept else F.lit(False))
-    forced = F.col("category").isin(other) if other else F.lit(False)
-    rank = F.row_number().over(W.orderBy(forced, F.col("asked").desc(), F.when(F.col("asked"), F.lit(0)).otherwise(-F.col("n")), "category"))
-    total = F.count(F.lit(1)).over(W.partitionBy())
-    room = F.when((total <= k) & F.lit(not other), F.lit(k)).otherwise(F.lit(k - 1))
-    named = F.when(forced | (rank > room), F.lit(OTHER)).otherwise(F.col("category"))
-    return rows.select(named.alias("category"), "n").groupBy("category").agg(F.sum("n").alias("n"))
+    rows = Scratch(dist.sparkSession, "categories").save(sum_counts(dist, "category"), "sums")
+    room = k if not other and rows.count() <= k else k - 1
+    asked = F.col("category").isin(kept) if kept else F.lit(False)
+    free = rows.where(~F.col("category").isin(other)) if other else rows
+    named = free.orderBy(asked.desc(), F.when(asked, F.lit(0)).otherwise(-F.col("n")), "category").limit(room).select("category", "n")
+    rest = rows.join(F.broadcast(named.select("category")), "category", "left_anti").agg(F.sum("n").alias("n")).where("n is not null")
+    return named.unionByName(rest.select(F.lit(OTHER).alias("category"), "n")).groupBy("category").agg(F.sum("n").alias("n"))
 
 
 def field_cardinality(cells: DataFrame, approximate: bool = False) -> DataFrame:

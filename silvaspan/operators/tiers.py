@@ -143,8 +143,16 @@ def validate_tiers(clusters: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def reduction_report(clusters: DataFrame, quotient: DataFrame, n_edges: int) -> DataFrame:
-    """(level, nodes, edges, proxies, node_reduction, edge_reduction): what each tier shows of the whole, which has n_edges edges."""
+    """(level, nodes, edges, proxies, materialization, node_factor, node_reduction, edge_reduction, primitive_reduction): what each tier shows of the whole, which has n_edges edges.
+
+    materialization: shown nodes over all; node_factor: its inverse; primitives are nodes and edges together.
+    """
     size = clusters.groupBy("level", "cluster_id").agg(F.count(F.lit(1)).alias("m"))
     nodes = size.groupBy("level").agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("m") > 1).alias("proxies"), F.sum("m").alias("all"))
     edges = quotient.groupBy("level").agg(F.count(F.lit(1)).alias("edges"))
-    return nodes.join(edges, "level", "left").select("level", "nodes", F.coalesce("edges", F.lit(0)).alias("edges"), "proxies", F.round(1 - F.col("nodes") / F.col("all"), 6).alias("node_reduction"), F.round(1 - F.try_divide(F.coalesce("edges", F.lit(0)), F.lit(n_edges)), 6).alias("edge_reduction"))
+    rows = nodes.join(edges, "level", "left").withColumn("edges", F.coalesce("edges", F.lit(0)))
+    shown = F.col("nodes") + F.col("edges")
+    return rows.select(
+        "level", "nodes", "edges", "proxies", F.round(F.col("nodes") / F.col("all"), 6).alias("materialization"), F.round(F.col("all") / F.col("nodes"), 6).alias("node_factor"),
+        F.round(1 - F.col("nodes") / F.col("all"), 6).alias("node_reduction"), F.round(1 - F.try_divide("edges", F.lit(n_edges)), 6).alias("edge_reduction"), F.round(1 - F.try_divide(shown, F.col("all") + F.lit(n_edges)), 6).alias("primitive_reduction"),
+    )

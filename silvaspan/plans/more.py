@@ -69,16 +69,18 @@ def edge_list_export(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.csv(path, header=True)
 
 
-@query("""WITH m AS (SELECT event_type, unnest(['total_seconds', 'user_bytes']) AS metric, unnest([value, CAST(user_id AS DOUBLE)]) AS value FROM events)
-    SELECT event_type, metric, count(value) AS n, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.75), 6) AS p75, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) AS iqr, min(value) AS min, max(value) AS max
-    FROM m WHERE value IS NOT NULL GROUP BY event_type, metric""")
+@query("""WITH e AS (SELECT *, user_id % 7 >= 3 AS good FROM events WHERE user_id % 10 <> 0), c AS (SELECT event_type, count(*) AS "count", count(*) FILTER (WHERE good) AS successes, count(*) FILTER (WHERE NOT good) AS failures FROM e GROUP BY 1),
+    m AS (SELECT event_type, unnest(['total_seconds', 'user_bytes']) AS metric, unnest([value, CAST(user_id AS DOUBLE)]) AS value FROM e WHERE good)
+    SELECT event_type, any_value("count") AS "count", any_value(successes) AS successes, any_value(failures) AS failures, metric, count(value) AS n, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.75), 6) AS p75, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) AS iqr, min(value) AS min, max(value) AS max
+    FROM m JOIN c USING (event_type) WHERE value IS NOT NULL GROUP BY event_type, metric""")
 def observation_log(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as a log of JSON lines with nested metrics, read again and summarised by every metric that its name tells."""
+    """Events as a log of JSON lines with nested metrics, read again; successes are summarised by every metric that its name tells, beside the counts of all measured rows."""
     path = Scratch(spark, "log").path("json")
-    events = table(spark, sf, "events").select(F.struct(F.col("event_type").alias("kind")).alias("run"), F.struct(F.col("value").alias("total_seconds"), F.col("user_id").alias("user_bytes")).alias("metrics"))
+    run = F.struct(F.col("event_type").alias("kind"), F.col("s").alias("state"), F.col("w").alias("warm_up"))
+    events = _states(spark, sf).select(run.alias("run"), F.struct(F.col("value").alias("total_seconds"), F.col("user_id").alias("user_bytes")).alias("metrics"))
     versions.write_report(events, path, "json")
-    log = versions.read_observations(spark, path, "run struct<kind: string>, metrics struct<total_seconds: double, user_bytes: bigint>")
-    return stats.summarize_observations(log.select(F.col("run.kind").alias("event_type"), "metrics.*"), ["event_type"])
+    log = versions.read_observations(spark, path, "run struct<kind: string, state: string, warm_up: boolean>, metrics struct<total_seconds: double, user_bytes: bigint>")
+    return stats.summarize_observations(log.select(F.col("run.kind").alias("event_type"), "run.state", "run.warm_up", "metrics.*"), ["event_type"], state="state", warm_up="warm_up")
 
 
 @query(f"{INDEX} SELECT node_id, dfs_start, dfs_end FROM idx")
@@ -401,15 +403,6 @@ def visible_overlay(spark: SparkSession, sf: str) -> DataFrame:
     return reads.visible_connections(links, reads.points_in_boxes(inputs.requests(spark, sf), inputs.positions(spark, sf)))
 
 
-@query("""WITH b AS (SELECT 'C' || c_custkey AS node_id, CASE WHEN c_custkey % 5 = 0 THEN 'patch' ELSE 'base' END AS kind, CASE WHEN c_custkey % 5 = 0 THEN 0 ELSE 1 END AS p FROM customer WHERE c_custkey % 5 = 0 OR c_custkey % 7 <> 0)
-    SELECT node_id, kind FROM b ORDER BY CASE WHEN node_id = 'C9' THEN 0 ELSE 1 END, p, node_id LIMIT 100""")
-def composed_view(spark: SparkSession, sf: str) -> DataFrame:
-    """A view of a budget of 100 nodes: patches over base nodes, some replaced, one kept first."""
-    customer = table(spark, sf, "customer").select("c_custkey", _id("C", "c_custkey").alias("node_id"))
-    patch = customer.where("c_custkey % 5 = 0").select("node_id", F.lit("patch").alias("kind"))
-    return reads.compose_expansion(customer.select("node_id", F.lit("base").alias("kind")), patch, customer.where("c_custkey % 7 = 0").select("node_id"), 100, "C9")
-
-
 @query("""WITH o AS (SELECT o_custkey, 'O' || o_orderkey AS node_id, CAST(CAST(floor(o_totalprice) AS BIGINT) % 100 AS DOUBLE) AS d FROM orders)
     SELECT 'distance:' || x.node_id || ':' || y.node_id AS id, x.node_id AS source, y.node_id AS target, x.d + y.d AS distance FROM o x JOIN o y ON x.o_custkey = y.o_custkey AND x.node_id < y.node_id WHERE x.d + y.d <= 1.5""")
 def path_overlay(spark: SparkSession, sf: str) -> DataFrame:
@@ -541,7 +534,10 @@ def annotation_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {EDGES}, b AS (SELECT target AS source, source AS target, distance + CASE WHEN substr(target, 2)::BIGINT % 5 = 0 THEN 1 ELSE 0 END AS distance FROM edges WHERE substr(target, 2)::BIGINT % 7 <> 0 UNION ALL SELECT 'x' || target, target, 1 FROM edges WHERE substr(target, 2)::BIGINT % 11 = 0)
     SELECT 'shared' AS measure, count(*) AS n FROM edges WHERE substr(target, 2)::BIGINT % 7 <> 0 UNION ALL SELECT 'first only', count(*) FROM edges WHERE substr(target, 2)::BIGINT % 7 = 0 UNION ALL SELECT 'second only', count(*) FROM edges WHERE substr(target, 2)::BIGINT % 11 = 0
-    UNION ALL SELECT 'other distance', count(*) FROM edges WHERE substr(target, 2)::BIGINT % 7 <> 0 AND substr(target, 2)::BIGINT % 5 = 0 UNION ALL SELECT 'intersection', count(*) FROM edges WHERE substr(target, 2)::BIGINT % 7 <> 0""")
+    UNION ALL SELECT 'other distance', count(*) FROM edges WHERE substr(target, 2)::BIGINT % 7 <> 0 AND substr(target, 2)::BIGINT % 5 = 0 UNION ALL SELECT 'intersection', count(*) FROM edges WHERE substr(target, 2)::BIGINT % 7 <> 0
+    UNION ALL SELECT 'isolates shared', count(*) FILTER (WHERE c_custkey % 9 <> 0) FROM customer UNION ALL SELECT 'isolates first only', count(*) FILTER (WHERE c_custkey % 9 = 0) FROM customer UNION ALL SELECT 'isolates second only', 0 UNION ALL SELECT 'isolates elsewhere', count(*) FILTER (WHERE c_custkey % 9 <> 0 AND c_custkey % 8 = 1) FROM customer
+    UNION ALL SELECT 'nodes shared', count(*) FROM (SELECT DISTINCT c_nationkey FROM customer) WHERE c_nationkey IN (SELECT c_nationkey FROM customer WHERE c_custkey % 9 <> 0 AND c_custkey % 8 <> 1) UNION ALL SELECT 'nodes first only', count(*) FROM (SELECT DISTINCT c_nationkey FROM customer) WHERE c_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_custkey % 9 <> 0 AND c_custkey % 8 <> 1)
+    UNION ALL SELECT 'nodes second only', count(DISTINCT c_nationkey) FROM customer WHERE c_custkey % 9 <> 0 AND c_custkey % 8 = 1""")
 def export_audit(spark: SparkSession, sf: str) -> DataFrame:
     """The edges against a second export, turned round, with some changed, lost and added."""
     edges = inputs.forest(spark, sf)[1].select("source", "target", "distance")
@@ -549,17 +545,21 @@ def export_audit(spark: SparkSession, sf: str) -> DataFrame:
     other = edges.where(k % 7 != 0).select(F.col("target").alias("source"), F.col("source").alias("target"), (F.col("distance") + F.when(k % 5 == 0, 1.0).otherwise(0.0)).alias("distance"))
     other = other.unionByName(edges.where(k % 11 == 0).select(F.concat(F.lit("x"), "target").alias("source"), "target", F.lit(1.0).alias("distance")))
     both = quality.shared_edges(edges, other).agg(F.count(F.lit(1)).alias("n")).select(F.lit("intersection").alias("measure"), "n")
-    return quality.audit_exports(edges, other).unionByName(both)
+    customer = table(spark, sf, "customer")
+    members = customer.select(_id("N", "c_nationkey").alias("node_id"), _id("C", "c_custkey").alias("isolate_id"))
+    moved = customer.where("c_custkey % 9 <> 0").select(F.when(F.col("c_custkey") % 8 == 1, _id("M", "c_nationkey")).otherwise(_id("N", "c_nationkey")).alias("node_id"), _id("C", "c_custkey").alias("isolate_id"))
+    return quality.audit_exports(edges, other).unionByName(both).unionByName(quality.audit_membership(members, moved))
 
 
-@query(f"""{INDEX} SELECT count(*) FILTER (WHERE depth >= 2) AS shared, CAST(0 AS BIGINT) AS first_only, count(*) FILTER (WHERE depth < 2) AS second_only FROM t""")
+@query(f"""{INDEX} SELECT 'nodes' AS kind, count(*) FILTER (WHERE depth >= 2) AS shared, CAST(0 AS BIGINT) AS first_only, count(*) FILTER (WHERE depth < 2) AS second_only FROM t UNION ALL SELECT 'edges', count(*) FILTER (WHERE depth = 3), CAST(0 AS BIGINT), count(*) FILTER (WHERE depth IN (1, 2)) FROM t""")
 def detail_equivalence(spark: SparkSession, sf: str) -> DataFrame:
-    """The nodes behind the clusters of the middle tier that stand for customers, against all nodes."""
+    """The nodes and inner edges behind the clusters of the middle tier that stand for customers, against all nodes and edges."""
     _, edges, _ = inputs.forest(spark, sf)
     index = Scratch(spark, "detail").save(inputs.index(spark, sf), "index")
     clusters = tiers.clusters_at(index, inputs.cut_levels(spark)).where("level = 1")
-    nodes, _ = quality.reconstruct_detail(clusters.where("representative like 'C%'").select("cluster_id").distinct(), clusters, edges)
-    return quality.semantic_equivalence(nodes, index)
+    nodes, inner = quality.reconstruct_detail(clusters.where("representative like 'C%'").select("cluster_id").distinct(), clusters, edges)
+    by_node, by_edge = quality.semantic_equivalence(nodes, index), quality.semantic_equivalence(inner, edges, "edge_id")
+    return by_node.withColumn("kind", F.lit("nodes")).unionByName(by_edge.withColumn("kind", F.lit("edges")))
 
 
 @query("""WITH p AS (SELECT 'N' || n_nationkey AS node_id, n_nationkey * CAST(37 AS DOUBLE) % 101 AS x, n_nationkey * CAST(59 AS DOUBLE) % 83 AS y FROM nation UNION ALL SELECT 'C' || c_custkey, CAST(c_custkey * 7919 % 10007 AS DOUBLE) / 99, CAST(c_custkey * 104729 % 9973 AS DOUBLE) / 119 FROM customer),
@@ -591,12 +591,13 @@ def measured_states(spark: SparkSession, sf: str) -> DataFrame:
     return stats.invalidate_mixed(kept, ["event_type", "g"], "odd", "s").groupBy("event_type", "s").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH e AS (SELECT event_type, value AS total, value * 0.25 AS a, value * 0.5 + CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END AS b FROM events WHERE value IS NOT NULL)
-    SELECT event_type, count(*) AS n, count(*) FILTER (WHERE abs(total - (a + b)) > 1e-6) AS unbalanced, round(median(a), 6) AS a_median, round(median(b), 6) AS b_median, round(median(total - (a + b)), 6) AS rest_median FROM e GROUP BY event_type""")
+@query("""WITH e AS (SELECT event_type, user_id % 7 >= 3 AS good, value AS total, value * 0.25 AS a, value * 0.5 + CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END AS b FROM events WHERE value IS NOT NULL), g AS (SELECT event_type, good, total - (a + b) AS rest, a, b FROM e)
+    SELECT event_type, count(*) AS n, count(*) FILTER (WHERE good) AS successes, count(*) FILTER (WHERE good AND abs(rest) > 1e-6) AS unbalanced, round(quantile_cont(a, 0.5) FILTER (WHERE good), 6) AS a_median, round(quantile_cont(a, 0.25) FILTER (WHERE good), 6) AS a_p25, round(quantile_cont(a, 0.75) FILTER (WHERE good), 6) AS a_p75,
+        round(quantile_cont(b, 0.5) FILTER (WHERE good), 6) AS b_median, round(quantile_cont(b, 0.25) FILTER (WHERE good), 6) AS b_p25, round(quantile_cont(b, 0.75) FILTER (WHERE good), 6) AS b_p75, round(quantile_cont(rest, 0.5) FILTER (WHERE good), 6) AS rest_median, round(quantile_cont(rest, 0.25) FILTER (WHERE good), 6) AS rest_p25, round(quantile_cont(rest, 0.75) FILTER (WHERE good), 6) AS rest_p75 FROM g GROUP BY event_type""")
 def phase_decomposition(spark: SparkSession, sf: str) -> DataFrame:
-    """Phases of events, what they leave of the total, and rows whose phases miss it."""
-    rows = table(spark, sf, "events").where("value is not null").withColumn("a", F.col("value") * 0.25).withColumn("b", F.col("value") * 0.5 + F.when(F.col("event_id") % 10 == 0, 1.0).otherwise(0.0))
-    return stats.phase_summary(rows, ["event_type"], ["a", "b"], "value")
+    """Phases of successful events, what they leave of the total, and rows whose phases miss it."""
+    rows = _states(spark, sf).where("value is not null").withColumn("a", F.col("value") * 0.25).withColumn("b", F.col("value") * 0.5 + F.when(F.col("event_id") % 10 == 0, 1.0).otherwise(0.0))
+    return stats.phase_summary(rows, ["event_type"], ["a", "b"], "value", "s")
 
 
 @query("""WITH a AS (SELECT event_type, count(value) AS n, round(quantile_cont(value, 0.5), 6) AS m, round(quantile_cont(value, 0.25), 6) AS p, round(quantile_cont(value, 0.75), 6) AS q FROM events WHERE user_id % 2 = 0 GROUP BY 1), b AS (SELECT event_type, count(value) AS n, round(quantile_cont(value, 0.5), 6) AS m, round(quantile_cont(value, 0.25), 6) AS p, round(quantile_cont(value, 0.75), 6) AS q FROM events WHERE user_id % 2 = 1 GROUP BY 1)

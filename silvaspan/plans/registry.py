@@ -122,9 +122,9 @@ def tier_growth(spark: SparkSession, sf: str) -> DataFrame:
     return tiers.tier_growth(inputs.clusters(spark, sf))
 
 
-@query(f"""{INDEX}, s AS (SELECT level, representative, count(*) AS m FROM cl GROUP BY ALL), q AS (SELECT level, count(*) AS edges FROM qe GROUP BY level)
-    SELECT level, count(*) AS nodes, any_value(edges) AS edges, count(*) FILTER (WHERE m > 1) AS proxies, round(1 - count(*) / sum(m), 6) AS node_reduction,
-        round(1 - any_value(edges) / (SELECT count(*) FROM edges), 6) AS edge_reduction FROM s JOIN q USING (level) GROUP BY level""")
+@query(f"""{INDEX}, s AS (SELECT level, representative, count(*) AS m FROM cl GROUP BY ALL), q AS (SELECT level, count(*) AS edges FROM qe GROUP BY level),
+    r AS (SELECT level, count(*) AS nodes, any_value(edges) AS edges, count(*) FILTER (WHERE m > 1) AS proxies, sum(m) AS n, (SELECT count(*) FROM edges) AS e FROM s JOIN q USING (level) GROUP BY level)
+    SELECT level, nodes, edges, proxies, round(nodes / n, 6) AS materialization, round(n / nodes, 6) AS node_factor, round(1 - nodes / n, 6) AS node_reduction, round(1 - edges / e, 6) AS edge_reduction, round(1 - (nodes + edges) / (n + e), 6) AS primitive_reduction FROM r""")
 def reduction_report(spark: SparkSession, sf: str) -> DataFrame:
     _, edges, _ = inputs.forest(spark, sf)
     clusters = inputs.clusters(spark, sf)
@@ -146,6 +146,29 @@ def fidelity_ledger(spark: SparkSession, sf: str) -> DataFrame:
     return quality.fidelity_ledger(index, edges, clusters, tiers.quotient_edges(clusters, edges))
 
 
+@query(f"""{INDEX}, c AS (SELECT level, representative, count(*) AS m FROM cl GROUP BY ALL)
+    SELECT level, 'uncovered' AS "check", (SELECT count(*) FROM t WHERE node_id LIKE 'O%' AND CAST(substr(node_id, 2) AS BIGINT) % 10 = 0) AS n FROM cuts UNION ALL SELECT level, 'overlapping', (SELECT count(*) FROM nation WHERE n_nationkey % 4 = 1) FROM cuts
+    UNION ALL SELECT level, 'unsupported', (SELECT count(*) FROM region) FROM cuts UNION ALL SELECT level, 'missing', count(*) FILTER (WHERE target LIKE 'N%' AND CAST(substr(target, 2) AS BIGINT) % 3 = 0) + CASE level WHEN 0 THEN (SELECT count(*) FROM nation WHERE n_nationkey % 4 = 1 AND n_nationkey IN (SELECT c_nationkey FROM customer)) ELSE 0 END FROM qe GROUP BY level
+    UNION ALL SELECT level, 'unplaced', (SELECT count(*) FROM customer WHERE c_custkey % 6 = 0) FROM cuts UNION ALL SELECT level, 'truncated', count(*) FILTER (WHERE representative LIKE 'R%') FROM c GROUP BY level""")
+def fidelity_faults(spark: SparkSession, sf: str) -> DataFrame:
+    """What the ledger finds where nodes are lost or in two clusters, edges lost or made up, places missing, and clusters not read."""
+    _, edges, _ = inputs.forest(spark, sf)
+    scratch = Scratch(spark, "faults")
+    index = scratch.save(inputs.index(spark, sf), "index")
+    clusters = scratch.save(tiers.clusters_at(index, inputs.cut_levels(spark)), "clusters")
+    number = F.substring("node_id", 2, 20).cast("long")
+    lost = F.startswith("node_id", F.lit("O")) & (number % 10 == 0)
+    twice = clusters.where(F.startswith("node_id", F.lit("N")) & (number % 4 == 1)).withColumn("cluster_id", F.concat(F.lit("again_"), "cluster_id"))
+    quotient = tiers.quotient_edges(clusters, edges)
+    made = clusters.where("node_id like 'R%'").select("level", F.lit("nobody").alias("source"), F.col("node_id").alias("target"), F.lit(1.0).alias("distance"))
+    quotient = quotient.where(~(F.startswith("target", F.lit("N")) & (F.substring("target", 2, 20).cast("long") % 3 == 0))).unionByName(made, allowMissingColumns=True)
+    places = inputs.positions(spark, sf).withColumn("x", F.when(F.startswith("node_id", F.lit("C")) & (number % 6 == 0), F.lit(float("inf"))).otherwise(F.col("x")))
+    sizes = clusters.groupBy("level", "cluster_id", "representative").agg(F.count(F.lit(1)).alias("members"))
+    damaged = clusters.where(~lost)
+    found = quality.fidelity_ledger(index, edges, damaged.unionByName(twice), quotient, places, sizes.where("representative not like 'R%'").select("level", "cluster_id", "members").unionByName(twice.select("level", "cluster_id", F.lit(1).cast("long").alias("members"))))
+    return found.where("check in ('uncovered', 'overlapping', 'unsupported', 'missing', 'unplaced', 'truncated')")
+
+
 @query(f"{INDEX} SELECT node_id, dfs_start AS root_pos FROM idx WHERE parent IS NULL OR distance > 50")
 def distance_cut_roots(spark: SparkSession, sf: str) -> DataFrame:
     """Roots after a cut at distance 50."""
@@ -243,10 +266,18 @@ def observation_distribution(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH d AS (SELECT coalesce(nullif(trim(CASE WHEN o_orderkey % 9 = 0 THEN ' ' ELSE o_orderpriority END), ''), 'Missing') AS category, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS subset_n FROM orders GROUP BY ALL)
-    SELECT category, n, subset_n, round(100.0 * n / sum(n) OVER (), 6) AS percentage, round(100.0 * subset_n / sum(subset_n) OVER (), 6) AS subset_percentage FROM d""")
+    SELECT category, n, subset_n, round(100.0 * n / sum(n) OVER (), 6) AS percentage, round(100.0 * subset_n / sum(subset_n) OVER (), 6) AS subset_percentage, (SELECT count(*) FROM orders) AS observations, (SELECT count(DISTINCT o_custkey) FROM orders) AS nodes,
+        (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS subset_observations, (SELECT count(DISTINCT o_custkey) FROM orders WHERE o_orderstatus = 'F') AS subset_nodes FROM d""")
 def category_report(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders").withColumn("p", F.when(F.col("o_orderkey") % 9 == 0, " ").otherwise(F.col("o_orderpriority")))
-    return summaries.distribution_report(orders, orders.where("o_orderstatus = 'F'"), ["p"])
+    return summaries.distribution_report(orders, orders.where("o_orderstatus = 'F'"), ["p"], "o_custkey")
+
+
+@query("""SELECT '["' || CASE WHEN o_orderkey % 9 = 0 THEN 'Missing' ELSE o_orderpriority END || '","' || o_orderstatus || '"]' AS category, count(*) AS n FROM orders GROUP BY ALL""")
+def combined_categories(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders by priority and status together, in the order of the fields; blanks are Missing."""
+    orders = table(spark, sf, "orders").withColumn("p", F.when(F.col("o_orderkey") % 9 != 0, F.col("o_orderpriority")))
+    return summaries.category_distribution(orders, ["p", "o_orderstatus"])
 
 
 @query("""WITH d AS (SELECT p_brand || '/' || p_size % 3 AS category, count(*) AS n FROM part GROUP BY ALL), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, category) AS k, count(*) OVER () AS c FROM d)
@@ -334,14 +365,30 @@ _POS = """p AS (SELECT 'C' || c_custkey AS node_id, CAST(c_custkey % 97 AS DOUBL
     hit AS (SELECT rq.request_id, p.* FROM rq JOIN p ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1)"""
 
 
-@query(f"""WITH {EDGES}, {_POS}, k AS (SELECT request_id, count(*) AS nodes, round(avg(y), 4) AS mean FROM hit GROUP BY request_id), m AS (SELECT request_id, segment, row_number() OVER (PARTITION BY request_id ORDER BY count(*) DESC, segment) AS r FROM hit WHERE segment IS NOT NULL GROUP BY request_id, segment),
-    i AS (SELECT a.request_id, count(*) AS edges FROM edges e JOIN hit a ON a.node_id = e.source JOIN hit b ON b.node_id = e.target AND b.request_id = a.request_id GROUP BY a.request_id)
-    SELECT rq.request_id, coalesce(nodes, 0) AS nodes, coalesce(edges, 0) AS edges, mean, segment AS mode FROM rq LEFT JOIN k USING (request_id) LEFT JOIN m ON m.request_id = rq.request_id AND r = 1 LEFT JOIN i ON i.request_id = rq.request_id""")
+_REGION = """s AS (SELECT * FROM h WHERE r <= cap), k AS (SELECT request_id, count(*) AS nodes, max(total) AS total, round(avg(y), 4) AS mean FROM s GROUP BY request_id),
+    g AS (SELECT request_id, segment, count(*) AS n FROM s WHERE segment IS NOT NULL GROUP BY ALL), m AS (SELECT request_id, arg_min(segment, (-n, segment)) AS mode, string_agg(segment || '=' || n, ',' ORDER BY segment) AS counts FROM g GROUP BY request_id),
+    i AS (SELECT a.request_id, count(*) AS edges FROM edges e JOIN s a ON a.node_id = e.source JOIN s b ON b.node_id = e.target AND b.request_id = a.request_id GROUP BY a.request_id)
+    SELECT rq.request_id, coalesce(nodes, 0) AS nodes, coalesce(total, 0) AS total, coalesce(total > nodes, FALSE) AS truncated, coalesce(edges, 0) AS edges, mean, mode, counts FROM rq LEFT JOIN k USING (request_id) LEFT JOIN m USING (request_id) LEFT JOIN i ON i.request_id = rq.request_id"""
+
+
+def _region(got: DataFrame) -> DataFrame:
+    counts = F.transform(F.array_sort(F.map_entries("counts")), lambda x: F.concat_ws("=", x["key"], x["value"].cast("string")))
+    return got.withColumn("mean", F.round("mean", 4)).withColumn("counts", F.array_join(counts, ","))
+
+
+@query(f"WITH {EDGES}, {_POS}, h AS (SELECT *, 1 AS r, 1 AS cap, count(*) OVER (PARTITION BY request_id) AS total FROM hit), {_REGION}")
 def region_reads(spark: SparkSession, sf: str) -> DataFrame:
-    """Nodes, inner edges, mean and mode of each requested box."""
+    """Nodes, inner edges, mean, mode and counts of each requested box."""
+    _, edges, _ = inputs.forest(spark, sf)
+    return _region(reads.read_region(inputs.requests(spark, sf), inputs.positions(spark, sf), edges, "y", "segment"))
+
+
+@query(f"""{INDEX}, {_POS}, home AS (SELECT hit.*, 30 AS cap FROM hit JOIN t ON t.node_id = hit.node_id WHERE request_id % 2 = 0 OR a0 = 'R' || request_id % 5), h AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY node_id) AS r, count(*) OVER (PARTITION BY request_id) AS total FROM home), {_REGION}""")
+def capped_region_reads(spark: SparkSession, sf: str) -> DataFrame:
+    """The same of the first 30 nodes of each box, for every second one of one tree only, with totals before the limit."""
     _, edges, _ = inputs.forest(spark, sf)
-    got = reads.read_region(inputs.requests(spark, sf), inputs.positions(spark, sf), edges, "y", "segment")
-    return got.withColumn("mean", F.round("mean", 4))
+    asked = inputs.requests(spark, sf).withColumn("component", F.when(F.col("request_id") % 2 == 1, F.concat(F.lit("R"), (F.col("request_id") % 5).cast("string"))))
+    return _region(reads.read_region(asked, inputs.positions(spark, sf), edges, "y", "segment", 30, inputs.index(spark, sf)))
 
 
 _SHOWN = """k AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY node_id) AS r, count(*) OVER (PARTITION BY request_id) AS total FROM hit), ins AS (SELECT request_id, node_id, total FROM k WHERE r <= 20),
@@ -531,7 +578,7 @@ def customer_graph(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _all() -> dict:
-    from silvaspan.plans import more  # noqa: F401  registers its queries here
+    from silvaspan.plans import more, views  # noqa: F401  register their queries here
 
     return _FOUND
 

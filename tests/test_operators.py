@@ -147,8 +147,18 @@ def test_reads(spark):
     with pytest.raises(ValueError):
         reads.require_same_ids(nodes, nodes.limit(2))
     assert {r["node_id"]: r["x"] for r in reads.delta_annotations(nodes, nodes.where("node_id = 'a'"), "node_id").collect()}["a"] is None
-    composed = reads.compose_expansion(nodes.select("node_id"), nodes.where("node_id = 'd'").select("node_id"), nodes.where("node_id = 'b'").select("node_id"), 3, "c")
-    assert [r["node_id"] for r in composed.collect()] == ["c", "d", "a"]
+
+
+def test_composed_view(spark):
+    node, edge = "node_id string, cluster_id string, proxy boolean, pos long", "edge_id string, source string, target string"
+    base = spark.createDataFrame([("r", None, False, 0), ("p", "c1", True, 1), ("q", "c2", True, 2)], node), spark.createDataFrame([("1", "r", "p"), ("2", "r", "q")], edge)
+    patch = spark.createDataFrame([("a", "c1", False, 0, 0), ("b", "c1", False, 1, 0), ("q", "c2", True, 2, 0), ("b", "c1", False, 9, 1)], f"{node}, patch int"), spark.createDataFrame([("3", "a", "b", 0, False), ("4", "p", "r", 0, True), ("5", "r", "a", 0, False), ("3", "b", "a", 1, False)], f"{edge}, patch int, boundary boolean")
+    nodes, edges = reads.compose_expansion(base, patch, 3, "b")
+    assert [(r["node_id"], r["pos"], r["partial"]) for r in nodes.collect()] == [("b", 9, True), ("r", 0, True), ("q", 2, True)]
+    assert {tuple(r) for r in edges.collect()} == {("2", "r", "q")}
+    nodes, edges = reads.compose_expansion(base, patch, 10, "b")
+    assert {r["node_id"] for r in nodes.where("not partial").collect()} == {"r", "q", "a", "b"}
+    assert {tuple(r) for r in edges.collect()} == {("2", "r", "q"), ("3", "b", "a"), ("5", "r", "a")}
 
 
 def test_layout_quality_and_audit(spark):

@@ -15,17 +15,23 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from silvaspan.functions.labels import slugify
 from silvaspan.operators.components import components_of_edges
+from silvaspan.operators.skew import spread_join
 from silvaspan.scratch import Scratch
 
 MISSING = "0"
-#: Tables of a Hamming join: as many shared blocks are asked for as this allows.
-TABLES = 64
+#: Tables of a Hamming join: as many shared blocks are asked for as this allows, SHARED at most.
+TABLES, SHARED = 64, 8
+#: Blocks whose shared ones are told by the bits of a long.
+MASK = 62
 #: Loci that are compared one by one in compiled code; wider profiles are compared as arrays.
 UNROLLED = 32
 #: Subsets of loci up to which a band of the spanning forest is found by groups of equal projections.
 SUBSETS = 64
 #: Profiles of one tile where all pairs are asked for.
 TILE = 1024
+#: A spanning forest over many loci goes by bands up to this part of the loci; beyond, components look for their nearest others by so many pivots, of which
+#: the first PLANES deal the profiles into cells, and each profile is first held against so many that follow it in the pivots' order.
+BANDS, PIVOTS, PLANES, NEXT = 16, 6, 2, 4
 
 
 def locus_report(profiles: DataFrame) -> DataFrame:
@@ -114,23 +120,40 @@ def allelic_pairs(groups: DataFrame, n: int, owners: DataFrame | None = None) ->
         y = own.select("component", "lo", "hi", F.col("node_id").alias("target"), F.col("h").alias("yh"), F.col("tile").alias("yt"))
         both = x.join(y, ["component", "lo", "hi"]).where("source < target and (lo = hi or xt <> yt)")
         return both.select("source", "target", hamming("xh", "yh", 0, loci).alias("distance"))
-    share = max(s for s in range(1, loci - n + 1) if s == 1 or math.comb(n + s, s) <= TABLES)
+    share = max(s for s in range(1, min(loci - n, SHARED) + 1) if s == 1 or (math.comb(n + s, s) <= TABLES and n + s <= MASK))
     blocks = n + share
     cuts = [loci * k // blocks for k in range(blocks + 1)]
     single = blocks == loci
     block = F.col("h") if single else F.array(*(F.xxhash64(F.slice("h", lo + 1, hi - lo)) for lo, hi in zip(cuts, cuts[1:])))
     rows = Scratch(groups.sparkSession, "blocks").save(rows.select("component", "node_id", "h", block.alias("b")), "rows")
+
+    def verified(near: DataFrame) -> DataFrame:
+        """Wide profiles don't travel with every block: they join the pairs that are left."""
+        a, b = rows.select(F.col("node_id").alias("source"), F.col("h").alias("xh")), rows.select(F.col("node_id").alias("target"), F.col("h").alias("yh"))
+        met = near.select("source", "target").join(a, "source").join(b, "target")
+        return met.select("source", "target", hamming("xh", "yh", 0, loci).alias("distance")).where(F.col("distance") <= n)
+
+    if blocks > MASK:
+        # One shared block, and more blocks than a mask has bits: a pair is kept at the first block that it shares.
+        keyed = rows.select("component", "node_id", "b", F.posexplode("b").alias("k", "v"))
+        x = keyed.select("component", "k", "v", F.col("node_id").alias("source"), F.col("b").alias("xb"))
+        y = keyed.select("component", "k", "v", F.col("node_id").alias("target"), F.col("b").alias("yb"))
+        first = F.array_position(F.zip_with("xb", "yb", lambda u, v: u == v), True) == F.col("k") + 1
+        return verified(x.join(y, ["component", "k", "v"]).where((F.col("source") < F.col("target")) & first))
     tables = []
     for t, own in enumerate(itertools.combinations(range(blocks), share)):
         value = F.xxhash64(F.lit(t), *(F.get("b", F.lit(k)) for k in own))
         # In a pair's first table no block before the table's last one is shared but its own.
         tables.append(F.struct(value.alias("v"), F.lit(sum(1 << k for k in own)).cast("long").alias("mine"), F.lit((1 << (own[-1] + 1)) - 1).cast("long").alias("seen")))
-    keyed = rows.withColumn("t", F.explode(F.array(*tables))).select("component", "node_id", "h", "b", "t.v", "t.mine", "t.seen")
-    carried = ["b"] if single else ["b", "h"]
+    wide = not single and loci > UNROLLED
+    carried = ["b"] if single or wide else ["b", "h"]
+    keyed = rows.withColumn("t", F.explode(F.array(*tables))).select("component", "node_id", *carried, "t.v", "t.mine", "t.seen")
     x = keyed.select("component", "v", "mine", "seen", F.col("node_id").alias("source"), *(F.col(c).alias("x" + c) for c in carried))
     y = keyed.select("component", "v", F.col("node_id").alias("target"), *(F.col(c).alias("y" + c) for c in carried))
     equal = sum((F.when(F.get("xb", F.lit(k)) == F.get("yb", F.lit(k)), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k in range(blocks)), F.lit(0).cast("long"))
     near = x.join(y, ["component", "v"]).where("source < target").withColumn("equal", equal).where(F.col("equal").bitwiseAND(F.col("seen")) == F.col("mine"))
+    if wide:
+        return verified(near)
     far = F.lit(loci) - F.bit_count("equal") if single else hamming("xh", "yh", 0, loci)
     return near.select("source", "target", far.cast("int").alias("distance")).where(F.col("distance") <= n)
 
@@ -185,6 +208,89 @@ def _best_by_pairs(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return open_.select(F.explode(F.array("ca", "cb")).alias("c"), r.alias("r"), "ca", "cb")
 
 
+def _as_matrix(h: pa.Array) -> np.ndarray:
+    return h.flatten().to_numpy(zero_copy_only=False).reshape(len(h), -1) if len(h) else np.zeros((0, 1), np.int64)
+
+
+def _distances_to(pivots: list[list[int]]):
+    """A column function: the distances of an array of hashes to each pivot."""
+    table = np.array(pivots, np.int64)
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def to(h: pa.Array) -> pa.Array:
+        x = _as_matrix(h)
+        d = np.stack([(x != p).sum(axis=1) for p in table], axis=1).astype(np.int32) if len(x) else np.zeros((0, len(table)), np.int32)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, d.size + 1, len(table)), pa.int32()), pa.array(d.ravel()))
+
+    return to
+
+
+def with_pivots(nodes: DataFrame, scratch: Scratch) -> tuple[DataFrame, list[str]]:
+    """nodes (node_id, h, ...) with ``p``, their distances to PIVOTS profiles at most, each the farthest from those before it, and these profiles' ids."""
+    first = nodes.agg(F.min(F.struct("node_id", "h")).alias("x")).first()["x"]
+    ids, rows = [first["node_id"]], [first["h"]]
+    while True:
+        found = scratch.save(nodes.withColumn("p", _distances_to(rows)("h")), "pivots")
+        far = found.agg(F.max(F.struct(F.array_min("p").alias("d"), "node_id", "h")).alias("x")).first()["x"]
+        if len(ids) == PIVOTS or not far["d"]:
+            return found, ids
+        ids.append(far["node_id"])
+        rows.append(far["h"])
+        scratch.drop(found)
+
+
+def _reach(nodes: DataFrame, pivots: list[str], top: int) -> DataFrame:
+    """(component, reach): a distance of at most ``top`` within which each component has another one's profile, if there is one: the least to a pivot or to a profile that follows in the pivots' order."""
+    homes = {r["node_id"]: r["component"] for r in nodes.where(F.col("node_id").isin(pivots)).select("node_id", "component").collect()}
+    to = [F.when(F.col("component") != homes[v], F.get("p", F.lit(k))) for k, v in enumerate(pivots)]
+    by_pivot = nodes.select("component", F.least(*to, F.lit(top)).alias("d"))
+    rows = nodes.select("p", "node_id", "component", "h").repartitionByRange("p", "node_id").sortWithinPartitions("p", "node_id").select("component", "h")
+
+    def run(batches):
+        for batch in batches:
+            c, x = np.array(batch.column(0).to_pylist(), object), _as_matrix(batch.column(1))
+            for s in range(1, min(NEXT, len(c) - 1) + 1):
+                at = np.flatnonzero(c[s:] != c[:-s])
+                if len(at):
+                    d = (x[at] != x[at + s]).sum(axis=1).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((c[at], c[at + s]))), pa.array(np.tile(d, 2))], ["component", "d"])
+
+    found = by_pivot.unionByName(rows.mapInArrow(run, "component string, d int"))
+    return found.groupBy("component").agg(F.min("d").alias("reach"))
+
+
+def foreign_candidates(nodes: DataFrame, reach: DataFrame, scratch: Scratch) -> DataFrame:
+    """(source, target): pairs of profiles of two components that may be as near as the reach of one of them, by the triangle inequality at every pivot.
+
+    The profiles stand in cells of their first pivots' distances; those of components with a reach (component, reach, n) look into the cells within it.
+    """
+    total = nodes.count()
+    width = max(1, int(reach.agg(F.avg("reach")).first()[0] or 1))
+    planes = min(PLANES, nodes.select(F.max(F.size("p"))).first()[0] or 1)
+    cells = [f"b{k}" for k in range(planes)]
+    slim = scratch.save(nodes.select("node_id", "component", "p"), "slim")
+    x = spread_join(slim, reach, "component", "n", total).select(F.col("node_id").alias("x"), F.col("component").alias("xc"), F.col("p").alias("xp"), "reach")
+    y = slim.select(F.col("node_id").alias("y"), F.col("component").alias("yc"), F.col("p").alias("yp"))
+    for k, c in enumerate(cells):
+        at = F.get("xp", F.lit(k))
+        x = x.withColumn(c, F.explode(F.sequence(F.floor((at - F.col("reach")) / width), F.floor((at + F.col("reach")) / width))))
+        y = y.withColumn(c, F.floor(F.get("yp", F.lit(k)) / width))
+    near = F.forall(F.zip_with("xp", "yp", lambda a, b: F.abs(a - b)), lambda d: d <= F.col("reach"))
+    return x.join(y, cells).where((F.col("xc") != F.col("yc")) & near).select(F.least("x", "y").alias("source"), F.greatest("x", "y").alias("target")).distinct()
+
+
+def _best_by_pivots(nodes: DataFrame, pivots: list[str], loci: int, top: int, scratch: Scratch) -> DataFrame:
+    """(c, r, ca, cb): the best edge of every component but the largest, which the others find."""
+    sizes = scratch.save(nodes.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    largest = sizes.agg(F.max_by("component", F.struct("n", "component"))).first()[0]
+    reach = scratch.save(_reach(nodes, pivots, top).join(sizes.where(F.col("component") != largest), "component"), "reach")
+    pairs = foreign_candidates(nodes, reach, scratch)
+    a = nodes.select(F.col("node_id").alias("source"), F.col("h").alias("xh"))
+    b = nodes.select(F.col("node_id").alias("target"), F.col("h").alias("yh"))
+    known = pairs.join(a, "source").join(b, "target").select("source", "target", hamming("xh", "yh", 0, loci).alias("distance"))
+    return _best_by_pairs(nodes, known.where(F.col("distance") <= top)).where(F.col("c") != largest)
+
+
 def spanning_forest(groups: DataFrame, limit: int | None = None) -> DataFrame:
     """(source, target, distance): a minimum spanning tree over distinct profiles, or the forest of edges of at most ``limit``.
 
@@ -193,7 +299,8 @@ def spanning_forest(groups: DataFrame, limit: int | None = None) -> DataFrame:
     are merged. An edge of one band is never displaced by a later band, so the weights are those of Kruskal.
 
     With few loci a band is one distance, and its edges are found by groups of equal projections, without pairs. With
-    more, bands double and candidates come from a Hamming join, which leaves out pairs of one component.
+    more, bands double and candidates come from a Hamming join, up to a part of the loci. What is left are components far from each other: each but
+    the largest has a reach, a distance to some other one that is known, and candidates are the pairs that no pivot tells to be farther apart.
     """
     spark = groups.sparkSession
     scratch = Scratch(spark, "spanning")
@@ -211,11 +318,15 @@ def spanning_forest(groups: DataFrame, limit: int | None = None) -> DataFrame:
         band = min(band, top)
         # Groups tell a distance only where all shorter edges are merged.
         grouped = band == done + 1 and math.comb(loci, band) <= SUBSETS
+        by_pivots = not grouped and band > max(1, loci // BANDS)
         pairs = None
+        if by_pivots and n_edges < n_nodes - 1:
+            nodes, pivots = with_pivots(nodes, scratch)
+            band = top
         while n_edges < n_nodes - 1:
-            if not grouped and pairs is None:
+            if not grouped and not by_pivots and pairs is None:
                 pairs = scratch.save(allelic_pairs(groups, band).where("distance > 0"), f"pairs{band}")
-            open_ = _best_by_groups(nodes, loci, band) if grouped else _best_by_pairs(nodes, pairs)
+            open_ = _best_by_groups(nodes, loci, band) if grouped else _best_by_pivots(nodes, pivots, loci, top, scratch) if by_pivots else _best_by_pairs(nodes, pairs)
             best = open_.groupBy("c").agg(F.min(F.struct("r", "ca", "cb")).alias("m"))
             chosen = scratch.save(best.select("m.r.source", "m.r.target", "m.r.distance", "m.ca", "m.cb").distinct(), "chosen")
             found = chosen.count()
@@ -224,7 +335,8 @@ def spanning_forest(groups: DataFrame, limit: int | None = None) -> DataFrame:
             n_edges += found
             tree.append(chosen.select("source", "target", F.col("distance").cast("int").alias("distance")))
             merged = components_of_edges(chosen, "ca", "cb").withColumnRenamed("component", "new")
-            nodes = scratch.save(nodes.join(merged, nodes["component"] == merged["node"], "left").select("node_id", "h", "lv", F.coalesce("new", "component").alias("component")), "nodes")
+            kept = [c for c in nodes.columns if c != "component"]
+            nodes = scratch.save(nodes.join(merged, nodes["component"] == merged["node"], "left").select(*kept, F.coalesce("new", "component").alias("component")), "nodes")
         if n_edges >= n_nodes - 1 or band >= top:
             break
         done, band = band, band + 1 if math.comb(loci, band + 1) <= SUBSETS else band * 2

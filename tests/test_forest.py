@@ -303,3 +303,38 @@ def test_rerooted_index_equals_a_new_index(spark):
             assert sorted(map(tuple, forest.rerooted_index(index, node).select(*columns).collect())) == want
     with pytest.raises(ValueError):
         forest.rerooted_index(index, "nobody")
+
+
+def test_spanning_tree_over_thousands_of_loci(spark, monkeypatch):
+    """Far components are joined by pivots: Kruskal's tree, from fewer candidates than there are pairs."""
+    draw, loci, rows = random.Random(31), 3000, []
+    for c, size in enumerate((14, 9, 6, 5, 4)):
+        # Centres on a line, members around each.
+        centre = [f"{1 + (k < 420 * c)}" if c else "1" for k in range(loci)]
+        for m in range(size):
+            own = list(centre)
+            for k in draw.sample(range(loci), draw.randrange(1, 60)):
+                own[k] = f"m{draw.randrange(40)}"
+            rows.append((f"c{c}m{m:02d}", 100 * c + m, own))
+    df = spark.createDataFrame(rows, "isolate_id string, input_pos long, alleles array<string>")
+    kept = profiles.drop_incomplete_loci(df)
+    groups = Scratch(spark, "t").save(profiles.group_profiles(kept), "groups")
+    every = {(a[0], b[0]): sum(x != y for x, y in zip(a[2], b[2])) for a, b in itertools.combinations(rows, 2)}
+    root, want = {r[0]: r[0] for r in rows}, set()
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for (a, b), d in sorted(every.items(), key=lambda x: (x[1], x[0])):
+        if find(a) != find(b):
+            root[find(a)] = find(b)
+            want.add((a, b, d))
+    counted, plain = [], profiles.foreign_candidates
+    monkeypatch.setattr(profiles, "foreign_candidates", lambda *a: counted.append(plain(*a).count()) or plain(*a))
+    monkeypatch.setattr(profiles, "BANDS", 10**6)
+    assert {tuple(r) for r in profiles.spanning_forest(groups).collect()} == want
+    assert max(counted) < len(every) and counted
+    near = sorted((a, b, d) for (a, b), d in every.items() if d <= 70)
+    assert sorted(map(tuple, profiles.allelic_pairs(groups, 70).collect())) == near and near

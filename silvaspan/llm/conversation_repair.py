@@ -310,8 +310,8 @@ ORACLE = r"""WITH RECURSIVE tab AS (SELECT list(v ORDER BY n) AS tab FROM (SELEC
     chosen AS (SELECT named.*, xor(list_reduce(list_concat([4294967295], list_transform(range(1, length(s) + 1), lambda i: CAST(ascii(substr(s, CAST(i AS BIGINT), 1)) AS BIGINT))), lambda c, b: xor(c // 256, tab[CAST(xor(c, b) % 256 + 1 AS BIGINT)])), 4294967295) % 20 AS k FROM named, tab),
     damaged AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM chosen, range(2) AS again(j) WHERE k <> 0 AND (j = 0 OR k = 3)),
     kinds AS (SELECT *, sha256(coalesce('1' || CAST(conv_id AS VARCHAR), '0') || ':' || length(role) || ':' || role || text) AS kind, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM damaged),
-    o AS (SELECT conv_id, turn, role, text, row_number() OVER w AS i, substr(role, 1, 1) AS initial, lag(substr(role, 1, 1)) OVER w AS above, CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 THEN 'duplicate'
-        WHEN bare[-1] NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault FROM kinds WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, kind)),
+    placed AS (SELECT *, row_number() OVER w AS i, substr(role, 1, 1) AS initial, lag(substr(role, 1, 1)) OVER w AS above FROM kinds WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, kind)),
+    o AS (SELECT conv_id, turn, role, text, i, initial, above, CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN bare[-1] NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault FROM placed),
     st AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
         count(*) FILTER (WHERE i > 1 AND above || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM o GROUP BY conv_id),
     moves(p, init, q) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),

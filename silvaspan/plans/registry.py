@@ -148,7 +148,7 @@ def fidelity_ledger(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""{INDEX}, c AS (SELECT level, representative, count(*) AS m FROM cl GROUP BY ALL)
     SELECT level, 'uncovered' AS "check", (SELECT count(*) FROM t WHERE node_id LIKE 'O%' AND CAST(substr(node_id, 2) AS BIGINT) % 10 = 0) AS n FROM cuts UNION ALL SELECT level, 'overlapping', (SELECT count(*) FROM nation WHERE n_nationkey % 4 = 1) FROM cuts
-    UNION ALL SELECT level, 'unsupported', (SELECT count(*) FROM region) FROM cuts UNION ALL SELECT level, 'missing', count(*) FILTER (WHERE target LIKE 'N%' AND CAST(substr(target, 2) AS BIGINT) % 3 = 0) + CASE level WHEN 0 THEN (SELECT count(*) FROM nation WHERE n_nationkey % 4 = 1 AND n_nationkey IN (SELECT c_nationkey FROM customer)) ELSE 0 END FROM qe GROUP BY level
+    UNION ALL SELECT level, 'unsupported', (SELECT count(*) FROM region) + CASE level WHEN 2 THEN (SELECT count(*) FROM orders WHERE o_orderkey % 10 = 0) ELSE 0 END FROM cuts UNION ALL SELECT level, 'missing', count(*) FILTER (WHERE target LIKE 'N%' AND CAST(substr(target, 2) AS BIGINT) % 3 = 0) + CASE level WHEN 0 THEN (SELECT count(*) FROM nation WHERE n_nationkey % 4 = 1 AND n_nationkey IN (SELECT c_nationkey FROM customer)) ELSE 0 END FROM qe GROUP BY level
     UNION ALL SELECT level, 'unplaced', (SELECT count(*) FROM customer WHERE c_custkey % 6 = 0) FROM cuts UNION ALL SELECT level, 'truncated', count(*) FILTER (WHERE representative LIKE 'R%') FROM c GROUP BY level""")
 def fidelity_faults(spark: SparkSession, sf: str) -> DataFrame:
     """What the ledger finds where nodes are lost or in two clusters, edges lost or made up, places missing, and clusters not read."""

@@ -12,8 +12,8 @@ is dealt over as many tasks as it takes, with the queries, the smaller side, rep
 
 ``edited_texts`` needs each document's successor in descending id order. The order's distinct keys, ids and
 hashes of texts, are cut into ranges of about ``PER_RANGE`` rows (``RANGES`` at most, then of more rows) by Spark's range
-partitioning and stored with their range's number; texts find it by an equi-join on the key, so a row's cost doesn't depend on the number
-of ranges. A window inside each range reads the next row, and each range's last row takes the first of the next. As
+partitioning; their first keys are a constant of the plan, in which each text finds its range by halving: one shuffle of the texts, no
+join, and nothing that grows with the number of ranges travels with a row. A window inside each range reads the next row, and each range's last row takes the first of the next. As
 hashes of texts are part of the key, rows of one id, or of none, are split over ranges too; only
 rows of equal id and text stay together, and where they are a large part of the table they travel as one row with
 a count.
@@ -114,6 +114,26 @@ def within(queries: DataFrame, rows: DataFrame, radius: int = RADIUS, dense: int
     return near.withColumn("distance", distance("query", "fp")).where(F.col("distance") <= radius).distinct()
 
 
+def _keys(starts: list[str]) -> Column:
+    """An array of keys, given as JSON texts."""
+    return F.from_json(F.lit(f"[{','.join(starts)}]"), "array<struct<lost: boolean, down: bigint, hash: bigint>>")
+
+
+def _place_of(key: str, starts: list[str]) -> Column:
+    """The place of the last of the starts, in ascending order, that is not above the key, by halving."""
+    if not starts:
+        return F.lit(0)
+    array = _keys(starts)
+    pair = lambda lo, hi: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.shiftright(s["lo"] + s["hi"], 1)
+        return F.when(s["hi"] - s["lo"] <= 1, s).when(F.get(array, middle) <= F.col(key), pair(middle, s["hi"])).otherwise(pair(s["lo"], middle))
+
+    steps = F.sequence(F.lit(1), F.lit(len(starts).bit_length()))
+    return F.aggregate(steps, pair(F.lit(0), F.lit(len(starts))), halve, lambda s: s["lo"])
+
+
 def edited_texts(docs: DataFrame) -> DataFrame:
     """(range, place, copies, doc_id, text, edited, next_range, next_place) for the rows of docs (doc_id, text).
 
@@ -132,12 +152,14 @@ def edited_texts(docs: DataFrame) -> DataFrame:
         merged = rows.join(heavy, "key", "left_semi").groupBy("key", "doc_id").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n"))
         merged = merged.select("doc_id", "text", "key", F.explode(F.array(F.col("n") - 1, F.lit(1).cast("long"))).alias("copies"))
         rows = rows.join(heavy, "key", "left_anti").select(*merged.columns).unionByName(merged)
-    # The ranges are cut over the keys alone, which are distinct here; rows find theirs by an equi-join, at the same cost however many ranges there are.
-    dealt = counted.select("key").repartitionByRange(min(max(1, n // PER_RANGE), RANGES), "key").select("key", F.spark_partition_id().alias("range"))
-    rows = rows.join(scratch.save(dealt, "dealt"), "key")
+    # The ranges are cut over the keys alone, which are distinct here. Their first keys, RANGES rows at most whatever the table's size, are a constant of the plan.
+    dealt = counted.select("key").repartitionByRange(min(max(1, n // PER_RANGE), RANGES), "key").select("key", F.spark_partition_id().alias("part"))
+    starts = dealt.groupBy("part").agg(F.min("key").alias("key")).orderBy("key").select(F.to_json("key").alias("key"))
+    starts = [r["key"] for r in starts.collect()]
+    rows = rows.withColumn("range", _place_of("key", starts))
     # One row per range: its first text is what the last row of the range before is edited with.
-    tops = rows.groupBy("range").agg(F.min("key").alias("key"))
-    tops = scratch.save(rows.join(tops, ["range", "key"]).groupBy("range").agg(F.first("text").alias("first_text")), "tops")
+    firsts = F.broadcast(docs.sparkSession.range(1).select(F.explode(_keys(starts)).alias("key")))
+    tops = scratch.save(rows.select("key", "range", "text").join(firsts, "key").groupBy("range").agg(F.first("text").alias("first_text")), "tops")
     by = W.orderBy("range")
     after = tops.select("range", F.coalesce(F.lead("range").over(by), F.min("range").over(W.partitionBy())).alias("after"))
     after = after.join(tops.select(F.col("range").alias("after"), "first_text"), "after")

@@ -2,21 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from silvaspan.operators.skew import HEAVY, spread_join
 
-#: A key with more than one in HEAVY of all rows is heavy, so fewer than HEAVY keys are.
-HEAVY = 64
-
-
-def spread_join(left: DataFrame, right: DataFrame, key: str, n: str, total: int, how: str = "inner") -> DataFrame:
-    """left joined with right, which has one row per key and in column ``n`` how many of the ``total`` rows of left hold it.
-
-    Heavy keys are fewer than ``HEAVY``, whatever the size of the tables: their rows of right are broadcast,
-    and the rows of left that hold them stay where they are. All others meet by a shuffle. left is
-    read twice, so it should be a stored table; ``how`` is inner or left; null keys of left find nothing.
-    """
-    heavy = right.where(F.col(n) * HEAVY > total)
-    light = right.where(F.col(n) * HEAVY <= total)
-    near = left.join(F.broadcast(heavy), key)
-    far = left.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key, how)
-    return near.unionByName(far)
+__all__ = ["HEAVY", "spread_join"]

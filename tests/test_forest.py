@@ -338,3 +338,17 @@ def test_spanning_tree_over_thousands_of_loci(spark, monkeypatch):
     assert max(counted) < len(every) and counted
     near = sorted((a, b, d) for (a, b), d in every.items() if d <= 70)
     assert sorted(map(tuple, profiles.allelic_pairs(groups, 70).collect())) == near and near
+
+
+def test_pairs_at_one_separator_are_many_tasks(spark, monkeypatch):
+    spokes = [(f"e{k}", "h", f"s{k:03d}", float(k % 7) / 2) for k in range(60)] + [("f", "s059", "far", 50.0), ("g", "far", "leaf", 1.0)]
+    edges = spark.createDataFrame(spokes, "edge_id string, source string, target string, distance double")
+    named = edges.selectExpr("target AS node_id")
+    # What hangs from an edge beyond the radius is left to itself, and the hub's spokes are dealt into tiles and tasks.
+    monkeypatch.setattr(patristic, "TILE", 4)
+    monkeypatch.setattr(patristic, "WORK", 20)
+    d = {t: w for _, s, t, w in spokes if s == "h"}
+    want = {(a, b, d[a] + d[b]) for a in d for b in d if a < b and d[a] + d[b] <= 3} | {("far", "leaf", 1.0)}
+    found = patristic.patristic_pairs(edges, named, 3)
+    assert found.count() == len(want) and {tuple(r) for r in found.collect()} == want
+    assert found.rdd.getNumPartitions() > 10

@@ -255,27 +255,29 @@ def component_page(components: DataFrame, after: int, limit: int) -> tuple[DataF
     return rows.limit(limit), last[limit - 1][0] if len(last) > limit else None
 
 
-def representation_counts(requests: DataFrame, boxed: DataFrame, nodes: DataFrame, edges: DataFrame, ceiling: int | None = None) -> DataFrame:
+def representation_counts(requests: DataFrame, boxed: DataFrame, nodes: DataFrame, edges: DataFrame, ceiling: int | None = None, apart: bool = False) -> DataFrame:
     """(request_id, level, n): what each tier up to the ceiling would show in each box.
 
     A tier shows its clusters that overlap the box; tiers with a cluster without a place are left out. The finest tier of all shows full
     detail, so it counts the nodes in the box and all their placed neighbours, wherever these lie: a hub in
-    the box makes it dear. Above the ceiling nothing is counted, the finest tier neither.
+    the box makes it dear. Above the ceiling nothing is counted, the finest tier neither. With apart, full detail
+    is a row of level -1 besides the clusters of every tier, whatever the ceiling.
     """
     tiers = boxed.groupBy("level").agg((F.count("x0") == F.count(F.lit(1))).alias("whole"))
     # One row per tier: few.
     tiers = tiers.agg(F.collect_list(F.struct("level", "whole")).alias("t")).first()["t"]
     finest = max((t["level"] for t in tiers), default=None)
     counted = sorted(t["level"] for t in tiers if t["whole"] and (ceiling is None or t["level"] <= ceiling))
-    coarse, out = [t for t in counted if t != finest], requests.select("request_id").where("false").select("request_id", F.lit(0).alias("level"), F.lit(0).cast("long").alias("n"))
+    coarse, out = [t for t in counted if apart or t != finest], requests.select("request_id").where("false").select("request_id", F.lit(0).alias("level"), F.lit(0).cast("long").alias("n"))
     if coarse:
         asked = requests.select("request_id", F.explode(F.array(*map(F.lit, coarse))).alias("level"))
         found = boxes_overlapping(requests, boxed.where(F.col("level").isin(coarse))).groupBy("request_id", "level").agg(F.count(F.lit(1)).alias("n"))
         out = out.unionByName(asked.join(found, ["request_id", "level"], "left").select("request_id", F.col("level").cast("int").alias("level"), F.coalesce("n", F.lit(0)).alias("n")))
-    if finest in counted:
+    if apart or finest in counted:
+        detail = -1 if apart else finest
         ids = Scratch(nodes.sparkSession, "detail").save(points_in_boxes(requests, nodes).select("request_id", "node_id"), "ids")
         fine = represented_nodes(ids, edges).join(nodes.select("node_id"), "node_id", "left_semi").groupBy("request_id").agg(F.count(F.lit(1)).alias("n"))
-        out = out.unionByName(requests.select("request_id").join(fine, "request_id", "left").select("request_id", F.lit(finest).cast("int").alias("level"), F.coalesce("n", F.lit(0)).alias("n")))
+        out = out.unionByName(requests.select("request_id").join(fine, "request_id", "left").select("request_id", F.lit(detail).cast("int").alias("level"), F.coalesce("n", F.lit(0)).alias("n")))
     return out
 
 

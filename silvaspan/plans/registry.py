@@ -420,17 +420,18 @@ _TIER_COUNTS = f"""{INDEX}, {_POS}, b AS (SELECT level, representative, min(x) A
         UNION ALL SELECT rq.request_id, 2, count(node_id) FROM rq LEFT JOIN near USING (request_id) GROUP BY rq.request_id)"""
 
 
-def _tier_counts(spark: SparkSession, sf: str, ceiling: int | None = None) -> DataFrame:
+def _tier_counts(spark: SparkSession, sf: str, ceiling: int | None = None, apart: bool = False) -> DataFrame:
     _, edges, _ = inputs.forest(spark, sf)
     positions = inputs.positions(spark, sf)
     boxed = Scratch(spark, "boxed").save(summaries.cluster_geometry(inputs.clusters(spark, sf), positions), "boxed")
-    return reads.representation_counts(inputs.requests(spark, sf), boxed, positions, edges, ceiling)
+    return reads.representation_counts(inputs.requests(spark, sf), boxed, positions, edges, ceiling, apart)
 
 
-@query(f"{_TIER_COUNTS} SELECT request_id, CAST(level AS INTEGER) AS level, n FROM tc")
+@query(f"""{_TIER_COUNTS} SELECT request_id, CAST(level AS INTEGER) AS level, n FROM tc WHERE level < 2 UNION ALL SELECT request_id, -1, n FROM tc WHERE level = 2
+    UNION ALL SELECT request_id, 2, (SELECT count(*) FROM b WHERE b.level = 2 AND bx0 <= x1 AND bx1 >= x0 AND by0 <= y1 AND by1 >= y0) FROM rq""")
 def tier_counts_by_box(spark: SparkSession, sf: str) -> DataFrame:
-    """What each tier would show in each box: clusters, and in the finest tier nodes with their neighbours."""
-    return _tier_counts(spark, sf)
+    """How many clusters of each tier each box would show, and as level -1 how many nodes with their neighbours."""
+    return _tier_counts(spark, sf, apart=True)
 
 
 @query(f"{_TIER_COUNTS} SELECT request_id, CAST(level AS INTEGER) AS level, n FROM tc WHERE level <= 1")

@@ -40,3 +40,11 @@ def test_query(spark, con, name):
         assert sorted(rel.columns) == sorted(df.columns)
         want = rel.fetchall()
         assert rows(df.columns, got) == rows(rel.columns, want)
+
+
+def test_every_tier_is_counted(spark):
+    got = registry.queries()["tier_counts_by_box"](spark, SF).collect()
+    levels = {}
+    for r in got:
+        levels.setdefault(r["request_id"], {})[r["level"]] = r["n"]
+    assert all(set(n) == {-1, 0, 1, 2} and n[-1] >= n[2] for n in levels.values()) and any(n[2] for n in levels.values())

@@ -15,6 +15,8 @@ from silvaspan.scratch import Scratch
 
 #: Up to this depth rows carry the path from their root; deeper forests use list ranking.
 LEVELS = 16
+#: A level of at most this many nodes is broadcast to the edges below it.
+NARROW = 1 << 15
 
 
 def components_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -73,24 +75,45 @@ def depths_of(parents: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def paths_of(parents: DataFrame, scratch: Scratch, most: int, n: int) -> DataFrame | None:
-    """(node_id, parent, root_pos, path): the nodes from the root to each of the n nodes, by doubling; None if one is deeper than ``most``.
+    """(node_id, parent, root_pos, path): the nodes from the root to each of the n nodes, level by level; None if one is deeper than ``most``.
 
-    parents has root_pos for roots. A row whose parent has no row is an error.
+    parents has root_pos for roots. A node that no root reaches is an error. Each row is joined once, with the level above it.
     """
-    now = parents.select("node_id", "parent", F.col("parent").alias("up"), "root_pos", F.array("node_id").alias("path"))
-    left, reach = now.where("up is not null").count(), 1
-    while left:
-        if reach > most:
-            return None
-        going = now.where("up is not null")
-        above = now.select(F.col("node_id").alias("up"), F.col("up").alias("up2"), F.col("root_pos").alias("top"), F.col("path").alias("head"))
-        longer = counted_join(going, above, "up", scratch, left).select("node_id", "parent", F.col("up2").alias("up"), F.col("top").alias("root_pos"), F.concat("head", "path").alias("path"))
-        now = scratch.save(now.where("up is null").unionByName(longer), "paths")
-        rows, left = now.agg(F.count(F.lit(1)), F.count("up")).first()
-        if rows < n:
-            raise ValueError("an edge is reached from no root, or reaches a node again")
-        reach *= 2
-    return now.select("node_id", "parent", "root_pos", "path")
+    level = scratch.save(parents.where("parent is null").select("node_id", "parent", "root_pos", F.array("node_id").alias("path")), "level")
+    out, got = level, level.count()
+    found, hung = got, parents.where("parent is not null")
+    for _ in range(most):
+        if not got or found == n:
+            break
+        above = level.select(F.col("node_id").alias("parent"), F.col("root_pos").alias("top"), F.col("path").alias("head"))
+        below = hung.drop("root_pos")
+        below = below.join(F.broadcast(above), "parent") if got <= NARROW else counted_join(below, above, "parent", scratch, n)
+        level = scratch.save(below.select("node_id", "parent", F.col("top").alias("root_pos"), F.concat("head", F.array("node_id")).alias("path")), "level")
+        got = level.count()
+        found, out = found + got, out.unionByName(level)
+    if found == n:
+        return out
+    if not got or hung.join(parents.select(F.col("node_id").alias("parent")), "parent", "left_anti").limit(1).count():
+        raise ValueError("an edge is reached from no root, or reaches a node again")
+    return None
+
+
+def _parents(edges: DataFrame, roots: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+    """The stored (node_id, parent, root_pos) of all nodes, and their number; a node with two rows is an error."""
+    hung = edges.select(F.col("target").alias("node_id"), F.col("source").alias("parent"), F.lit(None).cast("long").alias("root_pos"))
+    parents = scratch.save(hung.unionByName(roots.select("node_id", F.lit(None).cast("string").alias("parent"), F.col("root_pos").cast("long").alias("root_pos"))), "parents")
+    n, kinds = parents.agg(F.count(F.lit(1)), F.count_distinct("node_id")).first()
+    if n > kinds:
+        raise ValueError("a node has two parents, or a root has one")
+    return parents, n
+
+
+def forest_paths(edges: DataFrame, roots: DataFrame) -> DataFrame | None:
+    """(node_id, depth, path) of all nodes, without their order; None for a forest deeper than ``LEVELS``. Faults are the errors of index_forest."""
+    scratch = Scratch(edges.sparkSession, "index")
+    parents, n = _parents(edges, roots, scratch)
+    paths = paths_of(parents, scratch, LEVELS, n)
+    return None if paths is None else paths.select("node_id", (F.size("path") - 1).cast("long").alias("depth"), "path")
 
 
 def index_forest(edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -105,11 +128,7 @@ def index_forest(edges: DataFrame, roots: DataFrame) -> DataFrame:
     tour is ranked.
     """
     scratch = Scratch(edges.sparkSession, "index")
-    hung = edges.select(F.col("target").alias("node_id"), F.col("source").alias("parent"), F.lit(None).cast("long").alias("root_pos"))
-    parents = scratch.save(hung.unionByName(roots.select("node_id", F.lit(None).cast("string").alias("parent"), F.col("root_pos").cast("long").alias("root_pos"))), "parents")
-    n, kinds = parents.agg(F.count(F.lit(1)), F.count_distinct("node_id")).first()
-    if n > kinds:
-        raise ValueError("a node has two parents, or a root has one")
+    parents, n = _parents(edges, roots, scratch)
     paths = paths_of(parents, scratch, LEVELS, n)
     if paths is None:
         return _index_by_ranking(parents, scratch, n)

@@ -48,10 +48,18 @@ def clusters_at(index: DataFrame, cuts: DataFrame) -> DataFrame:
     """(level, cut, cluster_id, representative, node_id) for rows of cuts (level, cut): prefix nodes alone, each deeper branch one cluster.
 
     A node below the cut belongs to its ancestor at depth cut + 1: in preorder the last such node before it. The
-    preorder is cut into spans, so a forest of one giant component is many tasks.
+    preorder is cut into spans, so a forest of one giant component is many tasks. Rows with their path (node_id, depth, path) name that
+    ancestor themselves and need no order.
     """
+    if "path" in index.columns:
+        rows = index.select("node_id", "depth", "path").crossJoin(F.broadcast(cuts.select("level", "cut"))).withColumn("anchor", F.get("path", F.col("cut") + 1))
+        return _named(rows)
     rows = index.select("node_id", "depth", "dfs_start").crossJoin(F.broadcast(cuts.select("level", "cut")))
     rows = carry_last(rows, "dfs_start", F.when(F.col("depth") == F.col("cut") + 1, F.col("node_id")), "anchor", "level")
+    return _named(rows)
+
+
+def _named(rows: DataFrame) -> DataFrame:
     rep = F.when(F.col("depth") <= F.col("cut"), F.col("node_id")).otherwise(F.col("anchor"))
     rows = rows.select("level", "cut", "node_id", rep.alias("representative"))
     return rows.select("level", "cut", F.concat(F.lit("lod_"), F.col("level").cast("string"), F.lit("_"), F.col("representative")).alias("cluster_id"), "representative", "node_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from silvaspan.operators.forest import index_forest
+from silvaspan.operators.forest import forest_paths, index_forest
 from silvaspan.operators.tiers import clusters_at
 from silvaspan.sources.tables import table
 
@@ -30,13 +30,20 @@ def index(spark: SparkSession, sf: str) -> DataFrame:
     return index_forest(edges, roots)
 
 
+def paths(spark: SparkSession, sf: str) -> DataFrame:
+    """(node_id, depth, path) of every node, for what needs no order; the whole index where the forest is too deep for paths."""
+    _, edges, roots = forest(spark, sf)
+    found = forest_paths(edges, roots)
+    return index(spark, sf) if found is None else found
+
+
 def cut_levels(spark: SparkSession) -> DataFrame:
     """The three tiers of the four-level forest."""
     return spark.createDataFrame([(0, 0), (1, 1), (2, 2)], "level int, cut int")
 
 
 def clusters(spark: SparkSession, sf: str) -> DataFrame:
-    return clusters_at(index(spark, sf), cut_levels(spark))
+    return clusters_at(paths(spark, sf), cut_levels(spark))
 
 
 def profiles(spark: SparkSession, sf: str) -> DataFrame:

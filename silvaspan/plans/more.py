@@ -449,7 +449,7 @@ def presentation_depths(spark: SparkSession, sf: str) -> DataFrame:
 def tier_checks(spark: SparkSession, sf: str) -> DataFrame:
     """Partition, refinement, representatives, quotient edges and placement of all tiers: no fault."""
     _, edges, _ = inputs.forest(spark, sf)
-    index = Scratch(spark, "checks").save(inputs.index(spark, sf), "index")
+    index = Scratch(spark, "checks").save(inputs.paths(spark, sf), "index")
     clusters = Scratch(spark, "checks").save(tiers.clusters_at(index, inputs.cut_levels(spark)), "clusters")
     quotient = tiers.quotient_faults(tiers.quotient_edges(clusters, edges), clusters).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(F.lit("quotient").alias("check"), "n")
     lost = quality.placement_faults(clusters, inputs.positions(spark, sf)).agg(F.sum("n").alias("n")).select(F.lit("unplaced").alias("check"), "n")
@@ -468,7 +468,7 @@ def tier_policies(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{INDEX}, g AS (SELECT level, count(DISTINCT representative) AS c, count(*) AS m FROM cl GROUP BY level), j AS (SELECT *, c - lag(c) OVER (ORDER BY level) AS jump, c / lag(c) OVER (ORDER BY level) AS ratio FROM g) SELECT count(*) AS tiers, CAST(sum(c) AS BIGINT) AS clusters, round(sum(c) / (SELECT count(*) FROM t), 6) AS per_node, CAST(sum(m) AS BIGINT) AS members, max(jump) AS largest_jump, round(max(ratio), 6) AS largest_ratio FROM j")
 def growth_totals(spark: SparkSession, sf: str) -> DataFrame:
-    index = Scratch(spark, "growth").save(inputs.index(spark, sf), "index")
+    index = Scratch(spark, "growth").save(inputs.paths(spark, sf), "index")
     return tiers.growth_totals(tiers.tier_growth(tiers.clusters_at(index, inputs.cut_levels(spark))), index.count())
 
 
@@ -555,7 +555,7 @@ def export_audit(spark: SparkSession, sf: str) -> DataFrame:
 def detail_equivalence(spark: SparkSession, sf: str) -> DataFrame:
     """The nodes and inner edges behind the clusters of the middle tier that stand for customers, against all nodes and edges."""
     _, edges, _ = inputs.forest(spark, sf)
-    index = Scratch(spark, "detail").save(inputs.index(spark, sf), "index")
+    index = Scratch(spark, "detail").save(inputs.paths(spark, sf), "index")
     clusters = tiers.clusters_at(index, inputs.cut_levels(spark)).where("level = 1")
     nodes, inner = quality.reconstruct_detail(clusters.where("representative like 'C%'").select("cluster_id").distinct(), clusters, edges)
     by_node, by_edge = quality.semantic_equivalence(nodes, index), quality.semantic_equivalence(inner, edges, "edge_id")

@@ -352,3 +352,17 @@ def test_pairs_at_one_separator_are_many_tasks(spark, monkeypatch):
     found = patristic.patristic_pairs(edges, named, 3)
     assert found.count() == len(want) and {tuple(r) for r in found.collect()} == want
     assert found.rdd.getNumPartitions() > 10
+
+
+def test_clusters_of_paths_are_those_of_the_preorder(spark, monkeypatch):
+    cuts = spark.createDataFrame([(0, 0), (1, 2), (2, 5)], "level int, cut int")
+    edges, roots = frames(spark, grown(7, 60, 4, 9))
+    want = {tuple(r) for r in tiers.clusters_at(forest.index_forest(edges, roots), cuts).collect()}
+    for narrow in (1 << 15, 0):
+        monkeypatch.setattr(forest, "NARROW", narrow)
+        paths = forest.forest_paths(edges, roots)
+        assert {tuple(r) for r in tiers.clusters_at(paths, cuts).collect()} == want
+    monkeypatch.setattr(forest, "LEVELS", 2)
+    assert forest.forest_paths(edges, roots) is None
+    with pytest.raises(ValueError):
+        forest.forest_paths(edges.where("source <> 'none'").unionByName(spark.createDataFrame([("x", "lost", "found", 1.0)], EDGE)), roots)

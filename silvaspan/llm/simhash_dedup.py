@@ -53,7 +53,12 @@ def simhash(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int
     else:
         n = len(words) - shingle + 1
         pieces = map(b" ".join, zip(*(words[k:] for k in range(shingle))))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(seed)), np.uint64, n)
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(seed)), np.uint64, n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the unsigned 64-bit hashes."""
+    n = len(hashes)
     votes = np.zeros(64, np.int64)
     for k in range(0, n, _VOTES):
         bits = np.unpackbits(hashes[k : k + _VOTES].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")

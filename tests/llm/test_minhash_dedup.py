@@ -85,3 +85,26 @@ def test_large_block_of_near_copies_gives_few_candidates():
 
 def test_empty_table(spark):
     assert M.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_simhash_links_are_candidates_of_their_own(spark, monkeypatch):
+    """The pigeonhole blocks find all kinds within two bits, up to stars of one fingerprint, and the exact check decides on them without any band."""
+    draw = random.Random(5)
+    words = [f"w{k}" for k in range(900)]
+    rows = [(k, " ".join(words)) for k in range(2)] + [(10 + k, edited(draw, words, 1)) for k in range(30)] + [(50, "nothing like it at all here"), (51, None)]
+    kinds = M.sketches(spark.createDataFrame(rows, DOCS), "doc_id", "text", 5).groupBy("kind").agg({"fp": "first", "id": "min"}).toDF("kind", "fp", "first_id")
+    fps = {r["kind"]: r["fp"] for r in kinds.collect() if r["fp"] is not None}
+    root = {k: k for k in fps}
+
+    def find(k):
+        return k if root[k] == k else find(root[k])
+
+    near = {(a, b) for a, b in itertools.combinations(sorted(fps), 2) if bin((fps[a] ^ fps[b]) & (2**64 - 1)).count("1") <= 2}
+    got = {tuple(r) for r in M.simhash_pairs(kinds).collect()}
+    for a, b in got:
+        root[find(a)] = find(b)
+    assert got <= near and len(near) > 10 and all(find(a) == find(b) for a, b in near)
+
+    monkeypatch.setattr(M, "candidates", lambda kinds, dense, tile: kinds.select("kind", "kind").toDF("a", "b").limit(0))
+    least = {r["id"]: r["component_id"] for r in M.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert sum(v == 0 for k, v in least.items() if k >= 10) > 10 and least[50] == 50 and least[51] == 51

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from silvaspan.operators.skew import counted_join, spread_join
 from silvaspan.scratch import Scratch
 
 
@@ -35,6 +36,29 @@ def _joined(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node": list(root), "component": [find(x) for x in list(root)]})
 
 
+def _without_leaves(now: DataFrame) -> DataFrame:
+    """Distinct edges (u, v), u > v, with ``leaf``: the end that no other edge touches, the larger of two, null if there is none."""
+    both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    ends = both.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("v")).where("n = 1")
+    ends = ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), F.col("u").alias("leaf"))
+    return now.select("u", "v").unionByName(ends, allowMissingColumns=True).groupBy("u", "v").agg(F.max("leaf").alias("leaf"))
+
+
+def _hung_up(found: DataFrame, peels: list[tuple[DataFrame, int]], scratch: Scratch) -> DataFrame:
+    """(node, component) with the leaves that were taken away, the last first; components are named by their smallest node at the end."""
+    if not peels:
+        return found
+    for hung, n in reversed(peels):
+        rows = hung.select("leaf", F.when(F.col("leaf") == F.col("u"), F.col("v")).otherwise(F.col("u")).alias("node"))
+        rows = scratch.save(counted_join(rows, found, "node", scratch, n, "left"), "hung")
+        # A node whose edges all went is named by itself.
+        bare = rows.where("component is null").select("node", F.col("node").alias("component")).distinct()
+        found = found.unionByName(bare).unionByName(rows.select(F.col("leaf").alias("node"), F.coalesce("component", "node").alias("component")))
+    found = scratch.save(found, "named")
+    low = scratch.save(found.groupBy("component").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")), "least")
+    return spread_join(found, low, "component", "n", found.count()).select("node", F.col("least").alias("component"))
+
+
 def components_of_edges(edges: DataFrame, left: str | Column = "a", right: str | Column = "b", local: int | None = None) -> DataFrame:
     """(node, component) for every node that an edge touches; component is the smallest node reachable.
 
@@ -42,6 +66,9 @@ def components_of_edges(edges: DataFrame, left: str | Column = "a", right: str |
     as no edge. An empty table gives an empty result. Each round costs two shuffles of the remaining
     edges, every star keeps at most one row per node, and the number of rounds grows with the
     logarithm of the longest path.
+
+    As long as at least half of the edges end in a node that no other edge touches, these leaves are taken away first and get the
+    component of their neighbour at the end, so that of a forest only the inner nodes go through the rounds.
     """
     spark = edges.sparkSession
     scratch = Scratch(spark, "components")
@@ -50,11 +77,20 @@ def components_of_edges(edges: DataFrame, left: str | Column = "a", right: str |
     pairs = pairs.where("_a is not null and _b is not null")
     now = scratch.save(pairs.select("u", "v").distinct(), "edges")
     loops, now = now.where("u = v").select("u"), now.where("u <> v")
-    before = _print_of(now)
-    if before[0] <= (LOCAL if local is None else local):
+    before, most = _print_of(now), LOCAL if local is None else local
+    peels = []
+    while before[0] > most:
+        peeled = scratch.save(_without_leaves(now), "peeled")
+        n = peeled.where("leaf is not null").count()
+        if 2 * n < before[0]:
+            break
+        peels.append((peeled.where("leaf is not null"), n))
+        now = peeled.where("leaf is null").select("u", "v")
+        before = _print_of(now)
+    if before[0] <= most:
         kind = now.schema["u"].dataType.simpleString()
         found = now.groupBy(F.lit(0).alias("all")).applyInPandas(_joined, f"node {kind}, component {kind}")
-        found = scratch.save(found, "local")
+        found = _hung_up(scratch.save(found, "local"), peels, scratch)
         alone = loops.select(F.col("u").alias("node"), F.col("u").alias("component"))
         return found.unionByName(alone.join(found.select("node"), "node", "left_anti"))
     while before[0]:
@@ -75,5 +111,5 @@ def components_of_edges(edges: DataFrame, left: str | Column = "a", right: str |
         before = after
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     alone = loops.select(F.col("u").alias("node"), F.col("u").alias("component"))
-    found = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    found = _hung_up(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), peels, scratch)
     return found.unionByName(alone.join(found.select("node"), "node", "left_anti"))

@@ -27,11 +27,13 @@ def components_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def validate_forest(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(error, n): every kind of violation with its count; no rows for a sound forest."""
+    scratch = Scratch(nodes.sparkSession, "faults")
     ids = nodes.select("node_id").distinct()
     # Edges that close no cycle by a fault of their own kind: both ends known, no loop, parallel ones once.
     sound = edges.where("source <> target").join(ids, edges["source"] == ids["node_id"], "left_semi").join(ids, edges["target"] == ids["node_id"], "left_semi")
     sound = sound.select(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).distinct()
-    comps = components_of(nodes, sound)
+    sound = scratch.save(sound, "sound")
+    comps = scratch.save(components_of(nodes, sound), "components")
     ends = edges.select(F.explode(F.array("source", "target")).alias("node_id"))
     checks = [
         ("no node", nodes.agg(F.when(F.count(F.lit(1)) == 0, 1).otherwise(0).alias("n"))),

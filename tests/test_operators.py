@@ -289,3 +289,19 @@ def test_profile_overlay_and_fold_edits(spark):
     folds = reads.collapse_roots(index.limit(0).select("component", "node_id", "dfs_start", "dfs_end"), index)
     assert [r["node_id"] for r in folds.collect()] == ["b"] and reads.unfold(folds, "b").count() == 0
     assert reads.collapse(folds, index, "d").count() == 1
+
+
+def test_leaves_of_a_forest_go_through_no_rounds(spark, monkeypatch):
+    """A forest is taken apart leaf by leaf; loops, pairs, parallel edges, stars and a cycle keep the smallest node of each component."""
+    from silvaspan.operators import components as C
+
+    saved, save = [], C.Scratch.save
+    monkeypatch.setattr(C.Scratch, "save", lambda self, df, name="t": saved.append(name) or save(self, df, name))
+    tree = [(k, (k - 1) // 5) for k in range(1, 120)]
+    odd = [(500, 501), (501, 500), (600, 600), (700, None)] + [(800, 801 + k) for k in range(9)] + [(899 - k, 890) for k in range(5)]
+    got = {r["node"]: r["component"] for r in C.components_of_edges(spark.createDataFrame(tree + odd, "a long, b long"), local=0).collect()}
+    assert got == {k: 0 for k in range(120)} | {500: 500, 501: 500, 600: 600} | {k: 800 for k in range(800, 810)} | {k: 890 for k in [890, *range(895, 900)]}
+    assert "small" not in saved
+    ring = [(k, (k + 1) % 7) for k in range(7)] + [(k % 7, 10 + k) for k in range(30)]
+    got = {r["node"]: r["component"] for r in C.components_of_edges(spark.createDataFrame(ring, "a long, b long"), local=0).collect()}
+    assert got == {k: 0 for k in [*range(7), *range(10, 40)]} and "small" in saved

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from silvaspan.functions.labels import normalize_distance, slugify
 from silvaspan.scratch import Scratch
 
+#: Characters of documents whose tokens one task sorts; a longer document is one task.
+CHARS = 1 << 19
 _TOKEN = r"'(?:[^']|'')*'|\[[^\]]*\]|[(),:;]|[^\s'\[\](),:;]+|['\[\]]"
 
 
@@ -26,6 +28,15 @@ def tokens_of(docs: DataFrame) -> DataFrame:
     return rows.withColumn("depth", F.coalesce(F.sum(step).over(in_tree), F.lit(0)))
 
 
+def _enclosed(nodes: DataFrame, value: str, name: str) -> DataFrame:
+    """nodes with ``name``: the value of the next closing parenthesis that owns a node's depth, the node that encloses it; null at the top."""
+    sides = F.array_compact(F.array(F.struct(F.col("at").alias("group"), F.lit(False).alias("close")), F.when(F.col("inner"), F.struct(F.col("owns").alias("group"), F.lit(True).alias("close")))))
+    # From the end, so that what encloses a node is carried on and not looked for.
+    before = W.partitionBy("doc_id", "tree", "group").orderBy(F.col("pos").desc()).rowsBetween(W.unboundedPreceding, -1)
+    rows = nodes.select("*", F.inline(sides)).withColumn(name, F.last(F.when(F.col("close"), F.col(value)), ignorenulls=True).over(before))
+    return rows.where("not close").drop("close", "group")
+
+
 def parse_forests(docs: DataFrame, strict: bool = False) -> dict[str, DataFrame]:
     """nodes (doc_id, node_id, label, explicit), edges (doc_id, edge_id, source, target, distance), roots, warnings and errors (doc_id, message).
 
@@ -33,34 +44,33 @@ def parse_forests(docs: DataFrame, strict: bool = False) -> dict[str, DataFrame]
     depth; an inner node is its closing parenthesis.
     """
     scratch = Scratch(docs.sparkSession, "newick")
-    toks = scratch.save(tokens_of(docs), "tokens")
+    docs = scratch.save(docs.select("doc_id", "content"), "docs")
+    chars = docs.agg(F.coalesce(F.sum(F.length("content")), F.lit(0))).first()[0]
+    # Dealt by document once for each stored table: every window below is inside a document, so its task sorts the rows of CHARS characters, however many there are.
+    deal = lambda df: df.repartition(chars // CHARS + 1, "doc_id")
     by_tree = W.partitionBy("doc_id", "tree").orderBy("pos")
     after = [F.lead(c, k).over(by_tree).alias(f"{c}{k}") for k in (1, 2, 3) for c in ("kind", "tok")]
-    seen = toks.select("*", F.lag("kind").over(by_tree).alias("before"), *after)
+    toks = scratch.save(tokens_of(deal(docs)).select("*", F.lag("kind").over(by_tree).alias("before"), *after), "tokens")
     # A node starts at a label that follows an opening or a comma (a leaf), at a closing parenthesis (an inner node), or stands empty.
     leaf = (F.col("kind") == "label") & (F.col("before").isNull() | F.col("before").isin("(", ","))
     inner = F.col("kind") == ")"
     bare = (F.col("kind") == ":") & (F.col("before").isNull() | F.col("before").isin("(", ","))
-    nodes = seen.where(leaf | inner | bare)
+    opening = F.col("kind") == "("
     label = F.when(leaf, F.col("tok")).when(inner & (F.col("kind1") == "label"), F.col("tok1"))
     length = F.when(bare, F.col("tok1")).when(leaf & (F.col("kind1") == ":"), F.coalesce("tok2", F.lit(""))).when(inner & (F.col("kind1") == ":"), F.coalesce("tok2", F.lit(""))).when(inner & (F.col("kind1") == "label") & (F.col("kind2") == ":"), F.coalesce("tok3", F.lit("")))
     own_depth = F.when(inner, F.col("depth") - 1).otherwise(F.col("depth"))
-    nodes = nodes.select("doc_id", "tree", "pos", inner.alias("inner"), own_depth.alias("at"), label.alias("label"), length.alias("length"), F.when(inner, F.col("depth")).alias("owns"))
+    owns = F.when(inner, F.col("depth")).when(opening, F.col("depth") + 1)
+    nodes = deal(toks.where(leaf | inner | bare | opening)).select("doc_id", "tree", "pos", inner.alias("inner"), opening.alias("open"), own_depth.alias("at"), label.alias("label"), length.alias("length"), owns.alias("owns"))
     nodes = nodes.withColumn("label", F.when(F.startswith("label", F.lit("'")), F.replace(F.expr("substring(label, 2, length(label) - 2)"), F.lit("''"), F.lit("'"))).otherwise(F.col("label")))
-    # The enclosing closing parenthesis is the next one that owns this depth.
-    closing = W.partitionBy("doc_id", "tree", "group").orderBy("pos").rowsBetween(1, W.unboundedFollowing)
-    sides = nodes.select("*", F.col("at").alias("group"), F.lit(False).alias("close")).unionByName(nodes.where("inner").select("*", F.col("owns").alias("group"), F.lit(True).alias("close")))
-    placed = sides.withColumn("parent_pos", F.first(F.when(F.col("close"), F.col("pos")), ignorenulls=True).over(closing)).where("not close").drop("close", "group")
     # Preorder of an inner node: its opening parenthesis, the last one before it at its depth.
-    opens = toks.where("kind = '('").select("doc_id", "tree", "pos", (F.col("depth") + 1).alias("owns"), F.lit(True).alias("open"))
-    match = opens.unionByName(nodes.where("inner").select("doc_id", "tree", "pos", "owns", F.lit(False).alias("open")))
-    match = match.withColumn("open_pos", F.last(F.when(F.col("open"), F.col("pos")), ignorenulls=True).over(W.partitionBy("doc_id", "tree", "owns").orderBy("pos").rowsBetween(W.unboundedPreceding, -1))).where("not open").select("doc_id", "pos", "open_pos")
-    placed = placed.join(match, ["doc_id", "pos"], "left").withColumn("first_pos", F.coalesce("open_pos", "pos"))
+    opened = F.last(F.when(F.col("open"), F.col("pos")), ignorenulls=True).over(W.partitionBy("doc_id", "tree", "owns").orderBy("pos").rowsBetween(W.unboundedPreceding, -1))
+    nodes = nodes.withColumn("first_pos", F.coalesce(F.when(F.col("inner"), opened), F.col("pos"))).where("not open").drop("open")
+    placed = _enclosed(nodes, "pos", "parent_pos")
     slug = F.nullif(slugify("label"), F.lit(""))
-    trees = F.size(F.collect_set("tree").over(W.partitionBy("doc_id")))
     pre = F.row_number().over(W.partitionBy("doc_id", "tree").orderBy("first_pos"))
-    made = F.sum(F.when(slug.isNull() & ~F.col("inner"), 1).otherwise(0)).over(W.partitionBy("doc_id", "tree").orderBy("first_pos").rowsBetween(W.unboundedPreceding, 0))
-    named = placed.withColumn("pre", pre).withColumn("made", made).withColumn("trees", trees).withColumn("slug", slug)
+    made = F.sum(F.when(F.col("slug").isNull() & ~F.col("inner"), 1).otherwise(0)).over(W.partitionBy("doc_id", "tree").orderBy("first_pos").rowsBetween(W.unboundedPreceding, 0))
+    trees = F.sum(F.when(F.col("pre") == 1, 1).otherwise(0)).over(W.partitionBy("doc_id"))
+    named = placed.withColumn("slug", slug).withColumn("pre", pre).withColumn("made", made).withColumn("trees", trees)
     base = F.when(F.col("slug").isNotNull(), F.col("slug")).when(F.col("inner"), F.concat(F.lit("union_"), F.col("pre").cast("string"))).otherwise(F.concat(F.lit("leaf_"), F.col("made").cast("string")))
     base = F.when(F.col("slug").isNull() & (F.col("trees") > 1), F.concat(F.lit("c"), (F.col("tree") + 1).cast("string"), F.lit("_"), base)).otherwise(base)
     named = named.withColumn("base", base).withColumn("k", F.row_number().over(W.partitionBy("doc_id", "base").orderBy("tree", "first_pos")))
@@ -69,22 +79,21 @@ def parse_forests(docs: DataFrame, strict: bool = False) -> dict[str, DataFrame]
     named = named.withColumn("distance", distance).withColumn("fault", F.when(F.col("length") == "", "error: invalid branch length").otherwise(fault))
     named = scratch.save(named, "nodes")
 
-    total = toks.groupBy("doc_id", "tree").agg(F.sum(F.when(F.col("kind") == "(", 1).when(F.col("kind") == ")", -1).otherwise(0)).alias("open"), F.min(F.when(F.col("kind") == ")", F.col("depth"))).alias("low"), F.max(F.col("kind") == "?").alias("odd"))
+    total = toks.groupBy("doc_id", "tree").agg(F.sum(F.when(F.col("kind") == "(", 1).when(F.col("kind") == ")", -1).otherwise(0)).alias("open"), F.min(F.when(F.col("kind") == ")", F.col("depth"))).alias("low"), F.max(F.col("kind") == "?").alias("odd"), F.max(F.col("kind") != ";").alias("some"))
     errors = total.where("open > 0").select("doc_id", F.lit("Missing ')'").alias("message"))
     errors = errors.unionByName(total.where("open < 0 or low < 1").select("doc_id", F.lit("Unexpected content after tree").alias("message")))
     errors = errors.unionByName(total.where("odd").select("doc_id", F.lit("Unterminated quote or comment").alias("message")))
     last = named.groupBy("doc_id", "tree").agg(F.max("pos").alias("end"), F.count_if(F.col("parent_pos").isNull()).alias("tops"))
     errors = errors.unionByName(last.join(total, ["doc_id", "tree"]).where("tops > 1 and open = 0").select("doc_id", F.lit("Unexpected content after tree").alias("message")))
-    stray = seen.where("kind = 'label' and before in (')', 'label')").where("kind1 = 'label' or before = 'label'")
+    stray = toks.where("kind = 'label' and before in (')', 'label')").where("kind1 = 'label' or before = 'label'")
     errors = errors.unionByName(stray.select("doc_id", F.lit("Unexpected content after label").alias("message")))
     errors = errors.unionByName(named.where("fault like 'error%'").select("doc_id", F.lit("Invalid branch length").alias("message")))
-    errors = errors.unionByName(docs.join(toks.where("kind <> ';'"), "doc_id", "left_anti").select("doc_id", F.lit("Empty input").alias("message")))
+    errors = errors.unionByName(docs.join(total.where("some").select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.lit("Empty input").alias("message")))
     if strict:
         errors = errors.unionByName(toks.where("tree > 0").select("doc_id", F.lit("Unexpected content after tree").alias("message")))
     errors = scratch.save(errors.distinct(), "errors")
-    good = named.join(errors, "doc_id", "left_anti")
-    up = good.select("doc_id", F.col("pos").alias("parent_pos"), F.col("node_id").alias("source"))
-    edges = good.join(up, ["doc_id", "parent_pos"]).select("doc_id", "source", F.col("node_id").alias("target"), "distance")
+    good = deal(named).join(errors, "doc_id", "left_anti")
+    edges = _enclosed(good, "node_id", "source").where("source is not null").select("doc_id", "source", F.col("node_id").alias("target"), "distance")
     edges = edges.withColumn("k", F.row_number().over(W.partitionBy("doc_id", "source", "target").orderBy("distance")))
     edges = edges.select("doc_id", F.concat(F.lit("e_"), F.concat_ws("_", "source", "target", F.col("k").cast("string"))).alias("edge_id"), "source", "target", "distance")
     warnings = good.where("k > 1 and slug is not null").select("doc_id", F.concat(F.lit("Duplicate label "), "base").alias("message"))

@@ -167,6 +167,24 @@ def test_newick_cases(spark):
     assert edges == {("r", "a"): 0.1, ("r", "n"): 0.4, ("n", "b"): 0.2, ("n", "c"): 0.3}
 
 
+def test_newick_tasks_grow_with_the_documents(spark, monkeypatch):
+    """One shuffle partition is configured; documents are dealt by their characters, and the rows are those of one task."""
+    docs = spark.createDataFrame([(k, f"((a{k}:1,'b c'):2,(c,:3)d)r;(e,f{k})") for k in range(60)], "doc_id int, content string")
+    asked = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        whole = newick.parse_forests(docs)
+        monkeypatch.setattr(newick, "CHARS", 64)
+        dealt = newick.parse_forests(docs)
+        for name in ("nodes", "edges", "roots", "errors"):
+            assert sorted(map(str, dealt[name].collect())) == sorted(map(str, whole[name].collect())), name
+        assert dealt["edges"].count() == 60 * 8
+        assert whole["edges"].select(F.spark_partition_id()).distinct().count() == 1
+        assert dealt["edges"].select(F.spark_partition_id()).distinct().count() > 10
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", asked)
+
+
 PROFILE = "isolate_id string, input_pos long, alleles array<string>"
 
 

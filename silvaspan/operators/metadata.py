@@ -71,9 +71,8 @@ def suppress_known(counts: DataFrame, known: DataFrame) -> DataFrame:
 
 def cluster_annotations(clusters: DataFrame, cells: DataFrame, types: DataFrame) -> DataFrame:
     """(level, cluster_id, key, value) for all tiers in one job: means of numbers, most frequent texts of others."""
-    members = clusters.select("cluster_id", "node_id").join(cells.select("node_id", "key", "value"), "node_id")
-    values = aggregate_cluster(members.select("cluster_id", "key", "value"), types)
-    return clusters.select("level", "cluster_id").distinct().join(values, "cluster_id").select("level", "cluster_id", "key", "value")
+    members = clusters.select("level", "cluster_id", "node_id").join(cells.select("node_id", "key", "value"), "node_id")
+    return aggregate_cluster(members, types, "level").select("level", "cluster_id", "key", "value")
 
 
 def attach_metadata(nodes: DataFrame, annotations: DataFrame, cluster_values: DataFrame, isolates: DataFrame, counts: DataFrame, index: DataFrame) -> DataFrame:

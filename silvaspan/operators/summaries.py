@@ -11,12 +11,14 @@ MISSING = "Missing"
 OTHER = "Other"
 
 
-def aggregate_cluster(values: DataFrame, types: DataFrame) -> DataFrame:
-    """(cluster_id, key, value) from (cluster_id, key, value): the mean of numbers; of others the most frequent text, ties to the smallest."""
-    rows = values.where("value is not null").join(types, "key")
-    means = rows.where("type = 'number'").groupBy("cluster_id", "key").agg(F.round(F.avg(F.col("value").try_cast("double")), 6).cast("string").alias("value"))
-    counts = rows.where("type <> 'number'").groupBy("cluster_id", "key", "value").agg(F.count(F.lit(1)).alias("n"))
-    modes = counts.groupBy("cluster_id", "key").agg(F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("value"))
+def aggregate_cluster(values: DataFrame, types: DataFrame, *more: str) -> DataFrame:
+    """(more, cluster_id, key, value) from the same columns: the mean of numbers; of others the most frequent text, ties to the smallest. types has a row per field."""
+    rows, by = values.where("value is not null"), [*more, "cluster_id", "key"]
+    # Few rows, but Spark does not know it, and with one field the join has no key left: without the broadcast the values are paired with every part of types.
+    typed = lambda is_: rows.join(F.broadcast(types.where(f"type {is_} 'number'").select("key")), "key")
+    means = typed("=").groupBy(*by).agg(F.round(F.avg(F.col("value").try_cast("double")), 6).cast("string").alias("value"))
+    counts = typed("<>").groupBy(*by, "value").agg(F.count(F.lit(1)).alias("n"))
+    modes = counts.groupBy(*by).agg(F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("value"))
     return means.unionByName(modes)
 
 

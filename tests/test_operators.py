@@ -205,6 +205,17 @@ def test_statistics(spark):
     assert tuple(audit.first()) == ("k", 3, 1, 1)
 
 
+def test_cluster_annotations_pair_no_value_with_every_part_of_the_types(spark):
+    """With one field the join on it has no key left; the values of two tiers stay apart."""
+    clusters = spark.createDataFrame([(0, "lod_0_r", "a"), (0, "lod_0_r", "b"), (1, "lod_1_a", "a"), (1, "lod_1_b", "b")], "level int, cluster_id string, node_id string")
+    cells = spark.createDataFrame([("a", "1"), ("b", "4"), ("c", "9"), ("b", None)], "node_id string, value string").withColumn("key", F.lit("k"))
+    got = metadata.cluster_annotations(clusters, cells, spark.createDataFrame([("k", "number")], "key string, type string"))
+    assert "CartesianProduct" not in got._jdf.queryExecution().toString()
+    assert {tuple(r) for r in got.collect()} == {(0, "lod_0_r", "k", "2.5"), (1, "lod_1_a", "k", "1.0"), (1, "lod_1_b", "k", "4.0")}
+    got = metadata.cluster_annotations(clusters, cells, spark.createDataFrame([("k", "string")], "key string, type string"))
+    assert {tuple(r) for r in got.collect()} == {(0, "lod_0_r", "k", "1"), (1, "lod_1_a", "k", "1"), (1, "lod_1_b", "k", "4")}
+
+
 def test_ingest_newick_and_publish(spark, tmp_path):
     docs = spark.createDataFrame([("d", "((A:1,B:9)X:2,'C d':3)R;")], "doc_id string, content string")
     cells = spark.createDataFrame([(0, "A", "score", "1"), (1, "c d", "score", "3"), (2, "nobody", "score", "4")], "row_pos long, join_id string, key string, value string")

@@ -17,6 +17,33 @@ def _print_of(df: DataFrame) -> tuple:
 #: Up to this many distinct edges one task finds the components; the rounds of a larger graph give the same rows.
 LOCAL = 1 << 16
 
+#: A graph of at most HELD nodes and more than two edges a node is thinned first, by tasks of DENSE edges a node.
+HELD, DENSE = 1 << 18, 8
+
+
+def _thinned(now: DataFrame, tasks: int) -> DataFrame:
+    """Edges (u, v) that join the same nodes: each task reads its edges once and keeps those that link two of its components, so fewer than there are nodes."""
+
+    def run(batches):
+        root: dict = {}
+        for pdf in batches:
+            kept = []
+            for u, v in zip(pdf["u"], pdf["v"]):
+                a, b = root.setdefault(u, u), root.setdefault(v, v)
+                while root[a] != a:
+                    root[a] = a = root[root[a]]
+                while root[b] != b:
+                    root[b] = b = root[root[b]]
+                if a != b:
+                    root[a] = b
+                    kept.append((u, v))
+            # An estimate of the nodes was too low: what is held is let go, and some more edges are kept.
+            if len(root) > 2 * HELD:
+                root = {}
+            yield pd.DataFrame(kept, columns=["u", "v"])
+
+    return now.select("u", "v").repartition(tasks).mapInPandas(run, now.select("u", "v").schema)
+
 
 def _joined(pdf: pd.DataFrame) -> pd.DataFrame:
     """(node, component) of a bounded number of edges (u, v), by linking the larger root below the smaller."""
@@ -67,6 +94,7 @@ def components_of_edges(edges: DataFrame, left: str | Column = "a", right: str |
     edges, every star keeps at most one row per node, and the number of rounds grows with the
     logarithm of the longest path.
 
+    A graph of many edges and few nodes is thinned first: every task keeps the edges that join what its others do not.
     As long as at least half of the edges end in a node that no other edge touches, these leaves are taken away first and get the
     component of their neighbour at the end, so that of a forest only the inner nodes go through the rounds.
     """
@@ -78,6 +106,16 @@ def components_of_edges(edges: DataFrame, left: str | Column = "a", right: str |
     now = scratch.save(pairs.select("u", "v").distinct(), "edges")
     loops, now = now.where("u = v").select("u"), now.where("u <> v")
     before, most = _print_of(now), LOCAL if local is None else local
+    while before[0] > most:
+        # Ends on either side, so at least as many as there are nodes.
+        nodes = sum(now.agg(F.approx_count_distinct("u"), F.approx_count_distinct("v")).first())
+        if nodes > HELD or before[0] <= 2 * nodes:
+            break
+        thin = scratch.save(_thinned(now, max(1, before[0] // (DENSE * nodes))), "thin")
+        fewer = _print_of(thin)
+        if fewer[0] >= before[0]:
+            break
+        now, before = thin, fewer
     peels = []
     while before[0] > most:
         peeled = scratch.save(_without_leaves(now), "peeled")

@@ -29,6 +29,8 @@ UNROLLED = 32
 SUBSETS = 64
 #: Profiles of one tile where all pairs are asked for.
 TILE = 1024
+#: Candidate pairs of one task of a Hamming join.
+WORK = 1 << 20
 #: A spanning forest over many loci goes by bands up to this part of the loci; beyond, components look for their nearest others by so many pivots, of which
 #: the first PLANES deal the profiles into cells, and each profile is first held against so many that follow it in the pivots' order.
 BANDS, PIVOTS, PLANES, NEXT = 16, 6, 2, 4
@@ -148,10 +150,14 @@ def allelic_pairs(groups: DataFrame, n: int, owners: DataFrame | None = None) ->
     wide = not single and loci > UNROLLED
     carried = ["b"] if single or wide else ["b", "h"]
     keyed = rows.withColumn("t", F.explode(F.array(*tables))).select("component", "node_id", *carried, "t.v", "t.mine", "t.seen")
+    # Few rows may have many candidates: tasks are told by these, as Spark sees the rows alone.
+    sizes = keyed.groupBy("component", "v").agg(F.count(F.lit(1)).alias("n"))
+    tasks = int(sizes.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1)), F.lit(0))).first()[0]) // WORK + 1
+    deal = lambda df: df.repartition(tasks, "component", "v") if tasks > 1 else df
     x = keyed.select("component", "v", "mine", "seen", F.col("node_id").alias("source"), *(F.col(c).alias("x" + c) for c in carried))
     y = keyed.select("component", "v", F.col("node_id").alias("target"), *(F.col(c).alias("y" + c) for c in carried))
     equal = sum((F.when(F.get("xb", F.lit(k)) == F.get("yb", F.lit(k)), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k in range(blocks)), F.lit(0).cast("long"))
-    near = x.join(y, ["component", "v"]).where("source < target").withColumn("equal", equal).where(F.col("equal").bitwiseAND(F.col("seen")) == F.col("mine"))
+    near = deal(x).join(deal(y).hint("shuffle_hash") if tasks > 1 else y, ["component", "v"]).where("source < target").withColumn("equal", equal).where(F.col("equal").bitwiseAND(F.col("seen")) == F.col("mine"))
     if wide:
         return verified(near)
     far = F.lit(loci) - F.bit_count("equal") if single else hamming("xh", "yh", 0, loci)
@@ -177,21 +183,38 @@ def single_variants(groups: DataFrame, loci: int) -> DataFrame:
     return shared.join(sizes, "v").groupBy("node_id").agg(F.sum(F.col("n") - 1).alias("lv"))
 
 
-def _best_by_groups(nodes: DataFrame, loci: int, band: int) -> DataFrame:
-    """(c, r, ca, cb): for every group of profiles that share loci - band loci, each component's best edge out of it.
+def _own_groups(nodes: DataFrame, loci: int, band: int) -> DataFrame:
+    """(v, c, own): of every group v of profiles that share loci - band loci each component's best node, by variants and id."""
+    rank = F.struct((-F.col("lv")).alias("lv"), F.col("node_id").alias("id"))
+    return projections(nodes, loci, band).groupBy("v", F.col("component").alias("c")).agg(F.min(rank).alias("own"))
+
+
+def _open_groups(per: DataFrame, scratch: Scratch) -> DataFrame:
+    """The stored rows (v, c, own, first, second) of groups that several components share; ``first`` and ``second`` are the best rows (own, c) of two of them."""
+    per = scratch.save(per, "per")
+    # The two least of a group's rows, which are one for each component.
+    row = F.struct("own", "c")
+    two = per.groupBy("v").agg(F.min(row).alias("first"), F.max(F.col("c")).alias("high"), F.min(F.col("c")).alias("low")).where("high <> low").select("v", "first")
+    met = scratch.save(per.join(two, "v"), "met")
+    scratch.drop(per)
+    second = met.where("c <> first.c").groupBy("v").agg(F.min(row).alias("second"))
+    return scratch.save(met.join(second, "v"), "open")
+
+
+def _merged_groups(met: DataFrame, merged: DataFrame) -> DataFrame:
+    """(v, c, own) of open groups after components were merged (node, new)."""
+    now = met.select("v", "c", "own").join(merged.select(F.col("node").alias("c"), "new"), "c", "left")
+    return now.groupBy("v", F.coalesce("new", "c").alias("c")).agg(F.min("own").alias("own"))
+
+
+def _best_by_groups(met: DataFrame, band: int) -> DataFrame:
+    """(c, r, ca, cb): for every open group of profiles that share loci - band loci, each component's best edge out of it.
 
     Two members of a group differ in ``band`` loci at most, and as all shorter edges are merged, members of two
     components in exactly that many. The best edge of a component joins its best node, by variants and id, to the
     best node of the others: two nodes per group and component are looked at, never pairs of all.
     """
-    rank = F.struct((-F.col("lv")).alias("lv"), F.col("node_id").alias("id"))
-    per = projections(nodes, loci, band).groupBy("v", F.col("component").alias("c")).agg(F.min(rank).alias("own"))
-    per = Scratch(nodes.sparkSession, "groups").save(per, "per")
-    top = per.groupBy("v").agg(F.min(F.struct("own", "c")).alias("first"), F.max(F.struct("own", "c")).alias("last")).where("first.c <> last.c").drop("last")
-    met = per.join(top, "v")
-    met = Scratch(nodes.sparkSession, "groups").save(met, "met")
-    second = met.where("c <> first.c").groupBy("v").agg(F.min(F.struct("own", "c")).alias("second"))
-    met = met.join(second, "v").withColumn("far", F.when(F.col("c") == F.col("first.c"), F.col("second")).otherwise(F.col("first")))
+    met = met.withColumn("far", F.when(F.col("c") == F.col("first.c"), F.col("second")).otherwise(F.col("first")))
     a, b = F.col("own.id"), F.col("far.own.id")
     la, lb = -F.col("own.lv"), -F.col("far.own.lv")
     r = F.struct(F.lit(band).alias("distance"), (-F.greatest(la, lb)).alias("l1"), (-F.least(la, lb)).alias("l2"), F.least(a, b).alias("source"), F.greatest(a, b).alias("target"))
@@ -319,14 +342,17 @@ def spanning_forest(groups: DataFrame, limit: int | None = None) -> DataFrame:
         # Groups tell a distance only where all shorter edges are merged.
         grouped = band == done + 1 and math.comb(loci, band) <= SUBSETS
         by_pivots = not grouped and band > max(1, loci // BANDS)
-        pairs = None
+        pairs, met = None, None
         if by_pivots and n_edges < n_nodes - 1:
             nodes, pivots = with_pivots(nodes, scratch)
             band = top
         while n_edges < n_nodes - 1:
             if not grouped and not by_pivots and pairs is None:
                 pairs = scratch.save(allelic_pairs(groups, band).where("distance > 0"), f"pairs{band}")
-            open_ = _best_by_groups(nodes, loci, band) if grouped else _best_by_pivots(nodes, pivots, loci, top, scratch) if by_pivots else _best_by_pairs(nodes, pairs)
+            if grouped:
+                # Merged components keep the best of their nodes, and a group that one component fills stays so: only open groups go on.
+                met = _open_groups(_own_groups(nodes, loci, band) if met is None else _merged_groups(met, merged), scratch)
+            open_ = _best_by_groups(met, band) if grouped else _best_by_pivots(nodes, pivots, loci, top, scratch) if by_pivots else _best_by_pairs(nodes, pairs)
             best = open_.groupBy("c").agg(F.min(F.struct("r", "ca", "cb")).alias("m"))
             chosen = scratch.save(best.select("m.r.source", "m.r.target", "m.r.distance", "m.ca", "m.cb").distinct(), "chosen")
             found = chosen.count()
@@ -334,7 +360,7 @@ def spanning_forest(groups: DataFrame, limit: int | None = None) -> DataFrame:
                 break
             n_edges += found
             tree.append(chosen.select("source", "target", F.col("distance").cast("int").alias("distance")))
-            merged = components_of_edges(chosen, "ca", "cb").withColumnRenamed("component", "new")
+            merged = scratch.save(components_of_edges(chosen, "ca", "cb").withColumnRenamed("component", "new"), "merged")
             kept = [c for c in nodes.columns if c != "component"]
             nodes = scratch.save(nodes.join(merged, nodes["component"] == merged["node"], "left").select(*kept, F.coalesce("new", "component").alias("component")), "nodes")
         if n_edges >= n_nodes - 1 or band >= top:

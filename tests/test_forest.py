@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from silvaspan.operators import forest, newick, ordering, patristic, profiles, reads, tiers
+from silvaspan.operators import components, forest, newick, ordering, patristic, profiles, reads, tiers
 from silvaspan.operators.components import components_of_edges
 from silvaspan.scratch import Scratch
 
@@ -384,3 +384,36 @@ def test_clusters_of_paths_are_those_of_the_preorder(spark, monkeypatch):
     assert forest.forest_paths(edges, roots) is None
     with pytest.raises(ValueError):
         forest.forest_paths(edges.where("source <> 'none'").unionByName(spark.createDataFrame([("x", "lost", "found", 1.0)], EDGE)), roots)
+
+
+def test_dense_graphs_are_thinned(spark):
+    rng = random.Random(5)
+    pairs = {(x, y) for x, y in ((rng.randrange(60), rng.randrange(60)) for _ in range(3000)) if x > y and x % 2 == y % 2}
+    edges = spark.createDataFrame([(f"n{x:02d}", f"n{y:02d}") for x, y in pairs], "u string, v string").where("u > v")
+    assert components._thinned(edges, 2).count() <= 2 * 58 < edges.count()
+    for local in (0, 80, 1 << 16):
+        got = {r["node"]: r["component"] for r in components_of_edges(edges, "u", "v", local).collect()}
+        assert got == {f"n{k:02d}": f"n{k % 2:02d}" for k in range(60)}, local
+
+
+def test_hamming_candidates_tell_the_tasks(spark, monkeypatch):
+    """Small tables are one shuffle partition to Spark, however many pairs they have."""
+    rows = [(f"p{k}", [str(k % 2), str(k % 3), str(k % 5), str(k % 4)]) for k in range(60)]
+    groups = spark.createDataFrame(rows, "node_id string, alleles array<string>")
+    want = {(x, y, d) for (x, a), (y, b) in itertools.combinations(sorted(rows), 2) if (d := sum(i != j for i, j in zip(a, b))) <= 2}
+    assert {tuple(r) for r in profiles.allelic_pairs(groups, 2).collect()} == want
+    monkeypatch.setattr(profiles, "WORK", 64)
+    dealt = profiles.allelic_pairs(groups, 2)
+    assert {tuple(r) for r in dealt.collect()} == want
+    assert dealt.select(F.spark_partition_id()).distinct().count() > 8
+
+
+def test_open_groups_go_on_from_round_to_round(spark):
+    """The groups after a merge, from the open ones before, are those of the merged profiles."""
+    scratch = Scratch(spark, "open")
+    nodes = spark.createDataFrame([(f"p{k}", [k % 2, k % 3, k % 5], k % 4, f"p{k}") for k in range(30)], "node_id string, h array<long>, lv long, component string")
+    merged = spark.createDataFrame([(f"p{k}", f"p{k % 7}") for k in range(30)], "node string, new string")
+    later = nodes.join(merged, nodes["component"] == merged["node"]).select("node_id", "h", "lv", F.col("new").alias("component"))
+    rows = lambda per: sorted(map(str, profiles._open_groups(per, scratch).collect()))
+    met = profiles._open_groups(profiles._own_groups(nodes, 3, 2), scratch)
+    assert rows(profiles._merged_groups(met, merged)) == rows(profiles._own_groups(later, 3, 2)) != []

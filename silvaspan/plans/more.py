@@ -407,9 +407,9 @@ def visible_overlay(spark: SparkSession, sf: str) -> DataFrame:
     SELECT 'distance:' || x.node_id || ':' || y.node_id AS id, x.node_id AS source, y.node_id AS target, x.d + y.d AS distance FROM o x JOIN o y ON x.o_custkey = y.o_custkey AND x.node_id < y.node_id WHERE x.d + y.d <= 1.5""")
 def path_overlay(spark: SparkSession, sf: str) -> DataFrame:
     """Customers and orders within a path of 1.5 that no edge of the tree joins."""
-    _, edges, roots = inputs.forest(spark, sf)
+    _, edges, _ = inputs.forest(spark, sf)
     named = edges.where("target like 'O%' or target like 'C%'").select(F.col("target").alias("node_id"))
-    return patristic.overlay_paths(edges, forest.index_forest(edges, roots), named, 1.5)
+    return patristic.overlay_paths(edges, inputs.owners(inputs.paths(spark, sf)), named, 1.5)
 
 
 @query(f"{INDEX}, m AS (SELECT level, 'lod_' || level || '_' || representative AS cluster_id, count(*) AS members FROM cl GROUP BY ALL) (SELECT 'middle' AS rule, cluster_id, members FROM m ORDER BY abs(ln(members / 5.0)), level, cluster_id LIMIT 1) UNION ALL (SELECT 'smallest', cluster_id, members FROM m ORDER BY cluster_id LIMIT 1) UNION ALL SELECT 'exact', cluster_id, members FROM m WHERE cluster_id = 'lod_0_N3'")

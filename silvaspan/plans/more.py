@@ -350,7 +350,8 @@ def coarse_viewports(spark: SparkSession, sf: str) -> DataFrame:
 def coarse_edges(spark: SparkSession, sf: str) -> DataFrame:
     """The quotient edges between the clusters of the coarsest tier that each box shows."""
     _, edges, _ = inputs.forest(spark, sf)
-    clusters = Scratch(spark, "coarse").save(inputs.clusters(spark, sf), "clusters")
+    # All boxes ask for the coarsest tier, so no other one is made.
+    clusters = Scratch(spark, "coarse").save(tiers.clusters_at(inputs.paths(spark, sf), inputs.cut_levels(spark).where("level = 0")), "clusters")
     boxed = summaries.cluster_geometry(clusters, inputs.positions(spark, sf))
     _, links = reads.viewport_coarse(inputs.requests(spark, sf).withColumn("level", F.lit(0)), boxed, tiers.quotient_edges(clusters, edges), 30)
     return links.select("request_id", "source", "target", "distance")

@@ -62,7 +62,12 @@ def search_tables(ids: DataFrame, cells: DataFrame, isolates: DataFrame) -> dict
     entries = scratch.save(placed.withColumn("part", F.expr(f"entry div {ENTRIES}")), "entries")
     pieces = entries.select(F.explode(_pieces(F.col("folded"), F.length("folded"))).alias("piece"), (F.col("kind") == 2).alias("folding"), "entry")
     pieces = pieces.withColumn("part", _part(F.col("folding"), F.col("piece")))
-    return {"entries": entries, "pieces": pieces, "sizes": pieces.groupBy("piece", "folding").agg(F.count(F.lit(1)).alias("n"))}
+    return {"entries": entries, "pieces": pieces, "sizes": piece_sizes(pieces)}
+
+
+def piece_sizes(pieces: DataFrame) -> DataFrame:
+    """(piece, folding, n): how many texts hold each piece."""
+    return pieces.groupBy("piece", "folding").agg(F.count(F.lit(1)).alias("n"))
 
 
 def write_search(tables: dict[str, DataFrame], root: str) -> dict[str, DataFrame]:
@@ -71,8 +76,11 @@ def write_search(tables: dict[str, DataFrame], root: str) -> dict[str, DataFrame
     tables["entries"].write.partitionBy("part").parquet(f"{root}/entries")
     # A piece that most texts hold is spread: ranges are cut by entry too.
     tables["pieces"].repartitionByRange("part", "folding", "piece", "entry").write.partitionBy("part").parquet(f"{root}/pieces")
-    tables["sizes"].write.parquet(f"{root}/sizes")
-    return {name: spark.read.schema(tables[name].schema).parquet(f"{root}/{name}") for name in tables}
+    stored = {name: spark.read.schema(tables[name].schema).parquet(f"{root}/{name}") for name in ("entries", "pieces")}
+    # Counted from the stored pieces, so that no text is cut up once more.
+    sizes = piece_sizes(stored["pieces"])
+    sizes.write.parquet(f"{root}/sizes")
+    return stored | {"sizes": spark.read.schema(sizes.schema).parquet(f"{root}/sizes")}
 
 
 def search(tables: dict[str, DataFrame], requests: DataFrame, limit: int = 25, owners: DataFrame | None = None, locations: DataFrame | None = None) -> DataFrame:

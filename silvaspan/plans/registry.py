@@ -471,7 +471,7 @@ def _search(spark: SparkSession, sf: str) -> DataFrame:
     ids = customer.select(node.alias("node_id")).unionByName(isolates.where("node_id like 'union%'").select("node_id").distinct())
     tables = search.write_search(search.search_tables(ids, cells, isolates), Scratch(spark, "index").root)
     asked = [(1, "C1", None), (2, " u ", None), (3, "build", None), (4, "iso-C12", None), (5, "SS", None), (6, "union_1", None), (7, "  ", None), (8, "c11", "R0")]
-    return search.search(tables, spark.createDataFrame(asked, "request_id int, query string, component string"), 25, inputs.index(spark, sf), inputs.positions(spark, sf))
+    return search.search(tables, spark.createDataFrame(asked, "request_id int, query string, component string"), 25, inputs.owners(inputs.paths(spark, sf)), inputs.positions(spark, sf))
 
 
 @query(f"{INDEX}, {_POS}, {_TEXTS} SELECT request_id, top.node_id, score, matched, total, x, y FROM top LEFT JOIN p USING (node_id) WHERE r <= 25 AND request_id NOT IN (2, 3)")

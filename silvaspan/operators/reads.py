@@ -193,18 +193,24 @@ def viewport_expand(requests: DataFrame, clusters: DataFrame, nodes: DataFrame,
 
 def expansion_boundary(requests: DataFrame, clusters: DataFrame, edges: DataFrame) -> DataFrame:
     """(request_id, inner, outer, outer_representative, distance): edges from the asked cluster to a node outside it, and that node's representative at the same level."""
-    own = requests.select("request_id", "cluster_id").join(clusters.select("cluster_id", "level", "node_id"), "cluster_id")
-    both = edges.select(F.col("source").alias("inner"), F.col("target").alias("outer"), "distance").unionByName(edges.select(F.col("target").alias("inner"), F.col("source").alias("outer"), "distance"))
-    out = both.join(own.withColumnRenamed("node_id", "inner"), "inner")
-    out = out.join(own.select("request_id", F.col("node_id").alias("outer")), ["request_id", "outer"], "left_anti")
-    reps = clusters.select("level", F.col("node_id").alias("outer"), F.col("representative").alias("outer_representative"))
-    return out.join(reps, ["level", "outer"]).select("request_id", "inner", "outer", "outer_representative", "distance")
-
-
-def boundary_faults(requests: DataFrame, clusters: DataFrame, edges: DataFrame) -> DataFrame:
-    """(request_id, n): asked clusters of several members that do not have exactly one edge to the outside."""
+    # Only edges between two clusters of a tier can leave one: these few are found first, by a join at each end, for all requests together.
+    a = clusters.select("level", F.col("node_id").alias("source"), F.col("cluster_id").alias("sc"), F.col("representative").alias("sr"))
+    b = clusters.select("level", F.col("node_id").alias("target"), F.col("cluster_id").alias("tc"), F.col("representative").alias("tr"))
+    between = edges.select("source", "target", "distance").join(a, "source").join(b, ["level", "target"]).where("sc <> tc")
+    between = Scratch(edges.sparkSession, "boundary").save(between, "between")
+    side = lambda x, xc, y, yr: between.select(F.col(xc).alias("cluster_id"), F.col(x).alias("inner"), F.col(y).alias("outer"), F.col(yr).alias("outer_representative"), "distance")
+    out = requests.select("request_id", "cluster_id").join(side("source", "sc", "target", "tr").unionByName(side("target", "tc", "source", "sr")), "cluster_id")
+    # A request may ask for several clusters; what lies in any of them is not outside.
+    inside = out.select("request_id", "outer").distinct().join(clusters.select(F.col("node_id").alias("outer"), "cluster_id"), "outer")
+    inside = inside.join(requests.select("request_id", "cluster_id"), ["request_id", "cluster_id"], "left_semi").select("request_id", "outer")
+    return out.join(inside, ["request_id", "outer"], "left_anti").select("request_id", "inner", "outer", "outer_representative", "distance")
+
+
+def boundary_faults(requests: DataFrame, clusters: DataFrame, edges: DataFrame, boundary: DataFrame | None = None) -> DataFrame:
+    """(request_id, n): asked clusters of several members that do not have exactly one edge to the outside; ``boundary`` is their expansion_boundary where it is known."""
     size = clusters.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("m"))
-    found = expansion_boundary(requests, clusters, edges).groupBy("request_id").agg(F.count(F.lit(1)).alias("n"))
+    boundary = expansion_boundary(requests, clusters, edges) if boundary is None else boundary
+    found = boundary.groupBy("request_id").agg(F.count(F.lit(1)).alias("n"))
     rows = requests.join(size, "cluster_id").where("m > 1").join(found, "request_id", "left")
     return rows.select("request_id", F.coalesce("n", F.lit(0)).alias("n")).where("n <> 1")
 

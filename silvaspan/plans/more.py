@@ -303,21 +303,21 @@ def touching_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _asked_clusters(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(index, clusters of the middle tier, requests for those of several members with their largest id as focus)."""
-    index = Scratch(spark, "asked").save(inputs.index(spark, sf), "index")
-    clusters = Scratch(spark, "asked").save(tiers.clusters_at(index, inputs.cut_levels(spark)).where("level = 1"), "clusters")
+    """(owners, clusters of the middle tier, requests for those of several members with their largest id as focus)."""
+    paths = inputs.paths(spark, sf)
+    clusters = Scratch(spark, "asked").save(tiers.clusters_at(paths, inputs.cut_levels(spark)).where("level = 1"), "clusters")
     asked = clusters.groupBy("cluster_id").agg(F.max("node_id").alias("focus"), F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("cluster_id").alias("request_id"), "cluster_id", "focus")
-    return index, clusters, asked
+    return inputs.owners(paths), clusters, asked
 
 
 @query(f"""{INDEX}, {_POS}, c AS (SELECT 'lod_1_' || representative AS request_id, node_id, max(node_id) OVER w AS focus, count(*) OVER w AS total FROM cl WHERE level = 1 WINDOW w AS (PARTITION BY representative)),
     k AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY CASE WHEN node_id = focus THEN 0 ELSE 1 END, node_id) AS r FROM c WHERE total > 1) SELECT request_id, node_id, total, total > 3 AS truncated FROM k WHERE r <= 3""")
 def expanded_members(spark: SparkSession, sf: str) -> DataFrame:
     """The first three members of every cluster of the middle tier, its focus first."""
-    index, clusters, asked = _asked_clusters(spark, sf)
+    owners, clusters, asked = _asked_clusters(spark, sf)
     _, edges, _ = inputs.forest(spark, sf)
-    homes = clusters.select("cluster_id", F.col("representative").alias("node_id")).distinct().join(index.select("node_id", "component"), "node_id").select("cluster_id", "component")
-    asked = reads.clusters_of_component(asked.join(homes, "cluster_id"), clusters, index)
+    homes = clusters.select("cluster_id", F.col("representative").alias("node_id")).distinct().join(owners.select("node_id", "component"), "node_id").select("cluster_id", "component")
+    asked = reads.clusters_of_component(asked.join(homes, "cluster_id"), clusters, owners)
     shown, _, _ = reads.viewport_expand(asked, clusters, inputs.positions(spark, sf), edges, 3)
     return shown.select("request_id", "node_id", "total", "truncated")
 
@@ -327,9 +327,10 @@ def cluster_boundaries(spark: SparkSession, sf: str) -> DataFrame:
     """The one edge to the outside of every cluster of the middle tier, and who stands for its other end there."""
     _, clusters, asked = _asked_clusters(spark, sf)
     _, edges, _ = inputs.forest(spark, sf)
-    if reads.boundary_faults(asked, clusters, edges).limit(1).count():
+    found = Scratch(spark, "boundaries").save(reads.expansion_boundary(asked, clusters, edges), "found")
+    if reads.boundary_faults(asked, clusters, edges, found).limit(1).count():
         raise ValueError("a cluster has not exactly one edge to the outside")
-    return reads.expansion_boundary(asked, clusters, edges)
+    return found
 
 
 @query(f"""{INDEX}, {_POS}, b AS (SELECT level, representative, count(*) AS members, min(x) AS bx0, max(x) AS bx1, min(y) AS by0, max(y) AS by1 FROM cl JOIN p USING (node_id) WHERE level = 1 GROUP BY ALL),

@@ -316,3 +316,52 @@ def test_leaves_of_a_forest_go_through_no_rounds(spark, monkeypatch):
     ring = [(k, (k + 1) % 7) for k in range(7)] + [(k % 7, 10 + k) for k in range(30)]
     got = {r["node"]: r["component"] for r in C.components_of_edges(spark.createDataFrame(ring, "a long, b long"), local=0).collect()}
     assert got == {k: 0 for k in [*range(7), *range(10, 40)]} and "small" in saved
+
+
+def test_search_sizes_are_those_of_the_stored_pieces(spark, tmp_path):
+    from silvaspan.operators import search
+
+    ids = spark.createDataFrame([("abc",), ("abcd",), ("b",)], "node_id string")
+    none = spark.createDataFrame([], "node_id string, key string, value string"), spark.createDataFrame([], "node_id string, isolate_id string")
+    tables = search.search_tables(ids, *none)
+    want = {tuple(r) for r in tables.pop("sizes").collect()}
+    stored = search.write_search(tables, str(tmp_path / "index"))
+    assert {tuple(r) for r in stored["sizes"].collect()} == want and ("abc", False, 2) in want
+
+
+def test_no_order_is_made_where_none_is_asked_for(spark, monkeypatch):
+    """Boundaries, inner edges and path overlays need clusters and components, which the paths name, not the preorder."""
+    from silvaspan.plans import inputs, more
+
+    def index(*_):
+        raise AssertionError("an index was made")
+
+    for module, name in ((inputs, "index"), (inputs, "index_forest"), (forest, "index_forest")):
+        monkeypatch.setattr(module, name, index)
+    owners, clusters, asked = more._asked_clusters(spark, "/root/testdata/sf0.001")
+    assert {r["parent"] for r in owners.where("node_id like 'R%'").collect()} == {None}
+    assert {r["component"][0] for r in owners.select("component").distinct().collect()} == {"R"}
+    assert asked.count() and {r["level"] for r in clusters.select("level").distinct().collect()} == {1}
+    assert more.path_overlay(spark, "/root/testdata/sf0.001").columns == ["id", "source", "target", "distance"]
+
+
+def test_coarse_edges_make_the_asked_tier(spark, monkeypatch):
+    from silvaspan.plans import more
+
+    seen = []
+    geometry = summaries.cluster_geometry
+    monkeypatch.setattr(summaries, "cluster_geometry", lambda clusters, positions: seen.append({r[0] for r in clusters.select("level").distinct().collect()}) or geometry(clusters, positions))
+    more.coarse_edges(spark, "/root/testdata/sf0.001")
+    assert seen == [{0}]
+
+
+def test_boundary_of_several_clusters_of_one_request(spark):
+    """a - b - c - d - e: what lies in any asked cluster is not outside."""
+    names = "abcde"
+    edges = spark.createDataFrame([(f"e{x}", x, y, 1.0) for x, y in zip(names, names[1:])], "edge_id string, source string, target string, distance double")
+    home = {"a": "a", "b": "b", "c": "b", "d": "d", "e": "d"}
+    clusters = spark.createDataFrame([(0, f"lod_0_{home[x]}", home[x], x) for x in names], "level int, cluster_id string, representative string, node_id string")
+    asked = spark.createDataFrame([(1, "lod_0_b"), (2, "lod_0_b"), (2, "lod_0_d")], "request_id int, cluster_id string")
+    found = reads.expansion_boundary(asked, clusters, edges)
+    assert {(r["request_id"], r["inner"], r["outer"], r["outer_representative"]) for r in found.collect()} == {(1, "b", "a", "a"), (1, "c", "d", "d"), (2, "b", "a", "a")}
+    assert {tuple(r) for r in reads.boundary_faults(asked.where("request_id = 1"), clusters, edges, found).collect()} == {(1, 2)}

@@ -82,7 +82,8 @@ def merge_annotations(direct: DataFrame, table: DataFrame) -> DataFrame:
 
 def aggregate_rows(cells: DataFrame, types: DataFrame) -> DataFrame:
     """(node_id, key, value, rows, categories) from cells with node_id: distinct texts in first-seen order joined by ``;``, and counts per text."""
-    rows = cells.join(types, "key").where("value is not null").select("node_id", "key", "row_pos", to_category_text("value", "type").alias("text"))
+    # A row per field. With one field the join loses its key, and rows would meet every part of the types.
+    rows = cells.join(F.broadcast(types), "key").where("value is not null").select("node_id", "key", "row_pos", to_category_text("value", "type").alias("text"))
     each = rows.groupBy("node_id", "key", "text").agg(F.min("row_pos").alias("first"), F.count(F.lit(1)).alias("n"))
     ordered = F.array_sort(F.collect_list(F.struct("first", "text", "n")))
     return each.groupBy("node_id", "key").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), ";").alias("value"), F.sum("n").alias("rows"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("text", "n")))).alias("categories"))

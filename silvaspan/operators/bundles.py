@@ -14,6 +14,8 @@ from silvaspan.scratch import Scratch
 from silvaspan.sources import versions
 
 
+#: The tables whose contents make the version, and the stored digests of them.
+CONTENTS, DIGESTS = ("nodes", "edges", "roots", "annotations"), "name string, digest string"
 SETTINGS = "strategy string, default_strategy string, cutoff double, options string, small long"
 #: Levels that one job of ``oriented`` adds.
 STEPS = 4
@@ -52,8 +54,9 @@ def annotated(ids: DataFrame, cells: DataFrame | None, direct: DataFrame | None,
     warnings = spark.createDataFrame([], "message string")
     values, types = spark.createDataFrame([], "node_id string, key string, value string"), spark.createDataFrame([], "key string, type string")
     if cells is not None:
-        joined = A.join_annotations(cells.select("row_pos", "join_id").distinct(), ids)
-        types = A.infer_types(cells)
+        scratch = Scratch(spark, "annotated")
+        joined = scratch.save(A.join_annotations(cells.select("row_pos", "join_id").distinct(), ids), "joined")
+        types = scratch.save(A.infer_types(cells), "types")
         found = cells.join(joined.where("node_id is not null").select("row_pos", "node_id"), "row_pos")
         values = A.aggregate_rows(found, types).select("node_id", "key", "value")
         warnings = A.annotation_warnings(joined, ids).where("n > 0").select(F.concat_ws(": ", "kind", F.col("n").cast("string")).alias("message"))
@@ -138,13 +141,15 @@ def ingest_profiles(rows: DataFrame, limit: int | None = None, level: int = 3, c
     return cut(Forest(nodes, edges, roots, values, types, dropped.unionByName(warnings), "variants", members, options={"limit": limit, "level": level}), cutoff)
 
 
-def prepare(found: Forest, positions: DataFrame, small: int = tiers.SMALL_COMPONENT, index: DataFrame | None = None, defaults: DataFrame | None = None, default_strategy: str | None = None) -> dict[str, DataFrame]:
+def prepare(found: Forest, positions: DataFrame, small: int = tiers.SMALL_COMPONENT, index: DataFrame | None = None, defaults: DataFrame | None = None, default_strategy: str | None = None, stored: bool = False) -> dict[str, DataFrame]:
     """The tables of one version: index, cuts, clusters, quotient edges, geometry, components, what was ingested, and how.
 
     index: one that is known already. defaults, default_strategy: the roots that the dataset was first prepared with, and how those were chosen; by default these.
+    stored: the positions are those of all nodes, and these, the edges and the annotations are stored tables.
     """
     scratch = Scratch(positions.sparkSession, "prepare")
-    edges = scratch.save(found.edges, "edges")
+    nodes = positions.select("node_id", "x", "y") if stored else scratch.save(found.nodes.join(positions.select("node_id", "x", "y"), "node_id", "left"), "nodes")
+    edges, values = (found.edges, found.values) if stored else (scratch.save(found.edges, "edges"), scratch.save(found.values, "annotations"))
     index = scratch.save(forest.index_forest(edges, found.roots) if index is None else index, "index")
     settings = positions.sparkSession.createDataFrame([(found.strategy, default_strategy or found.strategy, found.cutoff, json.dumps(found.options, sort_keys=True), small)], SETTINGS)
     members = {"members": found.members} if found.members is not None else {}
@@ -152,22 +157,30 @@ def prepare(found: Forest, positions: DataFrame, small: int = tiers.SMALL_COMPON
     cuts = scratch.save(tiers.levels_of(tiers.select_cuts(tiers.cut_sizes(shown))), "cuts")
     clusters = scratch.save(tiers.clusters_at(shown, cuts), "clusters")
     return {
-        "nodes": found.nodes.join(positions.select("node_id", "x", "y"), "node_id", "left"), "edges": edges, "roots": found.roots.select("node_id", F.col("root_pos").cast("long").alias("root_pos")), "tree_index": index,
-        "cuts": cuts, "clusters": clusters, "quotient": tiers.quotient_edges(clusters, edges), "geometry": summaries.cluster_geometry(clusters, positions),
-        "components": reads.component_boxes(index, positions), "annotations": found.values, "types": found.types, "warnings": found.warnings,
+        "nodes": nodes, "edges": edges, "roots": found.roots.select("node_id", F.col("root_pos").cast("long").alias("root_pos")), "tree_index": index,
+        "cuts": cuts, "clusters": clusters, "quotient": tiers.shown_edges(shown, cuts, edges), "geometry": summaries.cluster_geometry(clusters, positions),
+        "components": reads.component_boxes(index, positions), "annotations": values, "types": found.types, "warnings": found.warnings,
         "defaults": (found.roots if defaults is None else defaults).select("node_id"), "settings": settings, **members,
     }
 
 
 def publish_prepared(spark: SparkSession, root: str, dataset_id: str, found: Forest, tables: dict[str, DataFrame]) -> str:
     """Writes and publishes the tables under a version that follows from their contents; a version in print stays as it is."""
-    version = versions.layout_version({n: tables[n] for n in ("nodes", "edges", "roots", "annotations")}, f"{dataset_id}|{found.strategy}|{found.cutoff}|{sorted(found.options.items())}")
-    if versions.is_published(spark, root, dataset_id, version):
-        return version
+    digests = {n: versions.digest(tables[n]) for n in CONTENTS}
+    version = _version(dataset_id, found, digests)
+    if not versions.is_published(spark, root, dataset_id, version):
+        _publish(spark, root, dataset_id, version, tables, digests)
+    return version
+
+
+def _version(dataset_id: str, found: Forest, digests: dict[str, str]) -> str:
+    return versions.version_of(digests, f"{dataset_id}|{found.strategy}|{found.cutoff}|{sorted(found.options.items())}")
+
+
+def _publish(spark: SparkSession, root: str, dataset_id: str, version: str, tables: dict[str, DataFrame], digests: dict[str, str]) -> None:
     versions.publish(spark, root, dataset_id, version, status="refining")
-    versions.write_version(tables, root, dataset_id, version)
+    versions.write_version(tables | {"digests": spark.createDataFrame(sorted(digests.items()), DIGESTS)}, root, dataset_id, version)
     versions.publish(spark, root, dataset_id, version)
-    return version
 
 
 def preparation_summary(found: Forest, tables: dict[str, DataFrame]) -> DataFrame:
@@ -219,6 +232,15 @@ def _members(spark: SparkSession, root: str, dataset_id: str, version: str) -> D
     return found if found.limit(1).count() else None
 
 
+def _digests(spark: SparkSession, root: str, dataset_id: str, version: str, read: dict[str, DataFrame]) -> dict[str, str]:
+    """The digests of nodes and annotations of a version: stored with it, or found anew where its annotations, or those of its time, are not."""
+    shared, known = versions.geometry_of(spark, root, dataset_id, version), {}
+    if versions.has_table(spark, root, "digests"):
+        known = {r["name"]: r["digest"] for r in versions.read_version(spark, root, "digests", dataset_id, shared, DIGESTS).collect()}  # a row per table
+    own = {n: known.get(n) for n in (("nodes", "annotations") if shared == version else ("nodes",))}
+    return {n: own.get(n) or versions.digest(read[n]) for n in ("nodes", "annotations")}
+
+
 def publish_root_revision(spark: SparkSession, root: str, dataset_id: str, version: str, node_id: str | None) -> Revision:
     """A version whose component of node_id hangs at that node, or, without node_id, all of whose components hang at the roots of their first preparation.
 
@@ -241,17 +263,21 @@ def publish_root_revision(spark: SparkSession, root: str, dataset_id: str, versi
     changed = components.where("old_component <> new_component").count()
     if not changed:
         return Revision(version, components, defaults)
-    edges, roots, _ = rerooted(read["edges"], index, wanted.select("node_id"))
-    edges, roots = scratch.save(edges, "edges"), scratch.save(roots, "roots")
+    edges, _, _ = rerooted(read["edges"], index, wanted.select("node_id"))
+    edges = scratch.save(edges, "edges")
     # The place of a root is kept, so components keep their order; numbers are those of the stored roots.
     places = read["roots"].select(F.col("node_id").alias("old_component"), "root_pos").join(components, "old_component")
     roots = scratch.save(places.select(F.col("new_component").alias("node_id"), "root_pos"), "places")
     default = not roots.select("node_id").exceptAll(defaults).limit(1).count()
     strategy = settings["default_strategy"] if default else "user"
     found = Forest(read["nodes"].select("node_id"), edges, roots, read["annotations"], read["types"], read["warnings"], strategy, _members(spark, root, dataset_id, version), settings["cutoff"], json.loads(settings["options"]))
-    turned = forest.rerooted_index(index, node_id) if changed == 1 and node_id is not None else None
-    tables = prepare(found, read["nodes"], settings["small"], turned, defaults, settings["default_strategy"])
-    return Revision(publish_prepared(spark, root, dataset_id, found, tables), components, defaults)
+    # A revision leaves nodes and annotations as they are, so the version is known before anything is prepared for it.
+    digests = _digests(spark, root, dataset_id, version, read) | {"edges": versions.digest(edges), "roots": versions.digest(roots)}
+    new = _version(dataset_id, found, digests)
+    if not versions.is_published(spark, root, dataset_id, new):
+        turned = forest.rerooted_index(index, node_id) if changed == 1 and node_id is not None else None
+        _publish(spark, root, dataset_id, new, prepare(found, read["nodes"], settings["small"], turned, defaults, settings["default_strategy"], stored=True), digests)
+    return Revision(new, components, defaults)
 
 
 @dataclass(frozen=True)

@@ -19,13 +19,18 @@ def carry_last(df: DataFrame, at: str, value: Column, name: str, *keys: str, spa
 
     The order runs through all of df, or through each group of equal keys.
     """
-    rows = df.withColumn("_span", F.expr(f"{at} div {span}")).withColumn("_v", value)
-    ends = rows.groupBy(*keys, "_span").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col(at))).alias("_end"))
+    return carry_each(df, at, {name: value}, *keys, span=span, inclusive=inclusive)
+
+
+def carry_each(df: DataFrame, at: str, values: dict[str, Column], *keys: str, span: int = SPAN, inclusive: bool = True) -> DataFrame:
+    """df with a column for each of values, carried as ``carry_last`` does, all along one order."""
+    rows = df.withColumn("_span", F.expr(f"{at} div {span}")).withColumns({f"_v_{n}": v for n, v in values.items()})
+    ends = rows.groupBy(*keys, "_span").agg(*(F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col(at))).alias(f"_end_{n}") for n in values))
     before = W.partitionBy(*keys).orderBy("_span").rowsBetween(W.unboundedPreceding, -1)
-    carried = ends.select(*keys, "_span", F.last("_end", ignorenulls=True).over(before).alias("_carried"))
+    carried = ends.select(*keys, "_span", *(F.last(f"_end_{n}", ignorenulls=True).over(before).alias(f"_carried_{n}") for n in values))
     inside = W.partitionBy(*keys, "_span").orderBy(at).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
-    out = rows.withColumn(name, F.last("_v", ignorenulls=True).over(inside)).join(carried, [*keys, "_span"], "left")
-    return out.withColumn(name, F.coalesce(name, "_carried")).drop("_span", "_v", "_carried")
+    out = rows.withColumns({n: F.last(f"_v_{n}", ignorenulls=True).over(inside) for n in values}).join(carried, [*keys, "_span"], "left")
+    return out.withColumns({n: F.coalesce(n, f"_carried_{n}") for n in values}).drop("_span", *(f"{c}_{n}" for n in values for c in ("_v", "_carried")))
 
 
 def carry_max(df: DataFrame, at: str, value: str, name: str, span: int = SPAN) -> DataFrame:

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from silvaspan.operators.ordering import carry_last
+from silvaspan.operators.ordering import carry_each
 
 GAMMA = 2.0
 SMALL_COMPONENT = 64
@@ -54,9 +54,13 @@ def clusters_at(index: DataFrame, cuts: DataFrame) -> DataFrame:
     if "path" in index.columns:
         rows = index.select("node_id", "depth", "path").crossJoin(F.broadcast(cuts.select("level", "cut"))).withColumn("anchor", F.get("path", F.col("cut") + 1))
         return _named(rows)
-    rows = index.select("node_id", "depth", "dfs_start").crossJoin(F.broadcast(cuts.select("level", "cut")))
-    rows = carry_last(rows, "dfs_start", F.when(F.col("depth") == F.col("cut") + 1, F.col("node_id")), "anchor", "level")
-    return _named(rows)
+    # A row per tier, at most as many as the forest is deep: all tiers are carried along one order of the nodes.
+    tiers = cuts.select("level", "cut").collect()
+    if not tiers:
+        return _named(index.select("node_id", "depth").crossJoin(cuts.select("level", "cut")).withColumn("anchor", F.lit(None).cast("string")))
+    rows = carry_each(index.select("node_id", "depth", "dfs_start"), "dfs_start", {f"a{k}": F.when(F.col("depth") == t["cut"] + 1, F.col("node_id")) for k, t in enumerate(tiers)})
+    each = F.explode(F.array(*(F.struct(F.lit(t["level"]).cast(cuts.schema["level"].dataType).alias("level"), F.lit(t["cut"]).cast(cuts.schema["cut"].dataType).alias("cut"), F.col(f"a{k}").alias("anchor")) for k, t in enumerate(tiers))))
+    return _named(rows.select("node_id", "depth", each.alias("t")).select("node_id", "depth", "t.*"))
 
 
 def _named(rows: DataFrame) -> DataFrame:
@@ -83,6 +87,15 @@ def quotient_edges(clusters: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(a, "source").join(b, ["level", "target"]).where("s <> t").select("level", F.col("s").alias("source"), F.col("t").alias("target"), "distance")
 
 
+def shown_edges(index: DataFrame, cuts: DataFrame, edges: DataFrame) -> DataFrame:
+    """The quotient edges (level, source, target, distance) of the tiers of cuts (level, cut), without their clusters, for edges from parents to children.
+
+    What a tier folds is one cluster from depth cut + 1 on, so it shows the edges to nodes of at most that depth, and their ends stand for themselves.
+    """
+    rows = edges.join(index.select(F.col("node_id").alias("target"), "depth"), "target").crossJoin(F.broadcast(cuts.select("level", "cut")))
+    return rows.where(F.col("depth") <= F.col("cut") + 1).select("level", "source", "target", "distance")
+
+
 def quotient_faults(quotient: DataFrame, clusters: DataFrame) -> DataFrame:
     """(level, fault, n): parallel quotient edges, and clusters of several members with more than one edge."""
     ends = quotient.select("level", F.explode(F.array("source", "target")).alias("representative"))

@@ -230,6 +230,32 @@ def test_stars_against_all_pairs():
             assert quality.stars.star_crossings(a, b, p, q) == np.count_nonzero(plain)
 
 
+def test_known_revisions_and_quotients_of_prepared_forests(spark, tmp_path, monkeypatch):
+    nodes = spark.createDataFrame([(f"n{k}", float(k), 1.0) for k in range(40)], "node_id string, x double, y double")
+    edges = spark.createDataFrame([(f"e{k}", f"n{(k - 1) // 2}", f"n{k}", 1.0) for k in range(1, 40) if k != 20], "edge_id string, source string, target string, distance double")
+    roots = spark.createDataFrame([("n0", 0), ("n20", 1)], "node_id string, root_pos long")
+    values = spark.createDataFrame([("n1", "k", "v")], "node_id string, key string, value string")
+    found = bundles.Forest(nodes.select("node_id"), edges, roots, values, spark.createDataFrame([("k", "string")], "key string, type string"), spark.createDataFrame([], "message string"), "given")
+    for small in (0, 2):
+        tables = bundles.prepare(found, nodes, small)
+        rows = {tuple(r) for r in tables["quotient"].collect()}
+        assert rows and rows == {tuple(r) for r in tiers.quotient_edges(tables["clusters"], edges).select(*tables["quotient"].columns).collect()}
+    assert bundles.tiers.clusters_at(forest.index_forest(edges, roots), spark.createDataFrame([], "level int, cut int")).count() == 0
+    root = f"file://{tmp_path}/store"
+    one = bundles.publish_prepared(spark, root, "d", found, tables)
+    two = bundles.publish_root_revision(spark, root, "d", one, "n7").version
+    # Versions in print are known by their contents, before anything is prepared.
+    monkeypatch.setattr(bundles, "prepare", None)
+    assert bundles.publish_root_revision(spark, root, "d", two, None).version == one and bundles.publish_root_revision(spark, root, "d", one, "n7").version == two != one
+
+
+def test_rows_of_one_field_meet_no_part_of_the_types_twice(spark):
+    cells = spark.createDataFrame([("a", 0, "1"), ("a", 1, "4"), ("b", 2, None)], "node_id string, row_pos long, value string").withColumn("key", F.lit("k"))
+    got = annotations.aggregate_rows(cells, annotations.infer_types(cells))
+    assert "CartesianProduct" not in got._jdf.queryExecution().toString()
+    assert [(r["node_id"], r["value"], r["rows"]) for r in got.collect()] == [("a", "1;4", 2)]
+
+
 def test_statistics(spark):
     df = spark.createDataFrame([("a", 1, "v1", "success", 1.0, 3.0, False), ("a", 2, "v2", "success", 2.0, 1.0, False), ("b", 1, "v1", "failure", None, 1.0, True)], "k string, i int, id string, s string, t0 double, t1 double, w boolean")
     assert {r["s"] for r in stats.invalidate_mixed(df, ["k"], "id", "s").collect()} == {"invalid", "failure"}

@@ -60,6 +60,9 @@ _SLOPE = 6.0
 #: A text is claimed at this much below the claim that all but ``ODD`` of the sample reach, and at 0, an even draw, at the latest.
 SLACK = 1.0
 ODD = 0.01
+#: Where all texts are learned from: languages in memory at once, and steps of a nat in which claims are counted.
+HELD = 256
+STEPS = 4096
 
 
 @dataclass(frozen=True)
@@ -266,19 +269,91 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", lang_
     return rows.mapInArrow(run, schema).toDF(*kept, lang_pred, score)
 
 
-def claimed(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """The rows of docs that have a letter and that a learned language claims, whole."""
-    at = docs.columns.index(text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def trigram_totals(rows: DataFrame) -> DataFrame:
+    """(lang, gram, n): how often each trigram stands in all texts (lang, text) with a letter of a language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+
+        def told() -> pa.RecordBatch:
+            at = {lang: np.flatnonzero(n) for lang, n in held.items()}
+            langs = pa.array([lang for lang in held for _ in range(len(at[lang]))], pa.string())
+            grams, n = (np.concatenate([np.empty(0, np.int64), *found]) for found in (at.values(), (held[lang][at[lang]] for lang in held)))
+            return pa.RecordBatch.from_arrays([langs, pa.array(grams, pa.int64()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
+
         for batch in batches:
-            known = shared.value
-            keep = [known is not None and (c := claim(known, t.as_py())) > -np.inf and c >= known.least for t in batch.column(at).cast(pa.binary())]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            for lang, text in zip(batch.column(0), batch.column(1).cast(pa.binary())):
+                if has_letter(text.as_py()):
+                    if len(held) == HELD and lang.as_py() not in held:
+                        yield told()
+                        held.clear()
+                    held[lang.as_py()] = held.get(lang.as_py(), 0) + counts(text.as_py())
+        yield told()
+
+    return rows.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def _best_claims(rows: DataFrame, totals: DataFrame, langs: list[str], text: str, own: str | None) -> DataFrame:
+    """rows with ``claim``: of the language that suits the text best, minus infinity without a letter. With ``own``, a text's own language is taken without it.
 
+    At most HELD languages are in memory at once: a row meets one block of them after the other.
+    """
+    spark = rows.sparkSession
+    out = rows.withColumn("claim", F.lit(float("-inf")))
+    at = [out.columns.index(c) for c in (text, own or text, "claim")]
+    for k in range(0, len(langs), HELD):
+        names = langs[k : k + HELD]
+        found = totals.where(F.col("lang").between(names[0], names[-1])).toArrow()
+        table = np.zeros((len(names), DIMS), np.int64)
+        table[[names.index(x) for x in found["lang"].to_pylist()], found["gram"].to_numpy()] = found["n"].to_numpy()
+        shared = spark.sparkContext.broadcast((names, table, np.stack([log_shares(t) for t in table])))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, table, shares = shared.value
+            sums = table.sum(axis=1)
+            for batch in batches:
+                claims = []
+                for x, lang, before in zip(batch.column(at[0]).cast(pa.binary()), batch.column(at[1]), batch.column(at[2])):
+                    best = before.as_py()
+                    if x.as_py() and has_letter(x.as_py()):
+                        grams = np.flatnonzero(n := counts(x.as_py()))
+                        n = n[grams]
+                        by_lang = shares[:, grams] @ n
+                        if own and lang.as_py() in names:
+                            j = names.index(lang.as_py())
+                            by_lang[j] = np.log((table[j, grams] - n + 0.5) / (sums[j] - n.sum() + 0.5 * DIMS) * DIMS) @ n
+                        best = max(best, float(by_lang.max() / n.sum()))
+                    claims.append(best)
+                columns = list(batch.columns)
+                columns[at[2]] = pa.array(claims, pa.float64())
+                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+        out = out.mapInArrow(run, out.schema)
+    return out
+
+
+def claimed_by_any(docs: DataFrame) -> DataFrame:
+    """The rows of docs (text, lang and any others) that have a letter and that a language of docs claims, whole.
+
+    All labelled texts of all languages are learned from, and all of them, each claimed without itself, set the least claim: the highest step of 1 / STEPS that all
+    but ``ODD`` of them reach, less ``SLACK``, and 0 at most. Work grows with the number of languages, memory does not.
+    """
+    scratch = Scratch(docs.sparkSession, "claims")
+    labelled = docs.where("lang is not null and text is not null").select("lang", "text")
+    totals = scratch.save(trigram_totals(labelled), "totals")
+    langs = [r["lang"] for r in totals.select("lang").distinct().orderBy("lang").collect()]  # a row per language
+    if not langs:
+        return docs.where(F.lit(False))
+    steps = _best_claims(labelled, totals, langs, "text", "lang").where(F.col("claim") > float("-inf")).groupBy(F.floor(F.col("claim") * STEPS).alias("step")).agg(F.count(F.lit(1)).alias("n"))
+    # Claims lie between fixed bounds, so steps are a bounded number.
+    steps = scratch.save(steps, "steps")
+    below = F.sum("n").over(W.orderBy("step"))
+    n = steps.agg(F.sum("n")).first()[0]
+    low = steps.withColumn("below", below).where(F.col("below") > F.lit(ODD) * F.lit(n - 1)).agg(F.min("step")).first()[0]
     rows = _plain(docs)
-    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
+    text = rows.columns[docs.columns.index("text")]
+    found = _best_claims(rows, totals, langs, text, None)
+    return found.where(F.col("claim") >= min(0.0, low / STEPS - SLACK)).drop("claim").toDF(*docs.columns)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
